@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe_trie, exact_dedup, mixing, token_counts
+from . import bpe_trie, exact_dedup, mixing, quality, token_counts, toxicity
 
 
 def queries():
     return {
         "op2_token_counts": token_counts.op2,
         "op3_bpe_codec": bpe_trie.op3,
+        "op4_toxicity": toxicity.op4,
         "op6_mixing": mixing.op6,
+        "op7_quality": quality.op7,
         "op10_exact_dedup": exact_dedup.op10,
     }
 
