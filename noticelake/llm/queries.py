@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_trie, exact_dedup, mixing, quality, token_counts, toxicity
+from . import bpe_trie, exact_dedup, mixing, quality, token_counts, toxicity, warc
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op2_token_counts": token_counts.op2,
         "op3_bpe_codec": bpe_trie.op3,
         "op4_toxicity": toxicity.op4,
+        "op5_warc": warc.op5,
         "op6_mixing": mixing.op6,
         "op7_quality": quality.op7,
         "op10_exact_dedup": exact_dedup.op10,
@@ -18,6 +19,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op5_warc": warc.OP5_SQL,
         "op6_mixing": mixing.OP6_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
     }
