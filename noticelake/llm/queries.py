@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_trie, exact_dedup, mixing, quality, token_counts, toxicity, warc
+from . import bpe_trie, exact_dedup, minhash, mixing, quality, token_counts, toxicity, warc
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op5_warc": warc.op5,
         "op6_mixing": mixing.op6,
         "op7_quality": quality.op7,
+        "op9_minhash": minhash.op9,
         "op10_exact_dedup": exact_dedup.op10,
     }
 
