@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, text_or_empty, work_path
+from .common import load, materialize, text_or_empty, work_path
 
 #: Parts that the rows of one digest are dealt to for byte verification
 SALTS = 32
@@ -94,13 +94,14 @@ def exact_dedup(
     ).withColumn("_d", F.substring(F.unhex("_sha"), 1, digest_bytes))
     hit_digests = index.filter("_n > 1").select("_d", F.col("_keep"), F.col("_n"))
 
-    # byte verification: equal smallest and largest text means that all texts of the digest are equal
-    # (salted, so that the texts of a very large group spread over tasks)
+    # byte verification of the hits, kept as a table; salted, so that the texts of a very large group spread
+    # over tasks: equal smallest and largest text means that all texts of the digest are equal
     salted = hit_digests.select("_d", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    hits = materialize(
+        rows.select("_id", "_t", "_d", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int").alias("_salt")).join(salted, ["_d", "_salt"], "left_semi"), "lsm-hits"
+    )
     checked = (
-        rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
-        .join(salted, ["_d", "_salt"], "left_semi")
-        .groupBy("_d", "_salt")
+        hits.groupBy("_d", "_salt")
         .agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
         .groupBy("_d")
         .agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
@@ -112,7 +113,7 @@ def exact_dedup(
         "_id", F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("_keep"), F.coalesce("_n", F.lit(1)).alias("_n"), "_sha"
     )
     # texts under one digest that differ: group these by the text itself
-    mixed = rows.join(checked.filter("not _same").select("_d"), "_d", "left_semi")
+    mixed = hits.join(checked.filter("not _same").select("_d"), "_d", "left_semi").withColumn("_sha", F.sha2(F.col("_t").cast("binary"), 256))
     by_text = mixed.groupBy("_t").agg((F.min if keep == "smallest" else F.max)("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
     told_apart = mixed.join(by_text, "_t").select("_id", "_keep", "_n", "_sha")
     return sure.unionByName(told_apart).select(
