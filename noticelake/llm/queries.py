@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe_trie, exact_dedup, minhash, mixing, quality, token_counts, toxicity, warc
+from . import bpe_trie, exact_dedup, minhash, mixing, quality, suffix_dedup, token_counts, toxicity, warc
 
 
 def queries():
     return {
+        "op1_suffix_dedup": suffix_dedup.op1,
         "op2_token_counts": token_counts.op2,
         "op3_bpe_codec": bpe_trie.op3,
         "op4_toxicity": toxicity.op4,
