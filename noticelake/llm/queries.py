@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_trie, exact_dedup, minhash, mixing, quality, suffix_dedup, token_counts, toxicity, warc
+from . import bpe_trie, embed_dedup, exact_dedup, minhash, mixing, quality, suffix_dedup, token_counts, toxicity, warc
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op5_warc": warc.op5,
         "op6_mixing": mixing.op6,
         "op7_quality": quality.op7,
+        "op8_embedding_dedup": embed_dedup.op8,
         "op9_minhash": minhash.op9,
         "op10_exact_dedup": exact_dedup.op10,
     }

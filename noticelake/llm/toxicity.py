@@ -244,5 +244,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold
     )
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose score is below the threshold; learns as score_toxicity does."""
+    model = train(docs.select(id_col, text_col).filter(fold_of(id_col, folds) != held_fold), labels, id_col, text_col)
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)  # fixed size
+
+    def run(batches):
+        m = held.value
+        of = WordScores(m.scores)
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            evidence = np.array([m.evidence(t or "", of) for t in texts], float)
+            yield batch.filter(pa.array(m.probability(evidence) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4(spark, sf_dir):
     return score_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
