@@ -1,15 +1,19 @@
-"""The registered queries over the driver tables, each with its SQL for the other engine."""
+"""All registered queries with their SQL for the other engine."""
 
 from __future__ import annotations
 
+from . import records
+from .register import QUERIES, SQL
+from .views import Tables
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return records.flagship(Tables(spark, sf_dir))
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
