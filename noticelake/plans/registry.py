@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import records
+from . import learning, records, spatial  # noqa: F401
 from .register import QUERIES, SQL
 from .views import Tables
 

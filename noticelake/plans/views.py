@@ -43,12 +43,12 @@ FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN part p ON p.p_
  ' bis ', CAST(day(l.l_shipdate) AS STRING), '.', CAST(month(l.l_shipdate) AS STRING), '.20', lpad(CAST(year(l.l_shipdate) % 30 AS STRING), 2, '0')) AS body,
  l.l_linenumber AS line_no
 FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey""",
-    "gpt": """SELECT c_custkey AS pt_id, 2600000.0 + (c_custkey * 7919) % 50000 AS east, 1200000.0 + (c_custkey * 104729) % 40000 AS north,
+    "gpt": """SELECT c_custkey AS pt_id, CAST(2600000.0 + (c_custkey * 7919) % 50000 AS DOUBLE) AS east, CAST(1200000.0 + (c_custkey * 104729) % 40000 AS DOUBLE) AS north,
  CASE WHEN c_nationkey % 4 = 0 THEN 'approximate' ELSE 'precise' END AS location_precision FROM customer""",
     "gar": """SELECT s_suppkey AS area_id, CASE s_suppkey % 3 WHEN 0 THEN 21 WHEN 1 THEN 15 ELSE 20 END AS layer_id,
- 2600000.0 + (s_suppkey * 31337) % 50000 AS x0, 1200000.0 + (s_suppkey * 27644437) % 40000 AS y0 FROM supplier""",
+ CAST(2600000.0 + (s_suppkey * 31337) % 50000 AS DOUBLE) AS x0, CAST(1200000.0 + (s_suppkey * 27644437) % 40000 AS DOUBLE) AS y0 FROM supplier""",
     # point features: buildings of an inventory
-    "gbl": """SELECT p_partkey AS feature_id, 2600000.0 + (p_partkey * 6007) % 50000 AS fx, 1200000.0 + (p_partkey * 51971) % 40000 AS fy FROM part""",
+    "gbl": """SELECT p_partkey AS feature_id, CAST(2600000.0 + (p_partkey * 6007) % 50000 AS DOUBLE) AS fx, CAST(1200000.0 + (p_partkey * 51971) % 40000 AS DOUBLE) AS fy FROM part""",
     "cat_link": """SELECT s_nationkey AS municipality_id, min(s_suppkey) AS source_id, 'primary' AS relation_type FROM supplier GROUP BY s_nationkey
 UNION ALL
 SELECT n_nationkey, s_suppkey, 'supplemental' FROM nation CROSS JOIN supplier WHERE s_suppkey % 10 = 0""",
