@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, learning, records, spatial  # noqa: F401
+from . import catalog, learning, records, spatial, texts, webpages  # noqa: F401
 from .register import QUERIES, SQL
 from .views import Tables
 
