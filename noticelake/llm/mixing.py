@@ -11,10 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, materialize
 
 #: exp(-rate) must stay a normal double
 MOST_RATE = 500.0
+#: up to so many sources (a few hundred bytes each) their rates are broadcast
+BROADCAST_SOURCES = 10_000
+SALTS = 64
 
 
 def hashed_uniform(*parts: Column) -> Column:
@@ -68,8 +71,15 @@ def mix(
     rates = rates.withColumn(
         "_rate", F.when(F.col("_rate") > MOST_RATE, F.raise_error(F.lit("repetition rate above 500")).cast("double")).otherwise(F.coalesce("_rate", F.lit(0.0)))
     ).select("_src", poisson_cdf(F.col("_rate")).alias("_cdf"))
+    rates = materialize(rates, "mix-rates")
+    docs_by_src = docs.withColumn("_src", src)
+    if rates.count() <= BROADCAST_SOURCES:
+        joined = docs_by_src.join(F.broadcast(rates), "_src")
+    else:  # a source may hold a third of all rows: deal each over SALTS parts
+        salted = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = docs_by_src.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(salted, ["_src", "_salt"])
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    drawn = docs.withColumn("_src", src).join(rates, "_src").withColumn("_u", hashed_uniform(F.lit(str(seed)), key))
+    drawn = joined.withColumn("_u", hashed_uniform(F.lit(str(seed)), key))
     copies = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
     return (
         drawn.withColumn("_n", copies)
