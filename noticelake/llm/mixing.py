@@ -72,13 +72,14 @@ def mix(
         "_rate", F.when(F.col("_rate") > MOST_RATE, F.raise_error(F.lit("repetition rate above 500")).cast("double")).otherwise(F.coalesce("_rate", F.lit(0.0)))
     ).select("_src", poisson_cdf(F.col("_rate")).alias("_cdf"))
     rates = materialize(rates, "mix-rates")
-    docs_by_src = docs.withColumn("_src", src)
+    columns = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
+    docs_by_src = docs.select(src.alias("_src"), F.col(id_col).alias("_id"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"))
     if rates.count() <= BROADCAST_SOURCES:
         joined = docs_by_src.join(F.broadcast(rates), "_src")
     else:  # a source may hold a third of all rows: deal each over SALTS parts
         salted = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs_by_src.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(salted, ["_src", "_salt"])
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+        joined = docs_by_src.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(salted, ["_src", "_salt"])
+    key = F.coalesce(F.col("_id").cast("string"), F.lit(""))
     drawn = joined.withColumn("_u", hashed_uniform(F.lit(str(seed)), key))
     copies = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
     return (
@@ -86,7 +87,7 @@ def mix(
         .filter("_n > 0")
         .withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_n"))))
         .withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), key, F.col("copy_no").cast("string"))))
-        .select(*docs.columns, "copy_no", "shuffle_key")
+        .select("_row.*", "copy_no", "shuffle_key")
         .repartitionByRange("shuffle_key")
         .sortWithinPartitions("shuffle_key")
     )

@@ -116,11 +116,11 @@ class FactorisationMachine:
         return 1 / (1 + np.exp(-np.clip(self.raw(*features(texts, of)), -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = TRAIN_ROWS) -> FactorisationMachine:
+def train(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, id_col: str, text_col: str, label_col: str, rows: int = TRAIN_ROWS) -> FactorisationMachine:
     """Fits on at most `rows` labelled rows, the first by a hash of the id; they reach the driver as feature numbers."""
-    y = labels.filter(F.col(label_col).isNotNull()).select(id_col, (F.col(label_col).cast("int") > 0).cast("int").alias("_y")).dropDuplicates([id_col])
-    picked = y.join(docs.select(id_col), id_col, "left_semi").orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    sample = docs.join(F.broadcast(picked), id_col).select(F.col(text_col).cast("string").alias("t"), "_y")  # at most `rows` rows
+    y = labels.filter(F.col(label_col).isNotNull() & (fold_of(id_col, folds) != held_fold)).dropDuplicates([id_col])
+    picked = y.select(id_col, (F.col(label_col).cast("int") > 0).cast("int").alias("_y")).orderBy(F.xxhash64(id_col), id_col).limit(rows)
+    sample = docs.select(id_col, F.col(text_col).cast("string").alias("t")).join(F.broadcast(picked), id_col).select("t", "_y")  # at most `rows` rows
 
     def extract(batches):
         of = WordBuckets(BUCKETS)
@@ -151,8 +151,7 @@ def score_quality(
     count once; without labels the score is 0.5 and nearby. An empty table gives no rows. Only the text is
     used; extra columns are ignored.
     """
-    learn = docs.select(id_col, text_col).filter(fold_of(id_col, folds) != held_fold)
-    held = docs.sparkSession.sparkContext.broadcast(train(learn, labels, id_col, text_col, label_col))  # fixed size
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds, held_fold, id_col, text_col, label_col))  # fixed size
 
     def run(batches):
         of = WordBuckets(BUCKETS)

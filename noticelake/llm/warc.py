@@ -70,8 +70,9 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
                 out.append(record("revisit" if again else "response", uri or "", page_id, first, digest, payload))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
 
-    rows = with_revisits(pages, id_col, text_col, least)
-    members = rows.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), "_first", "_digest", "_payload").mapInArrow(build, "member binary")
+    pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(text_col).alias("html"))
+    rows = with_revisits(pages, "page_id", "html", least)
+    members = rows.select("page_id", "url", "_first", "_digest", "_payload").mapInArrow(build, "member binary")
     members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
 
 
