@@ -406,3 +406,10 @@ def c10(t):
 def c4(t):
     dim = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("Town "), F.col("n_nationkey").cast("string")).alias("municipality"), F.col("r_name").alias("region"))
     return t.app.join(dim, "municipality").select("id", "region", F.col("protection_status").isin(W.PROTECTED).alias("is_protected"))
+
+
+@query("j21_sync_job", f"SELECT outcome, count(*) AS n, count(*) FILTER (k = 'authority') AS authority FROM (SELECT j.outcome, r.source_kind AS k FROM ({J1}) j JOIN rec r ON r.rec_id = j.rec_id) GROUP BY 1", "rec")
+def j21(t):
+    """Read, upsert, count per outcome; a failing source would add an error row, not stop the others."""
+    out = j1(t).join(t.rec.select("rec_id", "source_kind"), "rec_id")
+    return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("source_kind") == "authority").alias("authority"))

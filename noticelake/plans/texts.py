@@ -214,3 +214,124 @@ def d9(t):
 def d19(t):
     v = F.when(F.col("line_no") % 3 == 0, F.col("body")).when(F.col("line_no") % 3 == 1, F.lit(" 12.3.2024 ")).otherwise(F.lit("2024"))
     return t.txt.select("txt_id", F.trim(v).rlike(r"^(\d{1,2}\.\s*\d{1,2}\.\s*\d{4}|\d{4}|[A-Za-zä]+ \d{4})$").alias("lone"))
+
+
+# jobs that chain the steps above
+
+
+@query("a9_document_records")
+def a9(t):
+    """Documents as records: address or parcel and a project or a date are required."""
+    rows = X.fields(t.documents.select("doc_id", "text"), "text").withColumn("head", T.shorten(F.col("text"), 120))
+    return rows.filter(((F.col("place") != "") | (F.col("parcel") != "")) & ((F.col("project") != "") | F.col("deadline_date").isNotNull())).select("doc_id", "head", "place", "parcel", "deadline_date")
+
+
+@query("c11_gazette_record")
+def c11(t):
+    rows = X.fields(t.txt)
+    provenance = F.when(F.col("deadline_date").isNotNull(), "explicit").otherwise("missing")
+    return rows.select("txt_id", F.coalesce(F.nullif("place", F.lit("")), F.concat(F.lit("Parzelle "), "parcel")).alias("address"), "parcel", T.first_filled(F.col("project"), F.lit("Bauvorhaben")).alias("project"), "deadline_date", provenance.alias("deadline_provenance"))
+
+
+@query("d8_feed_relevance", "SELECT txt_id FROM txt WHERE line_no <> 2", "txt")
+def d8(t):
+    body = F.when(F.col("line_no") == 2, F.lit("Vereinsnachrichten")).otherwise(F.col("body"))
+    rows = t.txt.withColumn("f", X.relevance(body))
+    f = F.col("f")
+    return rows.filter(body.rlike("(?i)gesuch") | (f["keyword"] & (f["parcel"] | f["address"]) & f["dated"])).select("txt_id")
+
+
+@query("d12_detail_needed")
+def d12(t):
+    rows = X.fields(t.txt)
+    return rows.filter((F.col("place") == "") | (F.col("parcel") == "") | F.col("deadline_date").isNull() | X.weak_address(F.col("place"))).select("txt_id")
+
+
+@q("i7_entities", "SELECT txt_id, 'A & B <' || parcel || '> ä' AS text FROM tx")
+def i7(t):
+    coded = F.concat(F.lit("A &amp; B &lt;"), X.parcel_number(F.col("body")), F.lit("&gt; &auml;"))
+    return t.txt.select("txt_id", T.decode_entities(coded).alias("text"))
+
+
+@q("i11_address_cleaner", "SELECT txt_id, place AS address FROM tx")
+def i11(t):
+    raw = F.concat(F.lit(' class="x"> '), X.street_address(F.col("body")), F.lit("&nbsp; data-id='7'"))
+    clean = F.regexp_replace(F.regexp_replace(T.decode_entities(raw), r"(class|id|style)=\"[^\"]*\">?", " "), r"data-[a-z]+='[^']*'", " ")
+    return t.txt.select("txt_id", T.collapse(clean).alias("address"))
+
+
+@q("i12_project_cleaner", "SELECT txt_id, project FROM tx")
+def i12(t):
+    raw = F.concat(F.lit("Bauvorhaben: "), T.labelled_value(F.col("body"), "Bauvorhaben", ["Bauplatz"]), F.lit(" Bauplatz: irgendwo"))
+    clean = F.regexp_replace(F.regexp_replace(raw, r"^(?i)(bauvorhaben|projekt)\s*:\s*", ""), r"(?i)\s*(bauplatz|parzelle|auflage)\b.*$", "")
+    return t.txt.select("txt_id", T.collapse(clean).alias("project"))
+
+
+@q("i13_address_sanitizer", "SELECT txt_id, CASE WHEN line_no % 2 = 0 THEN place ELSE 'Parzelle ' || parcel END AS address FROM tx")
+def i13(t):
+    street = F.when(F.col("line_no") % 2 == 0, X.street_address(F.col("body"))).otherwise(F.lit("12345"))
+    return t.txt.select("txt_id", F.when(X.weak_address(street), F.concat(F.lit("Parzelle "), X.parcel_number(F.col("body")))).otherwise(street).alias("address"))
+
+
+@q("i17_house_number", "SELECT txt_id, regexp_extract(place, '\\d+$', 0) AS house_number, 'Bahnhofstrasse' AS street FROM tx")
+def i17(t):
+    a = X.street_address(F.col("body"))
+    return t.txt.select("txt_id", F.regexp_extract(a, r"(\d+[a-z]?)$", 1).alias("house_number"), F.regexp_extract(a, r"^(.*?)\s+\d", 1).alias("street"))
+
+
+@q("i20_street_token", "SELECT txt_id, 'bahnhofstrasse' AS token FROM tx")
+def i20(t):
+    tokens = F.filter(F.split(T.key(X.street_address(F.col("body"))), " "), lambda w: F.length(w) >= 4)
+    longest = F.array_sort(tokens, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).otherwise(0))
+    return t.txt.select("txt_id", F.try_element_at(longest, F.lit(1)).alias("token"))
+
+
+@q("i21_project_type", "SELECT txt_id, coalesce(nullif(project, ''), 'Bauvorhaben') AS project, CASE WHEN length(project) > 20 THEN 2 WHEN project <> '' THEN 1 ELSE 0 END AS specificity FROM tx")
+def i21(t):
+    p = X.fields(t.txt).select("txt_id", "project")
+    return p.select("txt_id", T.first_filled(F.col("project"), F.lit("Bauvorhaben")).alias("project"), F.when(F.length("project") > 20, 2).when(F.col("project") != "", 1).otherwise(0).alias("specificity"))
+
+
+@q("i34_context_dates", "SELECT txt_id, last_day AS publication_date FROM td")
+def i34(t):
+    first = F.regexp_extract("body", r"(?i)(?:publiziert|publikation|auflage)\D{0,12}(\d{1,2}\.\d{1,2}\.)", 1)
+    year = F.regexp_extract("body", r"(\d{4})\s*$", 1)
+    return t.txt.select("txt_id", DT.normalize(F.concat(first, year)).alias("publication_date"))
+
+
+@query("i10_enclosing_block")
+def i10(t):
+    """The smallest paragraph or list item that holds a page's first link."""
+    blocks = t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<((?:p|li|article|section|tr)[\s>](?:(?!<(?:p|li|tr)[\s>]).)*?<a\s.*?</a>)"), F.lit(1))).alias("block"))
+    return blocks.groupBy("page_id").agg(F.min(F.struct(F.length("block").alias("n"), F.col("block").alias("block"))).alias("s")).select("page_id", T.strip_html(F.concat(F.lit("<"), F.col("s.block"))).alias("text"))
+
+
+@q("j7_refinement", "SELECT txt_id, CASE WHEN line_no = 1 THEN place ELSE 'known' END AS address, parcel, CASE WHEN line_no = 1 THEN 'filled' ELSE '' END AS note FROM tx")
+def j7(t):
+    rows = X.fields(t.txt).withColumn("address", F.when(F.col("line_no") == 1, "").otherwise("known"))
+    filled = T.first_filled(F.col("address"), F.col("place"))
+    return rows.select("txt_id", filled.alias("address"), "parcel", F.when(F.col("address") == "", "filled").otherwise("").alias("note"))
+
+
+@query("e21_gazetteer_address", f"""WITH {GAZ} SELECT rec_id, CAST(2600000 + k AS DOUBLE) AS x FROM (SELECT *, regexp_extract(municipality, 'Town \\d+', 0) AS town, CAST(regexp_extract(address, '\\d+$', 0) AS BIGINT) AS no FROM rec WHERE parcel = '') r JOIN gaz ON gaz.municipality = town AND gaz.k = no""", "rec")
+def e21(t):
+    g = t.nation.join(t.part, F.col("p_partkey") % 7 == F.col("n_nationkey") % 7)
+    k = F.col("p_partkey").cast("string")
+    g = g.select(F.concat(F.lit("Town "), F.col("n_nationkey").cast("string")).alias("municipality"), F.lit("").alias("parcel"), F.explode(F.array(F.concat(F.lit("Bahnhofstrasse "), k), F.concat(F.lit("Bahnhofstr "), k))).alias("label"), (F.col("p_partkey") + 2600000).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(True).alias("precise"), F.lit(1).alias("rank"))
+    return X.gazetteer_match(t.rec.filter("parcel = ''"), g, "rec_id").select("rec_id", "x")
+
+
+@query("e25_official_names", "SELECT c_custkey, n_name AS municipality FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def e25(t):
+    place = F.concat(F.lit("Rathaus, "), "n_name", F.lit(", Kanton"))
+    rows = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", F.posexplode(F.reverse(F.split(place, ", "))).alias("priority", "candidate"))
+    names = t.nation.select(T.municipality(F.col("n_name")).alias("k"), F.col("n_name").alias("municipality"))
+    hits = rows.withColumn("k", T.municipality(F.col("candidate"))).join(names, "k")
+    return hits.groupBy("c_custkey").agg(F.min_by("municipality", "priority").alias("municipality"))
+
+
+@query("j11_location_repair", f"""WITH {GAZ} SELECT rec_id, count(*) FILTER (k IS NOT NULL) = 1 AS resolved FROM (SELECT *, regexp_extract(municipality, 'Town \\d+', 0) AS town, CAST(regexp_extract(address, '\\d+$', 0) AS BIGINT) AS no FROM rec WHERE workflow_status = 'under-review') r LEFT JOIN gaz ON gaz.municipality = town AND gaz.k = no GROUP BY 1""", "rec")
+def j11(t):
+    rows = t.rec.filter("workflow_status = 'under-review'")
+    found = e22(t).select("rec_id", F.lit(True).alias("hit"))
+    return rows.select("rec_id").join(found, "rec_id", "left").select("rec_id", F.coalesce("hit", F.lit(False)).alias("resolved"))

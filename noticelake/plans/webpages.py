@@ -136,3 +136,13 @@ def e14(t):
     links = P.anchors(t.pages)
     detail = links.filter("page_id % 2 = 0").groupBy("href").agg(F.min("label").alias("detail"))
     return links.filter("page_id % 2 = 1").join(detail, "href", "left").select("page_id", "pos", F.coalesce(F.nullif("detail", F.lit("")), "label").alias("title"))
+
+
+@query("a16_dispatch")
+def a16(t):
+    """Rows by source type; a source whose reader gave nothing falls back to its discovered page."""
+    kinds = t.pages.select("page_id", "url", "html", F.when(F.col("page_id") % 5 == 0, "xml").otherwise("html").alias("kind"))
+    html = P.anchors(kinds.filter("kind = 'html'")).groupBy("page_id").agg(F.count(F.lit(1)).alias("items")).withColumn("reader", F.lit("html"))
+    missing = kinds.select("page_id").join(html, "page_id", "left_anti")
+    found = missing.join(two(t).select("page_id", F.lit(1).cast("long").alias("items")), "page_id").withColumn("reader", F.lit("discovered"))
+    return html.unionByName(found)
