@@ -89,7 +89,7 @@ def i38(t):
     return t.gpt.select("pt_id", S.parse_lv95(text).alias("c")).select("pt_id", "c.east", "c.north")
 
 
-@query("i39_ring_orientation", "SELECT area_id, r AS ring, CASE WHEN r = 1 THEN -3000000.0 ELSE 150000.0 END AS area FROM gar, (SELECT unnest([1, 2]) AS r)", "gar")
+@query("i39_ring_orientation", "SELECT area_id, r AS ring, CAST(CASE WHEN r = 1 THEN -3000000.0 ELSE 150000.0 END AS DOUBLE) AS area FROM gar, (SELECT unnest([1, 2]) AS r)", "gar")
 def i39(t):
     return areas(t).select("area_id", F.posexplode("rings").alias("p", "points")).select("area_id", (F.col("p") + 1).alias("ring"), F.round(S.ring_area(F.col("points")), 3).alias("area"))
 
