@@ -312,12 +312,13 @@ def count_windows(contexts: DataFrame) -> DataFrame:
 def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """texts: (id, u, t). Spans (id, u, lo, hi) whose union is what repeats; they may overlap."""
     every = anchors(texts)
-    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    # written out, so that both sides of the joins are plain shuffles, whose large partitions Spark can split
+    shared = materialize(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared-grams")
     kept = materialize(every.join(shared, "key", "left_semi"), "anchors")
     firsts = [F.first(c).alias(c) for c in ("id", "u", "pos", "lo", "hi")]
     contexts = materialize(kept.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), *firsts), "contexts")
     whole = kept.join(contexts.filter("n > 1").select("key", "ctx"), ["key", "ctx"], "left_semi").filter(F.col("hi") - F.col("lo") >= LENGTH).select("id", "u", "lo", "hi")
-    edges = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    edges = materialize(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "edge-grams")
     edge = contexts.join(edges, "key").select("key", "n", "id", "u", "pos", "lo", "hi", "kinds")
     with_text = edge.join(texts, ["id", "u"]).select("key", "n", "id", "u", "pos", "lo", "kinds", F.expr("substring(t, lo + 1, hi - lo)").alias("c"))
     with_text = materialize(with_text, "edge-contexts")
