@@ -1,12 +1,12 @@
 """Toxicity scores by maximum-scoring segments of token log-odds.
 
-Training counts words, and the stems they start with, of toxic and of other labelled documents (one aggregate over all training rows, into a
+Training counts words, and the stems they start with, of toxic and of other labelled documents (a bounded sample, in one aggregate, into a
 fixed number of hash buckets) and gives each bucket its log-odds under an informative Dirichlet prior. Words
 whose log-odds do not stand out, and all words with negative ones, cost a fixed amount. Scoring reads a
 document's words once and finds all maximal scoring segments in linear time. The chance of a segment score
 in a clean text of that length follows an extreme-value law (Karlin and Altschul) whose parameters come from
 the clean words' own score distribution; the segments that stand out are added up on that scale, and a
-logistic curve fitted on a bounded sample of training rows turns the sum into a probability.
+logistic curve fitted on the training rows turns the sum into a probability.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ PRIOR = 5_000.0
 SIGNIFICANT = 4.0
 #: score of any other word
 COST = -0.7
-#: most training rows that the logistic curve is fitted on
-CALIBRATION_ROWS = 20_000
+#: most labelled rows, the first by a hash of the id, that the model is trained on; their ids are broadcast
+TRAIN_ROWS = 30_000
 #: score from which a document is predicted toxic
 THRESHOLD = 0.3
 
@@ -187,10 +187,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> SegmentModel:
-    """Learns from all rows of docs that have a label; the caller leaves out what it holds out."""
-    labelled = docs.join(labels.filter(F.col(label_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("_y")).dropDuplicates([id_col]), id_col)
-    labelled = materialize(labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (F.col("_y") > 0).cast("int").alias("label")), "toxic-train")
+def train(
+    docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS
+) -> SegmentModel:
+    """Learns from at most `rows` labels outside the held fold; only those documents are kept, without a shuffle."""
+    y = labels.filter(F.col(label_col).isNotNull() & (fold_of(id_col, folds) != held_fold)).dropDuplicates([id_col])
+    picked = y.select(id_col, (F.col(label_col).cast("int") > 0).cast("int").alias("_y")).orderBy(F.xxhash64(id_col), id_col).limit(rows)
+    labelled = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), id_col)  # at most `rows` rows
+    labelled = materialize(labelled.select(F.col(id_col).alias("id"), "text", F.col("_y").alias("label")), "toxic-train")
     counts = materialize(word_counts(labelled.select("text", "label")), "toxic-counts")  # at most BUCKETS rows
     all_clean, all_toxic = (float(x or 0) for x in counts.agg(F.sum("clean"), F.sum("toxic")).first())
     b, clean, toxic = (c.to_numpy() for c in counts.filter("toxic > 0").toArrow().columns)  # the others score COST
@@ -200,8 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         scores[b] = log_odds_scores(clean, toxic, all_clean, all_toxic)
         law = extreme_value_law(scores[b], clean, all_clean)
     model = SegmentModel(scores, *law)
-    sample = labelled.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).select("text", "label")
-    points = apply_model(sample, model, "text", lambda m, e: e, ["label"]).toArrow()
+    points = apply_model(labelled, model, "text", lambda m, e: e, ["label"]).toArrow()
     model.slope, model.offset = fit_logistic(points.column(1).to_numpy().astype(float), points.column(0).to_numpy().astype(float))
     return model
 
@@ -233,8 +236,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold
     every score is that of the class that is there (or clean). An empty table gives no rows. Extra columns,
     also those named as inner ones, are ignored.
     """
-    learn = docs.select(id_col, text_col).filter(fold_of(id_col, folds) != held_fold)
-    model = train(learn, labels, id_col, text_col)
+    model = train(docs, labels, folds, held_fold, id_col, text_col)
     scored = apply_model(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), model, text_col, lambda m, e: m.probability(e), [id_col])
     return scored.select(
         id_col,
@@ -246,7 +248,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose score is below the threshold; learns as score_toxicity does."""
-    model = train(docs.select(id_col, text_col).filter(fold_of(id_col, folds) != held_fold), labels, id_col, text_col)
+    model = train(docs, labels, folds, held_fold, id_col, text_col)
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)  # fixed size
 
     def run(batches):
