@@ -25,13 +25,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays. Rows without an id stay."""
     dropped = exact_dedup(docs, keep="largest").filter("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the smallest doc_id stays."""
     dropped = near_dedup(docs, words=5, percent=80).filter("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
