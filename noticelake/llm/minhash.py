@@ -5,11 +5,12 @@ minima. Signatures at a distance (positions that differ) of at most DISTANCE are
 into CHUNKS parts, two such signatures differ in at most DISTANCE // CHUNKS positions of some part (pigeonhole),
 so every part is indexed under each way to leave out that many positions.
 
-Buckets of one key are not paired out. First every class is checked against the smallest class of each of its
-buckets; the confirmed links join most of a group into one component. Only buckets that then still hold several
-components pair members across components, in blocks, and only pairs within the signature distance that were
-not checked yet. Links are confirmed on the full sets. So every pair within the distance is either checked or
-already connected.
+Buckets of one key are not paired out. Every class joins the group of each of its buckets' head, the member that
+meets most others over all its buckets (a text meets its own copies more often than they meet each other). First
+members are checked against their heads alone; the confirmed links join most of a group into one component. Groups
+that then still hold several components compare members across components, in blocks, and only pairs within the
+signature distance; tasks return no pairs but links that join something. Links are confirmed on the full sets. So
+every pair within the distance is either checked or already connected.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ POSITIONS = CHUNKS * CHUNK
 #: of two sets with similarity 0.8, 8 of 40 minima differ on average; more than 19 differ once in 100,000 pairs
 DISTANCE = 19
 BITS = np.uint64(16)
-#: most members of a bucket's block
-BLOCK = 512
+#: members of a group's block, about
+BLOCK = 256
 _rng = np.random.default_rng(20_240_601)
 MULTIPLY = _rng.integers(1, 1 << 63, POSITIONS, dtype=np.uint64) | np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, POSITIONS, dtype=np.uint64)
@@ -111,6 +112,18 @@ def index_keys(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "sig").mapInArrow(run, "key long, rep long")
 
 
+def near_pairs(pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) of (head, rep, head_sig, sig) within the signature distance."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, POSITIONS) for i in (2, 3))
+            near = pa.array((a != b).sum(1) <= DISTANCE)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["u", "v"])
+
+    return pairs.select("head", "rep", "head_sig", "sig").mapInArrow(run, "u long, v long")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough. texts: (rep, t)."""
 
@@ -128,36 +141,65 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
     left, right = texts.select(F.col("rep").alias("u"), F.col("t").alias("a")), texts.select(F.col("rep").alias("v"), F.col("t").alias("b"))
-    return pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    # merge joins at any size: a broadcast that only small inputs allow would make plans differ
+    return pairs.join(right.hint("merge"), "v").join(left.hint("merge"), "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def across_components(buckets: DataFrame) -> DataFrame:
-    """Pairs of bucket members in different components within the signature distance.
+def across_components(members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Confirmed links (u, v) that join different components of a group; enough of them to join what is linked.
 
-    buckets: (key, rep, comp, sig). Members are dealt to blocks of about BLOCK by their hash; a block meets
-    each other block of its bucket in a group of its own.
+    members: (head, rep, comp, sig, t). Members are dealt to blocks of about BLOCK by their hash; a block meets each
+    other block of its group in a task of its own, which compares sets only of pairs in different components within
+    the signature distance and returns links only where they join something that was apart.
     """
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
-    sizes = sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    own = buckets.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sizes = members.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    sizes = sizes.filter("c0 <> c1").select("head", "blocks")
+    own = members.join(sizes, "head").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp", "sig"
+        "head", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp", "sig", "t"
     )
 
     def meet(key, table):
         block, rep, comp = (table.column(c).to_numpy() for c in ("block", "rep", "comp"))
         sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, POSITIONS)
-        i, j = key[1].as_py(), key[2].as_py()
-        rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for r in rows:
-            near = cols[(sigs[cols] != sigs[r]).sum(1) <= DISTANCE]
-            near = near[(comp[near] != comp[r]) & ((rep[near] > rep[r]) if i == j else True)]
-            us.append(np.minimum(rep[near], rep[r]))
-            vs.append(np.maximum(rep[near], rep[r]))
-        return pa.table({"u": pa.array(np.concatenate(us)), "v": pa.array(np.concatenate(vs))})
-
-    return dealt.groupBy("key", "i", "j").applyInArrow(meet, "u long, v long").distinct()
+        rows, cols = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+        near = [cols[(comp[cols] != comp[r]) & ((sigs[cols] != sigs[r]).sum(1) <= DISTANCE)] for r in rows]
+        needed = np.unique(np.concatenate([*near, rows[[len(x) > 0 for x in near]]])).astype(int)
+        texts, sets = table.column("t"), {}
+        for k in needed.tolist():
+            sets[k] = shingle_hashes(texts[k].as_py(), words)
+        us, vs, joined = [], [], {}
+
+        def find(x):
+            while joined.setdefault(x, x) != x:
+                joined[x] = x = joined[joined[x]]
+            return x
+
+        right = np.array([k for k in needed.tolist() if k in set(cols.tolist())], int)
+        if len(right):  # shingles as numbers from 0; a row's are flagged and counted in all columns at once
+            names, flat = np.unique(np.concatenate([sets[k] for k in right.tolist()]), return_inverse=True)
+            lengths = np.array([len(sets[k]) for k in right.tolist()])
+            starts, place = np.r_[0, np.cumsum(lengths)[:-1]], {k: n for n, k in enumerate(right.tolist())}
+            flag = np.zeros(len(names), np.int64)
+            for r, candidates in zip(rows.tolist(), near, strict=True):
+                if not len(candidates):
+                    continue
+                at = np.searchsorted(names, sets[r])
+                at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == sets[r])]
+                flag[at] = 1
+                both = np.add.reduceat(flag[flat], starts)
+                flag[at] = 0
+                for c in candidates.tolist():
+                    n = int(both[place[c]])
+                    if 100 * n >= percent * (len(sets[r]) + len(sets[c]) - n):
+                        x, y = find(int(comp[r])), find(int(comp[c]))
+                        if x != y:
+                            joined[max(x, y)] = min(x, y)
+                            us.append(min(rep[r], rep[c]))
+                            vs.append(max(rep[r], rep[c]))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return dealt.groupBy("head", "i", "j").applyInArrow(meet, "u long, v long").distinct()
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,23 +218,31 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     classes = known.groupBy("set_lo", "set_hi").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
     classes = materialize(classes, "classes")
 
-    index = materialize(index_keys(classes), "index")
-    heads = index.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    shared = index.join(heads, "key")
-    star = materialize(shared.filter("rep <> head").select(F.col("head").alias("u"), F.col("rep").alias("v")).distinct(), "star")
-    involved = star.select(F.col("u").alias("rep")).unionByName(star.select(F.col("v").alias("rep"))).distinct()
+    index = index_keys(classes)
+    # written out, so that the joins with large buckets see plain shuffles, which Spark can split
+    sizes = materialize(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    shared = materialize(index.join(sizes, "key"), "shared")
+    # the head of a bucket is the member that meets most others over all its buckets: the text that copies stem from
+    weights = shared.groupBy("rep").agg(F.sum("n").alias("weight"))
+    weighed = shared.select("key", "rep").join(weights, "rep")
+    first = F.col("weight") * (1 << 20) - F.pmod(F.xxhash64("rep"), F.lit(1 << 20))
+    heads = materialize(weighed.groupBy("key").agg(F.max_by("rep", first).alias("head")), "heads")
+    # members of one bucket have one head, so the groups of the heads hold all pairs that share a key
+    groups = materialize(shared.select("key", "rep").join(heads, "key").select("head", "rep").distinct(), "groups")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
-    texts = materialize(texts.join(involved, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
+    texts = materialize(texts.join(groups.select("rep").distinct().hint("merge"), "rep", "left_semi").dropDuplicates(["rep"]), "texts")
+
+    sigs = classes.select("rep", "sig")
+    star = groups.filter("rep <> head").join(sigs, "rep").join(sigs.select(F.col("rep").alias("head"), F.col("sig").alias("head_sig")), "head")
+    star = materialize(near_pairs(star), "star")
     links = materialize(confirm(star, texts, words, percent), "links")
     joined = connected_components(links).withColumnRenamed("id", "rep").withColumnRenamed("component_id", "comp")
-    joined = materialize(joined, "joined")
-
-    # buckets that hold several components
-    buckets = shared.select("key", "rep").join(joined, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    several = buckets.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key")
-    open_buckets = buckets.join(several, "key", "left_semi").join(classes.select("rep", "sig"), "rep").select("key", "rep", "comp", "sig")
-    more = across_components(open_buckets).join(star, ["u", "v"], "left_anti")
-    more = materialize(confirm(materialize(more, "more-pairs"), texts, words, percent), "more-links")
+
+    # groups that hold several components
+    members = materialize(groups.join(joined, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "members")
+    several = materialize(members.groupBy("head").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("head"), "open")
+    open_groups = members.join(several, "head", "left_semi").join(sigs, "rep").join(texts.hint("merge"), "rep").select("head", "rep", "comp", "sig", "t")
+    more = materialize(across_components(open_groups, words, percent), "more-links")
     components = connected_components(links.unionByName(more))
 
     of_class = classes.select("set_lo", "set_hi", "rep").join(components.withColumnRenamed("id", "rep"), "rep", "left")
