@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import load, materialize
 
-#: exp(-rate) must stay a normal double
+#: up to this mean exp(-rate) is a normal double and the distribution is held from 0 on
 MOST_RATE = 500.0
+#: a caller's own repetition above this is an error, whatever the table's size
+MOST_REPETITION = 500.0
 #: up to so many sources (a few hundred bytes each) their rates are broadcast
 BROADCAST_SOURCES = 10_000
 SALTS = 64
@@ -25,16 +27,29 @@ def hashed_uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def poisson_start(rate: Column) -> Column:
+    """The number of copies that the first entry of poisson_cdf(rate) stands for: what is below has less than 2^-52."""
+    return F.when(rate > MOST_RATE, F.floor(rate - 10 * F.sqrt(rate) - 25)).otherwise(F.lit(0)).cast("int")
+
+
 def poisson_cdf(rate: Column) -> Column:
-    """P(X <= 0), P(X <= 1), ... until the rest is below 2^-52 for any rate that is allowed."""
-    terms = F.sequence(F.lit(1), (rate + 10 * F.sqrt(rate) + 25).cast("int"))
-    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("cdf"))
+    """P(X <= s), P(X <= s + 1), ... from s = poisson_start(rate) until the rest is below 2^-52.
+
+    Above MOST_RATE exp(-rate) would vanish: terms are taken relative to the first one and divided by their sum.
+    """
+    start = poisson_start(rate)
+    terms = F.sequence(start + 1, (rate + 10 * F.sqrt(rate) + 25).cast("int"))
+    p0 = F.when(rate > MOST_RATE, F.lit(1.0)).otherwise(F.exp(-rate))
+    first = F.struct(p0.alias("p"), F.array(p0).alias("cdf"))
 
     def step(acc, k):
         p = acc["p"] * rate / k
         return F.struct(p.alias("p"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + p)).alias("cdf"))
 
-    return F.aggregate(terms, start, step, lambda acc: acc["cdf"])
+    def scaled(acc):
+        return F.when(rate > MOST_RATE, F.transform(acc["cdf"], lambda c: c / F.element_at(acc["cdf"], -1))).otherwise(acc["cdf"])
+
+    return F.aggregate(terms, first, step, scaled)
 
 
 def mix(
@@ -51,9 +66,11 @@ def mix(
     weights: target share of each source, in any unit; sources that it lacks get none. Without weights a
     source's share is its number of rows to the power temperature (1 keeps the natural mix). The mix holds
     repetition times the input's rows on average. A null source counts as a source named "". Rows with a
-    null id draw as if their id were "". Repeated rows draw alike. Rates above 500 raise an error, as copies
-    that often are no mix. An empty table gives an empty table.
+    null id draw as if their id were "". Repeated rows draw alike. A source's rate has no limit, as it grows with
+    the table; a repetition above 500 raises an error. An empty table gives an empty table.
     """
+    if repetition > MOST_REPETITION:
+        raise ValueError(f"repetition above {MOST_REPETITION:g}")
     src = F.coalesce(F.col(source_col), F.lit(""))
     sizes = docs.groupBy(src.alias("_src")).agg(F.count(F.lit(1)).alias("_rows"))
     if weights is None:
@@ -68,9 +85,8 @@ def mix(
        
         "_src", (F.col("_share") / F.col("_shares") * F.col("_all") * float(repetition) / F.col("_rows")).alias("_rate")
     )
-    rates = rates.withColumn(
-        "_rate", F.when(F.col("_rate") > MOST_RATE, F.raise_error(F.lit("repetition rate above 500")).cast("double")).otherwise(F.coalesce("_rate", F.lit(0.0)))
-    ).select("_src", poisson_cdf(F.col("_rate")).alias("_cdf"))
+    rate = F.coalesce("_rate", F.lit(0.0))
+    rates = rates.select("_src", poisson_start(rate).alias("_from"), poisson_cdf(rate).alias("_cdf"))
     rates = materialize(rates, "mix-rates")
     columns = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
     docs_by_src = docs.select(src.alias("_src"), F.col(id_col).alias("_id"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"))
@@ -81,7 +97,7 @@ def mix(
         joined = docs_by_src.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(salted, ["_src", "_salt"])
     key = F.coalesce(F.col("_id").cast("string"), F.lit(""))
     drawn = joined.withColumn("_u", hashed_uniform(F.lit(str(seed)), key))
-    copies = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
+    copies = F.col("_from") + F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
     return (
         drawn.withColumn("_n", copies)
         .filter("_n > 0")

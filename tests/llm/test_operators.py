@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -263,6 +264,28 @@ def test_mixing_many_sources(spark, rows, monkeypatch):
     assert sorted(map(str, mixing.mix(d).collect())) == few
 
 
+def test_mixing_rare_source_of_a_large_table(spark, tmp_path):
+    """One row of a rare source gets a mean of about 630: equal to the SQL; and the exact draw where the mean is 20,000."""
+    import duckdb
+
+    d = spark.range(400_001).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") > 0, "web").alias("source"), F.lit(1).alias("n_chars"))
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    out = mixing.op6(spark, str(tmp_path))
+    digest = out.groupBy("source").agg(F.count(F.lit(1)), F.sum("doc_id"), F.sum("copy_no"), F.min("shuffle_key"), F.max("shuffle_key"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT source, count(*), sum(doc_id), sum(copy_no), min(shuffle_key), max(shuffle_key) FROM ({mixing.OP6_SQL}) GROUP BY 1").fetchall()
+    assert sorted(map(str, (tuple(r) for r in digest.collect()))) == sorted(map(str, want))
+    assert next(r[1] for r in want if r[0] is None) > 500
+
+    few = d.filter("doc_id < 20000")
+    got = mixing.mix(few, weights={"": 1.0}).agg(F.count(F.lit(1)), F.max("copy_no")).first()
+    u, n, low = int(hashlib.md5(b"7:0").hexdigest()[:13], 16) / 2**52, 0, 0.0
+    while (low := low + math.exp(n * math.log(20000.0) - 20000.0 - math.lgamma(n + 1))) <= u:
+        n += 1
+    assert tuple(got) == (n, n)
+
+
 def brute_near(rows, k, percent):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     sets = {}
