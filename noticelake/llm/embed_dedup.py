@@ -4,8 +4,9 @@ A neighbour graph starts from neighbours in sorted buckets of random hyperplane
 joins: for every vector, its neighbours are compared with each other, and pairs that beat the worst entry of
 either list are kept (neighbours of neighbours). Every comparison that reaches the threshold is also kept as a
 link. Where a list is full of links it is saturated; it is then enlarged to its whole component, compared block
-against block, and only the counts leave the task. Recall is audited against brute force for a bounded sample of
-vectors; while it is too low, further rounds follow. Equal vectors stand as one with a weight.
+against block, and only the counts leave the task. Recall of direct links is audited against brute force for a
+bounded sample of vectors; while it is too low, further rounds follow, and after the last one all vectors of a label
+are compared exactly, block against block. Equal vectors stand as one with a weight.
 """
 
 from __future__ import annotations
@@ -175,30 +176,73 @@ def audit_truth(reps: DataFrame, least: float) -> DataFrame:
     return materialize(reps.select("rep", "lab", "dim", "vec").mapInArrow(run, "q long, v long"), "audit")
 
 
-def audit(truth: DataFrame, comps: DataFrame) -> float:
-    """Share of the sample's true links whose ends the found links connect."""
-    a, b = comps.select(F.col("id").alias("q"), F.col("component_id").alias("a")), comps.select(F.col("id").alias("v"), F.col("component_id").alias("b"))
-    row = truth.join(a, "q", "left").join(b, "v", "left").agg(F.count(F.lit(1)), F.count_if(F.col("a") == F.col("b"))).first()
+def saturated(lists: DataFrame, comps: DataFrame, least: float) -> DataFrame:
+    """comp of the components with a list that is full of links; they are to be enlarged."""
+    full = lists.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low")).filter((F.col("n") >= NEIGHBOURS) & (F.col("low") >= least))
+    return full.select(F.col("u").alias("rep")).join(comps, "rep").select("comp").distinct()
+
+
+def audit(truth: DataFrame, links: DataFrame, comps: DataFrame, dense: DataFrame) -> float:
+    """Share of the sample's true links that count: found directly, or inside one component that is to be enlarged."""
+    within = comps.join(dense, "comp", "left_semi")
+    a, b = within.select(F.col("rep").alias("q"), F.col("comp").alias("a")), within.select(F.col("rep").alias("v"), F.col("comp").alias("b"))
+    direct = links.select(F.col("u").alias("low"), F.col("v").alias("high"), F.lit(True).alias("direct"))
+    ends = truth.withColumns({"low": F.least("q", "v"), "high": F.greatest("q", "v")})
+    found = F.coalesce("direct", F.lit(False)) | F.coalesce(F.col("a") == F.col("b"), F.lit(False))
+    row = ends.join(direct, ["low", "high"], "left").join(a, "q", "left").join(b, "v", "left").agg(F.count(F.lit(1)), F.count_if(found)).first()
     return row[1] / row[0] if row[0] else 1.0
 
 
-def dense_counts(members: DataFrame, least: float) -> DataFrame:
-    """members: (comp, rep, weight, vec) -> (rep, n): weights of the others of its component that each links with."""
+def dealt_blocks(members: DataFrame) -> DataFrame:
+    """members: (comp, rep, weight, vec), each dealt to all pairs (i, j) of blocks of its comp that hold its own."""
     sizes = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "weight", "vec"
     )
 
+
+def compared(key, table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of block i, rows of block j, and which of them link."""
+    x, rep, block = unit(matrix(table.column("vec"))), table.column("rep").to_numpy(), table.column("block").to_numpy()
+    a, b = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+    return a, b, (x[a] @ x[b].T >= least) & (rep[a][:, None] != rep[b])
+
+
+def dense_counts(members: DataFrame, least: float) -> DataFrame:
+    """members: (comp, rep, weight, vec) -> (rep, n): weights of the others of its component that each links with."""
+
     def count(key, table):
-        x, rep, weight, block = unit(matrix(table.column("vec"))), table.column("rep").to_numpy(), table.column("weight").to_numpy(), table.column("block").to_numpy()
-        i, j = key[1].as_py(), key[2].as_py()
-        a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        near = (x[a] @ x[b].T >= least) & (rep[a][:, None] != rep[b])
-        out = [(rep[a], near @ weight[b])] + ([(rep[b], near.T @ weight[a])] if i != j else [])
+        rep, weight = table.column("rep").to_numpy(), table.column("weight").to_numpy()
+        a, b, near = compared(key, table, least)
+        out = [(rep[a], near @ weight[b])] + ([(rep[b], near.T @ weight[a])] if key[1] != key[2] else [])
         return pa.table({"rep": np.concatenate([r for r, _ in out]), "n": np.concatenate([n for _, n in out]).astype(np.int64)})
 
-    return dealt.groupBy("comp", "i", "j").applyInArrow(count, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+    return dealt_blocks(members).groupBy("comp", "i", "j").applyInArrow(count, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+
+
+def dense_stars(members: DataFrame, least: float) -> DataFrame:
+    """members as above -> (u, v): for each pair of blocks a star on every group that its links connect."""
+
+    def stars(key, table):
+        rep = table.column("rep").to_numpy()
+        a, b, near = compared(key, table, least)
+        us, vs, left = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.ones(len(b), bool)
+        todo = near.any(1)
+        while todo.any():
+            root = int(todo.argmax())
+            rows = np.array([root])
+            while len(rows):
+                todo[rows] = False
+                cols = near[rows].any(0) & left
+                left &= ~cols
+                ends = np.concatenate([rep[a[rows]], rep[b[cols]]])
+                us.append(np.full(len(ends), rep[a[root]]))
+                vs.append(ends)
+                rows = np.flatnonzero(near[:, cols].any(1) & todo)
+        return pa.table({"u": np.concatenate(us), "v": np.concatenate(vs)})
+
+    return dealt_blocks(members).groupBy("comp", "i", "j").applyInArrow(stars, "u long, v long")
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -208,7 +252,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     reachable by links, itself included), kept. Vectors that are null, empty, zero or hold null or non-finite
     components, and rows with a null label or id, link with nothing. Vectors of different lengths do not link.
     Rows that repeat an id and its vector are one vector each. An empty table gives no rows; extra columns are
-    ignored. Links below the threshold never appear; above it some may be missed, see audit().
+    ignored. Links below the threshold never appear; above it some may be missed, at most 1 - RECALL of the links
+    that audit() looks at.
     """
     rows = materialize(usable(vectors, id_col, vector_col, label_col), "vectors")
     classes = rows.groupBy("k0", "k1").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"))
@@ -223,18 +268,19 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
         links = links.unionByName(new.filter(F.col("sim") >= least).select("u", "v"))
         lists = materialize(top_lists(new.unionByName(lists.filter("u < v").drop("place")).unionByName(lists.filter("u > v").select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))), "lists")
         links = materialize(links.distinct(), "links")
-        comps = connected_components(links)
-        if audit(truth, comps) >= RECALL:
+        comps = materialize(connected_components(links).select(F.col("id").alias("rep"), F.col("component_id").alias("comp")), "comps")
+        dense = materialize(saturated(lists, comps, least), "dense")
+        if audit(truth, links, comps, dense) >= RECALL:
+            members = comps.join(dense, "comp", "left_semi").join(reps, "rep").select("comp", "rep", "weight", "vec")
+            weights = reps.select(F.col("rep").alias("v"), "weight")
+            both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            sparse = both.join(weights, "v").groupBy(F.col("u").alias("rep")).agg(F.sum("weight").alias("few"))
+            counts = sparse.join(dense_counts(members, least), "rep", "left").select("rep", F.coalesce("n", "few").alias("n"))
             break
-
-    comps = materialize(comps.withColumnRenamed("id", "rep").withColumnRenamed("component_id", "comp"), "comps")
-    full = lists.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low")).filter((F.col("n") >= NEIGHBOURS) & (F.col("low") >= least))
-    dense = full.select(F.col("u").alias("rep")).join(comps, "rep").select("comp").distinct()
-    members = comps.join(dense, "comp", "left_semi").join(reps, "rep").select("comp", "rep", "weight", "vec")
-    weights = reps.select(F.col("rep").alias("v"), "weight")
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    sparse = both.join(weights, "v").groupBy(F.col("u").alias("rep")).agg(F.sum("weight").alias("few"))
-    counts = sparse.join(dense_counts(members, least), "rep", "left").select("rep", F.coalesce("n", "few").alias("n"))
+    else:  # the rounds did not reach RECALL: every vector with every other of its label and length
+        members = reps.select(F.concat_ws(":", F.col("dim").cast("string"), "lab").alias("comp"), "rep", "weight", "vec")
+        comps = materialize(connected_components(dense_stars(members, least)).select(F.col("id").alias("rep"), F.col("component_id").alias("comp")), "comps")
+        counts = dense_counts(members, least)
 
     of_rep = reps.select("rep", "weight").join(comps, "rep", "left").join(counts, "rep", "left")
     of_rep = of_rep.select("rep", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("comp", "rep").alias("comp"))

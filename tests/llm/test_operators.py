@@ -366,3 +366,19 @@ def test_near_vectors(spark, monkeypatch):
     assert sum(g[0] for g in got.values()) >= 0.9 * links and all(got[i][0] <= want[i][0] for i in want)
     assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("start", ["no link", "a chain"])
+def test_near_vectors_audits_direct_links(spark, monkeypatch, start):
+    """Groups too small for a full list: a start that finds nothing, or connects each group but misses most links."""
+    rng, rows = np.random.default_rng(4), []
+    for g in range(12):
+        base = rng.normal(size=16)
+        rows += [(10 * g + i, (base + rng.normal(size=16) * 0.02).tolist(), 1) for i in range(6)]
+    chain = [(10 * g + i, 10 * g + i + 1, 0.99) for g in range(12) for i in range(5)] if start == "a chain" else []
+    monkeypatch.setattr(embed_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embed_dedup, "ROUNDS", 2)
+    monkeypatch.setattr(embed_dedup, "seed_links", lambda reps: spark.createDataFrame(chain, "u long, v long, sim double"))
+    monkeypatch.setattr(embed_dedup, "local_joins", lambda lists, reps, turn: spark.createDataFrame([], "u long, v long, sim double"))
+    got = embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, got)) == [(i, 5, i - i % 10, i % 10 == 0) for i, *_ in rows]
