@@ -46,6 +46,14 @@ def table_rows(html: Column) -> Column:
     return F.transform(rows, cells)
 
 
+def permit_rows(pages: DataFrame, html: str = "html") -> DataFrame:
+    """page_id, pos, cells of the rows with three cells or more below a header that names permits."""
+    rows = F.filter(table_rows(F.col(html)), lambda r: F.size(r) > 0)
+    header = F.array_join(F.try_element_at("rows", F.lit(1)), " ").rlike(r"(?i)\b(baugesuch\s*nr|bauherrschaft|bauvorhaben|auflage)\b")
+    found = pages.select("page_id", rows.alias("rows")).filter(header).select("page_id", F.posexplode("rows").alias("pos", "cells"))
+    return found.filter((F.col("pos") > 0) & (F.size("cells") >= 3))
+
+
 def link_scores(links: DataFrame, words: list[str]) -> DataFrame:
     """Score of every link: words in its path, in its text, same host, and how short its path is."""
     path, label = F.lower("href"), F.lower("label")

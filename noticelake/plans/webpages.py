@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import catalog as C
 from ..operators import pages as P
 from ..operators import worklist as W
+from ..sources import payloads as S
 from .register import query
 
 WORDS = ["the", "und", "les"]
@@ -118,10 +119,14 @@ def a8(t):
 
 @query("a5_page_strategies")
 def a5(t):
-    blocks = t.pages.filter(F.col("html").rlike("(?i)bauherrschaft")).select("page_id", F.lit(0).alias("strategy"), P.title(F.col("html")).alias("title"))
+    """Rows of the first strategy that gives a page any: labelled blocks, anchors, rows of a permit table, the whole page."""
+    found = S.labelled_blocks(t.pages.select("page_id", T.strip_html(F.col("html")).alias("text")))
+    project = T.collapse(F.regexp_extract("block", "(?s)Bauvorhaben:(.*?)(?:Bauplatz:|$)", 1))
+    blocks = found.select("page_id", F.lit(0).alias("strategy"), project.alias("title"))
     links = P.anchors(t.pages).filter("label <> ''").select("page_id", F.lit(1).alias("strategy"), F.col("label").alias("title"))
+    grid = P.permit_rows(t.pages).select("page_id", F.lit(2).alias("strategy"), F.try_element_at("cells", F.lit(3)).alias("title"))
     whole = t.pages.select("page_id", F.lit(3).alias("strategy"), P.title(F.col("html")).alias("title"))
-    rows = blocks.unionByName(links).unionByName(whole)
+    rows = blocks.unionByName(links).unionByName(grid).unionByName(whole)
     best = rows.groupBy("page_id").agg(F.min("strategy").alias("strategy"))
     return rows.join(best, ["page_id", "strategy"])
 
@@ -140,9 +145,12 @@ def e14(t):
 
 @query("a16_dispatch")
 def a16(t):
-    """Rows by source type; a source whose reader gave nothing falls back to its discovered page."""
+    """Items by the reader of the source type; a source whose reader gave nothing falls back to its discovered page, else counts 0."""
     kinds = t.pages.select("page_id", "url", "html", F.when(F.col("page_id") % 5 == 0, "xml").otherwise("html").alias("kind"))
-    html = P.anchors(kinds.filter("kind = 'html'")).groupBy("page_id").agg(F.count(F.lit(1)).alias("items")).withColumn("reader", F.lit("html"))
-    missing = kinds.select("page_id").join(html, "page_id", "left_anti")
-    found = missing.join(two(t).select("page_id", F.lit(1).cast("long").alias("items")), "page_id").withColumn("reader", F.lit("discovered"))
-    return html.unionByName(found)
+    counted = lambda rows, reader: rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("items")).withColumn("reader", F.lit(reader))
+    html = counted(P.anchors(kinds.filter("kind = 'html'")), "html")
+    xml = counted(S.feed_items(kinds.filter("kind = 'xml'").select("page_id", F.col("html").alias("body"))), "xml")
+    read = html.unionByName(xml)
+    missing = kinds.select("page_id").join(read, "page_id", "left_anti")
+    found = missing.join(two(t).select("page_id", F.lit(1).cast("long").alias("one")), "page_id", "left")
+    return read.unionByName(found.select("page_id", F.coalesce("one", F.lit(0)).alias("items"), F.when(F.col("one").isNull(), "none").otherwise("discovered").alias("reader")))
