@@ -10,6 +10,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: a key with more than one in so many of all rows is hot and dealt over several tasks
+HOT_SHARE = 1000
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -18,13 +21,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares.
 
-    The folder is the one in spark.checkpoint.dir. Only where that is unset (tests, one machine) a
-    temporary folder is made and remembered in the session.
+    The folder is the one in spark.checkpoint.dir. Only where that is unset on a local master (tests, one machine) a
+    temporary folder is made and remembered in the session; on a cluster executors would not share it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("noticelake.work.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             root = "file://" + tempfile.mkdtemp(prefix="spark-noticelake-")
             spark.conf.set("noticelake.work.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -37,6 +42,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes the folder of a materialized table that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_spread(rows: DataFrame, facts: DataFrame, key: str | list[str], size: str, by: list[str], how: str = "inner") -> DataFrame:
+    """Joins rows with facts on key. facts has one row per key, and `size` counts the key's rows.
+
+    A key that holds more than one in HOT_SHARE of all counted rows is dealt over several tasks, by a hash of the
+    columns `by`; its fact is copied to each. There are at most HOT_SHARE such keys, so their list is broadcast.
+    """
+    keys = [key] if isinstance(key, str) else key
+    total = facts.agg(F.sum(size)).first()[0] or 0
+    hot = facts.filter(F.col(size) * HOT_SHARE > total).select(*keys, F.ceil(F.col(size) * HOT_SHARE / max(total, 1)).cast("int").alias("_parts"))
+    hot = F.broadcast(hot)  # at most HOT_SHARE rows
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("_parts")
+    copied = facts.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    # a merge join at any size: a broadcast that only small inputs allow would make plans differ
+    return dealt.join(copied.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     edges, before = materialize(edges, "cc"), None
     for _ in range(most_rounds):
-        edges = materialize(_small_star(_large_star(edges)), "cc")
+        last, edges = edges, materialize(_small_star(_large_star(edges)), "cc")
+        discard(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
