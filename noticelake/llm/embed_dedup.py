@@ -7,6 +7,10 @@ link. Where a list is full of links it is saturated; it is then enlarged to its
 against block, and only the counts leave the task. Recall of direct links is audited against brute force for a
 bounded sample of vectors; while it is too low, further rounds follow, and after the last one all vectors of a label
 are compared exactly, block against block. Equal vectors stand as one with a weight.
+
+The graph is built on codes of one byte for each component, a quarter of a vector's size or less. Each code comes with
+the length of its error, so a pair's true cosine lies within a known distance of the codes': pairs that are not
+decided by it, and these alone, are looked at again in double precision.
 """
 
 from __future__ import annotations
@@ -16,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import load, materialize
+from .common import discard, join_spread, load, materialize
 from .components import connected_components
 
 #: entries of a neighbour list; neighbours and reverse neighbours that take part in a local join
 NEIGHBOURS, SAMPLE = 12, 8
-#: sorted bucketings that the graph starts from; following entries that each vector meets; vectors per bucket
-TABLES, AHEAD, BUCKET = 16, 6, 24
+#: sorted bucketings that the graph starts from; following entries that each vector meets, and how many of them it
+#: keeps from each bucketing; vectors per bucket
+TABLES, AHEAD, BEST, BUCKET = 10, 6, 3, 24
 #: vectors that recall is audited for; recall at which rounds stop; most rounds
 AUDIT, RECALL, ROUNDS = 512, 0.98, 6
 BLOCK = 512
@@ -37,40 +42,76 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """Distinct vectors that may link: rep (smallest id), weight, lab, dim, vec, k0 and k1 (digest)."""
+def keyed(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+    """id, lab, vec and, where the vector may link, its digest k0, k1 (null elsewhere)."""
     x = F.col("vec")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(x, lambda v: v != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("lab"), F.col(vector_col).alias("vec"))
-    rows = rows.filter(F.col("id").isNotNull() & F.col("lab").isNotNull() & x.isNotNull() & fine)
-    rows = rows.withColumn("k0", F.xxhash64("lab", "vec")).withColumn("k1", F.xxhash64(F.lit(1), "vec", "lab"))
-    return rows
+    usable = F.col("id").isNotNull() & F.col("lab").isNotNull() & x.isNotNull() & fine
+    return rows.withColumn("k0", F.when(usable, F.xxhash64("lab", "vec"))).withColumn("k1", F.when(usable, F.xxhash64(F.lit(1), "vec", "lab")))
+
+
+def coded(reps: DataFrame) -> DataFrame:
+    """Adds code (the unit vector in bytes), scale and err (length of what the code leaves out)."""
+
+    def run(batches):
+        for batch in batches:
+            at, dims = batch.schema.get_field_index("vec"), np.array(batch.column("dim").to_pylist())
+            code, scale, err = np.empty(len(dims), object), np.ones(len(dims)), np.zeros(len(dims))
+            for dim in np.unique(dims):
+                own = np.flatnonzero(dims == dim)
+                x = unit(matrix(batch.column(at).take(pa.array(own))))
+                step = 127 / np.abs(x).max(1)
+                q = np.rint(x * step[:, None])
+                scale[own], err[own] = 1 / step, np.sqrt(((x - q / step[:, None]) ** 2).sum(1))
+                code[own] = [row.tobytes() for row in q.astype(np.int8)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code, pa.binary()), pa.array(scale), pa.array(err)], names=[*batch.schema.names, "code", "scale", "err"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reps.schema)
+    return reps.mapInArrow(run, f"{kinds}, code binary, scale double, err double")
+
+
+def decoded(table) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors that the codes stand for (one length), and their errors."""
+    raw = np.frombuffer(b"".join(table.column("code").to_pylist()), np.int8).reshape(table.num_rows, -1)
+    return raw * table.column("scale").to_numpy()[:, None], table.column("err").to_numpy()
+
 
+def nearness(sim: np.ndarray, e: np.ndarray, f: np.ndarray, least: float) -> np.ndarray:
+    """2 where the true cosine is surely at least `least`, 0 where it surely is not, 1 where the codes do not tell."""
+    doubt = e + f + e * f + 1e-9
+    return np.where(sim >= least + doubt, 2, np.where(sim < least - doubt, 0, 1)).astype(np.int8)
 
-def seed_links(reps: DataFrame) -> DataFrame:
-    """(u, v, sim) of vectors that stand near each other in some sorted bucket."""
+
+PAIRS = "u long, v long, sim double, near byte"
+
+
+def seed_links(reps: DataFrame, least: float) -> DataFrame:
+    """(u, v, sim, near) of vectors that stand near each other in some sorted bucket."""
     sizes = reps.groupBy("lab", "dim").agg(F.count(F.lit(1)).alias("n"))
     bits = F.least(F.greatest(F.round(F.log2(F.col("n") / BUCKET)), F.lit(1.0)), F.lit(30.0)).cast("int")
-    rows = reps.join(sizes.select("lab", "dim", bits.alias("bits")), ["lab", "dim"]).select("rep", "lab", "dim", "vec", "bits")
+    rows = join_spread(reps.select("rep", "lab", "dim", "code", "scale", "err"), sizes.select("lab", "dim", "n", bits.alias("bits")), ["lab", "dim"], "n", ["rep"])
+    rows = rows.select("rep", "lab", "dim", "code", "scale", "err", "bits")
 
     def deal(batches):
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            for dim in set(batch.column(2).to_pylist()):
-                part = batch.filter(pa.array([d == dim for d in batch.column(2).to_pylist()]))
+            dims = np.array(batch.column("dim").to_pylist())
+            for dim in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == dim))
                 if dim not in planes:
                     planes[dim] = np.random.default_rng(dim).normal(size=(TABLES, 31, dim))
-                x, bits = unit(matrix(part.column(3))), part.column(4).to_numpy()
+                x, bits = decoded(part)[0], part.column("bits").to_numpy()
                 for t in range(TABLES):
                     side = x @ planes[dim][t].T
-                    code = ((side[:, :30] > 0) & (np.arange(30) < bits[:, None])) @ (1 << np.arange(30))
+                    bucket = ((side[:, :30] > 0) & (np.arange(30) < bits[:, None])) @ (1 << np.arange(30))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(x), t, np.int32)), part.column(1), part.column(2), pa.array(code.astype(np.int64)), pa.array(side[:, 30]), part.column(0), part.column(3)],
-                        names=["t", "lab", "dim", "code", "place", "rep", "vec"],
+                        [pa.array(np.full(len(x), t, np.int32)), part.column("lab"), part.column("dim"), pa.array(bucket.astype(np.int64)), pa.array(side[:, 30]), *(part.column(c) for c in ("rep", "code", "scale", "err"))],
+                        names=["t", "lab", "dim", "bucket", "place", "rep", "code", "scale", "err"],
                     )
 
-    dealt = rows.mapInArrow(deal, f"t int, lab string, dim int, code long, place double, rep long, vec {reps.schema['vec'].dataType.simpleString()}")
-    order = ["t", "lab", "dim", "code", "place", "rep"]
+    dealt = rows.mapInArrow(deal, "t int, lab string, dim int, bucket long, place double, rep long, code binary, scale double, err double")
+    order = ["t", "lab", "dim", "bucket", "place", "rep"]
     dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def meet(batches):
@@ -79,38 +120,60 @@ def seed_links(reps: DataFrame) -> DataFrame:
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([tail, table]) if tail is not None else table
             known = tail.num_rows if tail is not None else 0
-            bucket = list(zip(*(table.column(c).to_pylist() for c in ("t", "lab", "dim", "code")), strict=True))
+            bucket = list(zip(*(table.column(c).to_pylist() for c in ("t", "lab", "dim", "bucket")), strict=True))
             number = np.cumsum([0, *(a != b for a, b in zip(bucket, bucket[1:]))])
-            rep, us, vs, sims = table.column("rep").to_numpy(), [], [], []
-            dims = np.array([b[2] for b in bucket])
+            rep, dims, out = table.column("rep").to_numpy(), np.array([b[2] for b in bucket]), []
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                x = unit(matrix(table.column("vec").take(pa.array(at))))
-                for d in range(1, AHEAD + 1):
+                x, err = decoded(table.take(pa.array(at)))
+                sims = np.full((AHEAD, len(at)), -9.0)
+                for d in range(1, min(AHEAD + 1, len(at))):
                     a, b = at[:-d], at[d:]
                     ok = (number[a] == number[b]) & (rep[a] != rep[b]) & (b >= known)
-                    us.append(rep[a[ok]])
-                    vs.append(rep[b[ok]])
-                    sims.append((x[:-d][ok] * x[d:][ok]).sum(1))
-            if us:
-                yield links_batch(np.concatenate(us), np.concatenate(vs), np.concatenate(sims))
+                    sims[d - 1, :-d][ok] = (x[:-d][ok] * x[d:][ok]).sum(1)
+                best = np.argsort(-sims, axis=0)[:BEST]
+                one = np.arange(len(at))
+                for d in best:
+                    ok = np.flatnonzero(sims[d, one] > -9)
+                    other = ok + d[ok] + 1
+                    out.append((rep[at[ok]], rep[at[other]], sims[d[ok], ok], nearness(sims[d[ok], ok], err[ok], err[other], least)))
+            if out:
+                yield links_batch(*map(np.concatenate, zip(*out, strict=True)))
             tail = table.slice(max(0, table.num_rows - AHEAD))
 
-    return dealt.mapInArrow(meet, "u long, v long, sim double")
+    return dealt.mapInArrow(meet, PAIRS)
 
 
-def links_batch(u: np.ndarray, v: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(sim)], names=["u", "v", "sim"])
+def links_batch(u: np.ndarray, v: np.ndarray, sim: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(sim), pa.array(near)], names=["u", "v", "sim", "near"])
+
+
+def sure_links(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """(u, v) of the pairs that link; those that their codes leave open are compared in double precision."""
+
+    def run(batches):
+        for batch in batches:
+            ok = np.zeros(batch.num_rows, bool)
+            dims = np.array([len(a) for a in batch.column("a")], int)
+            for dim in np.unique(dims):
+                at = pa.array(np.flatnonzero(dims == dim))
+                ok[at] = (unit(matrix(batch.column("a").take(at))) * unit(matrix(batch.column("b").take(at)))).sum(1) >= least
+            yield batch.filter(pa.array(ok)).select(["u", "v"])
+
+    a, b = reps.select(F.col("rep").alias("u"), F.col("vec").alias("a")), reps.select(F.col("rep").alias("v"), F.col("vec").alias("b"))
+    open_pairs = pairs.filter("near = 1").select("u", "v").distinct()
+    checked = open_pairs.join(a.hint("merge"), "u").join(b.hint("merge"), "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return pairs.filter("near = 2").select("u", "v").unionByName(checked)
 
 
 def top_lists(pairs: DataFrame) -> DataFrame:
     """(u, v, sim, place): the NEIGHBOURS nearest of every vector among pairs (u < v)."""
-    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))
+    both = pairs.select("u", "v", "sim").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))
     w = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
     return both.dropDuplicates(["u", "v"]).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= NEIGHBOURS)
 
 
-def local_joins(lists: DataFrame, reps: DataFrame, turn: int) -> DataFrame:
+def local_joins(lists: DataFrame, reps: DataFrame, turn: int, least: float) -> DataFrame:
     """Compares the neighbours of every vector with each other: pairs that beat the worst entry of either's list."""
     back = lists.select(F.col("v").alias("c"), F.col("u").alias("m"))
     w = Window.partitionBy("c").orderBy(F.xxhash64("m", F.lit(turn)), "m")
@@ -120,8 +183,8 @@ def local_joins(lists: DataFrame, reps: DataFrame, turn: int) -> DataFrame:
     members = ahead.unionByName(back).unionByName(own).distinct()
     worst = lists.groupBy("u").agg(F.min("sim").alias("low"), F.count(F.lit(1)).alias("n"))
     worst = worst.select(F.col("u").alias("m"), F.when(F.col("n") < NEIGHBOURS, F.lit(-2.0)).otherwise(F.col("low")).alias("low"))
-    known = reps.select(F.col("rep").alias("m"), "vec").join(worst, "m")
-    groups = members.join(known, "m").select("c", "m", "low", "vec").repartition("c").sortWithinPartitions("c")
+    known = reps.select(F.col("rep").alias("m"), "code", "scale", "err").join(worst, "m")
+    groups = members.join(known, "m").select("c", "m", "low", "code", "scale", "err").repartition("c").sortWithinPartitions("c")
 
     def compare(batches):
         held = None
@@ -137,18 +200,18 @@ def local_joins(lists: DataFrame, reps: DataFrame, turn: int) -> DataFrame:
             yield joined(held, held.column("c").to_numpy())
 
     def joined(table, c):
-        x, m, low = unit(matrix(table.column("vec"))), table.column("m").to_numpy(), table.column("low").to_numpy()
+        m, low, err = (table.column(k).to_numpy() for k in ("m", "low", "err"))
+        codes, scale = table.column("code").to_pylist(), table.column("scale").to_numpy()
         starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-        us, vs, sims = [], [], []
+        out = []
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(c)], strict=True):
-            s = x[a:b] @ x[a:b].T
+            x = np.frombuffer(b"".join(codes[a:b]), np.int8).reshape(b - a, -1) * scale[a:b, None]
+            s = x @ x.T
             i, j = np.nonzero(np.triu((s > low[a:b]) | (s > low[a:b, None]), 1))
-            us.append(m[a:b][i])
-            vs.append(m[a:b][j])
-            sims.append(s[i, j])
-        return links_batch(np.concatenate(us), np.concatenate(vs), np.concatenate(sims))
+            out.append((m[a:b][i], m[a:b][j], s[i, j], nearness(s[i, j], err[a:b][i], err[a:b][j], least)))
+        return links_batch(*map(np.concatenate, zip(*out, strict=True)))
 
-    return groups.mapInArrow(compare, "u long, v long, sim double").dropDuplicates(["u", "v"])
+    return groups.mapInArrow(compare, PAIRS).dropDuplicates(["u", "v"])
 
 
 def audit_truth(reps: DataFrame, least: float) -> DataFrame:
@@ -177,14 +240,15 @@ def audit_truth(reps: DataFrame, least: float) -> DataFrame:
 
 
 def saturated(lists: DataFrame, comps: DataFrame, least: float) -> DataFrame:
-    """comp of the components with a list that is full of links; they are to be enlarged."""
+    """(comp, size) of the components with a list that is full of links; they are to be enlarged."""
     full = lists.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low")).filter((F.col("n") >= NEIGHBOURS) & (F.col("low") >= least))
-    return full.select(F.col("u").alias("rep")).join(comps, "rep").select("comp").distinct()
+    flag = comps.join(full.select(F.col("u").alias("rep"), F.lit(1).alias("full")), "rep", "left")
+    return flag.groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.max("full").alias("full")).filter("full = 1").select("comp", "size")
 
 
-def audit(truth: DataFrame, links: DataFrame, comps: DataFrame, dense: DataFrame) -> float:
-    """Share of the sample's true links that count: found directly, or inside one component that is to be enlarged."""
-    within = comps.join(dense, "comp", "left_semi")
+def audit(truth: DataFrame, links: DataFrame, within: DataFrame) -> float:
+    """Share of the sample's true links that count: found directly, or inside one component that is to be enlarged
+    (within: rep and comp of these)."""
     a, b = within.select(F.col("rep").alias("q"), F.col("comp").alias("a")), within.select(F.col("rep").alias("v"), F.col("comp").alias("b"))
     direct = links.select(F.col("u").alias("low"), F.col("v").alias("high"), F.lit(True).alias("direct"))
     ends = truth.withColumns({"low": F.least("q", "v"), "high": F.greatest("q", "v")})
@@ -194,9 +258,9 @@ def audit(truth: DataFrame, links: DataFrame, comps: DataFrame, dense: DataFrame
 
 
 def dealt_blocks(members: DataFrame) -> DataFrame:
-    """members: (comp, rep, weight, vec), each dealt to all pairs (i, j) of blocks of its comp that hold its own."""
-    sizes = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    own = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    """members: (comp, size, rep, weight, vec), each dealt to all pairs (i, j) of blocks of its comp that hold its own."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "weight", "vec"
     )
@@ -210,7 +274,7 @@ def compared(key, table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def dense_counts(members: DataFrame, least: float) -> DataFrame:
-    """members: (comp, rep, weight, vec) -> (rep, n): weights of the others of its component that each links with."""
+    """members: (comp, size, rep, weight, vec) -> (rep, n): weights of the others of its component that each links with."""
 
     def count(key, table):
         rep, weight = table.column("rep").to_numpy(), table.column("weight").to_numpy()
@@ -251,43 +315,49 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     Returns one row per input row: id_col, n_links (other vectors linked directly), component_id (smallest id
     reachable by links, itself included), kept. Vectors that are null, empty, zero or hold null or non-finite
     components, and rows with a null label or id, link with nothing. Vectors of different lengths do not link.
-    Rows that repeat an id and its vector are one vector each. An empty table gives no rows; extra columns are
-    ignored. Links below the threshold never appear; above it some may be missed, at most 1 - RECALL of the links
-    that audit() looks at.
+    Rows that repeat an id and its vector are one vector each; one id on different vectors has a row for each. An empty
+    table gives no rows; extra columns are ignored. Very long vectors are taken whole. Links below the threshold never
+    appear; above it some may be missed, at most 1 - RECALL of the links that audit() looks at.
     """
-    rows = materialize(usable(vectors, id_col, vector_col, label_col), "vectors")
-    classes = rows.groupBy("k0", "k1").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"))
-    firsts = rows.join(classes, ["k0", "k1"]).filter("id = rep").dropDuplicates(["rep"])
-    reps = materialize(firsts.select("rep", "weight", "lab", F.size("vec").alias("dim"), "vec"), "reps")
-
-    pairs = materialize(seed_links(reps).dropDuplicates(["u", "v"]), "seeds")
-    links = pairs.filter(F.col("sim") >= least).select("u", "v")
+    rows = keyed(vectors, id_col, vector_col, label_col)
+    classes = rows.filter("k0 is not null").groupBy("k0", "k1").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("weight"), F.first("lab").alias("lab"), F.first("vec").alias("vec"))
+    # written out, so that a class keeps its number
+    reps = classes.select(F.monotonically_increasing_id().alias("rep"), "k0", "k1", "low", "weight", "lab", F.size("vec").alias("dim"), "vec")
+    reps = materialize(coded(reps), "reps")
+
+    pairs = materialize(seed_links(reps, least).dropDuplicates(["u", "v"]), "seeds")
+    links = sure_links(pairs, reps, least)
     truth, lists = audit_truth(reps, least), materialize(top_lists(pairs), "lists")
     for turn in range(ROUNDS):
-        new = materialize(local_joins(lists, reps, turn), "joined")
-        links = links.unionByName(new.filter(F.col("sim") >= least).select("u", "v"))
-        lists = materialize(top_lists(new.unionByName(lists.filter("u < v").drop("place")).unionByName(lists.filter("u > v").select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))), "lists")
-        links = materialize(links.distinct(), "links")
+        new = materialize(local_joins(lists, reps, turn, least), "joined")
+        old = lists.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "sim")
+        last, lists = lists, materialize(top_lists(new.select("u", "v", "sim").unionByName(old)), "lists")
+        discard(last)
+        links = materialize(links.unionByName(sure_links(new, reps, least)).distinct(), "links")
         comps = materialize(connected_components(links).select(F.col("id").alias("rep"), F.col("component_id").alias("comp")), "comps")
         dense = materialize(saturated(lists, comps, least), "dense")
-        if audit(truth, links, comps, dense) >= RECALL:
-            members = comps.join(dense, "comp", "left_semi").join(reps, "rep").select("comp", "rep", "weight", "vec")
+        within = materialize(join_spread(comps, dense, "comp", "size", ["rep"]).select("rep", "comp", "size"), "within")
+        if audit(truth, links, within) >= RECALL:
+            members = within.join(reps, "rep").select("comp", "size", "rep", "weight", "vec")
             weights = reps.select(F.col("rep").alias("v"), "weight")
             both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
             sparse = both.join(weights, "v").groupBy(F.col("u").alias("rep")).agg(F.sum("weight").alias("few"))
             counts = sparse.join(dense_counts(members, least), "rep", "left").select("rep", F.coalesce("n", "few").alias("n"))
             break
     else:  # the rounds did not reach RECALL: every vector with every other of its label and length
-        members = reps.select(F.concat_ws(":", F.col("dim").cast("string"), "lab").alias("comp"), "rep", "weight", "vec")
+        sizes = reps.groupBy("lab", "dim").agg(F.count(F.lit(1)).alias("size"))
+        members = join_spread(reps, materialize(sizes, "sizes"), ["lab", "dim"], "size", ["rep"])
+        members = members.select(F.concat_ws(":", F.col("dim").cast("string"), "lab").alias("comp"), "size", "rep", "weight", "vec")
         comps = materialize(connected_components(dense_stars(members, least)).select(F.col("id").alias("rep"), F.col("component_id").alias("comp")), "comps")
         counts = dense_counts(members, least)
 
-    of_rep = reps.select("rep", "weight").join(comps, "rep", "left").join(counts, "rep", "left")
-    of_rep = of_rep.select("rep", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("comp", "rep").alias("comp"))
-    of_id = rows.join(classes, ["k0", "k1"]).select("id", "rep").distinct().join(of_rep, "rep").groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("comp").alias("comp"))
-    out = vectors.select(F.col(id_col).cast("long").alias("id")).join(of_id, "id", "left")
-    comp = F.coalesce("comp", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
+    of_rep = reps.select("rep", "k0", "k1", "low", "weight").join(comps, "rep", "left").join(counts, "rep", "left")
+    lowest = of_rep.filter("comp is not null").groupBy("comp").agg(F.min("low").alias("lowest"))
+    of_class = of_rep.join(lowest, "comp", "left").select("k0", "k1", "weight", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("lowest", "low").alias("comp"))
+    of_class = materialize(of_class, "classes")
+    linked = join_spread(rows.filter("k0 is not null").select("id", "k0", "k1"), of_class, ["k0", "k1"], "weight", ["id"]).select("id", "n_links", "comp")
+    out = linked.unionByName(rows.filter("k0 is null").select("id", F.lit(0).alias("n_links"), F.col("id").alias("comp")))
+    return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), F.col("comp").alias("component_id"), F.col("id").eqNullSafe(F.col("comp")).alias("kept"))
 
 
 def op8(spark, sf_dir):
