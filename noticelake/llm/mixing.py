@@ -11,15 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, materialize
+from .common import HOT_SHARE, load, materialize
 
 #: up to this mean exp(-rate) is a normal double and the distribution is held from 0 on
 MOST_RATE = 500.0
 #: a caller's own repetition above this is an error, whatever the table's size
 MOST_REPETITION = 500.0
-#: up to so many sources (a few hundred bytes each) their rates are broadcast
-BROADCAST_SOURCES = 10_000
-SALTS = 64
 
 
 def hashed_uniform(*parts: Column) -> Column:
@@ -66,8 +63,12 @@ def mix(
     weights: target share of each source, in any unit; sources that it lacks get none. Without weights a
     source's share is its number of rows to the power temperature (1 keeps the natural mix). The mix holds
     repetition times the input's rows on average. A null source counts as a source named "". Rows with a
-    null id draw as if their id were "". Repeated rows draw alike. A source's rate has no limit, as it grows with
-    the table; a repetition above 500 raises an error. An empty table gives an empty table.
+    null id draw as if their id were "". Repeated rows draw alike; empty and very long texts are carried along as they
+    are. A source's rate has no limit, as it grows with the table; a repetition above 500 raises an error. An empty
+    table gives an empty table. Columns of docs named copy_no or shuffle_key are replaced.
+
+    Sources with more than one in HOT_SHARE of all rows (at most HOT_SHARE of them) get their distribution by
+    broadcast, so that their rows stay where they are; the rows of all others are joined by source.
     """
     if repetition > MOST_REPETITION:
         raise ValueError(f"repetition above {MOST_REPETITION:g}")
@@ -81,20 +82,15 @@ def mix(
             share = F.when(F.col("_src") == name, F.lit(float(w))).otherwise(share)
     sizes = sizes.withColumn("_share", share)
     total = sizes.agg(F.sum("_share").alias("_shares"), F.sum("_rows").alias("_all"))
-    rates = sizes.join(F.broadcast(total)).select(  # one row
-       
-        "_src", (F.col("_share") / F.col("_shares") * F.col("_all") * float(repetition) / F.col("_rows")).alias("_rate")
-    )
-    rate = F.coalesce("_rate", F.lit(0.0))
-    rates = rates.select("_src", poisson_start(rate).alias("_from"), poisson_cdf(rate).alias("_cdf"))
-    rates = materialize(rates, "mix-rates")
+    rate = F.coalesce(F.col("_share") / F.col("_shares") * F.col("_all") * float(repetition) / F.col("_rows"), F.lit(0.0))
+    rates = sizes.join(F.broadcast(total)).select("_src", rate.alias("_rate"), (F.col("_rows") * HOT_SHARE > F.col("_all")).alias("_hot"))  # total is one row
+    rate = F.col("_rate")
+    rates = materialize(rates.select("_src", "_hot", poisson_start(rate).alias("_from"), poisson_cdf(rate).alias("_cdf")), "mix-rates")
+    hot, rest = F.broadcast(rates.filter("_hot").drop("_hot")), rates.filter("not _hot").drop("_hot")
     columns = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
     docs_by_src = docs.select(src.alias("_src"), F.col(id_col).alias("_id"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"))
-    if rates.count() <= BROADCAST_SOURCES:
-        joined = docs_by_src.join(F.broadcast(rates), "_src")
-    else:  # a source may hold a third of all rows: deal each over SALTS parts
-        salted = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs_by_src.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(salted, ["_src", "_salt"])
+    few = docs_by_src.join(F.broadcast(rates.filter("_hot").select("_src")), "_src", "left_anti")
+    joined = docs_by_src.join(hot, "_src").unionByName(few.join(rest.hint("merge"), "_src"))
     key = F.coalesce(F.col("_id").cast("string"), F.lit(""))
     drawn = joined.withColumn("_u", hashed_uniform(F.lit(str(seed)), key))
     copies = F.col("_from") + F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
