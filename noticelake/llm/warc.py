@@ -1,38 +1,45 @@
 """WARC archives: writing pages as records, reading them back by byte ranges.
 
-Every record is a gzip member of its own. Writing is a text sink whose rows are members; zero bytes stand
-between members, which gzip readers skip. Reading is splittable: the files' lengths are dealt out as byte
-ranges, and a task scans its range for the gzip magic, takes a candidate for a record only if it inflates to a
-WARC header, and owns the records that start inside its range, reading past the range's end where a record does.
+Every record is a gzip member of its own, and members stand back to back. Writing is a text sink, so that Spark commits
+the files: a row is a member without its last byte, which is zero as long as a record is below 16 MiB, and a zero byte
+is the sink's line separator. (Larger records are followed by an empty member, which also ends in zero.) Reading is
+splittable: the files' lengths are dealt out as byte ranges, and a task scans its range for the gzip magic, takes a
+candidate for a record only if it inflates to a WARC header, and owns the records that start inside its range, reading
+past the range's end where a record does.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from datetime import UTC, datetime
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, work_path
+from .common import join_spread, load, materialize, work_path
 
 MAGIC = b"\x1f\x8b\x08"
 #: bytes of a range, and of a read
 RANGE_BYTES, READ_BYTES = 16 << 20, 1 << 20
+#: most tasks of a read; ranges beyond that many share tasks
+MOST_TASKS = 50_000
 #: equal payloads from this size on become one response and revisits
 REVISIT_BYTES = 1000
 RECORD_SCHEMA = "record_type string, target_uri string, record_id string, refers_to string, digest string, payload_bytes long, payload_digest string, payload binary"
 
 
 def with_revisits(pages: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """Adds payload, digest and, for copies of a payload of at least `least` bytes, the largest id among them."""
+    """Adds _payload, _digest and, for copies of a payload of at least `least` bytes, _first: the largest id among them."""
     payload = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = pages.withColumn("_payload", payload).withColumn("_digest", F.sha1("_payload")).withColumn("_bytes", F.octet_length("_payload"))
-    first = rows.filter(F.col("_bytes") >= least).groupBy("_digest").agg(F.max(id_col).alias("_first"), F.count(F.lit(1)).alias("_copies"))
-    first = first.filter("_copies > 1").select("_digest", "_first")
-    return rows.join(first, "_digest", "left")
+    rows = pages.withColumn("_payload", payload).withColumn("_digest", F.sha1("_payload"))
+    large, small = F.octet_length("_payload") >= least, F.octet_length("_payload") < least
+    first = rows.filter(large).groupBy("_digest").agg(F.max(id_col).alias("_first"), F.count(F.lit(1)).alias("_copies"))
+    first = materialize(first.filter("_copies > 1"), "warc-copies")
+    copies = join_spread(rows.filter(large), first, "_digest", "_copies", [id_col, "_digest"], "left").drop("_copies")
+    return copies.unionByName(rows.filter(small).withColumn("_first", F.lit(None).cast("long")))
 
 
 def gzip_member(data: bytes) -> bytes:
@@ -40,13 +47,19 @@ def gzip_member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def record(kind: str, uri: str, page_id, refers_to, digest: str, payload: bytes) -> bytes:
+def up_to_zero(member: bytes) -> bytes:
+    """A member, and an empty one if need be, without the zero byte at the end."""
+    return (member if member.endswith(b"\0") else member + gzip_member(b""))[:-1]
+
+
+def record(kind: str, uri: str, page_id, refers_to, digest: str, payload: bytes, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """A WARC/1.1 record. A revisit holds the full payload's digest and length in place of the payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if kind == "revisit" else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
+        f"WARC-Date: {date}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         "WARC-Target-URI: " + "".join(c for c in uri if c >= " "),
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -58,22 +71,34 @@ def record(kind: str, uri: str, page_id, refers_to, digest: str, payload: bytes)
     return gzip_member("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = REVISIT_BYTES) -> None:
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = REVISIT_BYTES, date: str | None = None) -> None:
     """Writes one record per row. Of rows with equal payloads of at least `least` bytes, that with the largest
-    id is the response and the others revisit it; a row with a null id is always a response."""
+    id is the response and the others revisit it; a row with a null id is always a response. date is the records'
+    WARC-Date, by default the time of writing. Files end in .warc.gz."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def build(batches):
         for batch in batches:
             out = []
             for page_id, uri, first, digest, payload in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 again = first is not None and page_id is not None and page_id != first
-                out.append(record("revisit" if again else "response", uri or "", page_id, first, digest, payload))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+                out.append(record("revisit" if again else "response", uri or "", page_id, first, digest, payload, date))
+            yield pa.RecordBatch.from_arrays([pa.array([up_to_zero(m) for m in out], pa.binary())], names=["member"])
 
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(text_col).alias("html"))
     rows = with_revisits(pages, "page_id", "html", least)
     members = rows.select("page_id", "url", "_first", "_digest", "_payload").mapInArrow(build, "member binary")
     members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    name_archives(pages.sparkSession, path)
+
+
+def name_archives(spark: SparkSession, path: str) -> None:
+    """Gives the committed text files the ending of archives."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for file in store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(at, "part-*.txt")):
+        old = file.getPath()
+        store.rename(old, spark._jvm.org.apache.hadoop.fs.Path(at, old.getName().removesuffix(".txt") + ".warc.gz"))
 
 
 class Range:
@@ -178,7 +203,8 @@ def read_warc(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, wi
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").filter("length > 0")
     step = F.lit(range_bytes)
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, step.cast("long"))).alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    # a given number: Spark would else put what are tiny rows here, however much they stand for, into few tasks
+    ranges = ranges.repartitionByRange(max(1, min(ranges.count(), MOST_TASKS)), "path", "start")
 
     def scan(batches):
         for batch in batches:
@@ -208,7 +234,8 @@ def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     payload_digest (SHA-1 of the full payload), record_type, refers_to (the response's id for revisits).
 
     A null payload is an empty one, a null url an empty one; a null id stays null and never revisits. Rows that
-    repeat the response's id are responses too. An empty table gives no rows; extra columns are ignored.
+    repeat the response's id are responses too. A record is held whole by the task that writes or reads it, however
+    long. An empty table gives no rows; extra columns are ignored.
     """
     path = work_path(pages.sparkSession, "warc")
     write_warc(pages, path, id_col, url_col, text_col)
