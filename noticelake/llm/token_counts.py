@@ -2,13 +2,15 @@
 
 Rank-synchronous array merging: the pre-tokens of a batch that have not been counted yet are held as one
 ragged numpy array of symbols. Each round finds every sequence's lowest-ranked pair and applies it in all
-sequences at once; a sequence leaves when no pair of it has a rank. The symbols that are left are counted.
+sequences at once; a sequence leaves when no pair of it has a rank. The symbols that are left are counted. Pre-tokens
+beyond LONG characters, which would keep the others' array in many rounds, have one of their own each.
 """
 
 from __future__ import annotations
 
 import json
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import chunks, load
 
+#: characters from which a pre-token is counted by itself
+LONG = 400
 NO_RANK = np.iinfo(np.int64).max
 SPACE = r"\p{White_Space}"
 #: fixed values: the split pattern of the byte-level pre-tokenizer
@@ -89,6 +93,59 @@ def count_symbols(words: list[bytes], table: MergeTable) -> np.ndarray:
     return left
 
 
+def count_long(word: bytes, table: MergeTable) -> int:
+    """The same for one long word, in time about linear in its length.
+
+    Rounds go by rank again, but each looks only at the places where its rank stands: places are filed by the rank of
+    the pair that starts there, and after a merge only the places beside it are filed anew.
+    """
+    symbols = table.of_byte[np.frombuffer(word, np.uint8)]
+    n = len(symbols)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    rank = np.full(n, NO_RANK)
+    made = np.zeros(n, np.int64)
+    filed: dict[int, list[np.ndarray]] = {}
+    heap: list[int] = []
+
+    def file(at: np.ndarray) -> None:
+        pair = after[at] < n
+        rank[at[~pair]] = NO_RANK
+        at = at[pair]
+        rank[at], made[at] = table.look_up(symbols[at] * table.size + symbols[after[at]])
+        at = at[rank[at] != NO_RANK]
+        at = at[np.argsort(rank[at], kind="stable")]
+        ranks, first = np.unique(rank[at], return_index=True)
+        for r, places in zip(ranks.tolist(), np.split(at, first[1:]), strict=True) if len(at) else ():
+            if r not in filed:
+                filed[r] = []
+                heappush(heap, r)
+            filed[r].append(places)
+
+    file(np.arange(n - 1))
+    left = n
+    while heap:
+        r = heappop(heap)
+        at = np.unique(np.concatenate(filed.pop(r)))
+        at = at[rank[at] == r]
+        if not len(at):
+            continue
+        # of pairs that overlap (a a a) every other one counts, from the left
+        new_run = np.ones(len(at), bool)
+        new_run[1:] = after[at[:-1]] != at[1:]
+        run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
+        at = at[(np.arange(len(at)) - run_start) % 2 == 0]
+        gone = after[at]
+        symbols[at] = made[at]
+        rank[gone] = NO_RANK
+        after[at] = after[gone]
+        follows = after[at] < n
+        before[after[at][follows]] = at[follows]
+        left -= len(at)
+        beside = before[at]
+        file(np.unique(np.concatenate([at, beside[beside >= 0]])))
+    return left
+
+
 class TokenCounter:
     """Counts tokens of texts. Remembers the counts of up to `most` pre-tokens."""
 
@@ -110,7 +167,10 @@ class TokenCounter:
             new.update(w)
         new = list(new - self.known.keys())
         if new:
-            self.known.update(zip(new, count_symbols([w.encode() for w in new], self.table).tolist(), strict=True))
+            short = [w for w in new if len(w) <= LONG]
+            if short:
+                self.known.update(zip(short, count_symbols([w.encode() for w in short], self.table).tolist(), strict=True))
+            self.known.update((w, count_long(w.encode(), self.table)) for w in new if len(w) > LONG)
         get = self.known.__getitem__
         return [n + sum(map(get, w)) for n, w in zip(special, words, strict=True)]
 
@@ -125,7 +185,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
 
     tokenizer: path of a byte-level BPE tokenizer file that every executor can read. Strings of its special
     tokens inside a text count as one token each. A null or empty text has 0 tokens; null ids and repeated
-    rows pass through; an empty table gives no rows. Memory is bounded by the largest single text.
+    rows pass through; an empty table gives no rows; extra columns are ignored. Time is linear in a text's length, also
+    where it is one unbroken word; memory is bounded by the largest single text.
     """
 
     def run(batches):
