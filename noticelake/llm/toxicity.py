@@ -29,6 +29,8 @@ PRIOR = 5_000.0
 SIGNIFICANT = 4.0
 #: score of any other word
 COST = -0.7
+#: lattice that scores are put on for the extreme-value law
+STEP = 0.05
 #: most labelled rows, the first by a hash of the id, that the model is trained on; their ids are broadcast
 TRAIN_ROWS = 30_000
 #: score from which a document is predicted toxic
@@ -81,26 +83,47 @@ def log_odds_scores(clean: np.ndarray, toxic: np.ndarray, all_clean: float, all_
 def extreme_value_law(scores: np.ndarray, clean: np.ndarray, all_clean: float) -> tuple[float, float]:
     """lambda and log K of P(score >= s) ~ K n exp(-lambda s) for n words drawn as in clean documents.
 
-    lambda solves sum p exp(lambda s) = 1; K is bounded by the share of words that can start a segment.
+    lambda solves E exp(lambda X) = 1 for a word's score X, put on a lattice of STEP. With S_k the sum of k scores,
+
+        K = STEP exp(-2 sigma) / ((1 - exp(-lambda STEP)) E(X exp(lambda X))),
+        sigma = sum over k of (E(exp(lambda S_k); S_k < 0) + P(S_k >= 0)) / k.
     """
     p = clean / max(all_clean, 1)
     pos = scores > 0
     rate = p[pos].sum()
-    if rate <= 0:
+    mean = (p[pos] * scores[pos]).sum() + (1 - rate) * COST
+    if rate <= 0 or mean >= 0:
         return 1.0, float(np.log(1e-6))
+    cost = round(COST / STEP)
+    at = np.maximum(np.rint(scores[pos] / STEP).astype(int), 1)
+    law = np.zeros(at.max() - cost + 1)  # chance of each score, from COST on
+    np.add.at(law, at - cost, p[pos])
+    law[0] += 1 - rate
+    x = np.arange(len(law)) + cost
     low, high = 0.0, 50.0
     for _ in range(80):
         mid = (low + high) / 2
-        total = (p[pos] * np.exp(np.minimum(mid * scores[pos], 500))).sum() + (1 - rate) * np.exp(mid * COST)
+        total = (law * np.exp(np.minimum(mid * STEP * x, 500))).sum()
         low, high = (low, mid) if total > 1 else (mid, high)
-    lam = max(low, 0.05)
-    return lam, float(np.log(rate))
+    lam = max(low, 1e-3)
+    sums, sigma = np.ones(1), 0.0
+    for k in range(1, 200):
+        sums = np.convolve(sums, law)
+        at = np.arange(len(sums)) + k * cost
+        term = (np.where(at < 0, np.exp(lam * STEP * np.minimum(at, 0)), 1.0) * sums).sum() / k
+        sigma += term
+        if term < 1e-7:
+            break
+    tilted = (STEP * x * law * np.exp(lam * STEP * x)).sum()
+    return lam, float(np.log(STEP) - 2 * sigma - np.log1p(-np.exp(-lam * STEP)) - np.log(tilted))
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score), by Ruzzo and Tompa's linear scan.
 
-    Runs of words with the same sign are added up first, as no maximal segment ends inside one.
+    Runs of words with the same sign are added up first, as no maximal segment ends inside one. Each segment on the
+    list knows the last one in front of it with a smaller sum to its left, so a search steps along these and never
+    looks at a passed segment again.
     """
     if not len(scores) or not (scores > 0).any():
         return []
@@ -108,24 +131,25 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     starts = np.flatnonzero(np.r_[True, sign[1:] != sign[:-1]])
     ends = np.r_[starts[1:], len(scores)]
     sums = np.add.reduceat(scores, starts)
-    stack: list[list] = []  # [start, end, sum before, sum through]
+    stack: list[tuple] = []  # start, end, sum before, sum through, place of the last with a smaller sum before
     total = 0.0
     for a, b, s in zip(starts.tolist(), ends.tolist(), sums.tolist(), strict=True):
         if s <= 0:
             total += s
             continue
-        new = [a, b, total, total + s]
+        first, before, through = a, total, total + s
         total += s
+        j = len(stack) - 1
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= new[3]:
-                stack.append(new)
+            while j >= 0 and stack[j][2] >= before:
+                j = stack[j][4]
+            if j < 0 or stack[j][3] >= through:
+                stack.append((first, b, before, through, j))
                 break
-            new = [stack[j][0], new[1], stack[j][2], new[3]]
+            first, before, last = stack[j][0], stack[j][2], stack[j][4]
             del stack[j:]
-    return [(a, b, r - l) for a, b, l, r in stack]
+            j = last
+    return [(a, b, r - l) for a, b, l, r, _ in stack]
 
 
 def keys_of(word: str) -> list[str]:
@@ -191,10 +215,12 @@ def train(
     docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS
 ) -> SegmentModel:
     """Learns from at most `rows` labels outside the held fold; only those documents are kept, without a shuffle."""
-    y = labels.filter(F.col(label_col).isNotNull() & (fold_of(id_col, folds) != held_fold)).dropDuplicates([id_col])
-    picked = y.select(id_col, (F.col(label_col).cast("int") > 0).cast("int").alias("_y")).orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    labelled = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), id_col)  # at most `rows` rows
-    labelled = materialize(labelled.select(F.col(id_col).alias("id"), "text", F.col("_y").alias("label")), "toxic-train")
+    y = labels.filter(F.col(label_col).isNotNull() & (fold_of(id_col, folds) != held_fold))
+    y = y.groupBy(id_col).agg(F.max((F.col(label_col).cast("int") > 0).cast("int")).alias("_y"))
+    picked = y.orderBy(F.xxhash64(id_col), id_col).limit(rows)
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked.withColumnRenamed(id_col, "id")), "id")  # at most `rows` rows
+    labelled = labelled.groupBy("id").agg(F.min("text").alias("text"), F.max("_y").alias("label"))  # one text of an id that repeats
+    labelled = materialize(labelled, "toxic-train")
     counts = materialize(word_counts(labelled.select("text", "label")), "toxic-counts")  # at most BUCKETS rows
     all_clean, all_toxic = (float(x or 0) for x in counts.agg(F.sum("clean"), F.sum("toxic")).first())
     b, clean, toxic = (c.to_numpy() for c in counts.filter("toxic > 0").toArrow().columns)  # the others score COST
@@ -230,11 +256,12 @@ def apply_model(rows: DataFrame, model: SegmentModel, text_col: str, to_score, k
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id_col, held_out, score (0 to 1), predicted (1 if score >= 0.3) of every row of docs.
 
-    Rows whose crc32(id) modulo folds is held_fold are never learned from. Labels that are null or repeated
-    count once or not at all; labels without a document are ignored. Null and empty texts get the score of a
-    text without words. Rows with a null id are scored and never learned from. Without labels of both classes
-    every score is that of the class that is there (or clean). An empty table gives no rows. Extra columns,
-    also those named as inner ones, are ignored.
+    Rows whose crc32(id) modulo folds is held_fold are never learned from. Null labels are ignored, of several labels
+    of one id the largest counts, and of several texts of one id the smallest is learned from; labels without a
+    document are ignored. Null and empty texts get the score of a text without words; very long texts are read whole,
+    in linear time. Rows with a null id are scored and never learned from. Without labels of both classes every score
+    is that of the class that is there (or clean). An empty table gives no rows. Extra columns, also those named as
+    inner ones, are ignored.
     """
     model = train(docs, labels, folds, held_fold, id_col, text_col)
     scored = apply_model(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), model, text_col, lambda m, e: m.probability(e), [id_col])
@@ -247,7 +274,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose score is below the threshold; learns as score_toxicity does."""
+    """The rows of docs, all columns, whose score is below the threshold; learns as score_toxicity does, and treats
+    nulls, empty, long and repeated texts and clashing labels alike. An empty table gives an empty table."""
     model = train(docs, labels, folds, held_fold, id_col, text_col)
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)  # fixed size
 
