@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordBuckets, chunks, fold_of, load, ragged
+from .common import WordBuckets, chunks, fold_of, load, materialize, ragged
 
 BUCKETS, RANK = 1 << 15, 8
 #: most labelled rows that the machine is trained on
 TRAIN_ROWS = 6_000
+#: and most features that these may have together (8 bytes each on the driver); rows beyond it, by the hash's order, stay out
+TRAIN_FEATURES = 6_000_000
 EPOCHS, BATCH, RATE, SHRINK = 8, 128, 0.08, 1e-5
 THRESHOLD = 0.3
 SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()-]")
@@ -117,10 +119,13 @@ class FactorisationMachine:
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, id_col: str, text_col: str, label_col: str, rows: int = TRAIN_ROWS) -> FactorisationMachine:
-    """Fits on at most `rows` labelled rows, the first by a hash of the id; they reach the driver as feature numbers."""
-    y = labels.filter(F.col(label_col).isNotNull() & (fold_of(id_col, folds) != held_fold)).dropDuplicates([id_col])
-    picked = y.select(id_col, (F.col(label_col).cast("int") > 0).cast("int").alias("_y")).orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    sample = docs.select(id_col, F.col(text_col).cast("string").alias("t")).join(F.broadcast(picked), id_col).select("t", "_y")  # at most `rows` rows
+    """Fits on at most `rows` labelled rows, the first by a hash of the id. They reach the driver as feature numbers,
+    at most TRAIN_FEATURES of them."""
+    y = labels.filter(F.col(label_col).isNotNull() & (fold_of(id_col, folds) != held_fold))
+    y = y.groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col).cast("int") > 0).cast("int")).alias("_y"))
+    picked = y.orderBy(F.xxhash64("id"), "id").limit(rows)
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(picked), "id")  # at most `rows` rows
+    sample = sample.groupBy("id").agg(F.min("t").alias("t"), F.max("_y").alias("_y"))  # one text of an id that repeats
 
     def extract(batches):
         of = WordBuckets(BUCKETS)
@@ -129,10 +134,15 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, id_col
             flat, values, offsets = features(texts, of)
             cut = offsets.astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.ListArray.from_arrays(cut, pa.array(flat.astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(values.astype(np.float32)))], names=["y", "f", "x"]
+                [*batch.columns[1:], pa.ListArray.from_arrays(cut, pa.array(flat.astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(values.astype(np.float32)))], names=["y", "h", "f", "x"]
             )
 
-    table = sample.mapInArrow(extract, "y int, f array<int>, x array<float>").toArrow().combine_chunks()
+    rows_of = sample.select("t", "_y", F.xxhash64("id").alias("h")).mapInArrow(extract, "y int, h long, f array<int>, x array<float>")
+    rows_of = materialize(rows_of, "quality-train")
+    sizes = rows_of.select("h", F.size("f").alias("n")).toArrow().sort_by("h")  # at most `rows` pairs of numbers
+    fits = int((np.cumsum(sizes.column("n").to_numpy()) <= TRAIN_FEATURES).sum())
+    last = sizes.column("h")[fits - 1].as_py() if fits else -(1 << 63)
+    table = rows_of.filter(F.col("h") <= last).orderBy("h").toArrow().combine_chunks()
     model = FactorisationMachine()
     if table.num_rows:
         f, x = (table.column(c).combine_chunks() for c in ("f", "x"))
@@ -147,9 +157,10 @@ def score_quality(
     """Returns id_col, held_out, score (0 to 1, higher: label 1 likelier), predicted (1 if score >= 0.3).
 
     Rows whose crc32(id) modulo folds is held_fold are never learned from. Null and empty texts are scored by
-    their statistics alone. Null ids are scored and never learned from. Null or repeated labels are ignored or
-    count once; without labels the score is 0.5 and nearby. An empty table gives no rows. Only the text is
-    used; extra columns are ignored.
+    their statistics alone; very long texts are read whole. Null ids are scored and never learned from. Null labels are
+    ignored, of several labels of one id the largest counts, and of several texts of one id the smallest is learned
+    from; without labels the score is 0.5 and nearby. Repeated rows get equal scores. An empty table gives no rows.
+    Only the text is used; extra columns are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds, held_fold, id_col, text_col, label_col))  # fixed size
 
