@@ -9,7 +9,9 @@ gram and sorted by their suffixes, word by word down to a shallow depth (multike
 suffixes that still tie there by blind tries. Neighbours in that order give the longest common extensions to the
 right; refining the order by one more byte to the left at a time keeps them for every window position.
 
-A gram with very many different contexts is not sorted in one task: the digests of its windows are counted.
+The contexts of a gram are dealt to as many parts of about PART as they need, and each part is sorted. Where a gram has
+several parts, they are merged by the windows that each still holds as one of a kind: those that another part holds
+too repeat as well.
 """
 
 from __future__ import annotations
@@ -22,13 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, materialize
+from .common import join_spread, load, materialize
 
 LENGTH, GRAM = 200, 48
 #: bytes compared before blind tries take over
 SHALLOW = GRAM + 32
-#: different contexts of one gram from which its windows are counted instead of sorted
-HOT = 20_000
+#: different contexts of one gram that are sorted together, about
+PART = 20_000
 #: bytes of text that are anchored, and contexts that are sorted, at once
 PIECE, CONTEXTS = 4 << 20, 30_000
 NO_ID = -(1 << 63)
@@ -167,16 +169,37 @@ class BlindTrie:
         return out
 
 
+def multikey_quicksort(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of words within their (ascending) groups, and numbers that rows share which tie in all words.
+
+    Every round splits all open groups at once, each by its middle row's word: smaller, equal and larger words become
+    groups of their own, and the equal ones go on to the next word.
+    """
+    n, depths = words.shape
+    order, tied, depth = np.arange(n), group.astype(np.int64), np.zeros(n, np.int64)
+    while n:
+        starts = np.flatnonzero(np.r_[True, tied[1:] != tied[:-1]])
+        sizes = np.diff(np.r_[starts, n])
+        tied = np.repeat(np.arange(len(starts)), sizes)
+        open_groups = (sizes > 1) & (depth[starts] < depths)
+        if not open_groups.any():
+            break
+        at = np.flatnonzero(open_groups[tied])
+        middle = (starts + sizes // 2)[tied[at]]
+        word, pivot = words[order[at], depth[at]], words[order[middle], depth[middle]]
+        side = (word >= pivot).astype(np.int64) + (word > pivot)
+        new = np.argsort(tied[at] * 3 + side, kind="stable")
+        order[at], depth[at] = order[at[new]], (depth[at] + (side == 1))[new]
+        label = tied * 3
+        label[at] += side[new]
+        tied = label
+    return order, tied
+
+
 def deep_shallow_order(group: np.ndarray, right: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Order of the suffixes right[i, :lengths[i]] within their (ascending) groups, whose first GRAM bytes agree."""
-    order = np.arange(len(group))
-    tied = group.astype(np.int64)  # rows with equal numbers are not told apart yet
-    for depth in range(GRAM, SHALLOW, 8):
-        word = np.ascontiguousarray(right[:, depth : depth + 8]).view(">u8").ravel().astype(np.uint64)
-        new = np.lexsort((word[order], tied))
-        order, tied = order[new], tied[new]
-        w = word[order]
-        tied = np.cumsum(np.r_[0, (np.diff(tied) != 0) | (w[1:] != w[:-1])])
+    words = np.ascontiguousarray(right[:, GRAM:SHALLOW]).view(">u8").astype(np.uint64)
+    order, tied = multikey_quicksort(group, words)
     starts = np.flatnonzero(np.r_[True, np.diff(tied) != 0])
     ends = np.r_[starts[1:], len(order)]
     for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
@@ -252,22 +275,46 @@ def spans_of(found: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, pos[row] - (far - 1), pos[row] - near + LENGTH
 
 
+SORTED = "id long, u long, lo int, hi int, key long, d0 long, d1 long"
+
+
 def sort_contexts(contexts: DataFrame) -> DataFrame:
-    """contexts: (key, n, id, u, pos, lo, c), all of a key in one partition and in order. Spans (id, u, lo, hi)
-    of contexts with n = 1."""
+    """contexts: (key, part, parts, n, id, u, pos, lo, c), all of a part in one partition and in order.
+
+    Spans (id, u, lo, hi) of contexts with n = 1; d0 and d1 are null there. Of keys with several parts also the
+    different windows of each part, as digests d0, d1; hi is null where a window is not to be marked.
+    """
 
     def solve(table: pa.Table):
-        key, n, ids, us, pos, low = (table.column(c).to_numpy() for c in ("key", "n", "id", "u", "pos", "lo"))
+        key, part, parts, n, ids, us, pos, low = (table.column(c).to_numpy() for c in ("key", "part", "parts", "n", "id", "u", "pos", "lo"))
         cs = table.column("c").to_pylist()
         left_lengths, reach = (pos - low).astype(np.int64), LENGTH - GRAM
         right_lengths = np.array([len(c) for c in cs]) - left_lengths
         left = np.frombuffer(b"".join(c[:k][::-1].ljust(reach, b"\0") for c, k in zip(cs, left_lengths.tolist(), strict=True)), np.uint8).reshape(-1, reach)
         right = np.frombuffer(b"".join(c[k:].ljust(LENGTH, b"\0") for c, k in zip(cs, left_lengths.tolist(), strict=True)), np.uint8).reshape(-1, LENGTH)
-        group = np.cumsum(np.r_[0, np.diff(key) != 0])
+        group = np.cumsum(np.r_[0, (np.diff(key) != 0) | (np.diff(part) != 0)])
         found = repeated_windows(group, left, left_lengths, right, right_lengths)
-        found[n > 1] = False
-        row, a, b = spans_of(found, pos.astype(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(us[row]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["id", "u", "lo", "hi"])
+        row, a, b = spans_of(found & (n == 1)[:, None], pos.astype(np.int64))
+        nothing = pa.nulls(len(row), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(us[row]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(key[row]), nothing, nothing], names=names)
+        several = np.flatnonzero(parts > 1)
+        for k in range(0, len(several), 2000):
+            yield windows(several[k : k + 2000], found, group, key, n, ids, us, pos, low, cs)
+
+    def windows(rows, found, group, key, n, ids, us, pos, low, cs):
+        digest, seen, out = xxhash.xxh3_128_intdigest, set(), []
+        for i in rows.tolist():
+            c, before, once = cs[i], int(pos[i] - low[i]), n[i] == 1
+            for s in range(max(0, before - LENGTH + GRAM), min(before, len(c) - LENGTH) + 1):
+                x = digest(c[s : s + LENGTH], before - s)
+                again = found[i, before - s]
+                if again and (group[i], x) in seen:
+                    continue
+                seen.add((group[i], x))
+                at = int(low[i]) + s
+                out.append((ids[i], us[i], at, at + LENGTH if once and not again else None, key[i], x & (1 << 63) - 1, x >> 65))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 3]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
 
     def run(batches):
         held: list[pa.Table] = []
@@ -276,69 +323,53 @@ def sort_contexts(contexts: DataFrame) -> DataFrame:
             if sum(t.num_rows for t in held) < CONTEXTS:
                 continue
             table = pa.concat_tables(held)
-            key = table.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            key, part = table.column("key").to_numpy(), table.column("part").to_numpy()
+            cut = int(np.flatnonzero((key == key[-1]) & (part == part[-1]))[0])  # the last part may go on
             if cut:
-                yield solve(table.slice(0, cut))
+                yield from solve(table.slice(0, cut))
             held = [table.slice(cut)]
         if held:
-            yield solve(pa.concat_tables(held))
+            yield from solve(pa.concat_tables(held))
 
-    return contexts.select("key", "n", "id", "u", "pos", "lo", "c").mapInArrow(run, "id long, u long, lo int, hi int")
+    names = [x.split()[0] for x in SORTED.split(", ")]
+    return contexts.select("key", "part", "parts", "n", "id", "u", "pos", "lo", "c").mapInArrow(run, SORTED)
 
 
-def count_windows(contexts: DataFrame) -> DataFrame:
-    """The same for keys with very many contexts: digests of all windows are counted, in each task first."""
-
-    def run(batches):
-        digest = xxhash.xxh3_128_intdigest
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500).to_pydict()
-                out = [
-                    (key, x & (1 << 63) - 1, x >> 65, n, i, u, lo + s)
-                    for key, n, i, u, pos, lo, c in zip(*part.values(), strict=True)
-                    for s in range(len(c) - LENGTH + 1)
-                    if (x := digest(c[s : s + LENGTH], pos - lo - s)) is not None
-                ]
-                kinds = [pa.int64()] * 6 + [pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["key", "d0", "d1", "n", "id", "u", "lo"])
-
-    windows = contexts.select("key", "n", "id", "u", "pos", "lo", "c").mapInArrow(run, "key long, d0 long, d1 long, n long, id long, u long, lo int")
-    often = windows.groupBy("key", "d0", "d1").agg(F.sum("n").alias("all")).filter("all > 1").drop("all")
-    return windows.filter("n = 1").join(often, ["key", "d0", "d1"], "left_semi").select("id", "u", "lo", (F.col("lo") + LENGTH).alias("hi"))
-
-
-def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
+def repeated_spans(texts: DataFrame, per_part: int = PART) -> DataFrame:
     """texts: (id, u, t). Spans (id, u, lo, hi) whose union is what repeats; they may overlap."""
     every = anchors(texts)
     # written out, so that both sides of the joins are plain shuffles, whose large partitions Spark can split
-    shared = materialize(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared-grams")
-    kept = materialize(every.join(shared, "key", "left_semi"), "anchors")
+    shared = materialize(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-grams")
+    kept = materialize(join_spread(every, shared, "key", "n", ["id", "pos"]).drop("n"), "anchors")
     firsts = [F.first(c).alias(c) for c in ("id", "u", "pos", "lo", "hi")]
     contexts = materialize(kept.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), *firsts), "contexts")
-    whole = kept.join(contexts.filter("n > 1").select("key", "ctx"), ["key", "ctx"], "left_semi").filter(F.col("hi") - F.col("lo") >= LENGTH).select("id", "u", "lo", "hi")
+    copies = contexts.filter("n > 1").select("key", "ctx", "n")
+    whole = join_spread(kept, copies, ["key", "ctx"], "n", ["id", "pos"]).filter(F.col("hi") - F.col("lo") >= LENGTH).select("id", "u", "lo", "hi")
     edges = materialize(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "edge-grams")
-    edge = contexts.join(edges, "key").select("key", "n", "id", "u", "pos", "lo", "hi", "kinds")
-    with_text = edge.join(texts, ["id", "u"]).select("key", "n", "id", "u", "pos", "lo", "kinds", F.expr("substring(t, lo + 1, hi - lo)").alias("c"))
-    with_text = materialize(with_text, "edge-contexts")
-    few = with_text.filter(F.col("kinds") <= hot).repartition("key").sortWithinPartitions("key")
-    many = with_text.filter(F.col("kinds") > hot)
-    return whole.unionByName(sort_contexts(few)).unionByName(count_windows(many))
-
-
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False, hot: int = HOT) -> DataFrame:
+    edge = join_spread(contexts, edges, "key", "kinds", ["ctx"]).withColumn("parts", F.ceil(F.col("kinds") / per_part).cast("int"))
+    edge = edge.select("key", F.pmod("ctx", F.col("parts")).cast("int").alias("part"), "parts", "n", "id", "u", "pos", "lo", "hi")
+    with_text = edge.join(texts, ["id", "u"]).select("key", "part", "parts", "n", "id", "u", "pos", "lo", F.expr("substring(t, lo + 1, hi - lo)").alias("c"))
+    in_order = sort_contexts(with_text.repartition("key", "part").sortWithinPartitions("key", "part"))
+    in_order = materialize(in_order, "sorted")
+    held = in_order.filter("d0 is not null")
+    often = held.groupBy("key", "d0", "d1").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    across = held.filter("hi is not null").join(often, ["key", "d0", "d1"], "left_semi").select("id", "u", "lo", "hi")
+    return whole.unionByName(in_order.filter("d0 is null").select("id", "u", "lo", "hi")).unionByName(across)
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False, per_part: int = PART) -> DataFrame:
     """Removes every byte that a string of LENGTH bytes covers which also starts anywhere else, in any row.
 
     Returns one row per input row: id_col, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the
     bytes left, in lowercase hex); with_bytes adds spans (array of first byte and end) and kept_bytes (binary).
     Texts are UTF-8 bytes, null counts as empty; matches never cross rows. Rows that repeat a text repeat all its
-    strings, so such texts of LENGTH bytes or more go whole. Null ids are kept as they are. An empty table gives no
-    rows; extra columns are ignored.
+    strings, so such texts of LENGTH bytes or more go whole. Null ids are kept as they are; one id may stand on several
+    texts. Very long texts are taken whole and held by one task at a time. An empty table gives no rows; extra columns
+    are ignored.
     """
     t = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), t.alias("t")).withColumn("u", F.xxhash64("t"))
-    spans = repeated_spans(texts, hot).groupBy("id", "u").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = repeated_spans(texts, per_part).groupBy("id", "u").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def cut(batches):
         for batch in batches:

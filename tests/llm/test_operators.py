@@ -5,6 +5,9 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -75,8 +78,8 @@ def brute_repeats(rows, n=200):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize("hot", [20_000, 3])
-def test_suffix_dedup(spark, hot):
+@pytest.mark.parametrize("per_part", [20_000, 3])
+def test_suffix_dedup(spark, per_part):
     rng = random.Random(5)
     base = "".join(rng.choice("abcd efgh") for _ in range(3000))
     data = [(None, "q" * 250), (1, None), (2, ""), (3, "a" * 199), (4, "ab" * 200), (4, "ab" * 200), (5, base[:200]), (6, "\0" * 300)]
@@ -86,7 +89,7 @@ def test_suffix_dedup(spark, hot):
         for _ in range(rng.randrange(4)):
             w[rng.randrange(len(w))] = "é"
         data.append((i, "".join(rng.choice("xyz") for _ in range(rng.randrange(300))) + "".join(w) + rng.choice("uv") * rng.randrange(9)))
-    got = suffix_dedup.suffix_dedup(docs(spark, [(i, t, "s") for i, t in data]), hot=hot).collect()
+    got = suffix_dedup.suffix_dedup(docs(spark, [(i, t, "s") for i, t in data]), per_part=per_part).collect()
     assert sorted(str(tuple(r)) for r in got) == brute_repeats(data)
     assert suffix_dedup.suffix_dedup(docs(spark, [])).count() == 0
 
@@ -119,6 +122,7 @@ def test_token_counts(spark):
     n = [len(e.ids) for e in t.encode_batch(data, add_special_tokens=False)]
     assert got == {i: (len(x.encode()), n[i], n[i] > 1024) for i, x in enumerate(data)} | {-1: (0, 0, False)}
     assert token_counts.count_tokens(docs(spark, []), P.path("byte_bpe_50k.json")).count() == 0
+    assert [tuple(r) for r in token_counts.count_tokens(docs(spark, [(1, "a b", "s")] * 3 + [(None, "a b", "s")]), P.path("byte_bpe_50k.json")).orderBy("doc_id").collect()] == [(None, 3, 2, False)] + [(1, 3, 2, False)] * 3
 
 
 def test_bpe_codec(spark):
@@ -134,22 +138,97 @@ def test_bpe_codec(spark):
         assert got[i] == (len(e.ids), e.ids, t.decode(e.ids, skip_special_tokens=False), sha), data[i]
 
 
-def test_ruzzo_tompa_segments():
-    rng = np.random.default_rng(0)
-    for _ in range(200):
-        s = rng.integers(-3, 4, rng.integers(0, 25)).astype(float)
-        got = toxicity.maximal_segments(s)
+def test_bpe_codec_on_repeated_rows_and_empty_tables(spark):
+    path = P.path("word_bpe_49k.json")
+    got = [tuple(r) for r in bpe_trie.encode_decode(docs(spark, [(1, "a b", "s")] * 3 + [(None, "a b", "s")]), path).collect()]
+    assert len({r[1:] for r in got}) == 1 and sorted(str(r[0]) for r in got) == ["1", "1", "1", "None"]
+    assert bpe_trie.encode_decode(docs(spark, []), path).count() == 0
+
+
+def brute_segments(s):
+    """The best segment, then what lies on both sides of it."""
+    sums = np.r_[0, np.cumsum(s)]
+
+    def within(lo, hi):
+        best = max(((sums[b] - sums[a], -(b - a), -a) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0, 0, 0))
+        if best[0] <= 0:
+            return []
+        a, b = -best[2], -best[2] - best[1]
+        return [*within(lo, a), (a, b, best[0]), *within(b, hi)]
 
-        def brute(lo, hi):  # best segment, then both sides of it
-            best = max(((s[a:b].sum(), -(b - a), -a) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=None)
-            if not best or best[0] <= 0:
-                return 0.0
-            a, b = -best[2], -best[2] - best[1]
-            return best[0] + brute(lo, a) + brute(b, hi)
+    return within(0, len(s))
 
-        assert all(s[a:b].sum() == pytest.approx(v) and v > 0 for a, b, v in got)
-        assert max((v for *_, v in got), default=0) == pytest.approx(max((s[a:b].sum() for a in range(len(s)) for b in range(a + 1, len(s) + 1)), default=0) if (s > 0).any() else 0)
-        assert all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+
+def test_ruzzo_tompa_segments():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        s = rng.normal(size=rng.integers(0, 25))
+        got, want = toxicity.maximal_segments(s), brute_segments(s)
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        assert [x[2] for x in got] == pytest.approx([x[2] for x in want])
+
+
+def test_long_inputs_take_linear_time():
+    def seconds(f, x):
+        least = 9.0
+        for _ in range(3):
+            start = time.perf_counter()
+            f(x)
+            least = min(least, time.perf_counter() - start)
+        return least
+
+    for n in (40_000, 80_000):  # toxic words between clean runs
+        one, two = (np.tile(np.r_[2.0, np.full(4, -0.7)], k) for k in (n, 2 * n))
+        assert seconds(toxicity.maximal_segments, two) < 2.6 * seconds(toxicity.maximal_segments, one) + 0.05
+    table, rng = token_counts.MergeTable(P.path("byte_bpe_50k.json")), random.Random(3)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)).encode()
+    count = lambda w: token_counts.count_long(w, table)
+    assert seconds(count, word) < 2.6 * seconds(count, word[:500_000]) + 0.5
+
+
+def test_extreme_value_law_against_simulation():
+    scores, clean, n = np.array([3.0, -0.7, 1.5]), np.array([10, 900, 40]), 20_000
+    lam, log_k = toxicity.extreme_value_law(scores, clean, clean.sum())
+    rng, best = np.random.default_rng(1), []
+    for _ in range(300):
+        sums = np.cumsum(rng.choice(scores, n, p=clean / clean.sum()))
+        best.append((sums - np.minimum.accumulate(np.r_[0, sums[:-1]])).max())
+    for q in (0.25, 0.5, 0.75, 0.9):
+        assert np.exp(-np.exp(log_k - lam * np.quantile(best, q)) * n) == pytest.approx(q, abs=0.12)
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    data = [(i, t, y) for i, t, y in labelled(300)]
+    d = spark.createDataFrame([(i, t) for i, t, _ in data] + [(7, "another text of a known id"), (None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y in data] + [(11, 1 - int(data[11][2]))], "doc_id long, toxic int")
+    truth = {i: int(y) for i, _, y in data} | {11: 1}
+    text = {i: min([t] + ["another text of a known id"] * (i == 7)) for i, t, _ in data}
+    train = [i for i in truth if zlib.crc32(str(i).encode()) % 4 != 2]
+    counts = {0: Counter(), 1: Counter()}
+    for i in train:
+        for w in re.findall(r"[a-z0-9]+", text[i]):
+            counts[truth[i]].update(zlib.crc32(k.encode()) % toxicity.BUCKETS for k in toxicity.keys_of(w))
+    n = {y: sum(c.values()) for y, c in counts.items()}
+    score = {}
+    for b in counts[1]:
+        prior = toxicity.PRIOR * (counts[0][b] + counts[1][b]) / (n[0] + n[1])
+        t, c = counts[1][b] + prior, counts[0][b] + prior
+        delta = math.log(t / (n[1] + toxicity.PRIOR - t)) - math.log(c / (n[0] + toxicity.PRIOR - c))
+        score[b] = max(delta + toxicity.COST, toxicity.COST) if delta / math.sqrt(1 / t + 1 / c) >= toxicity.SIGNIFICANT else toxicity.COST
+    known = np.array(sorted(score))
+    lam, log_k = toxicity.extreme_value_law(np.array([score[b] for b in known]), np.array([counts[0][b] for b in known]), n[0])
+
+    def evidence(t):
+        words = re.findall(r"[a-z0-9]+", t or "")
+        s = [max(score.get(zlib.crc32(k.encode()) % toxicity.BUCKETS, toxicity.COST) for k in toxicity.keys_of(w)) for w in words]
+        expected = math.log(max(len(words), 1)) + log_k
+        rated = [lam * v - expected for _, _, v in brute_segments(np.array(s)) if lam * v > expected]
+        return sum(rated) if rated else -max(0.0, expected) / 10
+
+    slope, offset = toxicity.fit_logistic(np.array([evidence(text[i]) for i in train]), np.array([float(truth[i]) for i in train]))
+    want = sorted((str(i), round(1 / (1 + math.exp(-slope * evidence(t) - offset)), 4)) for i, t in [*((i, t) for i, t, _ in data), (7, "another text of a known id"), (None, None)])
+    got = sorted((str(r.doc_id), round(r.score, 4)) for r in toxicity.score_toxicity(d, labels).collect())
+    assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=2e-3)
 
 
 def labelled(n=600):
@@ -190,6 +269,11 @@ def test_quality(spark):
     held = [(got[i].score, y) for i, _, y in data if got[i].held_out]
     assert len(held) > 50 and sum((s >= 0.3) == y for s, y in held) / len(held) > 0.97
     assert got[5000].score == got[5001].score and all(0 <= r.score <= 1 for r in got.values())
+    clash = labels.union(spark.createDataFrame([(i, 1 - int(y), 0) for i, _, y in data[:40]], "doc_id long, quality int, toxic int"))
+    again = [sorted(map(str, quality.score_quality(d.repartition(n), clash.repartition(n)).select("doc_id", F.round("score", 6)).collect())) for n in (1, 5)]
+    assert again[0] == again[1]
+    twice = quality.score_quality(d.union(d), labels).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("score").alias("k")).collect()
+    assert all((r.n, r.k) == (2, 1) for r in twice)
     assert quality.score_quality(docs(spark, []), labels).count() == 0
     assert quality.score_quality(d, labels.filter("false")).count() == len(data) + 4
 
@@ -223,8 +307,27 @@ def test_warc(spark, tmp_path):
         got = warc.read_warc(spark, path, step).select("record_id", "payload").collect()
         assert sorted(r[0] for r in got) == sorted(f"urn:page:{'' if r[0] is None else r[0]}" for r in rows)
         assert {r[0]: bytes(r[1]) for r in got}["urn:page:9"] == noise.encode()
-    members = b"".join(gzip.open(p).read() for p in (tmp_path / "warc").glob("part-*"))
-    assert members.count(b"WARC/1.1\r\n") == len(rows)
+    files = sorted((tmp_path / "warc").glob("part-*.warc.gz"))
+    assert len(files) == len(list((tmp_path / "warc").glob("part-*")))
+    members = b"".join(subprocess.run(["gzip", "-dc", str(p)], capture_output=True, check=True).stdout for p in files)
+    assert members.count(b"WARC/1.1\r\n") == members.count(b"\r\nWARC-Date: 20") == len(rows)
+
+
+def test_warc_ranges_have_tasks_of_their_own(spark, tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(warc.record("response", f"http://{i}", i, None, "x", bytes(50)) for i in range(300)))
+    records = warc.read_warc(spark, f"file://{tmp_path}", 1000)
+    used = records.groupBy(F.spark_partition_id()).count().count()
+    assert records.count() == 300 and used > 20
+
+
+def test_warc_large_records_and_repeated_ids(spark, tmp_path):
+    large = "x" * (17 << 20)
+    pages = spark.createDataFrame([(1, "u", large), (1, "u", "é" * 900), (2, "v", "é" * 900), (2, "v", "é" * 900)], "page_id long, url string, html string").repartition(1)
+    warc.write_warc(pages, f"file://{tmp_path}/w")
+    got = warc.read_warc(spark, f"file://{tmp_path}/w", 1 << 20).select("record_id", "record_type", "payload_bytes").collect()
+    assert sorted(map(tuple, got)) == [("urn:page:1", "response", len(large)), ("urn:page:1", "revisit", 1800), ("urn:page:2", "response", 1800), ("urn:page:2", "response", 1800)]
+    file = next((tmp_path / "w").glob("part-*.warc.gz"))
+    assert subprocess.run(["gzip", "-dc", str(file)], capture_output=True, check=True).stdout.count(b"WARC/1.1\r\n") == 4
 
 
 def test_warc_reads_foreign_archives(spark, tmp_path):
@@ -260,7 +363,9 @@ def test_mixing(spark, rows):
 def test_mixing_many_sources(spark, rows, monkeypatch):
     d = docs(spark, rows)
     few = sorted(map(str, mixing.mix(d).collect()))
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "HOT_SHARE", 0)  # every source is joined
+    assert sorted(map(str, mixing.mix(d).collect())) == few
+    monkeypatch.setattr(mixing, "HOT_SHARE", 2)  # one is broadcast, the others are joined
     assert sorted(map(str, mixing.mix(d).collect())) == few
 
 
@@ -314,6 +419,60 @@ def test_near_dedup(spark, rows, k, percent, monkeypatch):
     assert minhash.near_dedup(docs(spark, [])).count() == 0
 
 
+def test_one_id_on_different_texts(spark):
+    """Rows are told apart by their texts: no link is lost and no unique text goes."""
+    rng = random.Random(12)
+    a, b, c = (" ".join(rng.choice("abcdefgh") + str(rng.randrange(500)) for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, c), (4, c + " z"), (0, c), (0, "quite another text")]
+    got = minhash.near_dedup(docs(spark, [(i, t, "s") for i, t in rows]), 4, 80, with_sha=True).collect()
+    of = {hashlib.sha256(t.encode()).hexdigest(): t for _, t in rows}
+    comps = {(r.doc_id, of[r.text_sha256]): (r.component_id, r.kept) for r in got}
+    assert comps == {(1, a): (1, True), (1, b): (1, True), (2, a + " x"): (1, False), (3, b + " y"): (1, False), (4, c): (0, False), (4, c + " z"): (0, False), (0, c): (0, True), (0, "quite another text"): (0, True)}
+
+    data = [(42, "same text"), (50, "same text"), (42, "a quite different one")]
+    got = {(r.doc_id, r.kept, r.group_size) for r in exact_dedup.exact_dedup(docs(spark, [(i, t, "s") for i, t in data]), keep="largest").collect()}
+    assert got == {(42, False, 2), (50, True, 2), (42, True, 1)}
+
+    x, y = [1.0, 0.1, 0.0], [0.0, 0.1, 1.0]
+    vectors = spark.createDataFrame([(1, x, 0), (1, y, 0), (2, [1.0, 0.11, 0.0], 0), (3, [0.0, 0.11, 1.0], 0)], "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, embed_dedup.near_vectors(vectors).collect())) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
+def test_exact_dedup_with_a_full_filter(spark, rows, monkeypatch):
+    want = sorted(map(str, exact_dedup.exact_dedup(docs(spark, rows)).collect()))
+    monkeypatch.setattr(exact_dedup, "_places", lambda digests, bits: np.zeros((len(digests), 4), np.int64))
+    assert sorted(map(str, exact_dedup.exact_dedup(docs(spark, rows)).collect())) == want
+
+
+def test_multikey_quicksort_orders_like_lexsort():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2000):
+        group, words = np.sort(rng.integers(0, n // 20 + 1, n)), rng.integers(0, 4, (n, 4)).astype(np.uint64)
+        order, tied = suffix_dedup.multikey_quicksort(group, words)
+        want = np.lexsort((*words.T[::-1], group))
+        assert (words[order] == words[want]).all() and (group[order] == group[want]).all()
+        same = (words[order][1:] == words[order][:-1]).all(1) & (group[order][1:] == group[order][:-1])
+        assert ((np.diff(tied) == 0) == same).all()
+
+
+def test_long_unbroken_text(spark):
+    """A text of a million characters without a break, in every operator on texts."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefghijklmnop") for _ in range(1_000_000))
+    d = spark.createDataFrame([(1, long), (2, long + "q"), (3, "short text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 1), (3, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(d, P.path("byte_bpe_50k.json")).collect()}
+    assert got == {1: len(t.encode(long).ids), 2: len(t.encode(long + "q").ids), 3: 2}
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    assert {r.doc_id: r.n_tokens for r in bpe_trie.encode_decode(d, P.path("word_bpe_49k.json")).collect()}[1] == len(t.encode(long, add_special_tokens=False).ids)
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.suffix_dedup(d).collect()} == {1: (1_000_000, 1), 2: (1_000_000, 1), 3: (0, 0)}
+    assert toxicity.score_toxicity(d, labels).count() == quality.score_quality(d, labels).count() == 3
+    assert minhash.near_dedup(d).filter("kept").count() == exact_dedup.exact_dedup(d).filter("kept").count() == 3
+
+
 def test_index_brings_all_near_signatures_together():
     rng = np.random.default_rng(7)
     a = rng.integers(0, 1 << 16, minhash.POSITIONS)
@@ -375,10 +534,15 @@ def test_near_vectors_audits_direct_links(spark, monkeypatch, start):
     for g in range(12):
         base = rng.normal(size=16)
         rows += [(10 * g + i, (base + rng.normal(size=16) * 0.02).tolist(), 1) for i in range(6)]
-    chain = [(10 * g + i, 10 * g + i + 1, 0.99) for g in range(12) for i in range(5)] if start == "a chain" else []
     monkeypatch.setattr(embed_dedup, "BLOCK", 16)
     monkeypatch.setattr(embed_dedup, "ROUNDS", 2)
-    monkeypatch.setattr(embed_dedup, "seed_links", lambda reps: spark.createDataFrame(chain, "u long, v long, sim double"))
-    monkeypatch.setattr(embed_dedup, "local_joins", lambda lists, reps, turn: spark.createDataFrame([], "u long, v long, sim double"))
+
+    def chain(reps, least):  # of the classes, which have numbers of their own
+        rep = {r.low: r.rep for r in reps.select("low", "rep").collect()}
+        ends = [(rep[10 * g + i], rep[10 * g + i + 1]) for g in range(12) for i in range(5)] if start == "a chain" else []
+        return spark.createDataFrame([(min(e), max(e), 0.99, 2) for e in ends], embed_dedup.PAIRS)
+
+    monkeypatch.setattr(embed_dedup, "seed_links", chain)
+    monkeypatch.setattr(embed_dedup, "local_joins", lambda lists, reps, turn, least: spark.createDataFrame([], embed_dedup.PAIRS))
     got = embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert sorted(map(tuple, got)) == [(i, 5, i - i % 10, i % 10 == 0) for i, *_ in rows]

@@ -46,3 +46,20 @@ def test_stages_and_run(spark, tmp_path):
         e = t.encode(text[i], add_special_tokens=False).ids
         assert (n, ids, decoded) == (len(e), hashlib.sha256(" ".join(map(str, e)).encode()).hexdigest(), hashlib.sha256(t.decode(e, skip_special_tokens=False).encode()).hexdigest())
     assert sorted(tuple(r) for r in pipeline.run(spark, sf).collect()) == sorted(seen[4])
+
+
+def test_one_id_on_different_texts(spark, tmp_path):
+    data = [(42, "same text"), (50, "same text"), (42, "a quite different one"), (None, "same text"), (42, None), (43, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.exact(spark, docs, str(tmp_path))
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(50, "same text"), (42, "a quite different one"), (None, "same text"), (43, "")}
+    words = " ".join(f"w{i}" for i in range(40))
+    data = [(1, words), (1, "something else that nobody has written before"), (2, words + " more"), (2, "one more text of its own kind here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in data], docs.schema)
+    assert {(r.doc_id, r.text) for r in pipeline.near(spark, docs, str(tmp_path)).collect()} == {(i, t) for i, t in data if t != words + " more"}
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
