@@ -6,8 +6,8 @@ Parquet and read again as the next stage's docs. All but the last return the col
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from noticelake.llm.bpe_trie import encode_decode
 from noticelake.llm.common import load, materialize
@@ -22,16 +22,24 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, load(spark, sf_dir, "labels"))
 
 
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of docs but those whose doc_id and text (null as empty) are in dropped (doc_id, text_sha256).
+
+    One identifier may stand on different texts, so identifiers alone do not say which row goes.
+    """
+    keyed = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    gone = dropped.select("doc_id", F.col("text_sha256").alias("_sha")).distinct()
+    return keyed.join(gone.hint("merge"), ["doc_id", "_sha"], "left_anti").select(docs.columns)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays. Rows without an id stay."""
-    dropped = exact_dedup(docs, keep="largest").filter("not kept").select("doc_id")
-    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, exact_dedup(docs, keep="largest").filter("not kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the smallest doc_id stays."""
-    dropped = near_dedup(docs, words=5, percent=80).filter("not kept").select("doc_id")
-    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, near_dedup(docs, words=5, percent=80, with_sha=True).filter("not kept"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,6 +49,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every copy."""
+    import public_tokenizers
+
     return encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -51,6 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages on documents.
+
+    Nulls in any column pass through (a null text is an empty one); empty and repeated rows count as the stages say;
+    texts are taken whole; an empty table gives no rows; further columns of documents are left out.
+    """
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
