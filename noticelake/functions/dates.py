@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: fixed values: German month names without accents
 MONTHS = "januar februar marz april mai juni juli august september oktober november dezember".split()
+WEEKDAYS = "montag dienstag mittwoch donnerstag freitag samstag sonntag".split()
 DAY = r"(\d{1,2})\.\s*(\d{1,2})\."
-SPAN = r"(?i)(?:vom\s+)?(\d{1,2})\.\s*(\d{1,2})\.\s*(\d{4})?\s*(?:bis|-|–)\s*(?:zum\s+)?(\d{1,2})\.\s*(\d{1,2})\.\s*(\d{4})?"
+_MONTH = "|".join(MONTHS).replace("marz", "m[aä]rz")
+#: a date as d.m. or as d. month, either with a year or not
+PART = rf"(?:\d{{1,2}}\.\s?\d{{1,2}}\.\s?(?:20\d{{2}})?|(?:(?:{'|'.join(WEEKDAYS)}),?\s?)?\d{{1,2}}\.\s?(?:{_MONTH})(?:\s?20\d{{2}})?)"
+DASHED = rf"(?i){PART}\s?[–—-]\s?{PART}"
+WORDED = rf"(?i)\bvom\b\s?{PART}.{{0,40}}?\bbis\b\s?(?:zum\s)?{PART}"
 
 
 def _int(x: Column) -> Column:
@@ -34,17 +39,36 @@ def normalize(x: Column) -> Column:
     )
 
 
-def date_range(text: Column) -> tuple[Column, Column]:
-    """First and last day of 'vom d.m. bis d.m.yyyy'. A missing year is the other's; a start after the end is a year earlier."""
-    g = lambda i: F.regexp_extract(text, SPAN, i)
-    y1, y2 = F.nullif(g(3), F.lit("")), F.nullif(g(6), F.lit(""))
-    year_end, year_start = F.coalesce(y2, y1), F.coalesce(y1, y2)
-    end, start = make(year_end, g(5), g(4)), make(year_start, g(2), g(1))
-    return F.when((start > end) & y1.isNull(), F.add_months(start, -12)).otherwise(start), end
+def with_range(rows: DataFrame, text: str, first: str, last: str) -> DataFrame:
+    """Adds the first and last day of a range in a text: 'a - b', else 'vom a bis b', the days in figures or with a
+    month's name.
+
+    A missing year is the other's; a start without a year that would lie after the end is a year earlier. Without a year
+    or a valid day at both ends there is no range. The span is searched once and its ends are read from it alone.
+    """
+    plain = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " ")
+    rows = rows.withColumn("_plain", plain)
+    dashed, worded = (F.nullif(F.regexp_extract("_plain", p, 0), F.lit("")) for p in (DASHED, WORDED))
+    rows = rows.withColumn("_span", F.coalesce(dashed, worded)).drop("_plain")
+    ends = (rf"(?i)^(?:vom\s?)?({PART})", rf"(?i)({PART})$")
+    rows = rows.withColumns({f"_{k}": F.lower(F.regexp_extract("_span", p, 1)) for k, p in zip("ab", ends, strict=True)})
+    month = lambda c: F.array_position(F.array(*(F.lit(m) for m in MONTHS)), F.translate(F.regexp_extract(c, rf"({_MONTH})", 1), "ä", "a"))
+    of = lambda c: F.struct(
+        F.regexp_extract(c, r"20\d{2}", 0).try_cast("int").alias("y"),
+        F.coalesce(F.regexp_extract(c, r"\d{1,2}\.\s?(\d{1,2})\.", 1).try_cast("long"), month(c)).alias("m"),
+        F.regexp_extract(c, r"(\d{1,2})\.", 1).try_cast("int").alias("d"),
+    )
+    rows = rows.withColumns({"_a": of("_a"), "_b": of("_b")})
+    rows = rows.withColumn("_end", make(F.coalesce("_b.y", "_a.y"), F.col("_b.m"), F.col("_b.d")))
+    rows = rows.withColumn("_start", make(F.coalesce("_a.y", "_b.y"), F.col("_a.m"), F.col("_a.d")))
+    late = (F.col("_start") > F.col("_end")) & F.col("_a.y").isNull()
+    start = F.when(late, make(F.col("_b.y") - 1, F.col("_a.m"), F.col("_a.d"))).otherwise(F.col("_start"))
+    both = start.isNotNull() & F.col("_end").isNotNull()
+    return rows.withColumns({first: F.when(both, start), last: F.when(both, F.col("_end"))}).drop("_span", "_a", "_b", "_start", "_end")
 
 
-def import_dates(publication: Column, deadline: Column, text: Column, reference: Column) -> tuple[Column, Column]:
-    """A range in the text beats the fields; a publication after the reference is blanked."""
-    start, end = date_range(text)
-    pub = F.coalesce(start, publication)
-    return F.when(pub <= reference, pub), F.coalesce(end, deadline)
+def import_dates(rows: DataFrame, publication: Column, deadline: Column, text: str, reference: Column) -> DataFrame:
+    """Adds publication_date and deadline_date: a range in the text beats the fields; a publication after the reference is blanked."""
+    rows = with_range(rows, text, "_first", "_last")
+    pub = F.coalesce("_first", publication)
+    return rows.withColumns({"publication_date": F.when(pub <= reference, pub), "deadline_date": F.coalesce("_last", deadline)}).drop("_first", "_last")

@@ -39,3 +39,30 @@ def strip_html(x: str) -> str:
     for name, sign in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("apos", "''"), ("auml", "ä"), ("ouml", "ö"), ("uuml", "ü"), ("Auml", "Ä"), ("Ouml", "Ö"), ("Uuml", "Ü"), ("szlig", "ß"), ("amp", "&")):
         x = f"replace({x}, '&{name};', '{sign}')"
     return collapse(x)
+
+
+def content_region(x: str) -> str:
+    for tag in ("header", "footer", "nav", "aside", "form"):
+        x = f"regexp_replace({x}, '<{tag}[^>]*>.*?</{tag}>', ' ', 'gis')"
+    main = f"nullif(regexp_extract({x}, '<main[^>]*>(.*?)</main>', 1, 'is'), '')"
+    articles = f"nullif(array_to_string(regexp_extract_all({x}, '<article[^>]*>(.*?)</article>', 1, 'is'), ' '), '')"
+    return f"coalesce({main}, {articles}, {x})"
+
+
+def resolve(base: str, href: str) -> str:
+    return f"""regexp_replace(CASE WHEN regexp_matches({href}, '^[A-Za-z]+://') THEN {href} WHEN {href} LIKE '/%' THEN regexp_extract({base}, '^([A-Za-z]+://[^/]+)', 1) || {href}
+ ELSE regexp_extract({base}, '^([A-Za-z]+://[^/]+(/([^?#]*/)?)?)', 1) || {href} END, '#.*$', '')"""
+
+
+def score(rules: list) -> str:
+    """Points of (subject column, [(pattern, points)]) rules."""
+    whens = (" ".join(f"WHEN regexp_matches({c}, '{p}') THEN {n}" for p, n in choices) for c, choices in rules)
+    subjects = (c for c, _ in rules)
+    return " + ".join(f"(CASE {w} ELSE 0 END)" for _, w in zip(subjects, whens))
+
+
+def pick(key: str, values: list) -> str:
+    """The value of a case by a number; %k in it stands for the number."""
+    items = ", ".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in values)
+    chosen = f"[{items}][{key} % {len(values)} + 1]"
+    return f"replace({chosen}, '%k', CAST({key} AS VARCHAR))" if any(isinstance(v, str) for v in values) else chosen

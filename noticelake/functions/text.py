@@ -115,6 +115,12 @@ def labelled_value(x: Column, label: str, following: list[str]) -> Column:
     return F.trim(F.regexp_extract(x, rf"(?i){label}\s*:?\s*(.+?)\s*(?:{stop}|$)", 1))
 
 
+def pick(key: Column, values: list) -> Column:
+    """The text of a case by a number; %k in it stands for the number."""
+    chosen = F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (key % len(values) + 1).cast("int"))
+    return F.replace(chosen, F.lit("%k"), key.cast("string"))
+
+
 def source_kind(x: Column) -> Column:
     """Kind of a source by words in its name; authority before municipality before import."""
     n = base(x)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
@@ -35,14 +35,11 @@ def geocodable(a: Column) -> Column:
 def fields(texts: DataFrame, body: str = "body") -> DataFrame:
     """Adds applicant, project, address, parcel, publication and deadline."""
     b = F.col(body)
-    start, end = dates.date_range(b)
-    return texts.withColumns({
+    return dates.with_range(texts, body, "publication_date", "deadline_date").withColumns({
         "applicant": T.labelled_value(b, "Bauherrschaft", ["Bauvorhaben", "Bauplatz", "Auflage"]),
         "project": T.labelled_value(b, "Bauvorhaben", ["Bauplatz", "Parzelle", "Auflage"]),
         "place": street_address(b),
         "parcel": parcel_number(b),
-        "publication_date": start,
-        "deadline_date": end,
     })
 
 
@@ -76,11 +73,78 @@ def gazetteer_match(records: DataFrame, gazetteer: DataFrame, id_col: str) -> Da
     return best.select(id_col, F.col("s.x").alias("x"), F.col("s.y").alias("y"), F.when(F.col("s.kind") == 0, "parcel").otherwise("address").alias("matched_by"))
 
 
+#: rules that are held against the documents at a time
+RULE_BLOCK = 1000
+
+
 def term_rules(documents: DataFrame, rules: DataFrame, text_col: str, most: int = 24) -> DataFrame:
-    """Pairs of documents and rules (include, exclude: terms joined by a bar) that accept them. rules is a small table."""
+    """Pairs of documents and rules (include, exclude: terms joined by a bar) that accept them.
+
+    A rule has at most `most` terms each way. Terms are searched inside the texts, so each document meets each rule;
+    the rules are dealt to blocks of RULE_BLOCK, and a block is broadcast at a time.
+    """
     text = T.collapse(F.lower(F.col(text_col)))
     terms = lambda c: F.filter(F.transform(F.slice(F.split(F.coalesce(F.col(c), F.lit("")), r"\|"), 1, most), lambda t: T.collapse(F.lower(t))), lambda t: t != "")
     r = rules.withColumns({"_in": terms("include"), "_out": terms("exclude")})
+    blocks = max(1, -(-rules.count() // RULE_BLOCK))
+    if blocks > 1:
+        r = r.withColumn("_block", F.row_number().over(Window.orderBy(*rules.columns)) % blocks)
     d = documents.withColumn("_t", text)
     hit = lambda c: F.exists(c, lambda t: F.contains(F.col("_t"), t))
-    return d.crossJoin(F.broadcast(r.limit(1000))).filter(((F.size("_in") == 0) | hit("_in")) & ~hit("_out")).drop("_in", "_out", "_t")
+    out = None
+    for k in range(blocks):
+        block = F.broadcast(r.filter(F.col("_block") == k).drop("_block") if blocks > 1 else r)  # at most RULE_BLOCK rules
+        pairs = d.crossJoin(block).filter(((F.size("_in") == 0) | hit("_in")) & ~hit("_out")).drop("_in", "_out", "_t")
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+#: fixed values: words that tell a project's scale; large ones go first, then small ones
+LARGE_PROJECT = r"(?iu)mehrfamilienh(?:aus|äuser)|\bmfh\b|wohnüberbauung|arealüberbauung|überbauung|industrie(?:halle|bau)|gewerbebau|geschäftshaus|schul(?:haus|anlage)|mehrzweckhalle|spital|pflegeheim|hotel|wohn- und geschäftshaus"
+SMALL_PROJECT = r"(?iu)wärmepumpe|photovoltaik|pv-anlage|solaranlage|dachfenster|fensterersatz|reklame|werbeanlage|klimaanlage|ladestation|e-ladestation|sichtschutz|pergola|gartenhaus|geräteschuppen|velounterstand|carport|schwimmbecken|pool|fassaden(?:änderung|anstrich)|dachsanierung"
+MEDIUM_PROJECT = r"(?iu)einfamilienhaus|\befh\b|doppeleinfamilienhaus|reihenhaus|anbau|umbau|aufstockung|umnutzung|ersatzneubau|neubau|sanierung|renovation|garage|terrasse|balkon|dachausbau"
+
+
+def project_scale(*parts: Column) -> Column:
+    """gross, klein, mittel or nicht-klassiert by the words of a project's texts."""
+    t = F.concat_ws(" ", *(T.blank_to_null(p) for p in parts))
+    return F.when(t.rlike(LARGE_PROJECT), "gross").when(t.rlike(SMALL_PROJECT), "klein").when(t.rlike(MEDIUM_PROJECT), "mittel").otherwise("nicht-klassiert")
+
+
+#: fixed values: what marks content that is no permit notice, and the words that speak for one all the same
+SEARCH_RESULTS = r"(?i)\b(suchergebnisse?|suchresultate|search results?|resultate)\b"
+BULLETIN = r"(?i)\b(mitteilungsblatt|infoblatt)\b"
+OTHER_PROCEDURE = r"(?i)\b(plangenehmigungsverfahren|elektrizit(?:ä|ae)tsgesetz|eleg)\b"
+OTHER_TOPIC = r"(?i)\b(gemeinderat|gemeindeversammlung|traktanden|protokoll|beschl(?:ü|ue)sse?|reglemente?|budget|rechnung|steuer|abstimmung|wahl|nutzungsplanung|bno|zonenvorschriften|gestaltungsplan|familiengartenzone|vorpr(?:ü|ue)fung|mitwirkung|genehmigung)\b"
+OTHER_URL = r"(?i)(regionalebauverwaltung\.ch|/bauen/baubewilligungen/ebau-aargau|(?:^|[\\/_-])bno(?:[\\/_.-]|$)|nutzungsordnung)"
+PERMIT_SIGNAL = r"(?i)\b(baugesuche?|baupublikation(?:en)?|baubewilligung(?:en)?|bauherr(?:schaft)?|bauobjekt|bauvorhaben|bauprojekt|bauplatz|baustelle|objektadresse|standort)\b"
+
+
+def is_off_topic(text: Column, url: Column) -> Column:
+    """Search results (not on a detail page), other addresses, bulletins, other procedures, topics without a permit signal."""
+    t, u = T.collapse(text), F.coalesce(url, F.lit(""))
+    both = F.concat_ws(" ", u, t)
+    detail = u.rlike(r"(?i)/(detail|id|item)[/=-]?[0-9]+")
+    return (t != "") & ((both.rlike(SEARCH_RESULTS) & ~detail) | u.rlike(OTHER_URL) | both.rlike(BULLETIN) | both.rlike(OTHER_PROCEDURE) | (both.rlike(OTHER_TOPIC) & ~both.rlike(PERMIT_SIGNAL)))
+
+
+#: fixed values: patterns of addresses that no permit has (a month and year, a menu entry, a file)
+JUNK_ADDRESS = [*(f"{m} 20%" for m in "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split()), "%Facebook%", "%Instagram%", "%Youtube%", "%Gemeinderatsnachrichten%", "%Aktuelles%", "%News%", "%Vernehmlassung%", "Adresse von Webseite prüfen"]
+
+
+def prune_junk(records: DataFrame, patterns: list[tuple[str, str]], comments: DataFrame, id_col: str = "id") -> DataFrame:
+    """Without untouched, uncommented records of unclear place that a (column, LIKE pattern) calls junk."""
+    junk = F.lit(False)
+    for column, pattern in patterns:
+        junk = junk | F.coalesce(F.col(column).like(pattern), F.lit(False))
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    untouched = (F.col("workflow_status") == "new") & blank("assignee") & blank("note") & F.col("ambiguous_address")
+    gone = records.filter(junk & untouched).select(id_col).join(comments.select(id_col), id_col, "left_anti")
+    return records.join(gone, id_col, "left_anti")
+
+
+def markup_junk(x: Column) -> Column:
+    """Rests of markup or of a document's inner structure, or two characters or more that could not be decoded."""
+    markup = x.rlike(r"(?i)<[a-z/!]|=\s*[\"']|\bdata-[\w-]+|%5[bd]|class=|box[\s-]box|tx_[a-z_]+|filter%|/publikation")
+    document = x.rlike(r"%PDF-|/FlateDecode|\bendobj\b|\bendstream\b")
+    return F.coalesce(markup | document | (F.length(x) - F.length(F.replace(x, F.lit("\ufffd"), F.lit(""))) >= 2), F.lit(False))

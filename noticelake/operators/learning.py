@@ -46,13 +46,16 @@ def top_rules(rules: DataFrame, n: int = 25) -> DataFrame:
 
 
 def best_rule(items: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
-    """The best of the municipality's top rules for every item, where it scores MINIMUM or more."""
+    """The best of the municipality's top rules for every item, where it scores MINIMUM or more.
+
+    Items with the same three signatures have the same best rule, so each combination is scored once.
+    """
     top = top_rules(rules).select("municipality_key", F.col("address_signature").alias("ra"), F.col("project_signature").alias("rp"), "protection_status", "confidence")
-    pairs = items.join(top, "municipality_key")
+    kinds = items.select(*KEY).distinct()
     score = similarity(F.col("address_signature"), F.col("ra"), F.col("project_signature"), F.col("rp"), F.col("confidence"))
-    scored = pairs.withColumn("score", F.round(score, 6)).filter(F.col("score") >= MINIMUM)
-    w = Window.partitionBy(id_col).orderBy(F.desc("score"), "ra", "rp")
-    return scored.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(id_col, "ra", "rp", "protection_status", "score")
+    scored = kinds.join(top, "municipality_key").withColumn("score", F.round(score, 6)).filter(F.col("score") >= MINIMUM)
+    best = scored.groupBy(*KEY).agg(F.min(F.struct(F.negative("score").alias("low"), "ra", "rp", "protection_status", "score")).alias("s"))
+    return items.select(id_col, *KEY).join(best, KEY).select(id_col, "s.ra", "s.rp", "s.protection_status", "s.score")
 
 
 def apply_rules(items: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:

@@ -14,6 +14,10 @@ PRIORITY = ["authority", "municipality", "import"]
 FIELDS = ["municipality", "publication_date", "deadline_date", "parcel", "address", "project_type"]
 
 
+#: keys of each rule; the last two ask that a publication date is missing on one side at least
+RULE_KEYS = [["k_pub", "k_parcel"], ["k_pub", "k_addr"], ["k_parcel", "k_proj"], ["k_addr", "k_proj"]]
+
+
 def with_keys(records: DataFrame) -> DataFrame:
     """Adds the normalised match keys; null where a field is blank, so that blanks never match."""
     return records.withColumns({
@@ -25,38 +29,67 @@ def with_keys(records: DataFrame) -> DataFrame:
     })
 
 
-def link_pairs(incoming: DataFrame, candidates: DataFrame, id_col: str = "rec_id") -> DataFrame:
-    """(incoming_id, candidate_id, rule_rank): the first rule that each pair meets.
+def keyed(records: DataFrame, id_col: str, more: list[str] = ()) -> DataFrame:
+    """id and match keys of the records that have a municipality, written out: keys are made once for all rules."""
+    cols = [F.col(id_col).alias("id"), *more, "k_mun", "k_pub", "k_parcel", "k_addr", "k_proj"]
+    return written(with_keys(records).select(*cols).filter("k_mun is not null"), "keyed")
 
-    Four equi-joins, one per rule, each on the municipality and that rule's own keys. The rules for a missing
-    publication date split into: missing on the left, and missing on the right only.
-    """
-    cols = ["k_mun", "k_pub", "k_parcel", "k_addr", "k_proj"]
-    left = with_keys(incoming).select(F.col(id_col).alias("incoming_id"), *cols).filter("k_mun is not null")
-    right = with_keys(candidates).select(F.col(id_col).alias("candidate_id"), *cols).filter("k_mun is not null")
 
-    def joined(rank: int, keys: list[str], l=None, r=None) -> DataFrame:
-        a = left if l is None else left.filter(l)
-        b = right if r is None else right.filter(r)
+def _parts(left: DataFrame, right: DataFrame):
+    """(rank, keys, left rows, right rows) of the equi-joins that make up the rules.
+
+    The rules for a missing publication date split into: missing on the left, and missing on the right only.
+    """
+    for rank, keys in enumerate(RULE_KEYS):
         filled = " and ".join(f"{k} is not null" for k in keys)
-        pair = a.filter(filled).select("incoming_id", "k_mun", *keys).join(b.filter(filled).select("candidate_id", "k_mun", *keys), ["k_mun", *keys])
-        return pair.select("incoming_id", "candidate_id", F.lit(rank).alias("rule_rank"))
-
-    parts = [joined(0, ["k_pub", "k_parcel"]), joined(1, ["k_pub", "k_addr"])]
-    for rank, keys in ((2, ["k_parcel", "k_proj"]), (3, ["k_addr", "k_proj"])):
-        parts += [joined(rank, keys, l="k_pub is null"), joined(rank, keys, l="k_pub is not null", r="k_pub is null")]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+        sides = [(None, None)] if rank < 2 else [("k_pub is null", None), ("k_pub is not null", "k_pub is null")]
+        for l, r in sides:
+            yield rank, ["k_mun", *keys], left.filter(f"{filled} and {l}" if l else filled), right.filter(f"{filled} and {r}" if r else filled)
+
+
+def link_pairs(incoming: DataFrame, candidates: DataFrame, id_col: str = "rec_id") -> DataFrame:
+    """(incoming_id, candidate_id, rule_rank): the first rule that each pair meets, by equi-joins on each rule's keys.
+
+    All pairs are asked for here. Where only the number of candidates counts, link_status does without pairs.
+    """
+    left, right = keyed(incoming, id_col), keyed(candidates, id_col)
+    every = None
+    for rank, keys, a, b in _parts(left, right):
+        pair = a.select(F.col("id").alias("incoming_id"), *keys).join(b.select(F.col("id").alias("candidate_id"), *keys), keys)
+        pair = pair.select("incoming_id", "candidate_id", F.lit(rank).alias("rule_rank"))
+        every = pair if every is None else every.unionByName(pair)
     return every.groupBy("incoming_id", "candidate_id").agg(F.min("rule_rank").alias("rule_rank"))
 
 
-def link_status(incoming: DataFrame, pairs: DataFrame, id_col: str = "rec_id") -> DataFrame:
-    """One row per incoming record: candidates, status none / matched / ambiguous, and the match where it is the only one."""
-    n = pairs.groupBy("incoming_id").agg(F.count(F.lit(1)).alias("candidates"), F.min("candidate_id").alias("c"), F.min("rule_rank").alias("r"))
-    status = F.when(F.col("candidates").isNull(), "none").when(F.col("candidates") == 1, "matched").otherwise("ambiguous")
+def first_candidates(incoming: DataFrame, candidates: DataFrame, own: bool = False) -> DataFrame:
+    """(id, found, rank): up to two candidates of every keyed record that has any, and the first rule that gave one.
+
+    incoming and candidates as keyed() gives them, with a column `kind`; kinds that may not be linked do not meet. Each
+    key keeps its two smallest candidates of each kind (three where records may be their own candidates: own), cut down
+    in each task before the shuffle, so a key that very many records share costs no more than any other.
+    """
+    most = 3 if own else 2
+    every = None
+    for rank, keys, a, b in _parts(incoming, candidates):
+        w = Window.partitionBy(*keys, "kind").orderBy("id")
+        few = b.select("id", "kind", *keys).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most)
+        few = few.groupBy(*keys, F.col("kind").alias("their")).agg(F.array_sort(F.collect_list("id")).alias("ids"))  # at most `most`
+        met = a.select("id", "kind", *keys).join(few, keys).filter(can_reconcile(F.col("kind"), F.col("their")))
+        met = met.select("id", F.lit(rank).alias("rank"), F.explode(F.filter("ids", lambda x: x != F.col("id"))).alias("candidate"))
+        every = met if every is None else every.unionByName(met)
+    first = every.groupBy("id", "candidate").agg(F.min("rank").alias("rank"))  # a few rows for each record
+    return first.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("candidate")), 1, 2).alias("found"), F.min("rank").alias("rank"))
+
+
+def link_status(incoming: DataFrame, candidates: DataFrame, id_col: str = "rec_id") -> DataFrame:
+    """One row per incoming record: candidates (0, 1, or 2 for several), status none / matched / ambiguous, and the match
+    and its rule where it is the only one. Both sides have a source_kind."""
+    kind = F.col("source_kind").alias("kind")
+    n = first_candidates(keyed(incoming, id_col, [kind]), keyed(candidates, id_col, [kind]))
+    n = n.select(F.col("id").alias("incoming_id"), F.size("found").alias("candidates"), F.col("found")[0].alias("c"), "rank")
     only = F.col("candidates") == 1
-    rule = F.element_at(F.array(*(F.lit(r) for r in RULES)), F.col("r") + 1)
+    status = F.when(F.col("candidates").isNull(), "none").when(only, "matched").otherwise("ambiguous")
+    rule = F.element_at(F.array(*(F.lit(r) for r in RULES)), F.col("rank") + 1)
     return incoming.select(F.col(id_col).alias("incoming_id")).join(n, "incoming_id", "left").select(
         "incoming_id", F.coalesce("candidates", F.lit(0)).alias("candidates"), status.alias("link_status"), F.when(only, F.col("c")).alias("matched_id"), F.when(only, rule).alias("rule")
     )
@@ -96,24 +129,24 @@ def group_status(evidence: DataFrame, group_col: str) -> DataFrame:
     """Reconciliation status and conflicting fields of every evidence group.
 
     evidence: source_kind, match_status and the six fields. A field conflicts when the group holds two different
-    filled values of it, which one distinct count shows.
+    filled values of it, that is, when the smallest and the largest differ.
     """
     keyed = evidence.withColumns({f"n_{f}": T.blank_to_null(c) for f, c in field_keys().items()})
-    counts = [F.count_distinct(f"n_{f}").alias(f"c_{f}") for f in FIELDS]
+    ends = [end(f"n_{f}").alias(f"{name}_{f}") for f in FIELDS for name, end in (("lo", F.min), ("hi", F.max))]
     g = keyed.groupBy(group_col).agg(
         F.bool_or(F.coalesce(F.col("match_status"), F.lit("")).isin("ambiguous", "unmatched")).alias("unsure"),
         F.bool_or(F.col("source_kind") == "authority").alias("has_authority"),
         F.bool_or(F.col("source_kind") == "municipality").alias("has_municipality"),
         F.bool_and(F.col("source_kind") == "import").alias("only_import"),
         F.count(F.lit(1)).alias("evidences"),
-        *counts,
+        *ends,
     )
-    conflicts = F.array_compact(F.array(*(F.when(F.col(f"c_{f}") > 1, F.lit(f)) for f in FIELDS)))
+    conflicts = F.array_compact(F.array(*(F.when(F.col(f"lo_{f}") < F.col(f"hi_{f}"), F.lit(f)) for f in FIELDS)))
     status = (
         F.when(F.col("unsure"), "ambiguous-review")
         .when(F.col("only_import"), "import-review")
         .when(F.size(conflicts) > 0, "conflict-review")
-        .when(F.col("c_publication_date") == 0, "missing-publication")
+        .when(F.col("lo_publication_date").isNull(), "missing-publication")
         .when(F.col("has_authority"), "authority-confirmed")
         .when(F.col("has_municipality"), "municipality-only")
         .otherwise("import-review")
@@ -136,42 +169,100 @@ def upsert_evidence(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def import_upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+def import_outcomes(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Outcome of every incoming record in order of rec_id: update, merge or insert.
 
-    Same kind and reference as a stored or an earlier incoming record: update. Else exactly one stored record of
-    another kind that may be linked: merge. Else insert (none, or several candidates). Columns: rec_id, outcome,
-    target_id.
+    Same kind and reference as a stored or an earlier incoming record: update. Else exactly one stored record that may
+    be linked: merge. Else insert (none, or several candidates). Columns: rec_id, outcome, target_id, match_status.
+    Records of one batch find each other by reference alone, not by content.
     """
     known = stored.groupBy("source_kind", "source_reference").agg(F.min("rec_id").alias("stored_id"))
-    w = Window.partitionBy("source_kind", "source_reference").orderBy("rec_id")
-    seen = incoming.join(known, ["source_kind", "source_reference"], "left").withColumn("first_id", F.first("rec_id").over(w))
-    open_ = seen.filter("stored_id is null and first_id = rec_id").select(*incoming.columns)
+    first = incoming.groupBy("source_kind", "source_reference").agg(F.min("rec_id").alias("first_id"))
+    reference = ["source_kind", "source_reference"]
+    seen = written(incoming.join(known, reference, "left").join(first, reference), "seen")
+    open_ = seen.filter("stored_id is null and first_id = rec_id and source_kind <> 'import'")
     candidates = stored.filter("workflow_status <> 'archived' and source_kind <> 'import'")
-    pairs = link_pairs(open_.filter("source_kind <> 'import'"), candidates)
-    kinds = pairs.join(open_.select(F.col("rec_id").alias("incoming_id"), F.col("source_kind").alias("ik")), "incoming_id").join(
-        candidates.select(F.col("rec_id").alias("candidate_id"), F.col("source_kind").alias("ck")), "candidate_id"
-    )
-    ok = kinds.filter(can_reconcile(F.col("ik"), F.col("ck"))).groupBy("incoming_id").agg(F.count(F.lit(1)).alias("n"), F.min("candidate_id").alias("cand"))
-    out = seen.select("rec_id", "stored_id", "first_id").join(ok.withColumnRenamed("incoming_id", "rec_id"), "rec_id", "left")
+    kind = F.col("source_kind").alias("kind")
+    found = first_candidates(keyed(open_, "rec_id", [kind]), keyed(candidates, "rec_id", [kind]))
+    found = found.select(F.col("id").alias("rec_id"), F.size("found").alias("n"), F.col("found")[0].alias("cand"))
+    out = seen.select("rec_id", "stored_id", "first_id").join(found, "rec_id", "left")
     # a later record of the same reference follows the first one
     update = F.col("stored_id").isNotNull() | (F.col("first_id") != F.col("rec_id"))
     outcome = F.when(update, "update").when(F.col("n") == 1, "merge").otherwise("insert")
     target = F.when(update, F.coalesce("stored_id", "first_id")).when(F.col("n") == 1, F.col("cand")).otherwise(F.col("rec_id"))
-    return out.select("rec_id", outcome.alias("outcome"), target.alias("target_id"))
+    match = F.when(~update & (F.col("n") > 1), "ambiguous").otherwise("matched")
+    return out.select("rec_id", outcome.alias("outcome"), target.alias("target_id"), match.alias("match_status"))
+
+
+#: columns of a stored record that belong to the team's work and survive an import
+KEPT = ["workflow_status", "assignee", "note", "created_at"]
+
 
+def import_upsert(stored: DataFrame, incoming: DataFrame, outcomes: DataFrame, synced_at: Column) -> DataFrame:
+    """The table after an import: stored records with the content of their last update, and the inserted ones.
 
-def merge_duplicates(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """Smallest id reachable over (a, b) links for every linked record, by label propagation with written rounds."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("host"))
-    before = None
+    An update replaces all but the record's id, reference and KEPT; of several updates of one record the last by rec_id
+    stays. A merge adds evidence to its host and leaves the record as it is. change_type is imported, updated or null
+    (merges report no change); last_sync_at is set where something changed.
+    """
+    content = [c for c in stored.columns if c not in ("rec_id", "source_kind", "source_reference", *KEPT)]
+    joined = incoming.join(outcomes.select("rec_id", "outcome", "target_id"), "rec_id")
+    inserted = joined.filter("outcome = 'insert'").select(*stored.columns).withColumn("change_type", F.lit("imported"))
+    rows = stored.withColumn("change_type", F.lit(None).cast("string")).unionByName(inserted)
+    last = joined.filter("outcome = 'update'").groupBy(F.col("target_id").alias("rec_id"))
+    last = last.agg(F.max(F.struct(F.col("rec_id").alias("_by"), *content)).alias("_new"))
+    rows = rows.join(last, "rec_id", "left")
+    fresh = F.col("_new").isNotNull()
+    change = F.when(F.col("change_type").isNotNull(), F.col("change_type")).when(fresh, "updated")
+    values = {c: F.when(fresh, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in content}
+    values |= {"change_type": change, "last_sync_at": F.when(change.isNotNull(), synced_at)}
+    return rows.withColumns(values).drop("_new")
+
+
+def import_evidence(incoming: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(rec_id of the record, source_kind, source_reference, match_status) that the import adds; one for each reference."""
+    rows = incoming.select("rec_id", "source_kind", "source_reference").join(outcomes, "rec_id")
+    w = Window.partitionBy("source_kind", "source_reference").orderBy("rec_id")
+    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(F.col("target_id").alias("rec_id"), "source_kind", "source_reference", "match_status")
+
+
+def merge_duplicates(records: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """(rec_id, host_id) of the records that are merged away, to a fixpoint.
+
+    records: rec_id, source_kind, workflow_status, touched, created_at and the match fields. A record that is not of
+    the authority and has exactly one candidate (not archived, of a kind that it may be linked with) forms a pair with
+    it. The host is the touched one, else the authority's, else the older; where both are touched nothing happens. A
+    round carries out the pairs that come first, by a hash, for both of their records; what is left is matched again.
+    """
+    kind = F.col("source_kind").alias("kind")
+    rows = keyed(records, "rec_id", [kind, "workflow_status", F.coalesce("touched", F.lit(False)).alias("touched"), F.col("created_at").cast("string").alias("made")])
+    merged = None
     for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("host").alias("h"))
-        labels = labels.join(near, "a").select("a", F.least("host", "h").alias("host"))
-        labels = written(labels, "merge")
-        now = labels.agg(F.sum(F.xxhash64("a", "host").cast("decimal(38,0)"))).first()[0]
-        if now == before:
-            return labels.withColumnRenamed("a", "rec_id").withColumnRenamed("host", "host_id")
-        before = now
-    raise RuntimeError("merge did not settle")
+        found = first_candidates(rows.filter("kind not in ('authority', 'import')"), rows.filter("workflow_status <> 'archived' and kind <> 'import'"), own=True)
+        pairs = found.filter(F.size("found") == 1).select(F.col("id").alias("a"), F.col("found")[0].alias("b"))
+        side = lambda n: rows.select(F.col("id").alias(n), F.struct((~F.col("touched")).alias("free"), (F.col("kind") != "authority").alias("plain"), F.coalesce("made", F.lit("~")).alias("made"), F.col("id").alias("id")).alias(f"s_{n}"))
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter("s_a.free or s_b.free")
+        pairs = pairs.select(F.least("s_a", "s_b")["id"].alias("host"), F.greatest("s_a", "s_b")["id"].alias("rec"))
+        pairs = pairs.distinct().withColumn("turn", F.struct(F.xxhash64("host", "rec").alias("h"), "host", "rec"))
+        ends = pairs.select(F.explode(F.array("host", "rec")).alias("id"), "turn").groupBy("id").agg(F.min("turn").alias("turn"))
+        mine = lambda n: ends.select(F.col("id").alias(n), F.col("turn").alias(f"t_{n}"))
+        go = pairs.join(mine("host"), "host").join(mine("rec"), "rec").filter("turn = t_host and turn = t_rec").select("rec", "host")
+        go = written(go, "merge")
+        if go.isEmpty():
+            break
+        rows = written(rows.join(go.select(F.col("rec").alias("id")), "id", "left_anti"), "unmerged")
+        if merged is None:
+            merged = go
+        else:  # hosts that were merged away themselves hand on what they took over
+            moved = merged.join(go.select(F.col("rec").alias("host"), F.col("host").alias("next")), "host", "left")
+            merged = written(moved.select("rec", F.coalesce("next", "host").alias("host")).unionByName(go), "merged")
+    else:
+        raise RuntimeError("merge did not settle")
+    return (merged if merged is not None else go).select(F.col("rec").alias("rec_id"), F.col("host").alias("host_id"))
+
+
+def repoint(children: DataFrame, merged: DataFrame, key: str = "rec_id", unique: list[str] | None = None) -> DataFrame:
+    """Children of merged records under their hosts; where `unique` columns are given, one of each stays."""
+    rows = children.join(merged.select(F.col("rec_id").alias(key), "host_id"), key, "left")
+    rows = rows.withColumn(key, F.coalesce("host_id", key)).select(children.columns)
+    return rows.dropDuplicates([key, *unique]) if unique else rows

@@ -18,6 +18,24 @@ def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
     return rows.select("page_id", "url", "pos", F.col("a.href").alias("href"), T.strip_html(F.col("a.inner")).alias("label"))
 
 
+#: tags that begin and end a block of their own
+BLOCK_TAGS = "p|li|article|section|tr"
+
+
+def pieces(html: Column) -> Column:
+    """A page cut where blocks begin and end: what stands between two cuts belongs to one innermost block."""
+    marked = F.regexp_replace(html, rf"(?i)(<(?:{BLOCK_TAGS})(?:\s[^>]*)?>)", "\u0001$1")
+    return F.split(F.regexp_replace(marked, rf"(?i)(</(?:{BLOCK_TAGS})>)", "$1\u0001"), "\u0001")
+
+
+def anchors_in_context(pages: DataFrame, html: str = "html") -> DataFrame:
+    """page_id, url, block, href, label and the text of the smallest block around each link."""
+    rows = pages.select("page_id", "url", F.posexplode(pieces(F.col(html))).alias("block", "piece")).filter(F.contains(F.lower("piece"), F.lit("<a ")))
+    found = F.arrays_zip(F.regexp_extract_all("piece", F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all("piece", F.lit(ANCHOR), F.lit(2)).alias("inner"))
+    rows = rows.select("page_id", "url", "block", T.strip_html(F.col("piece")).alias("context"), F.explode(found).alias("a"))
+    return rows.select("page_id", "url", "block", F.col("a.href").alias("href"), T.strip_html(F.col("a.inner")).alias("label"), "context")
+
+
 def resolve(base: Column, href: Column) -> Column:
     """An absolute address of a link; the fragment goes."""
     root = F.regexp_extract(base, "^([A-Za-z]+://[^/]+)", 1)
@@ -46,12 +64,24 @@ def table_rows(html: Column) -> Column:
     return F.transform(rows, cells)
 
 
+#: what a table's header must mention; and the names of the columns that a record takes
+PERMIT_HEADER = r"(?i)\b(baugesuch\s*nr|bauherrschaft|bauvorhaben|auflage)\b"
+GRID_COLUMNS = {"number": "baugesuch nr", "owner": "bauherrschaft", "project": "bauvorhaben", "address": "bauplatz", "period": "auflage"}
+
+
 def permit_rows(pages: DataFrame, html: str = "html") -> DataFrame:
-    """page_id, pos, cells of the rows with three cells or more below a header that names permits."""
+    """page_id, pos, cells and a record (number, owner, project, address, period) of the rows with three cells or more
+    below a header that names permits. A field is the cell under the header cell that begins with its name."""
     rows = F.filter(table_rows(F.col(html)), lambda r: F.size(r) > 0)
-    header = F.array_join(F.try_element_at("rows", F.lit(1)), " ").rlike(r"(?i)\b(baugesuch\s*nr|bauherrschaft|bauvorhaben|auflage)\b")
-    found = pages.select("page_id", rows.alias("rows")).filter(header).select("page_id", F.posexplode("rows").alias("pos", "cells"))
-    return found.filter((F.col("pos") > 0) & (F.size("cells") >= 3))
+    held = pages.select("page_id", rows.alias("rows")).withColumn("head", F.transform(F.try_element_at("rows", F.lit(1)), lambda c: T.base(c)))
+    found = held.filter(F.array_join("head", " ").rlike(PERMIT_HEADER)).select("page_id", "head", F.posexplode("rows").alias("pos", "cells"))
+    found = found.filter((F.col("pos") > 0) & (F.size("cells") >= 3))
+
+    def cell(name):
+        at = F.array_position(F.transform("head", lambda h: h.startswith(name)), True)
+        return F.coalesce(F.when(at > 0, F.try_element_at("cells", F.greatest(at, F.lit(1)).cast("int"))), F.lit(""))
+
+    return found.select("page_id", "pos", "cells", *(cell(label).alias(f) for f, label in GRID_COLUMNS.items()))
 
 
 def link_scores(links: DataFrame, words: list[str]) -> DataFrame:
@@ -76,13 +106,11 @@ def two_stage(candidates: DataFrame, group: str, content: DataFrame, first: int
     return first_per_key(rated.filter(F.col("total") >= accept), [group], [F.desc("total"), "pos"])
 
 
-def page_signals(pages: DataFrame, words: list[str]) -> DataFrame:
-    """score and signals of a page, and the class that the audit gives it."""
-    text = F.lower(T.strip_html(F.col("html")))
-    rows = pages.withColumn("_t", text)
-    signals = [(w, F.contains(F.col("_t"), F.lit(w)), 3) for w in words]
-    signals += [("title", F.length(title(F.col("html"))) > 10, 2), ("article", F.contains("html", F.lit("<article")), 1), ("long", F.length("_t") > 2000, 1)]
-    score = sum((F.when(c, p).otherwise(0) for _, c, p in signals), F.lit(0))
-    names = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c, _ in signals)))
-    kind = F.when(score >= 10, "confirmed").when(score >= 6, "likely").when(score >= 3, "weak").otherwise("missing")
-    return rows.select("page_id", "url", score.alias("score"), F.array_join(names, ",").alias("signals"), kind.alias("status"))
+#: fixed values: meta fields that say what a page is about
+META = r"(?is)<meta\s[^>]*?(?:name|property)\s*=\s*[\"'](?:description|og:description|twitter:description|article:published_time)[\"'][^>]*?content\s*=\s*[\"']([^\"']*)[\"'][^>]*>"
+
+
+def metadata_text(html: Column) -> Column:
+    """Title, descriptions and published time of a page, as one text."""
+    metas = F.transform(F.regexp_extract_all(html, F.lit(META), F.lit(1)), lambda c: T.decode_entities(c))
+    return T.collapse(F.concat_ws(" ", title(html), F.array_join(metas, " ")))

@@ -119,3 +119,17 @@ def patch(base: DataFrame, patches: DataFrame, key: str, columns: list[str]) ->
     p = patches.select(key, *(F.col(c).alias(f"_p_{c}") for c in columns))
     out = base.join(p, key, "left")
     return out.withColumns({c: F.coalesce(f"_p_{c}", c) for c in columns}).drop(*(f"_p_{c}" for c in columns))
+
+
+def run_metrics(rows: DataFrame, errors: DataFrame) -> DataFrame:
+    """raw, imported, updated, merged and error of every source; a source with an error has imported nothing."""
+    counts = [F.count_if(F.col("outcome") == o).alias(name) for o, name in (("insert", "imported"), ("update", "updated"), ("merge", "merged"))]
+    n = rows.groupBy("source").agg(F.count(F.lit(1)).alias("raw"), *counts).join(errors, "source", "left")
+    return n.select("source", "raw", *(F.when(F.col("error").isNull(), F.col(c)).otherwise(F.lit(0)).alias(c) for c in ("imported", "updated", "merged")), "error")
+
+
+def locale_place(rows: DataFrame, name: str, group: list[str]) -> DataFrame:
+    """group, name and place of the different names of each group in the order of the language (de)."""
+    names = rows.select(*group, name).distinct()
+    order = Window.partitionBy(*group).orderBy(F.expr(f"collate({name}, 'de')"))
+    return names.withColumn("place", F.row_number().over(order))

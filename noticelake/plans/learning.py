@@ -15,7 +15,7 @@ rules AS (SELECT municipality_key, address_signature, project_signature, CAST(su
   round(least(0.98::DOUBLE, (CASE WHEN max(run) = 0 THEN 0.82 ELSE 0.72 END)::DOUBLE + 0.04::DOUBLE * (arg_max(len, run) - 1)), 4) AS confidence FROM h GROUP BY 1, 2, 3),
 top AS (SELECT *, row_number() OVER (PARTITION BY municipality_key ORDER BY confidence DESC, match_count DESC, address_signature, project_signature) AS place FROM rules QUALIFY place <= 25)"""
 OVERLAP = "CASE WHEN {a} = {b} THEN 1.0 ELSE len(list_intersect(list_distinct(string_split({a}, ' ')), list_distinct(string_split({b}, ' '))))::DOUBLE / greatest(len(list_distinct(string_split({a}, ' '))), len(list_distinct(string_split({b}, ' ')))) END"
-BEST = f"""{FOLD}, items AS (SELECT decision_id, municipality_key, concat('bahnhofstr ', decision_id % 30) AS ia, project_signature AS ip FROM lrn WHERE decision_id % 7 = 0),
+BEST = f"""{FOLD}, items AS (SELECT decision_id, municipality_key, concat('bahnhofstr ', decision_id % 30) AS ia, project_signature AS ip FROM lrn),
 sc AS (SELECT decision_id, address_signature AS ra, t.project_signature AS rp, protection_status,
   round(least(1.0, 0.2 + (CASE WHEN ia = address_signature THEN 0.45 ELSE {OVERLAP.format(a='ia', b='address_signature')} * 0.35 END) + (CASE WHEN ip = t.project_signature THEN 0.25 ELSE {OVERLAP.format(a='ip', b='t.project_signature')} * 0.2 END)) * least(0.98, greatest(0.35, confidence)), 6) AS score
   FROM items JOIN top t USING (municipality_key)),
@@ -27,7 +27,7 @@ def rules(t):
 
 
 def items(t):
-    return t.lrn.filter("decision_id % 7 = 0").select("decision_id", "municipality_key", F.concat(F.lit("bahnhofstr "), (F.col("decision_id") % 30).cast("string")).alias("address_signature"), "project_signature")
+    return t.lrn.select("decision_id", "municipality_key", F.concat(F.lit("bahnhofstr "), (F.col("decision_id") % 30).cast("string")).alias("address_signature"), "project_signature")
 
 
 @query("j5_learning_upsert", f"WITH {FOLD} SELECT municipality_key, address_signature, project_signature, protection_status, match_count, confidence FROM rules", "lrn")
@@ -54,7 +54,8 @@ def e23(t):
 def i37(t):
     top = L.top_rules(rules(t)).select("municipality_key", F.col("address_signature").alias("ra"), F.col("project_signature").alias("rp"), "confidence")
     score = L.similarity(F.col("address_signature"), F.col("ra"), F.col("project_signature"), F.col("rp"), F.col("confidence"))
-    return items(t).join(top, "municipality_key").groupBy("decision_id").agg(F.round(F.max(score), 6).alias("score"))
+    kinds = items(t).select(*L.KEY).distinct().join(top, "municipality_key").groupBy(*L.KEY).agg(F.round(F.max(score), 6).alias("score"))
+    return items(t).join(kinds, L.KEY).select("decision_id", "score")
 
 
 @query("j6_rule_application", f"WITH {BEST} SELECT i.decision_id, CASE WHEN score IS NULL THEN NULL WHEN score >= 0.52 AND protection_status <> 'manual-review' THEN protection_status ELSE 'manual-review' END AS verdict, CAST(round(score * 100) AS INTEGER) AS percent FROM items i LEFT JOIN best USING (decision_id)", "lrn")
@@ -70,8 +71,12 @@ def i6(t):
     return t.documents.select("doc_id", T.token_signature(F.col("text"), 8).alias("signature"))
 
 
-@query("is4_token_overlap", r"SELECT i.item_id, d.doc_id, len(list_intersect(list_distinct(string_split(i.s, ' ')), list_distinct(string_split(d.s, ' '))))::DOUBLE / greatest(len(list_distinct(string_split(i.s, ' '))), len(list_distinct(string_split(d.s, ' ')))) AS overlap FROM (SELECT item_id, trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g')) AS s FROM benchmark) i JOIN (SELECT doc_id, trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g')) AS s FROM documents) d ON i.item_id = d.doc_id")
+TOKENS = r"list_distinct(list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), ' '), lambda x: x <> ''))"
+
+
+@query("is4_token_overlap", f"""WITH d AS (SELECT doc_id, {TOKENS} AS s FROM documents)
+SELECT a.doc_id, CASE WHEN len(a.s) = 0 OR len(b.s) = 0 THEN 0.0 ELSE len(list_intersect(a.s, b.s))::DOUBLE / greatest(len(a.s), len(b.s)) END AS overlap FROM d a JOIN d b ON b.doc_id = a.doc_id + 1""")
 def is4(t):
-    a = t.benchmark.select("item_id", F.substring("text", 1, 60).alias("s"))
-    b = t.documents.select("doc_id", F.substring("text", 1, 60).alias("d"))
-    return a.join(b, F.col("item_id") == F.col("doc_id")).select("item_id", "doc_id", T.token_overlap(F.col("s"), F.col("d")).alias("overlap"))
+    """Shared tokens of every document with the one that follows it, whole texts."""
+    a, b = t.documents.select("doc_id", "text"), t.documents.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
+    return a.join(b, "doc_id").select("doc_id", T.token_overlap(F.trim("text"), F.trim("other")).alias("overlap"))

@@ -47,7 +47,7 @@ def e12(t):
 
 
 STATUS_SQL = PAIRS + """, n AS (SELECT incoming_id, count(*) AS candidates, min(candidate_id) AS c, min(rule_rank) AS r FROM pairs GROUP BY 1)
-SELECT i.rec_id AS incoming_id, coalesce(candidates, 0) AS candidates, CASE WHEN candidates IS NULL THEN 'none' WHEN candidates = 1 THEN 'matched' ELSE 'ambiguous' END AS link_status,
+SELECT i.rec_id AS incoming_id, CAST(least(coalesce(candidates, 0), 2) AS INTEGER) AS candidates, CASE WHEN candidates IS NULL THEN 'none' WHEN candidates = 1 THEN 'matched' ELSE 'ambiguous' END AS link_status,
   CASE WHEN candidates = 1 THEN c END AS matched_id,
   CASE WHEN candidates = 1 THEN ['publication+parcel', 'publication+address', 'parcel+project', 'address+project'][r + 1] END AS rule
 FROM inc i LEFT JOIN n ON n.incoming_id = i.rec_id"""
@@ -55,8 +55,7 @@ FROM inc i LEFT JOIN n ON n.incoming_id = i.rec_id"""
 
 @query("e13_link_cardinality", STATUS_SQL, "rec")
 def e13(t):
-    incoming = open_kind(t, "municipality")
-    return L.link_status(incoming, L.link_pairs(incoming, open_kind(t, "authority")))
+    return L.link_status(open_kind(t, "municipality"), open_kind(t, "authority"))
 
 
 def flagship(t):
@@ -175,9 +174,11 @@ def h3(t):
     return t.app.select("id", F.row_number().over(Window.partitionBy("municipality").orderBy(days.desc(), "id")).alias("place"))
 
 
-@query("h4_locale_sort")
+@query("h4_locale_sort", """SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY w COLLATE de) AS place
+FROM (SELECT DISTINCT lang, regexp_extract(text, '[A-Za-zäöüÄÖÜ]+', 0) AS w FROM documents)""")
 def h4(t):
-    return t.nation.select("n_nationkey", "n_name").orderBy(F.expr("collate(n_name, 'de')"))
+    """First words of documents in the order of each language's readers: umlauts beside their base letters."""
+    return W.locale_place(t.documents.select("lang", F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-zäöüÄÖÜ]+", 0).alias("w")), "w", ["lang"])
 
 
 @query("h5_newest", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
@@ -270,7 +271,8 @@ def j22(t):
     return W.patch(t.app, p, "id", ["note", "assignee"]).select("id", "note", "assignee")
 
 
-J1 = f"""WITH {KEYED}, stored AS (SELECT * FROM keyed WHERE source_kind = 'authority'), inc AS (SELECT * FROM keyed WHERE source_kind = 'municipality'),
+STORED, INCOMING = "source_kind = 'authority' OR (source_kind = 'municipality' AND rec_id < '3')", "source_kind = 'municipality' AND rec_id >= '3'"
+J1 = f"""WITH {KEYED}, stored AS (SELECT * FROM keyed WHERE {STORED}), inc AS (SELECT * FROM keyed WHERE {INCOMING}),
 known AS (SELECT source_kind, source_reference, min(rec_id) AS sid FROM stored GROUP BY 1, 2),
 seen AS (SELECT i.*, k.sid, min(rec_id) OVER (PARTITION BY i.source_kind, i.source_reference) AS fid FROM inc i LEFT JOIN known k USING (source_kind, source_reference)),
 op AS (SELECT * FROM seen WHERE sid IS NULL AND fid = rec_id AND m IS NOT NULL), cand AS (SELECT * FROM stored WHERE workflow_status <> 'archived' AND m IS NOT NULL),
@@ -278,26 +280,52 @@ raw AS (SELECT i.rec_id AS a, c.rec_id AS b FROM op i JOIN cand c ON i.m = c.m A
  UNION SELECT i.rec_id, c.rec_id FROM op i JOIN cand c ON i.m = c.m AND i.pub = c.pub AND i.adr = c.adr
  UNION SELECT i.rec_id, c.rec_id FROM op i JOIN cand c ON i.m = c.m AND i.par = c.par AND i.prj = c.prj AND (i.pub IS NULL OR c.pub IS NULL)
  UNION SELECT i.rec_id, c.rec_id FROM op i JOIN cand c ON i.m = c.m AND i.adr = c.adr AND i.prj = c.prj AND (i.pub IS NULL OR c.pub IS NULL)),
-n AS (SELECT a, count(*) AS n, min(b) AS b FROM raw GROUP BY 1)
-SELECT s.rec_id, CASE WHEN sid IS NOT NULL OR fid <> rec_id THEN 'update' WHEN n = 1 THEN 'merge' ELSE 'insert' END AS outcome,
- CASE WHEN sid IS NOT NULL OR fid <> rec_id THEN coalesce(sid, fid) WHEN n = 1 THEN b ELSE s.rec_id END AS target_id FROM seen s LEFT JOIN n ON n.a = s.rec_id"""
+n AS (SELECT a, count(*) AS n, min(b) AS b FROM raw GROUP BY 1),
+o AS (SELECT s.*, CASE WHEN sid IS NOT NULL OR fid <> rec_id THEN 'update' WHEN n = 1 THEN 'merge' ELSE 'insert' END AS outcome,
+ CASE WHEN sid IS NOT NULL OR fid <> rec_id THEN coalesce(sid, fid) WHEN n = 1 THEN b ELSE s.rec_id END AS target_id, n > 1 AND sid IS NULL AND fid = rec_id AS unsure FROM seen s LEFT JOIN n ON n.a = s.rec_id)"""
+CONTENT = ["municipality", "address", "parcel", "publication_date", "deadline_date", "project_type"]
 
 
-@query("j1_import_upsert", J1, "rec")
+def imports(t):
+    stored, incoming = t.rec.filter(STORED), t.rec.filter(INCOMING)
+    return stored, incoming, L.import_outcomes(stored, incoming)
+
+
+@query("j1_import_upsert", f"""{J1}, upd AS (SELECT target_id, arg_max(struct_pack({", ".join(f"{c} := {c}" for c in CONTENT)}), rec_id) AS s FROM o WHERE outcome = 'update' GROUP BY 1),
+every AS (SELECT rec_id, source_kind, source_reference, workflow_status, {", ".join(CONTENT)}, NULL AS c FROM stored UNION ALL SELECT rec_id, source_kind, source_reference, workflow_status, {", ".join(CONTENT)}, 'imported' FROM o WHERE outcome = 'insert')
+SELECT e.rec_id, source_kind, source_reference, workflow_status, coalesce(c, CASE WHEN u.s IS NOT NULL THEN 'updated' END) AS change_type,
+ {", ".join(f"CASE WHEN u.s IS NULL THEN e.{c} ELSE u.s.{c} END AS {c}" for c in CONTENT)} FROM every e LEFT JOIN upd u ON u.target_id = e.rec_id""", "rec")
 def j1(t):
-    return L.import_upsert(t.rec.filter("source_kind = 'authority'"), t.rec.filter("source_kind = 'municipality'"))
+    stored, incoming, outcomes = imports(t)
+    cols = ["rec_id", "source_kind", "source_reference", "workflow_status", *CONTENT]
+    return L.import_upsert(stored.select(*cols), incoming.select(*cols), outcomes, ref()).drop("last_sync_at")
+
 
+@query("j1_import_evidence", f"""{J1} SELECT target_id AS rec_id, source_kind, source_reference, CASE WHEN unsure THEN 'ambiguous' ELSE 'matched' END AS match_status
+FROM o QUALIFY row_number() OVER (PARTITION BY source_kind, source_reference ORDER BY rec_id) = 1""", "rec")
+def j1_evidence(t):
+    _, incoming, outcomes = imports(t)
+    return L.import_evidence(incoming, outcomes)
 
-@query("f17_run_metrics", f"SELECT outcome, count(*) AS n FROM ({J1}) GROUP BY 1", "rec")
+
+@query("f17_run_metrics", f"{J1} SELECT outcome, count(*) AS n FROM o GROUP BY 1", "rec")
 def f17(t):
-    return j1(t).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    return imports(t)[2].groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j9_duplicate_merge", """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, l_partkey + 1000000 AS p FROM lineitem WHERE l_quantity > 48),
-b AS (SELECT o AS x, p AS y FROM e UNION SELECT p, o FROM e), r AS (SELECT x, x AS y FROM b UNION SELECT r.x, b.y FROM r JOIN b ON r.y = b.x)
-SELECT x AS rec_id, min(y) AS host_id FROM r GROUP BY 1""")
+@query("j9_duplicate_merge")
 def j9(t):
-    return L.merge_duplicates(t.lineitem.filter("l_quantity > 48").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b")))
+    """Records that are merged away and their hosts, over all records; one touched record in seven stands for the team's."""
+    rows = t.rec.withColumns({"touched": (F.col("parcel") != "") & F.col("rec_id").endswith("7"), "created_at": F.col("observed_at")})
+    return L.merge_duplicates(rows)
+
+
+@query("j9_repointed_evidence")
+def j9_repointed(t):
+    """Evidence under the hosts after the merge: how much each has, references counted once."""
+    evidence = t.rec.select("rec_id", "source_kind", "source_reference")
+    moved = L.repoint(evidence, j9(t), "rec_id", ["source_kind", "source_reference"])
+    return moved.groupBy("rec_id").agg(F.count(F.lit(1)).alias("evidences")).filter("evidences > 1")
 
 
 @query("b5_notifications", "SELECT id, protection_status FROM app WHERE line_no <= 2 AND protection_status <> 'no-hit'", "app")
@@ -408,8 +436,14 @@ def c4(t):
     return t.app.join(dim, "municipality").select("id", "region", F.col("protection_status").isin(W.PROTECTED).alias("is_protected"))
 
 
-@query("j21_sync_job", f"SELECT outcome, count(*) AS n, count(*) FILTER (k = 'authority') AS authority FROM (SELECT j.outcome, r.source_kind AS k FROM ({J1}) j JOIN rec r ON r.rec_id = j.rec_id) GROUP BY 1", "rec")
+@query("j21_sync_job", f"""{J1}, src AS (SELECT *, 'src-' || (CAST(regexp_extract(source_reference, '[0-9]+', 0) AS INTEGER) % 7) AS source, outcome AS oc FROM o),
+bad AS (SELECT DISTINCT source FROM src WHERE source = 'src-3')
+SELECT source, CAST(count(*) AS BIGINT) AS raw, CASE WHEN source = 'src-3' THEN 0 ELSE count(*) FILTER (oc = 'insert') END AS imported, CASE WHEN source = 'src-3' THEN 0 ELSE count(*) FILTER (oc = 'update') END AS updated,
+ CASE WHEN source = 'src-3' THEN 0 ELSE count(*) FILTER (oc = 'merge') END AS merged, CASE WHEN source = 'src-3' THEN 'unreadable' END AS error FROM src GROUP BY source""", "rec")
 def j21(t):
-    """Read, upsert, count per outcome; a failing source would add an error row, not stop the others."""
-    out = j1(t).join(t.rec.select("rec_id", "source_kind"), "rec_id")
-    return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("source_kind") == "authority").alias("authority"))
+    """Metrics of a run for each source: a source that cannot be read gets a row with its error and stops no other."""
+    number = F.regexp_extract("source_reference", "[0-9]+", 0).cast("int") % 7
+    stored, incoming, outcomes = imports(t)
+    rows = incoming.select("rec_id", F.concat(F.lit("src-"), number.cast("string")).alias("source")).join(outcomes, "rec_id")
+    errors = rows.select("source").distinct().select("source", F.when(F.col("source") == "src-3", "unreadable").alias("error"))
+    return W.run_metrics(rows, errors)

@@ -34,17 +34,40 @@ def i15(t):
     return t.txt.select("txt_id", X.street_address(F.col("body")).alias("place"))
 
 
-@q("i32_date_range", "SELECT txt_id, last_day AS first_day, last_day FROM td")
+#: texts of a date range around a year, and its first and last day; %y and %n stand for the year and the next
+RANGES = [
+    ("vom 3.5. bis 2.6.%y", "%y-05-03", "%y-06-02"),
+    ("20.12. – 18.1.%n", "%y-12-20", "%n-01-18"),
+    ("Auflage vom 1.2.%y bis 3.3.", "%y-02-01", "%y-03-03"),
+    ("Publikation vom 3. März bis 2. April %y", "%y-03-03", "%y-04-02"),
+    ("vom Freitag, 5. Juni %y, bis Montag, 6. Juli %y", "%y-06-05", "%y-07-06"),
+    ("12. Dezember - 11. Januar %n", "%y-12-12", "%n-01-11"),
+    ("Samstag, 1. August %y — 31. August %y", "%y-08-01", "%y-08-31"),
+    ("vom 30.2.%y bis 3.3.%y", None, None),
+    ("vom 3.5. bis 2.6.", None, None),
+    ("am 3.5.%y aufgelegt", None, None),
+    ("3.5.%y - 2.6.%y statt vom 1.1.%y bis 2.2.%y", "%y-05-03", "%y-06-02"),
+    ("20.12.%n - 18.1.%n", "%n-12-20", "%n-01-18"),
+]
+RANGE_SQL = ", ".join(f"({i}, " + ", ".join("NULL" if x is None else f"'{x}'" for x in r[1:]) + ")" for i, r in enumerate(RANGES))
+
+
+@query("i32_date_range", f"""WITH {ROWS}, cases AS (SELECT o_orderkey, o_orderkey % {len(RANGES)} AS k, CAST(2001 + o_orderkey % 90 AS VARCHAR) AS y, CAST(2002 + o_orderkey % 90 AS VARCHAR) AS nx FROM orders)
+SELECT txt_id, last_day AS first_day, last_day FROM td UNION ALL
+SELECT 'order-' || o_orderkey, CAST(replace(replace(a, '%y', y), '%n', nx) AS DATE), CAST(replace(replace(b, '%y', y), '%n', nx) AS DATE) FROM cases JOIN (VALUES {RANGE_SQL}) v(i, a, b) ON i = k""", "txt")
 def i32(t):
-    start, end = DT.date_range(F.col("body"))
-    return t.txt.select("txt_id", start.alias("first_day"), end.alias("last_day"))
+    k = F.col("o_orderkey")
+    year, later = ((k % 90 + n).cast("string") for n in (2001, 2002))
+    body = F.element_at(F.array(*(F.lit(r[0]) for r in RANGES)), (k % len(RANGES) + 1).cast("int"))
+    body = F.replace(F.replace(body, F.lit("%y"), year), F.lit("%n"), later)
+    rows = t.txt.select("txt_id", "body").unionByName(t.orders.select(F.concat(F.lit("order-"), k.cast("string")).alias("txt_id"), body.alias("body")))
+    return DT.with_range(rows, "body", "first_day", "last_day").select("txt_id", "first_day", "last_day")
 
 
 @q("i33_import_dates", "SELECT txt_id, CASE WHEN last_day <= DATE '2015-01-01' THEN last_day END AS publication_date, last_day AS deadline_date FROM td")
 def i33(t):
     none = F.lit(None).cast("date")
-    pub, end = DT.import_dates(none, none, F.col("body"), F.lit("2015-01-01").cast("date"))
-    return t.txt.select("txt_id", pub.alias("publication_date"), end.alias("deadline_date"))
+    return DT.import_dates(t.txt, none, none, "body", F.lit("2015-01-01").cast("date")).select("txt_id", "publication_date", "deadline_date")
 
 
 @q("c2_record_builder", "SELECT upper(substr(sha1(concat_ws('|', place, parcel)), 1, 16)) AS reference, place AS address, parcel, project, last_day AS deadline_date, count(*) AS n FROM td WHERE place <> '' GROUP BY 1, 2, 3, 4, 5")
@@ -97,16 +120,25 @@ def j10(t):
     return rows.withColumn("address", T.collapse(F.col("old"))).filter(~F.col("old").eqNullSafe(F.col("address"))).select("txt_id", "address")
 
 
-GAZ = "gaz AS (SELECT concat('Town ', n_nationkey) AS municipality, p_partkey AS k FROM nation CROSS JOIN part WHERE p_partkey % 7 = n_nationkey % 7)"
+GAZ = "gaz AS (SELECT DISTINCT 'Town ' || CAST(s_nationkey AS VARCHAR) AS municipality, ps.k FROM supplier JOIN (SELECT DISTINCT l_partkey AS k, l_suppkey FROM lineitem WHERE l_linenumber <> 3) ps ON s_suppkey = ps.l_suppkey)"
+
+
+def gazetteer(t, parcels: bool):
+    """An entry with two spellings for every part and town in which it is sold, but on third lines."""
+    sold = t.lineitem.filter("l_linenumber <> 3").select("l_suppkey", "l_partkey").distinct()
+    places = sold.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select("s_nationkey", "l_partkey").distinct()
+    k = F.col("l_partkey").cast("string")
+    labels = F.explode(F.array(F.concat(F.lit("Bahnhofstrasse "), k), F.concat(F.lit("Bahnhofstr "), k)))
+    return places.select(
+        F.concat(F.lit("Town "), F.col("s_nationkey").cast("string")).alias("municipality"), (F.concat(F.lit("Parzelle "), k) if parcels else F.lit("")).alias("parcel"), labels.alias("label"),
+        (F.col("l_partkey") + 2600000).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(True).alias("precise"), F.lit(1).alias("rank"),
+    )
 
 
 @query("e22_gazetteer_parcel", f"""WITH {GAZ} SELECT rec_id, CAST(2600000 + k AS DOUBLE) AS x, CASE WHEN parcel <> '' THEN 'parcel' ELSE 'address' END AS matched_by
 FROM (SELECT *, regexp_extract(municipality, 'Town \\d+', 0) AS town, CAST(regexp_extract(address, '\\d+$', 0) AS BIGINT) AS no FROM rec) r JOIN gaz ON gaz.municipality = town AND gaz.k = no""", "rec")
 def e22(t):
-    g = t.nation.join(t.part, F.col("p_partkey") % 7 == F.col("n_nationkey") % 7)
-    k = F.col("p_partkey").cast("string")
-    g = g.select(F.concat(F.lit("Town "), F.col("n_nationkey").cast("string")).alias("municipality"), F.concat(F.lit("Parzelle "), k).alias("parcel"), F.explode(F.array(F.concat(F.lit("Bahnhofstrasse "), k), F.concat(F.lit("Bahnhofstr "), k))).alias("label"), (F.col("p_partkey") + 2600000).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(True).alias("precise"), F.lit(1).alias("rank"))
-    return X.gazetteer_match(t.rec, g, "rec_id").select("rec_id", "x", "matched_by")
+    return X.gazetteer_match(t.rec, gazetteer(t, True), "rec_id").select("rec_id", "x", "matched_by")
 
 
 @query("i1_collapse", f"SELECT doc_id, {D.collapse('text')} AS text FROM documents")
@@ -315,10 +347,7 @@ def j7(t):
 
 @query("e21_gazetteer_address", f"""WITH {GAZ} SELECT rec_id, CAST(2600000 + k AS DOUBLE) AS x FROM (SELECT *, regexp_extract(municipality, 'Town \\d+', 0) AS town, CAST(regexp_extract(address, '\\d+$', 0) AS BIGINT) AS no FROM rec WHERE parcel = '') r JOIN gaz ON gaz.municipality = town AND gaz.k = no""", "rec")
 def e21(t):
-    g = t.nation.join(t.part, F.col("p_partkey") % 7 == F.col("n_nationkey") % 7)
-    k = F.col("p_partkey").cast("string")
-    g = g.select(F.concat(F.lit("Town "), F.col("n_nationkey").cast("string")).alias("municipality"), F.lit("").alias("parcel"), F.explode(F.array(F.concat(F.lit("Bahnhofstrasse "), k), F.concat(F.lit("Bahnhofstr "), k))).alias("label"), (F.col("p_partkey") + 2600000).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(True).alias("precise"), F.lit(1).alias("rank"))
-    return X.gazetteer_match(t.rec.filter("parcel = ''"), g, "rec_id").select("rec_id", "x")
+    return X.gazetteer_match(t.rec.filter("parcel = ''"), gazetteer(t, False), "rec_id").select("rec_id", "x")
 
 
 @query("e25_official_names", "SELECT c_custkey, n_name AS municipality FROM customer JOIN nation ON n_nationkey = c_nationkey")

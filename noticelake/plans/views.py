@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-REC_ID = "concat_ws('-', CAST(l.l_orderkey AS STRING), CAST(l.l_linenumber AS STRING), CAST(l.l_partkey AS STRING), CAST(l.l_suppkey AS STRING))"
+REC_ID = "concat_ws('-', CAST(l.l_orderkey AS STRING), CAST(l.l_linenumber AS STRING), CAST(l.l_partkey AS STRING), CAST(l.l_suppkey AS STRING), CAST(CAST(l.l_shipdate AS DATE) AS STRING))"
 
 VIEWS = {
     # evidence of three source kinds
@@ -43,6 +43,25 @@ FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN part p ON p.p_
  ' bis ', CAST(day(l.l_shipdate) AS STRING), '.', CAST(month(l.l_shipdate) AS STRING), '.20', lpad(CAST(year(l.l_shipdate) % 30 AS STRING), 2, '0')) AS body,
  l.l_linenumber AS line_no
 FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey""",
+    # notice pages: labelled blocks, a permit table, another table, links, or nothing but a title
+    "npg": """SELECT page_id, url, CASE page_id % 6
+ WHEN 0 THEN concat('<h1>Auflage</h1><p>Bauherrschaft: Muster ', CAST(page_id AS STRING), ' Bauvorhaben: Garage ', CAST(page_id AS STRING), ' Bauplatz: Weg ', CAST(page_id AS STRING),
+  ' Parzelle 7</p><p>Gesuchsteller: Meier Bauobjekt: Dach Standort: Gasse 2</p><p>Bauherrschaft: Keller zurückgezogen Bauvorhaben: Haus Bauplatz: Weg 3</p><p>Bauherr: Frei Bauvorhaben: ohne Ort</p>')
+ WHEN 1 THEN concat('<title>Gesuche</title><table><tr></tr><tr><th>Baugesuch Nr</th><th>Bauherrschaft</th><th>Bauplatz</th><th>Bauvorhaben</th></tr><tr><td>', CAST(page_id AS STRING),
+  '</td><td>Muster &amp; Co</td><td>Weg ', CAST(page_id AS STRING), '</td><td>Stall</td></tr><tr><td>2</td><td> </td><td>x</td></tr><tr><td>3</td><td>Rot</td><td>Gasse 4</td><td>Pergola</td></tr></table>')
+ WHEN 2 THEN concat('<title>Seite ', CAST(page_id AS STRING), '</title><table><tr><th>Datum</th><th>Anlass</th><th>Ort</th></tr><tr><td>1.1.</td><td>Markt</td><td>Platz</td></tr></table>')
+ WHEN 3 THEN concat('<title>Seite ', CAST(page_id AS STRING), '</title><p>Bauherrschaft gesucht</p>')
+ ELSE html END AS html FROM pages""",
+    # sites of eight pages: a start page with links, and what they lead to
+    "site": """SELECT page_id, CAST(floor(page_id / 8.0) AS BIGINT) AS site, page_id % 8 AS place, CASE WHEN page_id % 8 = 5 THEN 403 WHEN page_id % 8 = 7 AND page_id % 3 = 0 THEN 500 ELSE 200 END AS http_status,
+ concat('https://g', CAST(CAST(floor(page_id / 8.0) AS BIGINT) AS STRING), '.example.ch', CASE page_id % 8 WHEN 0 THEN '/' WHEN 1 THEN '/baugesuche' WHEN 2 THEN '/amtliche-publikationen' WHEN 3 THEN '/news-detail/7-baugesuch'
+  WHEN 4 THEN '/kontakt' WHEN 5 THEN '/publikation/archiv' WHEN 6 THEN '/aktuelles' ELSE '/portal' END) AS url,
+ CASE page_id % 8 WHEN 0 THEN '<title>Gemeinde</title><ul><li><a href="/baugesuche">Baugesuche</a> Rubrik</li><li><a href="/amtliche-publikationen">Amtliche Publikationen</a></li><li><a href="/news-detail/7-baugesuch">Baugesuch Meier</a></li><li><a href="/kontakt">Baugesuch</a></li><li><a href="/aktuelles">Kontakt zum Baugesuch</a></li><li><a href="https://other.example.ch/baugesuche">Baugesuche</a></li></ul><p>Siehe <a href="publikation/archiv#top">Archiv</a> der Publikation</p>'
+  WHEN 1 THEN CASE CAST(floor(page_id / 8.0) AS BIGINT) % 3 WHEN 0 THEN '<title>Baugesuche</title><main><p>Baugesuche: Bauherrschaft Muster, Parzelle 1. Rubrik</p><a href="/d/1">Baugesuch 1</a><a href="/d/2">Baugesuch 2</a></main>'
+   WHEN 1 THEN '<title>Baugesuche</title><p>Erteilte Baubewilligungen</p>' ELSE '<title>x</title><p>Seite im Aufbau</p>' END
+  WHEN 2 THEN '<title>Amtlich</title><p>Amtliche Publikationen, öffentliche Auflage vom 1.1.</p>' WHEN 3 THEN '<title>Baugesuch Meier</title><p>Bauplatz Weg 1, Parzelle 3</p>'
+  WHEN 4 THEN '<title>Kontakt</title><p>Newsletter und Agenda</p>' WHEN 5 THEN '<title>Archiv</title><p>Baupublikation</p>' WHEN 6 THEN concat('<title>Aktuelles</title><p>', CAST(page_id AS STRING), '</p>')
+  ELSE '<title>Portal</title><p>Anmeldung erforderlich für eBau</p>' END AS html FROM pages""",
     "gpt": """SELECT c_custkey AS pt_id, CAST(2600000.0 + (c_custkey * 7919) % 50000 AS DOUBLE) AS east, CAST(1200000.0 + (c_custkey * 104729) % 40000 AS DOUBLE) AS north,
  CASE WHEN c_nationkey % 4 = 0 THEN 'approximate' ELSE 'precise' END AS location_precision FROM customer""",
     "gar": """SELECT s_suppkey AS area_id, CASE s_suppkey % 3 WHEN 0 THEN 21 WHEN 1 THEN 15 ELSE 20 END AS layer_id,

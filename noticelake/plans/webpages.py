@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import duck as D
 from ..functions import text as T
 from ..operators import catalog as C
+from ..operators import discovery as X
 from ..operators import pages as P
 from ..operators import worklist as W
 from ..sources import payloads as S
@@ -30,9 +31,13 @@ def i8(t):
     return t.pages.select("page_id", T.strip_html(F.col("html")).alias("text"))
 
 
-@query("a14_page_title", "SELECT page_id, " + D.strip_html("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')") + " AS title FROM pages")
+METAS = """<meta name="description" content="Seite %k &amp; mehr"><meta charset="utf-8"><meta property="og:title" content="nie"><meta data-x="1" property='article:published_time' content='2024-01-02T%k'><meta name="keywords" content="nie">"""
+
+
+@query("a14_page_metadata", "SELECT page_id, trim(" + D.strip_html("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')") + " || CASE WHEN page_id % 3 = 0 THEN '' ELSE ' Seite ' || page_id || ' & mehr 2024-01-02T' || page_id END) AS text FROM pages")
 def a14(t):
-    return t.pages.select("page_id", P.title(F.col("html")).alias("title"))
+    metas = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.replace(F.lit(METAS), F.lit("%k"), F.col("page_id").cast("string")))
+    return t.pages.select("page_id", P.metadata_text(F.concat("html", metas)).alias("text"))
 
 
 @query("i29_attributes", "SELECT page_id, regexp_extract(html, '<html[^>]*?lang=\"([^\"]*)\"', 1, 'is') AS lang FROM pages")
@@ -40,11 +45,16 @@ def i29(t):
     return t.pages.select("page_id", F.regexp_extract("html", r'(?is)<html[^>]*?lang="([^"]*)"', 1).alias("lang"))
 
 
-@query("a15_source_type", "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'manual' WHEN page_id % 7 = 1 THEN 'pdf' WHEN page_id % 7 = 2 THEN 'xml' ELSE 'json' END AS kind FROM pages")
+KINDS = [  # address, explicit type, and the type of the source
+    ("https://a.example/x.pdf?y=1", "manual", "manual"), ("https://a.example/%k.pdf", None, "pdf"), ("https://a.example/feed", "", "xml"), ("https://a.example/items", "html", "html"),
+    ("https://a.example/items", None, "json"), ("https://kanton.amtsblatt.ch/suche", "html", "gazette"), ("https://gis.example/arcgis/rest/services/a/MapServer/3", "html", "feature-service"),
+    ("https://a.example/plan.PDF#1", "html", "pdf"), ("https://a.example/data.json", "html", "json"), ("https://a.example/x", "CSV ", "csv"), ("https://a.example/sitemap.xml", "html", "xml"), (None, None, "json"),
+]
+
+
+@query("a15_source_type", f"SELECT page_id, {D.pick('page_id', [k for *_, k in KINDS])} AS kind FROM pages")
 def a15(t):
-    m = F.col("page_id") % 7
-    url = F.when(m == 1, F.concat("url", F.lit(".pdf"))).when(m == 2, F.lit("https://a.example/feed")).otherwise(F.lit("https://a.example/items"))
-    return t.pages.select("page_id", C.source_type(url, F.when(m == 0, "manual").when(m == 3, "html")).alias("kind")).withColumn("kind", F.when(F.col("kind") == "html", "json").otherwise(F.col("kind")))
+    return t.pages.select("page_id", C.source_type(T.pick(F.col("page_id"), [u for u, *_ in KINDS]), T.pick(F.col("page_id"), [e for _, e, _ in KINDS])).alias("kind"))
 
 
 @query("d13_url_shape", "SELECT page_id, CASE WHEN regexp_matches(lower(url), '\\.pdf($|[?#])') THEN 'pdf' WHEN regexp_matches(lower(url), '/(detail|id|item)[/=-]?[0-9]+') THEN 'detail' WHEN regexp_matches(lower(url), '/(list|archive|news|page)') THEN 'listing' ELSE 'page' END AS shape FROM pages")
@@ -82,58 +92,93 @@ def g3(t):
     return W.first_per_key(P.link_scores(P.anchors(t.pages), WORDS), ["page_id"], [F.desc("score"), "pos"]).select("page_id", "href", "score")
 
 
-TWO = f"""{SCORED}, short AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) <= 12), content AS (SELECT href AS target, count(*) % 10 AS content_score FROM links GROUP BY 1)
+TWO = f"""{SCORED}, short AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) <= 12), content AS (SELECT href AS target, least(count(DISTINCT page_id), 9) AS content_score FROM links GROUP BY 1)
 SELECT page_id, href, score + coalesce(content_score, 0) AS total FROM short LEFT JOIN content ON target = href WHERE score + coalesce(content_score, 0) >= 8 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score + coalesce(content_score, 0) DESC, pos) = 1"""
 
 
 def two(t):
     links = P.anchors(t.pages)
-    content = links.groupBy(F.col("href").alias("target")).agg((F.count(F.lit(1)) % 10).alias("content_score"))
+    content = links.groupBy(F.col("href").alias("target")).agg(F.least(F.count_distinct("page_id"), F.lit(9)).alias("content_score"))
     return P.two_stage(P.link_scores(links, WORDS).withColumn("target", F.col("href")), "page_id", content).select("page_id", "href", "total")
 
 
 query("g4_two_stage_ranking", "WITH " + TWO)(two)
-query("j18_discovery", "WITH w AS (WITH " + TWO + ") SELECT count(*) AS pages, max(total) AS best FROM w")(lambda t: two(t).agg(F.count(F.lit(1)).alias("pages"), F.max("total").alias("best")))
+PATH = "lower(url_decode(regexp_extract({0}, '^[A-Za-z]+://[^/?#]*([^#]*)', 1)))"
+DISCOVER = f"""cut AS (SELECT page_id, url, unnest(string_split(regexp_replace(regexp_replace(html, '(<(?:p|li|article|section|tr)(?:\\s[^>]*)?>)', chr(1) || '\\1', 'gi'), '(</(?:p|li|article|section|tr)>)', '\\1' || chr(1), 'gi'), chr(1))) AS piece FROM site WHERE place = 0),
+an AS (SELECT page_id, url, {D.strip_html('piece')} AS context, unnest(regexp_extract_all(piece, '<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1, 'is')) AS href, unnest(regexp_extract_all(piece, '<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2, 'is')) AS label FROM cut),
+tg AS (SELECT page_id, url, lower(context) AS context, lower(label) AS label, {D.resolve('url', 'href')} AS target FROM an),
+tp AS (SELECT *, {PATH.format('target')} AS path, lower(concat_ws(' ', label, context)) AS near FROM tg WHERE regexp_extract(target, '^[A-Za-z]+://([^/?#]+)', 1) = regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)),
+ls AS (SELECT page_id, target, max({D.score(X.LINK_RULES)}) AS score FROM tp WHERE NOT regexp_matches(label, '{X.WRONG_TOPIC}') AND NOT regexp_matches(path, '{X.WRONG_TOPIC}') GROUP BY 1, 2 HAVING score > 0),
+pg AS (SELECT url, {PATH.format('url')} AS path, lower({D.strip_html(D.content_region('html'))}) AS text, len(regexp_extract_all(lower(html), '<a\\s[^>]*>[^<]*(?:baugesuch|baupublikation)', 0, 's')) AS linked FROM site),
+pb AS (SELECT *, concat_ws(' ', path, text) AS both_ FROM pg),
+cs AS (SELECT url AS target, {D.score([("both_" if c == "both" else c, r) for c, r in X.CONTENT_RULES])} + (CASE WHEN len(regexp_extract_all(text, 'baugesuch|baupublikation')) >= 2 THEN 3 ELSE 0 END)
+ + (CASE WHEN len(regexp_extract_all(both_, 'baugesuch|baupublikation')) >= 3 THEN 5 ELSE 0 END) + (CASE WHEN linked >= 2 THEN 8 ELSE 0 END) AS content_score FROM pb
+ WHERE regexp_matches(text, '{X.PUBLICATION}') OR (regexp_matches(path, '{X.PUBLICATION}') AND (linked > 0 OR regexp_matches(text, '{X.CONCRETE}') OR regexp_matches(text, '{X.LISTING}')))),
+disc AS (SELECT page_id, target, score + content_score AS total FROM ls JOIN cs USING (target) WHERE score + content_score >= 8 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score + content_score DESC, target) = 1)"""
+
+
+def discovered(t):
+    return X.discover(t.site.filter("place = 0"), t.site)
+
+
+@query("j18_discovery", f"WITH {DISCOVER} SELECT page_id, target, CAST(total AS INTEGER) AS total FROM disc", "site")
+def j18(t):
+    return discovered(t).withColumn("total", F.col("total").cast("int"))
+
+
+def audit_sql() -> str:
+    hit = [(name, n, f"regexp_matches({'both_' if c == 'both' else c}, '{p}')" + (f" AND NOT regexp_matches(text, '{u}')" if u else "")) for name, n, c, p, u in X.AUDIT_RULES]
+    hit.append(("several", 5, "len(regexp_extract_all(both_, 'baugesuch|baupublikation')) >= 2"))
+    points = " + ".join(f"(CASE WHEN {c} THEN {n} ELSE 0 END)" for _, n, c in hit)
+    names = ", ".join(f"CASE WHEN {c} THEN '{name}' END" for name, _, c in hit)
+    title = D.strip_html("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')")
+    return f"""WITH {DISCOVER}, au AS (SELECT page_id, http_status, {PATH.format('url')} AS path, lower(concat_ws(' ', {title}, {D.strip_html('html')})) AS text FROM site),
+ab AS (SELECT *, concat_ws(' ', path, text) AS both_ FROM au), ac AS (SELECT page_id, http_status, path, {points} AS score, coalesce(array_to_string([x FOR x IN [{names}] IF x IS NOT NULL], ','), '') AS signals FROM ab)
+SELECT page_id, score, signals, CASE WHEN page_id % 24 = 7 AND http_status <> 200 THEN 'ok-external-verified' WHEN page_id IN (SELECT page_id FROM disc) THEN 'ok-discovered' WHEN http_status IN (401, 403) THEN 'protected-or-login'
+ WHEN http_status <> 200 THEN 'needs-review-unreachable' WHEN score >= 22 THEN 'ok-direct' WHEN score >= 12 AND contains(signals, 'text-publication') THEN 'ok-direct-low' WHEN regexp_matches(path, 'publikation') THEN 'ok-official-publication-list'
+ WHEN contains(signals, 'protected') THEN 'protected-or-login' ELSE 'needs-review-weak-signal' END AS status,
+ CAST(CASE WHEN page_id % 24 = 7 AND http_status <> 200 THEN 84 WHEN page_id IN (SELECT page_id FROM disc) THEN CASE WHEN http_status = 200 THEN 90 ELSE 86 END WHEN http_status IN (401, 403) THEN 78 WHEN http_status <> 200 THEN 35 WHEN score >= 22 THEN 96
+ WHEN score >= 12 AND contains(signals, 'text-publication') THEN 88 WHEN regexp_matches(path, 'publikation') THEN 82 WHEN contains(signals, 'protected') THEN 76 ELSE greatest(45, least(72, 45 + score)) END AS INTEGER) AS confidence FROM ac"""
+
+
+@query("j19_source_audit", audit_sql(), "site")
+def j19(t):
+    verified = t.site.filter("page_id % 24 = 7").select("page_id")
+    return X.audit(t.site.select("page_id", "url", "html", "http_status"), discovered(t), verified)
 
-SIGNALS = f"""s AS (SELECT page_id, html, lower({D.strip_html('html')}) AS x FROM pages),
-r AS (SELECT page_id, list_filter([{", ".join(f"CASE WHEN contains(x, '{w}') THEN '{w}' END" for w in WORDS)}, CASE WHEN length({D.collapse("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')")}) > 10 THEN 'title' END, CASE WHEN contains(html, '<article') THEN 'article' END, CASE WHEN length(x) > 2000 THEN 'long' END], lambda v: v IS NOT NULL) AS sig FROM s),
-z AS (SELECT page_id, sig, CAST(list_sum(list_transform(sig, lambda v: CASE WHEN v = 'title' THEN 2 WHEN v IN ('article', 'long') THEN 1 ELSE 3 END)) AS INTEGER) AS score FROM r)"""
 
+NPG_LINKS = LINKS.replace("FROM pages", "FROM npg")
+STRATEGY = f"""{NPG_LINKS}, st AS (SELECT page_id, 0 AS strategy, 'Garage ' || page_id AS title, 'Weg ' || page_id AS address FROM npg WHERE page_id % 6 = 0 UNION ALL SELECT page_id, 0, 'Dach', 'Gasse 2' FROM npg WHERE page_id % 6 = 0
+ UNION ALL SELECT page_id, 1, label, '' FROM links WHERE label <> '' UNION ALL SELECT page_id, 2, 'Stall', 'Weg ' || page_id FROM npg WHERE page_id % 6 = 1 UNION ALL SELECT page_id, 2, 'Pergola', 'Gasse 4' FROM npg WHERE page_id % 6 = 1),
+whole AS (SELECT page_id, 3, {D.strip_html("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')")}, '' FROM npg WHERE page_id NOT IN (SELECT page_id FROM st))"""
 
-@query("j19_source_audit", f"WITH {SIGNALS} SELECT page_id, coalesce(score, 0) AS score, coalesce(array_to_string(sig, ','), '') AS signals, CASE WHEN score >= 10 THEN 'confirmed' WHEN score >= 6 THEN 'likely' WHEN score >= 3 THEN 'weak' ELSE 'missing' END AS status FROM z")
-def j19(t):
-    return P.page_signals(t.pages, WORDS).drop("url")
 
+def strategy_rows(pages):
+    """Records of a page by the first strategy that gives any: labelled blocks, anchors, rows of a permit table."""
+    found = S.labelled_blocks(pages.select("page_id", T.strip_html(F.col("html")).alias("text")))
+    blocks = found.select("page_id", F.lit(0).alias("strategy"), F.col("project").alias("title"), "address")
+    links = P.anchors(pages).filter("label <> ''").select("page_id", F.lit(1).alias("strategy"), F.col("label").alias("title"), F.lit("").alias("address"))
+    grid = P.permit_rows(pages).select("page_id", F.lit(2).alias("strategy"), F.col("project").alias("title"), "address")
+    rows = blocks.unionByName(links).unionByName(grid)
+    return rows.join(rows.groupBy("page_id").agg(F.min("strategy").alias("strategy")), ["page_id", "strategy"])
 
-@query("a7_paged_archive", "WITH g AS (SELECT page_id // 5 AS page, count(*) FILTER (length(html) > 1500) AS entries FROM pages GROUP BY 1), e AS (SELECT coalesce(min(page), 1000000) AS stop FROM g WHERE entries = 0) SELECT page_id FROM pages, e WHERE page_id // 5 < stop AND length(html) > 1500")
-def a7(t):
-    rows = t.pages.select("page_id", F.floor(F.col("page_id") / 5).alias("page"), (F.length("html") > 1500).alias("entry"))
-    end = rows.groupBy("page").agg(F.count_if("entry").alias("n")).filter("n = 0").agg(F.coalesce(F.min("page"), F.lit(1000000)).alias("stop"))
-    return rows.crossJoin(F.broadcast(end)).filter("page < stop and entry").select("page_id")  # one row
 
+@query("a5_page_strategies", f"WITH {STRATEGY} SELECT * FROM st UNION ALL SELECT * FROM whole", "npg")
+def a5(t):
+    """Records of every page; a page without any gives itself."""
+    rows = strategy_rows(t.npg)
+    whole = t.npg.join(rows.select("page_id"), "page_id", "left_anti").select("page_id", F.lit(3).alias("strategy"), P.title(F.col("html")).alias("title"), F.lit("").alias("address"))
+    return rows.unionByName(whole)
 
-@query("a8_backfill_counters", "SELECT count(*) AS pages, count(*) FILTER (length(html) > 1500) AS imported, count(*) FILTER (length(html) <= 1500) AS skipped, min(page_id) AS first_page, max(page_id) AS last_page FROM pages")
-def a8(t):
-    return t.pages.agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.length("html") > 1500).alias("imported"), F.count_if(F.length("html") <= 1500).alias("skipped"), F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page"))
 
+FURNITURE = "<header><p>Kopf</p></header><nav class=x><a href=\"/\">Start</a></nav>"
+REGIONS = [("{f}<main><p>Haupt %k</p></main><footer>Fuss</footer>", "Haupt %k"), ("{f}<article>A %k</article><p>x</p><article>B</article>", "A %k B"), ("{f}<p>Rest %k</p><aside>Rand</aside><form>Feld</form>", "Rest %k")]
 
-@query("a5_page_strategies")
-def a5(t):
-    """Rows of the first strategy that gives a page any: labelled blocks, anchors, rows of a permit table, the whole page."""
-    found = S.labelled_blocks(t.pages.select("page_id", T.strip_html(F.col("html")).alias("text")))
-    project = T.collapse(F.regexp_extract("block", "(?s)Bauvorhaben:(.*?)(?:Bauplatz:|$)", 1))
-    blocks = found.select("page_id", F.lit(0).alias("strategy"), project.alias("title"))
-    links = P.anchors(t.pages).filter("label <> ''").select("page_id", F.lit(1).alias("strategy"), F.col("label").alias("title"))
-    grid = P.permit_rows(t.pages).select("page_id", F.lit(2).alias("strategy"), F.try_element_at("cells", F.lit(3)).alias("title"))
-    whole = t.pages.select("page_id", F.lit(3).alias("strategy"), P.title(F.col("html")).alias("title"))
-    rows = blocks.unionByName(links).unionByName(grid).unionByName(whole)
-    best = rows.groupBy("page_id").agg(F.min("strategy").alias("strategy"))
-    return rows.join(best, ["page_id", "strategy"])
-
-
-@query("i9_content_region")
+
+@query("i9_content_region", f"SELECT page_id, {D.strip_html(D.content_region('html'))} AS text FROM pages UNION ALL SELECT -1 - page_id, {D.pick('page_id', [x for _, x in REGIONS])} FROM pages")
 def i9(t):
-    return t.pages.select("page_id", T.strip_html(P.content_region(F.col("html"))).alias("text"))
+    cases = t.pages.select((-1 - F.col("page_id")).alias("page_id"), T.pick(F.col("page_id"), [h.replace("{f}", FURNITURE) for h, _ in REGIONS]).alias("html"))
+    return t.pages.select("page_id", "html").unionByName(cases).select("page_id", T.strip_html(P.content_region(F.col("html"))).alias("text"))
 
 
 @query("e14_detail_enrichment", f"WITH {LINKS}, d AS (SELECT href, min(label) AS detail FROM links WHERE page_id % 2 = 0 GROUP BY 1) SELECT page_id, pos, coalesce(nullif(detail, ''), label) AS title FROM links LEFT JOIN d USING (href) WHERE page_id % 2 = 1")
@@ -143,14 +188,20 @@ def e14(t):
     return links.filter("page_id % 2 = 1").join(detail, "href", "left").select("page_id", "pos", F.coalesce(F.nullif("detail", F.lit("")), "label").alias("title"))
 
 
-@query("a16_dispatch")
+FEED = "<rss><item><title>a</title></item><item><title>b %k</title></item></rss>"
+
+
+@query("a16_dispatch", f"""WITH {STRATEGY}, {DISCOVER}, k AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'xml' ELSE 'html' END AS kind FROM npg),
+n AS (SELECT page_id, CASE WHEN kind = 'xml' THEN CASE WHEN page_id % 2 = 0 THEN 2 ELSE 0 END ELSE (SELECT count(*) FROM st WHERE st.page_id = k.page_id) END AS items, kind FROM k)
+SELECT n.page_id, CASE WHEN items > 0 THEN items WHEN d.page_id IS NOT NULL THEN 1 ELSE 0 END AS items, CASE WHEN items > 0 THEN kind WHEN d.page_id IS NOT NULL THEN 'discovered' ELSE 'none' END AS reader FROM n LEFT JOIN disc d USING (page_id)""", "npg", "site")
 def a16(t):
     """Items by the reader of the source type; a source whose reader gave nothing falls back to its discovered page, else counts 0."""
-    kinds = t.pages.select("page_id", "url", "html", F.when(F.col("page_id") % 5 == 0, "xml").otherwise("html").alias("kind"))
+    feed = F.when(F.col("page_id") % 10 == 0, F.replace(F.lit(FEED), F.lit("%k"), F.col("page_id").cast("string")))
+    kinds = t.npg.select("page_id", "url", F.coalesce(feed, "html").alias("html"), F.when(F.col("page_id") % 5 == 0, "xml").otherwise("html").alias("kind"))
     counted = lambda rows, reader: rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("items")).withColumn("reader", F.lit(reader))
-    html = counted(P.anchors(kinds.filter("kind = 'html'")), "html")
+    html = counted(strategy_rows(kinds.filter("kind = 'html'")), "html")
     xml = counted(S.feed_items(kinds.filter("kind = 'xml'").select("page_id", F.col("html").alias("body"))), "xml")
     read = html.unionByName(xml)
     missing = kinds.select("page_id").join(read, "page_id", "left_anti")
-    found = missing.join(two(t).select("page_id", F.lit(1).cast("long").alias("one")), "page_id", "left")
+    found = missing.join(discovered(t).select("page_id", F.lit(1).cast("long").alias("one")), "page_id", "left")
     return read.unionByName(found.select("page_id", F.coalesce("one", F.lit(0)).alias("items"), F.when(F.col("one").isNull(), "none").otherwise("discovered").alias("reader")))

@@ -49,7 +49,8 @@ def feed_items(feeds: DataFrame, body: str = "body") -> DataFrame:
 
 
 def sitemap_urls(maps: DataFrame, most: int = 80) -> DataFrame:
-    """source, loc of the url sets of a source and of one nested level, distinct, the first `most` by address.
+    """source, loc of the url sets of a source and of one nested level, distinct, the first `most` by address (the
+    feature's own limit).
 
     maps: source, url, body.
     """
@@ -69,22 +70,104 @@ def gazette_entries(pages: DataFrame, html: str = "html", marker: str = '<articl
     return rows.filter(field("rubric") == rubric).select(*[c for c in rows.columns if c != "block"], field("title").alias("title"), field("office").alias("office"), field("place").alias("place"), field("date").alias("date"))
 
 
+def archive_scan(pages: DataFrame, reference: str) -> DataFrame:
+    """Entries of an archive's pages (page, ok, html) up to the first page that was read and has none; pages that could
+    not be read are passed over. Of entries with one reference the first stays."""
+    from ..operators.worklist import first_per_key
+
+    return first_per_key(_before_end(pages)[1], [reference], ["page", "pos"])
+
+
+def _before_end(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pages up to the end, the end included, and the entries of those that were read."""
+    entries = gazette_entries(pages.filter("ok"))
+    empty = pages.filter("ok").join(entries.select("page"), "page", "left_anti")
+    end = F.broadcast(empty.agg(F.min("page").alias("_end")))  # one row
+    within = F.col("_end").isNull() | (F.col("page") <= F.col("_end"))
+    cut = lambda rows: rows.crossJoin(end).filter(within).drop("_end")
+    return cut(pages), cut(entries)
+
+
+def archive_report(pages: DataFrame, reference: str) -> DataFrame:
+    """One row about a scan: pages, failed, raw entries, imported, skipped (repeated references), first and last page."""
+    seen, entries = _before_end(pages)
+    one = seen.agg(F.count(F.lit(1)).alias("pages"), F.count_if(~F.col("ok")).alias("failed"))
+    per = entries.groupBy(reference).agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("low"), F.max("page").alias("high"))
+    two = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("raw"), F.count(F.lit(1)).alias("imported"), F.min("low").alias("first_page"), F.max("high").alias("last_page"))
+    return one.crossJoin(two).withColumn("skipped", F.col("raw") - F.col("imported"))  # one row each
+
+
+#: fixed values: labels that begin the parts of a notice
+OWNER = "Bauherrschaft|Bauherrin|Bauherr|Gesuchstellerin|Gesuchsteller"
+OBJECT = "Bauobjekt|Bauvorhaben|Bauprojekt"
+PLACE = "Bauplatz|Baustelle|Bauort|Standort|Lage"
+
+
 def labelled_blocks(pages: DataFrame, text: str = "text") -> DataFrame:
-    """One row per block that starts at an owner label and has object and place; withdrawn ones go."""
-    rows = pages.select(*[c for c in pages.columns if c != text], F.posexplode(F.split(F.col(text), "(?=Bauherrschaft:)")).alias("pos", "block"))
+    """One row per block that starts at an owner label and has object and place; withdrawn ones go. Adds pos, block,
+    owner, project and address."""
+    rows = pages.select(*[c for c in pages.columns if c != text], F.posexplode(F.split(F.col(text), rf"(?=\b(?:{OWNER})\s*:)")).alias("pos", "block"))
     b = F.col("block")
-    ok = b.startswith("Bauherrschaft:") & F.contains(b, F.lit("Bauvorhaben:")) & F.contains(b, F.lit("Bauplatz:")) & ~b.rlike("(?i)zurückgezogen|verschoben")
-    return rows.filter(ok)
+    value = lambda label: F.trim(F.regexp_extract(b, rf"(?s)\b(?:{label})\s*:\s*(.*?)\s*(?=\b(?:{OBJECT}|{PLACE}|Parzelle|Auflage)\b|$)", 1))
+    ok = b.rlike(rf"^(?:{OWNER})\s*:") & b.rlike(rf"\b(?:{OBJECT})\s*:") & b.rlike(rf"\b(?:{PLACE})\s*:") & ~b.rlike("(?i)zurückgezogen|verschoben")
+    return rows.filter(ok).withColumns({"owner": value(OWNER), "project": value(OBJECT), "address": value(PLACE)})
 
 
-def frames(pages: DataFrame, html: str = "html", most: int = 3) -> DataFrame:
-    """Addresses of embedded frames in order, at most `most` a page."""
-    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(html, F.lit(r'(?is)<iframe[^>]*src="([^"]*)"'), F.lit(1))).alias("pos", "src"))
-    return rows.filter(F.col("pos") < most)
+#: fixed values: what a trusted frame's address or an embedded page mentions
+FRAME_PATH = r"(?i)\b(baugesuch|baugesuche|baubewilligung|publikation|auflage|amtlich|ebau|diba)\b"
+FRAME_TEXT = r"(?i)\b(baugesuche?|baupublikation|bauherrschaft|bauvorhaben|bauplatz)\b"
 
 
-def structured_metadata(pages: DataFrame, html: str = "html", keys: tuple[str, ...] = ("name", "description", "datePublished")) -> DataFrame:
-    """Values of the listed keys in a page's JSON-LD blocks; blocks that do not parse give none, addresses are left out."""
-    rows = pages.select("page_id", F.explode(F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]*ld\+json[^>]*>(.*?)</script>'), F.lit(1))).alias("j"))
-    fields = F.from_json("j", "map<string,string>")
-    return rows.select("page_id", F.explode(fields).alias("key", "value")).filter(F.col("key").isin(*keys) & ~F.col("value").rlike("^https?://"))
+def frames(pages: DataFrame, stored: DataFrame, most: int = 3) -> DataFrame:
+    """page_id, pos, src, body of embedded frames: inline bodies, and the stored pages (url, html) under trusted addresses.
+
+    An address is trusted on the page's own host, or on another .ch host if it looks official; no documents. The first
+    `most` frames of a page count, and of these the ones whose body looks like a permit text.
+    """
+    from ..operators.pages import resolve
+    from ..operators.worklist import first_per_key
+
+    found = F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<iframe\s([^>]*)>"), F.lit(1))).alias("pos", "attributes")
+    rows = pages.select("page_id", "url", found)
+    value = lambda name: F.nullif(F.regexp_extract("attributes", rf'(?is)(?:^|\s){name}="([^"]*)"', 1), F.lit(""))
+    rows = rows.select("page_id", "url", "pos", value("srcdoc").alias("inline"), resolve(F.col("url"), value("src")).alias("src"))
+    origin = lambda c: F.lower(F.regexp_extract(c, "^([A-Za-z]+://[^/?#]+)", 1))
+    official = origin(F.col("src")).rlike(r"\.ch$") & F.col("src").rlike(FRAME_PATH)
+    trusted = ((origin(F.col("src")) == origin(F.col("url"))) | official) & ~F.col("src").rlike(r"(?i)\.pdf($|[?#])")
+    inline = rows.filter("inline is not null").select("page_id", "pos", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("src"), "inline")
+    linked = rows.filter(F.coalesce(trusted, F.lit(False))).groupBy("page_id", "src").agg(F.min("pos").alias("pos"))
+    linked = linked.select("page_id", "pos", F.lit(1).alias("kind"), "src", F.lit(None).cast("string").alias("inline"))
+    first = first_per_key(inline.unionByName(linked), ["page_id"], ["pos", "kind"], most)
+    bodies = stored.select(F.col("url").alias("src"), F.col("html").alias("stored"))
+    out = first.join(bodies, "src", "left").withColumn("body", F.coalesce("inline", "stored"))
+    return out.filter(F.col("body").rlike(FRAME_TEXT)).select("page_id", "pos", "src", "body")
+
+
+#: fixed values: keys of structured metadata that tell of a notice, in lower case
+METADATA_KEYS = """headline name description articlebody text streetaddress postalcode addresslocality addressregion addresscountry
+location contentlocation datepublished datecreated startdate enddate validthrough identifier keywords""".split()
+
+
+def structured_metadata(pages: DataFrame, html: str = "html", keys: list[str] | None = None, depth: int = 5) -> DataFrame:
+    """page_id, key, value of the listed keys in a page's JSON-LD blocks, down to `depth` levels, and of its itemprop fields.
+
+    Blocks that do not parse give none; values that are addresses of pages are left out.
+    """
+    keys = keys or METADATA_KEYS
+    scripts = F.explode(F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*ld\+json[^>]*>(.*?)</script>"), F.lit(1)))
+    level = pages.select("page_id", scripts.alias("j")).select("page_id", F.lit("").alias("key"), F.col("j").alias("value"))
+    found = None
+    for _ in range(depth):
+        v = F.trim("value")
+        fields = F.map_entries(F.from_json(v, "map<string,string>"))
+        items = F.transform(F.from_json(v, "array<string>"), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
+        inner = F.when(v.startswith("{"), fields).when(v.startswith("["), items)
+        level = level.select("page_id", F.col("key").alias("above"), F.explode(inner).alias("e"))
+        level = level.select("page_id", F.coalesce(F.lower("e.key"), "above").alias("key"), F.col("e.value").alias("value"))
+        plain = level.filter(~F.trim("value").rlike(r"^[\[{]"))
+        found = plain if found is None else found.unionByName(plain)
+    prop = r'(?is)<[a-z0-9]+\s[^>]*?itemprop="([^"]*)"'
+    meta = F.arrays_zip(F.regexp_extract_all(html, F.lit(prop + r'[^>]*?content="([^"]*)"'), F.lit(1)).alias("k"), F.regexp_extract_all(html, F.lit(prop + r'[^>]*?content="([^"]*)"'), F.lit(2)).alias("v"))
+    text = F.arrays_zip(F.regexp_extract_all(html, F.lit(prop + r"[^>]*>([^<]+)<"), F.lit(1)).alias("k"), F.regexp_extract_all(html, F.lit(prop + r"[^>]*>([^<]+)<"), F.lit(2)).alias("v"))
+    props = pages.select("page_id", F.explode(F.concat(meta, text)).alias("e")).select("page_id", F.lower("e.k").alias("key"), F.trim("e.v").alias("value"))
+    return found.unionByName(props).filter(F.col("key").isin(*keys) & (F.col("value") != "") & ~F.col("value").rlike("^https?://"))
