@@ -56,6 +56,64 @@ def is_relevant(f: Column) -> Column:
     return ~f["generic"] & ((f["keyword"] & (identified | f["dated"])) | (identified & f["dated"]) | (f["pdf"] & identified))
 
 
+def is_relevant_feed(b: Column) -> Column:
+    """A feed entry that names a request, or a dated project with a place."""
+    f = relevance(b)
+    return b.rlike("(?i)gesuch") | (f["keyword"] & (f["parcel"] | f["address"]) & f["dated"])
+
+
+def lone_date(x: Column) -> Column:
+    """A text that is nothing but a date, a month with its year, or a year."""
+    return F.trim(x).rlike(r"^(\d{1,2}\.\s*\d{1,2}\.\s*\d{4}|\d{4}|[A-Za-zä]+ 20\d{2})$")
+
+
+def clean_address(x: Column) -> Column:
+    """Without rests of tags and attributes; entities decoded."""
+    plain = F.regexp_replace(T.decode_entities(x), r"<[^<>]*>|(?:class|id|style)=\"[^\"]*\">?|data-[a-z]+='[^']*'", " ")
+    return T.collapse(plain)
+
+
+def sanitize_address(x: Column) -> Column:
+    """The address, or nothing where it is weak."""
+    return F.when(weak_address(x), F.lit("")).otherwise(T.collapse(x))
+
+
+def house_number(a: Column) -> Column:
+    return F.regexp_extract(a, r"\s(\d+[a-z]?)$", 1)
+
+
+def street_name(a: Column) -> Column:
+    return F.regexp_extract(a, r"^(.*?)\s+\d+[a-z]?$", 1)
+
+
+#: fixed values: words that are no street names
+STREET_STOP_WORDS = """adresse aus amtsblatt pruefen lage bauplatz baustelle standort bauobjekt bauvorhaben bauherr bauherrschaft neubau umbau abbruch
+anbau ersatzneubau sanierung gartengestaltung garten umnutzung parzelle parzellen gemeinde schweiz aargau kanton zone frist der die das und von ueber
+mit fuer den dem ohne sowie objekt projekt""".split()
+
+
+def street_token(a: Column) -> Column:
+    """The longest word of four letters or more that is no stop word; words that end like a street go first."""
+    words = F.filter(F.split(T.key(a), " "), lambda w: (F.length(w) >= 4) & ~w.isin(*STREET_STOP_WORDS) & ~w.rlike(r"^\d"))
+    street = lambda w: w.rlike("(strasse|str|weg|gasse|platz|rain|matte|acker|halde)$").cast("int")
+    ranked = F.transform(words, lambda w, i: F.struct((-street(w)).alias("s"), (-F.length(w)).alias("n"), i.alias("i"), w.alias("w")))
+    return F.try_element_at(F.array_sort(ranked), F.lit(1))["w"]
+
+
+def refine(records: DataFrame, gazetteer: DataFrame, id_col: str) -> DataFrame:
+    """Fills address, parcel, dates and coordinates of records (id, municipality, body, verdict) from their texts.
+
+    The street of the text, else its parcel, is the address. What the gazetteer finds gives the coordinates. A record
+    without any location is left to a manual review unless it is protected already; the note says what was done.
+    """
+    rows = fields(records).withColumn("address", T.first_filled(F.col("place"), F.when(F.col("parcel") != "", F.concat(F.lit("Parzelle "), "parcel"))))
+    found = gazetteer_match(rows.select(id_col, "municipality", "address", "parcel"), gazetteer, id_col)
+    rows = rows.join(found, id_col, "left").withColumn("address", F.coalesce("address", F.lit("")))
+    nowhere = (F.col("address") == "") & F.col("x").isNull()
+    open_ = ~F.coalesce("verdict", F.lit("")).isin("protected-zone", "protected-point", "combined-hit")
+    return rows.withColumns({"verdict": F.when(nowhere & open_, "manual-review").otherwise(F.col("verdict")), "note": F.when(nowhere, "location unclear").otherwise("refined")})
+
+
 def review_cause(address: Column, parcel: Column, has_coordinates: Column) -> Column:
     return (
         F.when(has_coordinates, "has-coords").when((T.blank_to_null(address).isNull()) & (parcel != ""), "parcel-only")

@@ -15,7 +15,7 @@ def events(t):
     rows = t.events.select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
     path = work_path(t.spark, "event-files")
     rows.repartition(4, "event_id").write.parquet(path)
-    return J.file_stream(t.spark, path, rows.schema)
+    return J.file_stream(t.spark, path, rows.schema, 1)  # a batch for each file
 
 
 @query("k1_incremental_ingest", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -23,9 +23,11 @@ def k1(t):
     return J.ingest(events(t), "user_id", "ts").select("user_id", "event_id")
 
 
-@query("k2_duplicate_suppression", "SELECT DISTINCT user_id FROM events")
+@query("k2_duplicate_suppression", "SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")
 def k2(t):
-    return J.suppress_repeats(events(t), "user_id", "ts").select("user_id")
+    """The first event of each kind and user; later files repeat them."""
+    rows = events(t).withColumn("key", F.concat_ws("|", F.col("user_id").cast("string"), "event_type"))
+    return J.suppress_repeats(rows, "key", "ts").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("k3_late_records", "SELECT ts < TIMESTAMP '2024-01-20' - INTERVAL 10 DAY AS late, count(*) AS n FROM (SELECT CASE WHEN ts <= TIMESTAMP '2024-01-20' THEN ts END AS ts FROM events) GROUP BY 1 HAVING late IS NOT NULL UNION ALL SELECT NULL, count(*) FROM events WHERE ts > TIMESTAMP '2024-01-20'")
@@ -43,7 +45,11 @@ def k4(t):
 
 @query("k5_online_learning", f"WITH {FOLD} SELECT municipality_key, address_signature, project_signature, protection_status, match_count, confidence FROM rules", "lrn")
 def k5(t):
-    rows = t.lrn
-    path = work_path(t.spark, "decision-files")
-    rows.repartition(4, "decision_id").write.parquet(path)
-    return J.learn_online(J.file_stream(t.spark, path, rows.schema), L.KEY, "protection_status", ["decided_at", "decision_id"])
+    """Decisions as they come, a quarter of the time span in a batch."""
+    rows, path = t.lrn, work_path(t.spark, "decision-files")
+    low, high = rows.agg(F.min(F.unix_timestamp("decided_at")), F.max(F.unix_timestamp("decided_at"))).first()
+    if low is not None:
+        part = F.least(F.lit(3), F.floor((F.unix_timestamp("decided_at") - low) * 4 / (high - low + 1)))
+        for k in range(4):  # one after the other, so that later decisions lie in later files
+            rows.filter(part == k).coalesce(1).write.mode("append").parquet(path)
+    return J.learn_online(J.file_stream(t.spark, path, rows.schema, 1), L.KEY, "protection_status", ["decided_at", "decision_id"])

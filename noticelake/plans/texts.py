@@ -8,6 +8,7 @@ from ..functions import dates as DT
 from ..functions import duck as D
 from ..functions import text as T
 from ..operators import extract as X
+from ..operators import pages as P
 from .register import query
 
 ROWS = """tx AS (SELECT txt_id, body, line_no, regexp_extract(body, 'Bauvorhaben:\\s*(.+?)\\s*Bauplatz', 1) AS project, regexp_extract(body, '(?i)(?:parzelle|parz\\.|gb)\\s*(?:nr\\.?)?\\s*(\\d+)', 1) AS parcel,
@@ -176,21 +177,31 @@ def i19(t):
     return t.nation.select("n_nationkey", T.slug(F.col("n_name")).alias("slug"))
 
 
-@query("i26_source_kind", "SELECT k, CASE WHEN k IN (0) THEN 'amtsblatt' WHEN k IN (1, 3) THEN 'municipality' ELSE 'import' END AS kind FROM (SELECT DISTINCT CAST(n_nationkey % 5 AS INTEGER) AS k FROM nation)")
+NAMES = [("Kantonales Amtsblatt", "amtsblatt"), ("Gemeindeseite Aarau %k", "municipality"), ("ArcGIS Export", "import"), ("PDF-Auflage Bauverwaltung", "municipality"), ("", "import"),
+  ("Amtsblatt der Gemeinde", "amtsblatt"), ("Kommunaler Anzeiger", "municipality"), ("JSON-Datensatz %k", "import"), ("Baugesuche %k", "municipality"), ("Vereinsblatt", "import"), ("Baupublikationen", "municipality"), ("Gemeinde-Portal", "municipality")]
+
+
+@query("i26_source_kind", f"SELECT o_orderkey, {D.pick('o_orderkey', [k for _, k in NAMES])} AS kind FROM orders")
 def i26(t):
-    names = F.array(*(F.lit(x) for x in ("Kantonales Amtsblatt", "Gemeindeseite Aarau", "ArcGIS Export", "PDF-Auflage Bauverwaltung", "")))
-    return t.nation.select((F.col("n_nationkey") % 5).cast("int").alias("k")).distinct().select("k", T.source_kind(F.element_at(names, F.col("k") + 1)).alias("kind"))
+    return t.orders.select("o_orderkey", T.source_kind(T.pick(F.col("o_orderkey"), [n for n, _ in NAMES])).alias("kind"))
+
+
+PROJECTS = ["Mehrfamilienhaus mit Tiefgarage", "Wärmepumpe", "Umbau Garage", "Abbruch", "MFH", "Pergola beim EFH", "Neubau SCHULHAUS", "Strasse", "E-Ladestation", "Dachausbau", "Hotel mit Schwimmbecken", "Balkon", "Überbauung %k", "Fassadenanstrich", ""]
 
 
-@query("i27_project_scale", "SELECT p_partkey, CASE WHEN regexp_matches(p_name, '(?i)steel|copper') THEN 'large' WHEN regexp_matches(p_name, '(?i)small|tin') THEN 'small' ELSE 'medium' END AS scale FROM part")
+@query("i27_project_scale", f"""WITH x AS (SELECT p_partkey, concat_ws(' ', p_name, {D.pick('p_partkey', PROJECTS)}) AS d FROM part)
+SELECT p_partkey, CASE WHEN regexp_matches(d, '{X.LARGE_PROJECT.replace("(?iu)", "(?i)")}') THEN 'gross' WHEN regexp_matches(d, '{X.SMALL_PROJECT.replace("(?iu)", "(?i)")}') THEN 'klein'
+ WHEN regexp_matches(d, '{X.MEDIUM_PROJECT.replace("(?iu)", "(?i)")}') THEN 'mittel' ELSE 'nicht-klassiert' END AS scale FROM x""")
 def i27(t):
-    return t.part.select("p_partkey", F.when(F.col("p_name").rlike("(?i)steel|copper"), "large").when(F.col("p_name").rlike("(?i)small|tin"), "small").otherwise("medium").alias("scale"))
+    return t.part.select("p_partkey", X.project_scale(F.col("p_name"), T.pick(F.col("p_partkey"), PROJECTS)).alias("scale"))
 
 
-@query("i28_truthy", "SELECT o_orderkey, o_orderkey % 4 IN (0, 1) AS flag FROM orders")
+TRUTHS = [(" JA ", True), ("true", True), ("0", False), ("", False), ("1", True), ("YES", True), ("nein", False), (None, False), ("jaja", False), ("2", False), ("True\t", False)]
+
+
+@query("i28_truthy", f"SELECT o_orderkey, {D.pick('o_orderkey', [f for _, f in TRUTHS])} AS flag FROM orders")
 def i28(t):
-    v = F.element_at(F.array(F.lit(" JA "), F.lit("true"), F.lit("0"), F.lit("")), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return t.orders.select("o_orderkey", T.truthy(v).alias("flag"))
+    return t.orders.select("o_orderkey", T.truthy(T.pick(F.col("o_orderkey"), [v for v, _ in TRUTHS])).alias("flag"))
 
 
 @query("i31_date_normalizer", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day FROM orders")
@@ -220,76 +231,106 @@ def l2(t):
     return X.term_rules(t.documents.select("source", "text"), rules, "text").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("d15_junk_rules", "SELECT doc_id FROM documents WHERE NOT ((text LIKE '%|%' OR text LIKE '%$$$%') AND doc_id % 5 <> 0)")
+ADDRESSES = ["Bahnhofstrasse %k", "Januar 2024", "März 2023", "Folgen Sie uns auf Facebook", "Gemeinderatsnachrichten", "Newsweg 3", "Aktuelles aus dem Dorf", "Dorfgasse %k", "Adresse von Webseite prüfen", "", "Vernehmlassung %k"]
+LIKES = " OR ".join(f"address LIKE '{p}'" for p in X.JUNK_ADDRESS)
+
+
+@query("d15_junk_rules", f"""WITH a AS (SELECT id, {D.pick('line', ADDRESSES)} AS address, workflow_status, assignee, note, ambiguous_address, source_reference FROM (SELECT *, CAST(regexp_extract(address, '[0-9]+$', 0) AS BIGINT) AS line FROM app)),
+c AS (SELECT DISTINCT source_reference FROM rec WHERE source_kind = 'import' AND parcel = '')
+SELECT id FROM a WHERE NOT (({LIKES}) AND workflow_status = 'new' AND assignee = '' AND note = '' AND ambiguous_address AND source_reference NOT IN (SELECT source_reference FROM c))""", "app", "rec")
 def d15(t):
-    patterns = ["%|%", "%$$$%"]
-    junk = F.lit(False)
-    for p in patterns:
-        junk = junk | F.col("text").like(p)
-    touched = t.documents.filter("doc_id % 5 = 0").select("doc_id")
-    gone = t.documents.filter(junk).select("doc_id").join(touched, "doc_id", "left_anti")
-    return t.documents.select("doc_id").join(gone, "doc_id", "left_anti")
+    line = F.regexp_extract("address", "[0-9]+$", 0).cast("long")
+    rows = t.app.withColumn("address", T.pick(line, ADDRESSES))
+    commented = t.rec.filter("source_kind = 'import' and parcel = ''").select("source_reference").distinct()
+    comments = t.app.select("id", "source_reference").join(commented, "source_reference", "left_semi")
+    return X.prune_junk(rows, [("address", p) for p in X.JUNK_ADDRESS], comments).select("id")
+
 
+RESTS = ["", "<br", "class=x", "data-id", "/publikation", "%PDF-1.4", "/FlateDecode", "a�b�", "a�b", "x = 'y'", "filter%5D", "tx_news", "data", "endobj", "box-box", "<3"]
 
-@query("d16_markup_junk", "SELECT doc_id, (regexp_matches(text, '<[a-z]+ [^>]*=|%PDF-|/FlateDecode') OR length(text) - length(replace(text, '!', '')) >= 2) AS junk FROM documents")
+
+@query("d16_markup_junk", f"""WITH x AS (SELECT doc_id, coalesce(text, '') || ' ' || {D.pick('doc_id', RESTS)} AS v FROM documents)
+SELECT doc_id, regexp_matches(v, '(?i)<[a-z/!]|=\\s*["'']|\\bdata-[\\w-]+|%5[bd]|class=|box[\\s-]box|tx_[a-z_]+|filter%|/publikation') OR regexp_matches(v, '%PDF-|/FlateDecode|\\bendobj\\b|\\bendstream\\b') OR length(v) - length(replace(v, '�', '')) >= 2 AS junk FROM x""")
 def d16(t):
-    x = F.col("text")
-    return t.documents.select("doc_id", (x.rlike("<[a-z]+ [^>]*=|%PDF-|/FlateDecode") | (F.length(x) - F.length(F.replace(x, F.lit("!"), F.lit(""))) >= 2)).alias("junk"))
+    return t.documents.select("doc_id", X.markup_junk(F.concat_ws(" ", F.coalesce("text", F.lit("")), T.pick(F.col("doc_id"), RESTS))).alias("junk"))
+
 
+TOPICS = [("", ""), ("Suchergebnisse %k", "https://a.example/suche"), ("Suchergebnisse %k", "https://a.example/detail/%k"), ("Protokoll der Gemeindeversammlung", ""), ("Protokoll zum Baugesuch %k", ""), ("Mitteilungsblatt mit Baugesuch", ""),
+  ("Plangenehmigungsverfahren", ""), ("Neubau", "https://a.example/bno/%k"), ("Neubau Garage", "https://a.example/baugesuche"), ("Budget und Steuer", ""), ("Reglement", ""), ("Bauvorhaben nach Gestaltungsplan", "")]
+TOPIC_SQL = f"""(regexp_matches(b, '{X.SEARCH_RESULTS}') AND NOT regexp_matches(u, '(?i)/(detail|id|item)[/=-]?[0-9]+')) OR regexp_matches(u, '(?i)(regionalebauverwaltung\\.ch|/bauen/baubewilligungen/ebau-aargau|(?:^|[/_-])bno(?:[/_.-]|$)|nutzungsordnung)')
+ OR regexp_matches(b, '{X.BULLETIN}') OR regexp_matches(b, '{X.OTHER_PROCEDURE}') OR (regexp_matches(b, '{X.OTHER_TOPIC}') AND NOT regexp_matches(b, '{X.PERMIT_SIGNAL}'))"""
 
-@query("d9_off_topic", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])(copyright|license|reglement)($|[^A-Za-z0-9_])')")
+
+@query("d9_off_topic", f"""WITH x AS (SELECT doc_id, {D.collapse(f"concat_ws(' ', {D.pick('doc_id', [a for a, _ in TOPICS])}, text)")} AS v, {D.pick('doc_id', [u for _, u in TOPICS])} AS u FROM documents), y AS (SELECT *, u || ' ' || v AS b FROM x)
+SELECT doc_id, v <> '' AND ({TOPIC_SQL}) AS off_topic FROM y""")
 def d9(t):
-    return t.documents.filter(F.col("text").rlike(r"(?i)(^|[^A-Za-z0-9_])(copyright|license|reglement)($|[^A-Za-z0-9_])")).select("doc_id")
+    text = F.concat_ws(" ", T.pick(F.col("doc_id"), [a for a, _ in TOPICS]), F.col("text"))
+    return t.documents.select("doc_id", X.is_off_topic(text, T.pick(F.col("doc_id"), [u for _, u in TOPICS])).alias("off_topic"))
+
+
+DATES = [(" 12.3.2024 ", True), ("2024", True), ("März 2024", True), ("Weg 12", False), ("12.3.2024 bis 13.3.2024", False), ("", False), ("3. 4. 2025", True), ("Parzelle 12", False), ("20245", False), ("Weg 3", False), ("im März 2024", False), ("Mai 1999", False)]
 
 
-@q("d19_lone_date", "SELECT txt_id, line_no % 3 <> 0 AS lone FROM tx")
+@query("d19_lone_date", f"SELECT o_orderkey, {D.pick('o_orderkey', [f for _, f in DATES])} AS lone FROM orders")
 def d19(t):
-    v = F.when(F.col("line_no") % 3 == 0, F.col("body")).when(F.col("line_no") % 3 == 1, F.lit(" 12.3.2024 ")).otherwise(F.lit("2024"))
-    return t.txt.select("txt_id", F.trim(v).rlike(r"^(\d{1,2}\.\s*\d{1,2}\.\s*\d{4}|\d{4}|[A-Za-zä]+ \d{4})$").alias("lone"))
+    return t.orders.select("o_orderkey", X.lone_date(T.pick(F.col("o_orderkey"), [v for v, _ in DATES])).alias("lone"))
 
 
 # jobs that chain the steps above
 
 
-@query("a9_document_records")
+DATED = "DATE '2024-02-01' AS publication_date, DATE '2024-03-03' AS deadline_date"
+
+
+@query("a9_document_records", f"SELECT txt_id, 'Dorfgasse ' || part AS place, p_name AS project, {DATED} FROM ntx WHERE line_no NOT IN (2, 3, 4, 5)", "ntx")
 def a9(t):
-    """Documents as records: address or parcel and a project or a date are required."""
-    rows = X.fields(t.documents.select("doc_id", "text"), "text").withColumn("head", T.shorten(F.col("text"), 120))
-    return rows.filter(((F.col("place") != "") | (F.col("parcel") != "")) & ((F.col("project") != "") | F.col("deadline_date").isNotNull())).select("doc_id", "head", "place", "parcel", "deadline_date")
+    """Texts as records: a text without address or project, or without any date, gives none."""
+    rows = X.fields(t.ntx).filter((F.col("body") != "") & (F.col("place") != "") & (F.col("project") != ""))
+    rows = rows.filter(F.col("publication_date").isNotNull() | F.col("deadline_date").isNotNull())
+    return rows.select("txt_id", "place", "project", "publication_date", "deadline_date")
 
 
-@query("c11_gazette_record")
+@query("c11_gazette_record", """SELECT txt_id, CASE WHEN line_no IN (2) THEN 'Parzelle ' || part WHEN line_no = 5 THEN '' ELSE 'Dorfgasse ' || part END AS address, CASE WHEN line_no IN (3, 4, 5) THEN '' ELSE part END AS parcel,
+ CASE WHEN line_no IN (4, 5) THEN 'Bauvorhaben' ELSE p_name END AS project, CASE WHEN line_no NOT IN (3, 5) THEN DATE '2024-03-03' END AS deadline_date, CASE WHEN line_no NOT IN (3, 5) THEN 'explicit' ELSE 'missing' END AS deadline_provenance,
+ CASE WHEN line_no = 5 THEN 'manual-review' ELSE 'open' END AS verdict FROM ntx""", "ntx")
 def c11(t):
-    rows = X.fields(t.txt)
+    """Street, else parcel; project with a fallback; deadline with its provenance; a first verdict that a blank place keeps open for review."""
+    rows = X.fields(t.ntx)
+    address = T.first_filled(F.col("place"), F.when(F.col("parcel") != "", F.concat(F.lit("Parzelle "), "parcel")))
     provenance = F.when(F.col("deadline_date").isNotNull(), "explicit").otherwise("missing")
-    return rows.select("txt_id", F.coalesce(F.nullif("place", F.lit("")), F.concat(F.lit("Parzelle "), "parcel")).alias("address"), "parcel", T.first_filled(F.col("project"), F.lit("Bauvorhaben")).alias("project"), "deadline_date", provenance.alias("deadline_provenance"))
+    verdict = F.when(address.isNull(), "manual-review").otherwise("open")
+    return rows.select("txt_id", F.coalesce(address, F.lit("")).alias("address"), "parcel", T.first_filled(F.col("project"), F.lit("Bauvorhaben")).alias("project"), "deadline_date", provenance.alias("deadline_provenance"), verdict.alias("verdict"))
+
+
+FEEDS = [("Baugesuch Nr. %k", True), ("Vereinsnachrichten vom 1.2.2024", False), ("Bauvorhaben Parzelle %k, Auflage ab 1.2.2024", True), ("Bauvorhaben ohne Ort", False), ("Bauvorhaben Bahnhofstrasse 3 vom 1.2.", True), ("Bahnhofstrasse 3, 1.2.2024", False), ("", False), ("Gesuch um Sitzplatz", True)]
 
 
-@query("d8_feed_relevance", "SELECT txt_id FROM txt WHERE line_no <> 2", "txt")
+@query("d8_feed_relevance", f"SELECT o_orderkey, {D.pick('o_orderkey', [f for _, f in FEEDS])} AS relevant FROM orders")
 def d8(t):
-    body = F.when(F.col("line_no") == 2, F.lit("Vereinsnachrichten")).otherwise(F.col("body"))
-    rows = t.txt.withColumn("f", X.relevance(body))
-    f = F.col("f")
-    return rows.filter(body.rlike("(?i)gesuch") | (f["keyword"] & (f["parcel"] | f["address"]) & f["dated"])).select("txt_id")
+    return t.orders.select("o_orderkey", X.is_relevant_feed(T.pick(F.col("o_orderkey"), [v for v, _ in FEEDS])).alias("relevant"))
 
 
-@query("d12_detail_needed")
+@query("d12_detail_needed", "SELECT txt_id FROM ntx WHERE line_no IN (2, 3, 4, 5)", "ntx")
 def d12(t):
-    rows = X.fields(t.txt)
+    """Records whose page or document has to be read: place, parcel or deadline are missing, or the place is weak."""
+    rows = X.fields(t.ntx)
     return rows.filter((F.col("place") == "") | (F.col("parcel") == "") | F.col("deadline_date").isNull() | X.weak_address(F.col("place"))).select("txt_id")
 
 
-@q("i7_entities", "SELECT txt_id, 'A & B <' || parcel || '> ä' AS text FROM tx")
+ENTITIES = [("A &amp; B &lt;%k&gt; &auml;", "A & B <%k> ä"), ("&amp;lt;", "&lt;"), ("&Uuml;ber&nbsp;%k", "Über %k"), ("&#39;x&apos;", "'x'"), ("&quot;%k&quot; &szlig;", '"%k" ß'), ("AT&T &unknown;", "AT&T &unknown;"), ("", "")]
+
+
+@query("i7_entities", f"SELECT o_orderkey, {D.pick('o_orderkey', [v for _, v in ENTITIES])} AS text FROM orders")
 def i7(t):
-    coded = F.concat(F.lit("A &amp; B &lt;"), X.parcel_number(F.col("body")), F.lit("&gt; &auml;"))
-    return t.txt.select("txt_id", T.decode_entities(coded).alias("text"))
+    return t.orders.select("o_orderkey", T.decode_entities(T.pick(F.col("o_orderkey"), [v for v, _ in ENTITIES])).alias("text"))
+
 
+RAW_ADDRESSES = [(' class="x"> Weg %k&nbsp; data-id=\'7\'', "Weg %k"), ("Gasse 2", "Gasse 2"), ('<span id="a">Rain %k</span>', "Rain %k"), ("", ""), ('style="color:red">', ""), ("M&uuml;hleweg  3", "Mühleweg 3")]
 
-@q("i11_address_cleaner", "SELECT txt_id, place AS address FROM tx")
+
+@query("i11_address_cleaner", f"SELECT o_orderkey, {D.pick('o_orderkey', [v for _, v in RAW_ADDRESSES])} AS address FROM orders")
 def i11(t):
-    raw = F.concat(F.lit(' class="x"> '), X.street_address(F.col("body")), F.lit("&nbsp; data-id='7'"))
-    clean = F.regexp_replace(F.regexp_replace(T.decode_entities(raw), r"(class|id|style)=\"[^\"]*\">?", " "), r"data-[a-z]+='[^']*'", " ")
-    return t.txt.select("txt_id", T.collapse(clean).alias("address"))
+    return t.orders.select("o_orderkey", X.clean_address(T.pick(F.col("o_orderkey"), [v for v, _ in RAW_ADDRESSES])).alias("address"))
 
 
 @q("i12_project_cleaner", "SELECT txt_id, project FROM tx")
@@ -299,23 +340,26 @@ def i12(t):
     return t.txt.select("txt_id", T.collapse(clean).alias("project"))
 
 
-@q("i13_address_sanitizer", "SELECT txt_id, CASE WHEN line_no % 2 = 0 THEN place ELSE 'Parzelle ' || parcel END AS address FROM tx")
+STREETS = [  # an address, what the sanitizer leaves, house number, street name, street token
+    ("Bahnhofstrasse 12a", "Bahnhofstrasse 12a", "12a", "Bahnhofstrasse", "bahnhofstrasse"), ("12345", "", "", "", None), ("unbekannt", "", "", "", "unbekannt"), ("Parzelle 77", "", "", "", None), ("Im langen Winkelried, Oberer Weg 3", "Im langen Winkelried, Oberer Weg 3", "3", "Im langen Winkelried, Oberer Weg", "winkelried"),
+    ("Neubau Kirchgasse %k", "Neubau Kirchgasse %k", "%k", "Neubau Kirchgasse", "kirchgasse"), ("", "", "", "", None), ("Standort Gemeinde Schweiz", "", "", "", None), ("Dorf 7", "Dorf 7", "7", "Dorf", "dorf"), ("Am Hof", "Am Hof", "", "", None), ("Grossackerstrasse beim Feuerwehrmagazin 5", "Grossackerstrasse beim Feuerwehrmagazin 5", "5", "Grossackerstrasse beim Feuerwehrmagazin", "grossackerstrasse"),
+]
+
+
+@query("i13_address_sanitizer", f"SELECT o_orderkey, {D.pick('o_orderkey', [s[1] for s in STREETS])} AS address FROM orders")
 def i13(t):
-    street = F.when(F.col("line_no") % 2 == 0, X.street_address(F.col("body"))).otherwise(F.lit("12345"))
-    return t.txt.select("txt_id", F.when(X.weak_address(street), F.concat(F.lit("Parzelle "), X.parcel_number(F.col("body")))).otherwise(street).alias("address"))
+    return t.orders.select("o_orderkey", X.sanitize_address(T.pick(F.col("o_orderkey"), [s[0] for s in STREETS])).alias("address"))
 
 
-@q("i17_house_number", "SELECT txt_id, regexp_extract(place, '\\d+$', 0) AS house_number, 'Bahnhofstrasse' AS street FROM tx")
+@query("i17_house_number", f"SELECT o_orderkey, {D.pick('o_orderkey', [s[2] for s in STREETS])} AS house_number, {D.pick('o_orderkey', [s[3] for s in STREETS])} AS street FROM orders")
 def i17(t):
-    a = X.street_address(F.col("body"))
-    return t.txt.select("txt_id", F.regexp_extract(a, r"(\d+[a-z]?)$", 1).alias("house_number"), F.regexp_extract(a, r"^(.*?)\s+\d", 1).alias("street"))
+    a = X.sanitize_address(T.pick(F.col("o_orderkey"), [s[0] for s in STREETS]))
+    return t.orders.select("o_orderkey", X.house_number(a).alias("house_number"), X.street_name(a).alias("street"))
 
 
-@q("i20_street_token", "SELECT txt_id, 'bahnhofstrasse' AS token FROM tx")
+@query("i20_street_token", f"SELECT o_orderkey, {D.pick('o_orderkey', [s[4] for s in STREETS])} AS token FROM orders")
 def i20(t):
-    tokens = F.filter(F.split(T.key(X.street_address(F.col("body"))), " "), lambda w: F.length(w) >= 4)
-    longest = F.array_sort(tokens, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).otherwise(0))
-    return t.txt.select("txt_id", F.try_element_at(longest, F.lit(1)).alias("token"))
+    return t.orders.select("o_orderkey", X.street_token(T.pick(F.col("o_orderkey"), [s[0] for s in STREETS])).alias("token"))
 
 
 @q("i21_project_type", "SELECT txt_id, coalesce(nullif(project, ''), 'Bauvorhaben') AS project, CASE WHEN length(project) > 20 THEN 2 WHEN project <> '' THEN 1 ELSE 0 END AS specificity FROM tx")
@@ -331,18 +375,27 @@ def i34(t):
     return t.txt.select("txt_id", DT.normalize(F.concat(first, year)).alias("publication_date"))
 
 
-@query("i10_enclosing_block")
+INSIDE = [("<section><p>eins <a href=\"/x\">L %k</a> zwei</p><p>ohne</p></section>", "eins L %k zwei"), ("<ul><li>a</li><li><b>b</b> <a href=\"/y\">M</a></li></ul>", "b M"), ("<article>vor <p>nichts</p> <a href=\"/z\">N %k</a> nach</article>", "N %k nach"), ("<p>kein Link</p>", None), ("<tr><td>1</td><td><a href=\"/t\">T</a></td></tr>", "1 T")]
+
+
+@query("i10_enclosing_block", f"SELECT page_id, text FROM (SELECT page_id, {D.pick('page_id', [x for _, x in INSIDE])} AS text FROM pages) WHERE text IS NOT NULL")
 def i10(t):
-    """The smallest paragraph or list item that holds a page's first link."""
-    blocks = t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<((?:p|li|article|section|tr)[\s>](?:(?!<(?:p|li|tr)[\s>]).)*?<a\s.*?</a>)"), F.lit(1))).alias("block"))
-    return blocks.groupBy("page_id").agg(F.min(F.struct(F.length("block").alias("n"), F.col("block").alias("block"))).alias("s")).select("page_id", T.strip_html(F.concat(F.lit("<"), F.col("s.block"))).alias("text"))
+    """The text of the smallest block around each page's first link."""
+    pages = t.pages.select("page_id", "url", T.pick(F.col("page_id"), [h for h, _ in INSIDE]).alias("html"))
+    links = P.anchors_in_context(pages)
+    return links.groupBy("page_id").agg(F.min_by("context", "block").alias("text"))
 
 
-@q("j7_refinement", "SELECT txt_id, CASE WHEN line_no = 1 THEN place ELSE 'known' END AS address, parcel, CASE WHEN line_no = 1 THEN 'filled' ELSE '' END AS note FROM tx")
+@query("j7_refinement", """SELECT txt_id, CASE WHEN line_no IN (2) THEN 'Parzelle ' || part WHEN line_no = 5 THEN '' ELSE 'Dorfgasse ' || part END AS address, CASE WHEN line_no IN (3, 4, 5) THEN '' ELSE part END AS parcel,
+ CASE WHEN line_no NOT IN (3, 5) THEN DATE '2024-02-01' END AS publication_date, CASE WHEN line_no NOT IN (3, 5) THEN DATE '2024-03-03' END AS deadline_date,
+ CASE WHEN line_no NOT IN (5) THEN CAST(2600000 + CAST(part AS BIGINT) AS DOUBLE) END AS x, CASE WHEN line_no = 6 THEN 'protected-zone' WHEN line_no = 5 THEN 'manual-review' ELSE 'no-hit' END AS verdict,
+ CASE WHEN line_no = 5 THEN 'location unclear' ELSE 'refined' END AS note FROM ntx""", "ntx")
 def j7(t):
-    rows = X.fields(t.txt).withColumn("address", F.when(F.col("line_no") == 1, "").otherwise("known"))
-    filled = T.first_filled(F.col("address"), F.col("place"))
-    return rows.select("txt_id", filled.alias("address"), "parcel", F.when(F.col("address") == "", "filled").otherwise("").alias("note"))
+    """Fills address, parcel, dates and coordinates of bare records from their texts."""
+    k = F.col("p_partkey").cast("string")
+    places = t.part.select(F.lit("Dorf").alias("municipality"), F.concat(F.lit("Parzelle "), k).alias("parcel"), F.concat(F.lit("Dorfgasse "), k).alias("label"), (F.col("p_partkey") + 2600000).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(True).alias("precise"), F.lit(1).alias("rank"))
+    bare = t.ntx.select("txt_id", "body", F.lit("Dorf").alias("municipality"), F.when(F.col("line_no") == 6, "protected-zone").otherwise("no-hit").alias("verdict"))
+    return X.refine(bare, places, "txt_id").select("txt_id", "address", "parcel", "publication_date", "deadline_date", "x", "verdict", "note")
 
 
 @query("e21_gazetteer_address", f"""WITH {GAZ} SELECT rec_id, CAST(2600000 + k AS DOUBLE) AS x FROM (SELECT *, regexp_extract(municipality, 'Town \\d+', 0) AS town, CAST(regexp_extract(address, '\\d+$', 0) AS BIGINT) AS no FROM rec WHERE parcel = '') r JOIN gaz ON gaz.municipality = town AND gaz.k = no""", "rec")

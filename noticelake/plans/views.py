@@ -42,6 +42,14 @@ FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN part p ON p.p_
  ', Parzelle Nr. ', CAST(l.l_partkey AS STRING), ' Auflage vom ', CAST(day(l.l_shipdate) AS STRING), '.', CAST(month(l.l_shipdate) AS STRING), '.',
  ' bis ', CAST(day(l.l_shipdate) AS STRING), '.', CAST(month(l.l_shipdate) AS STRING), '.20', lpad(CAST(year(l.l_shipdate) % 30 AS STRING), 2, '0')) AS body,
  l.l_linenumber AS line_no
+FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey""",
+    # notice texts of which some lack a part
+    "ntx": f"""SELECT {REC_ID} AS txt_id, l.l_linenumber AS line_no, CAST(l.l_partkey AS STRING) AS part, CASE l.l_linenumber
+ WHEN 2 THEN concat('Baugesuch Bauvorhaben: ', p.p_name, ' Bauplatz: unbekannt, Parzelle Nr. ', CAST(l.l_partkey AS STRING), ' Auflage vom 1.2.2024 bis 3.3.2024')
+ WHEN 3 THEN concat('Baugesuch Bauvorhaben: ', p.p_name, ' Bauplatz: Dorfgasse ', CAST(l.l_partkey AS STRING))
+ WHEN 4 THEN concat('Einladung zum Markt an der Dorfgasse ', CAST(l.l_partkey AS STRING), ' vom 1. Februar bis 3. März 2024')
+ WHEN 5 THEN ''
+ ELSE concat('Baugesuch Bauvorhaben: ', p.p_name, ' Bauplatz: Dorfgasse ', CAST(l.l_partkey AS STRING), ', Parzelle Nr. ', CAST(l.l_partkey AS STRING), ' Auflage vom 1. Februar bis 3. März 2024') END AS body, p.p_name AS p_name
 FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey""",
     # notice pages: labelled blocks, a permit table, another table, links, or nothing but a title
     "npg": """SELECT page_id, url, CASE page_id % 6

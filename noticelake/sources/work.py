@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; only where that is unset, in a temporary folder."""
+    """A new path in the folder of spark.checkpoint.dir; only where that is unset on a local master, in a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("noticelake.work.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-noticelake-")
         spark.conf.set("noticelake.work.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

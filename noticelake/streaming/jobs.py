@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.work import work_path
+from ..sources.work import work_path, written
 
 
-def file_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
-    """New Parquet files of a folder as they come."""
-    return spark.readStream.schema(schema).parquet(folder)
+def file_stream(spark: SparkSession, folder: str, schema, files: int | None = None) -> DataFrame:
+    """New Parquet files of a folder as they come, at most `files` of them in a batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(folder)
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def home_of(stream: DataFrame, name: str, home: str | None) -> str:
+    """The folder that holds a job's table and checkpoint from run to run."""
+    return home or work_path(stream.sparkSession, name)
+
+
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """One run over what is there, then stop; the checkpoint makes the next run go on from there."""
-    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -26,59 +32,102 @@ def append_to(path: str, transform: Callable[[DataFrame], DataFrame] = lambda d:
     return lambda batch, n: transform(batch).write.mode("overwrite").parquet(f"{path}/batch={n}")
 
 
-def ingest(stream: DataFrame, key: str, order: str) -> DataFrame:
-    """Idempotent upsert: all batches are kept, the newest row of every key is read."""
-    spark = stream.sparkSession
-    path = work_path(spark, "ingest")
-    run_available(stream, append_to(path), work_path(spark, "ingest-checkpoint"))
-    rows = spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
-    w = Window.partitionBy(key).orderBy(F.desc(order), *(F.desc(c) for c in stream.columns if c not in (key, order)))
-    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+def read_batches(spark: SparkSession, schema, path: str) -> DataFrame:
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
+def newest(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The newest row of every key; ties by the other columns."""
+    others = [F.col(c) for c in rows.columns if c not in (key, order)]
+    best = rows.groupBy(key).agg(F.max(F.struct(F.col(order), *others)).alias("_s"))
+    return best.select(*(F.col(key) if c == key else F.col(f"_s.{c}") for c in rows.columns))
+
+
+def merge_into(path: str, key: str, order: str, buckets: int) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps the newest row of every key. The table is partitioned by a hash of the key; a batch rewrites
+    the buckets that it touches and reads no others. A repeated batch changes nothing."""
 
+    def each(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        rows = newest(batch, key, order).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        rows = written(rows, "merge-batch")
+        touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # at most `buckets` numbers
+        old = spark.read.schema(rows.schema).parquet(path).filter(F.col("_bucket").isin(touched))
+        merged = written(newest(old.unionByName(rows).drop("_bucket"), key, order).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "merge-buckets")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
 
-def suppress_repeats(stream: DataFrame, key: str, time: str, delay: str = "31 days") -> DataFrame:
+    return each
+
+
+def ingest(stream: DataFrame, key: str, order: str, home: str | None = None, buckets: int = 16) -> DataFrame:
+    """Idempotent upsert: the newest row of every key, merged batch by batch."""
+    spark, home = stream.sparkSession, home_of(stream, "ingest", home)
+    table = f"{home}/table"
+    columns = spark.createDataFrame([], stream.schema).withColumn("_bucket", F.lit(0))
+    columns.write.mode("append").partitionBy("_bucket").parquet(table)  # the folder, before the first batch
+    run_available(stream, merge_into(table, key, order, buckets), f"{home}/checkpoint")
+    return spark.read.schema(columns.schema).parquet(table).drop("_bucket")
+
+
+def suppress_repeats(stream: DataFrame, key: str, time: str, delay: str = "31 days", home: str | None = None) -> DataFrame:
     """The first record of every key within the watermark."""
-    spark = stream.sparkSession
-    path = work_path(spark, "unique")
+    home = home_of(stream, "unique", home)
     unique = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
-    run_available(unique, append_to(path), work_path(spark, "unique-checkpoint"))
-    return spark.read.schema(unique.schema).option("recursiveFileLookup", "true").parquet(path)
+    run_available(unique, append_to(f"{home}/rows"), f"{home}/checkpoint")
+    return read_batches(stream.sparkSession, unique.schema, f"{home}/rows")
 
 
-def split_late(stream: DataFrame, time: str, reference: str, days: int = 31) -> tuple[DataFrame, DataFrame]:
+def split_late(stream: DataFrame, time: str, reference: str, days: int = 31, home: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Active and late records; those after the reference lose their time."""
-    spark = stream.sparkSession
-    active, late = work_path(spark, "active"), work_path(spark, "late")
+    spark, home = stream.sparkSession, home_of(stream, "late", home)
     ref = F.lit(reference).cast("timestamp")
 
     def each(batch, n):
         seen = batch.withColumn(time, F.when(F.col(time) <= ref, F.col(time)))
         old = F.coalesce(F.col(time) < ref - F.expr(f"interval {days} days"), F.lit(False))
-        append_to(active)(seen.filter(~old), n)
-        append_to(late)(seen.filter(old), n)
+        append_to(f"{home}/active")(seen.filter(~old), n)
+        append_to(f"{home}/late")(seen.filter(old), n)
 
-    run_available(stream, each, work_path(spark, "late-checkpoint"))
-    read = lambda p: spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(p)
-    return read(active), read(late)
+    run_available(stream, each, f"{home}/checkpoint")
+    return read_batches(spark, stream.schema, f"{home}/active"), read_batches(spark, stream.schema, f"{home}/late")
 
 
-def notifications(stream: DataFrame, wanted, order: list[str], keep: int = 40) -> DataFrame:
+def notifications(stream: DataFrame, wanted, order: list[str], keep: int = 40, home: str | None = None) -> DataFrame:
     """The newest notifications of all batches."""
-    spark = stream.sparkSession
-    path = work_path(spark, "notes")
-    run_available(stream, append_to(path, lambda d: d.filter(wanted)), work_path(spark, "notes-checkpoint"))
-    rows = spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
-    return rows.orderBy(*(F.desc(c) for c in order)).limit(keep)
+    home = home_of(stream, "notes", home)
+    run_available(stream, append_to(f"{home}/rows", lambda d: d.filter(wanted)), f"{home}/checkpoint")
+    return read_batches(stream.sparkSession, stream.schema, f"{home}/rows").orderBy(*(F.desc(c) for c in order)).limit(keep)
 
 
-def learn_online(stream: DataFrame, keys: list[str], status: str, order: list[str]) -> DataFrame:
-    """Folds decisions batch by batch: the stored rows of a signature and a batch's own are folded in order again.
+def learn_online(stream: DataFrame, keys: list[str], status: str, order: list[str], home: str | None = None) -> DataFrame:
+    """Rules folded from decisions as they come: status, decisions and confidence of every signature.
 
-    Only signatures that a batch touches are rewritten; the fold of a signature is the batch job's.
+    The state of a signature is its status, the length of its last run of equal statuses, whether that run is its
+    first, and its decisions so far. A batch's decisions of a signature are folded in order; batches in the order of
+    their arrival. Earlier decisions are not read again.
     """
-    from ..operators.learning import fold_rules
-
-    spark = stream.sparkSession
-    path = work_path(spark, "decisions")
-    run_available(stream, append_to(path), work_path(spark, "decisions-checkpoint"))
-    return fold_rules(spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path), order)
+    import pandas as pd
+
+    from ..operators.learning import FIRST_CONFIDENCE, MOST, NEW_STATUS, STEP
+
+    spark, home = stream.sparkSession, home_of(stream, "rules", home)
+
+    def fold(key, chunks, state):
+        held, run, first, n = state.get if state.exists else (None, 0, True, 0)
+        rows = pd.concat(list(chunks)).sort_values(order)
+        for s in rows[status]:
+            first = first and held in (None, s)
+            run, held = (run + 1, s) if s == held else (1, s)
+            n += 1
+        state.update((held, run, first, n))
+        confidence = round(min(MOST, (FIRST_CONFIDENCE if first else NEW_STATUS) + STEP * (run - 1)), 4)
+        yield pd.DataFrame([(*key, held, n, confidence)], columns=[*keys, status, "match_count", "confidence"])
+
+    types = {f.name: f.dataType.simpleString() for f in stream.schema}
+    schema = ", ".join(f"{k} {types[k]}" for k in [*keys, status]) + ", match_count long, confidence double"
+    rules = stream.groupBy(*keys).applyInPandasWithState(fold, schema, "status string, run long, first boolean, n long", "update", "NoTimeout")
+    versions = lambda d, n: append_to(f"{home}/rules", lambda r: r.withColumn("_version", F.lit(n)))(d, n)
+    run_available(rules, versions, f"{home}/checkpoint", "update")
+    every = read_batches(spark, rules.schema.add("_version", "integer"), f"{home}/rules")
+    latest = every.groupBy(*keys).agg(F.max(F.struct("_version", status, "match_count", "confidence")).alias("s"))
+    return latest.select(*keys, f"s.{status}", "s.match_count", "s.confidence")
