@@ -124,22 +124,37 @@ def nearest_feature(points: DataFrame, areas: DataFrame, features: DataFrame, me
     return best.select("pt_id", "s.feature_id", F.when(F.col("s.kind") == 0, "area").otherwise("point").alias("kind"), "s.distance")
 
 
-def assess(points: DataFrame, areas: DataFrame, features: DataFrame) -> DataFrame:
-    """Protection status of every point from direct area hits, direct features and what lies near."""
-    zone = priority_hits(point_in_area(points, areas)).groupBy("pt_id").agg(F.count(F.lit(1)).alias("zones"))
-    building = features_in_square(points, features, DIRECT_METRES).groupBy("pt_id").agg(F.count(F.lit(1)).alias("buildings"))
-    near = nearest_feature(points, areas, features).select("pt_id", "distance")
-    rows = points.join(zone, "pt_id", "left").join(building, "pt_id", "left").join(near, "pt_id", "left")
-    z, b = F.col("zones").isNotNull(), F.col("buildings").isNotNull()
+def assess(points: DataFrame, areas: DataFrame, features: DataFrame, cell: float = 2000.0) -> DataFrame:
+    """Protection status of every point from direct area hits, direct features and what lies near.
+
+    One join by cells with the areas and one with the features give both what is hit and what is near; flags of a point
+    are put together in each task before the shuffle.
+    """
+    e, n = F.col("east"), F.col("north")
+    a = with_cell(points, "east", "north", cell).join(by_cell(areas, NEAR_METRES, cell), ["cx", "cy"])
+    a = a.select("pt_id", inside(F.col("rings"), e, n).alias("zone"), F.lit(False).alias("building"), (area_distance(F.col("rings"), e, n) <= NEAR_METRES).alias("near"))
+    f = features_in_square(points, features, NEAR_METRES)
+    direct = (F.abs(e - F.col("fx")) <= DIRECT_METRES) & (F.abs(n - F.col("fy")) <= DIRECT_METRES)
+    f = f.select("pt_id", F.lit(False).alias("zone"), direct.alias("building"), (F.hypot(e - F.col("fx"), n - F.col("fy")) <= NEAR_METRES).alias("near"))
+    flags = a.unionByName(f).groupBy("pt_id").agg(*(F.bool_or(c).alias(c) for c in ("zone", "building", "near")))
+    z, b, near = (F.coalesce(c, F.lit(False)) for c in ("zone", "building", "near"))
     status = (
-        F.when(F.col("east").isNull() | F.col("north").isNull(), F.lit(None).cast("string"))
+        F.when(e.isNull() | n.isNull(), F.lit(None).cast("string"))
         .when(z & b, "combined-hit")
         .when(b, "protected-point")
         .when(z, "protected-zone")
-        .when((F.col("location_precision") == "approximate") & F.col("distance").isNotNull(), "manual-review")
+        .when((F.col("location_precision") == "approximate") & near, "manual-review")
         .otherwise("no-hit")
     )
-    return rows.select("pt_id", status.alias("protection_status"))
+    return points.join(flags, "pt_id", "left").select("pt_id", status.alias("protection_status"))
+
+
+def assessment_changes(stored: DataFrame, assessed: DataFrame) -> DataFrame:
+    """pt_id, old and new status of the records whose verdict differs from the stored one; verdicts that could not be
+    given change nothing. stored: pt_id, protection_status."""
+    old = stored.select("pt_id", F.col("protection_status").alias("old_status"))
+    rows = old.join(assessed.select("pt_id", F.col("protection_status").alias("new_status")), "pt_id")
+    return rows.filter(F.col("new_status").isNotNull() & ~F.col("old_status").eqNullSafe(F.col("new_status")))
 
 
 def parse_lv95(text: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import duck as D
+from ..functions import text as T
 from ..operators import spatial as S
 from .register import query
 
@@ -64,9 +66,19 @@ def i45(t):
     return S.assess(t.gpt, areas(t), t.gbl)
 
 
-@query("j8_assess_all", ASSESS + " SELECT count(*) AS total, count(*) FILTER (protection_status <> 'no-hit') AS updated FROM v", "gpt", "gar", "gbl")
+STORED = ["no-hit", "protected-zone", "no-hit", "manual-review", "combined-hit", None, "protected-point"]
+
+
+@query("j8_assess_all", ASSESS + f", o AS (SELECT pt_id, {D.pick('pt_id', STORED)} AS old_status FROM gpt) SELECT pt_id, old_status, protection_status AS new_status FROM v JOIN o USING (pt_id) WHERE old_status IS DISTINCT FROM protection_status", "gpt", "gar", "gbl")
 def j8(t):
-    return i45(t).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("protection_status") != "no-hit").alias("updated"))
+    """The records that an assessment of all rewrites: those alone whose verdict changes."""
+    return S.assessment_changes(t.gpt.select("pt_id", T.pick(F.col("pt_id"), STORED).alias("protection_status")), i45(t))
+
+
+@query("j8_assessment_report", ASSESS + f", o AS (SELECT pt_id, {D.pick('pt_id', STORED)} AS old_status FROM gpt) SELECT count(*) AS total, count(*) FILTER (old_status IS DISTINCT FROM protection_status) AS updated FROM v JOIN o USING (pt_id)", "gpt", "gar", "gbl")
+def j8_report(t):
+    total, updated = t.gpt.agg(F.count(F.lit(1)).alias("total")), j8(t).agg(F.count(F.lit(1)).alias("updated"))
+    return total.crossJoin(updated)  # one row each
 
 
 @query("f15_combined_assessment", ASSESS + """ SELECT pt_id % 50 AS grp, CASE WHEN bool_or(protection_status = 'combined-hit') OR (bool_or(protection_status = 'protected-point') AND bool_or(protection_status = 'protected-zone')) THEN 'combined-hit'
