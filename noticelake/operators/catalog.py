@@ -47,7 +47,7 @@ def is_public_url(url: Column) -> Column:
     """http(s) only; no local, private or literal IPv6 hosts."""
     host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
     scheme = F.lower(F.coalesce(F.try_parse_url(url, F.lit("PROTOCOL")), F.lit("")))
-    private = host.rlike(r"^(localhost|127\.|10\.|0\.|169\.254\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)") | host.rlike(r"\.(local|internal|localhost)$") | host.startswith("[")
+    private = host.rlike(r"^(localhost$|127\.|10\.|0\.|169\.254\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)") | host.rlike(r"\.(local|internal|localhost)$") | host.startswith("[")
     return scheme.isin("http", "https") & (host != "") & ~private
 
 

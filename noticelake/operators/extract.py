@@ -157,6 +157,18 @@ def term_rules(documents: DataFrame, rules: DataFrame, text_col: str, most: int
     return out
 
 
+def source_rules(documents: DataFrame, rules: DataFrame, text_col: str, source_col: str = "source", most: int = 24) -> DataFrame:
+    """The documents that the include and exclude terms of their own source accept. A source without a rule accepts all.
+
+    rules: source, include, exclude; one row for each source.
+    """
+    terms = lambda c: F.filter(F.transform(F.slice(F.split(F.coalesce(F.col(c), F.lit("")), r"\|"), 1, most), lambda t: T.collapse(F.lower(t))), lambda t: t != "")
+    r = rules.select(source_col, terms("include").alias("_in"), terms("exclude").alias("_out"))
+    rows = documents.join(r, source_col, "left").withColumn("_t", T.collapse(F.lower(F.col(text_col))))
+    hit = lambda c: F.coalesce(F.exists(c, lambda t: F.contains(F.col("_t"), t)), F.lit(False))
+    return rows.filter((F.coalesce(F.size("_in"), F.lit(0)) <= 0) | hit("_in")).filter(~hit("_out")).select(documents.columns)
+
+
 #: fixed values: words that tell a project's scale; large ones go first, then small ones
 LARGE_PROJECT = r"(?iu)mehrfamilienh(?:aus|äuser)|\bmfh\b|wohnüberbauung|arealüberbauung|überbauung|industrie(?:halle|bau)|gewerbebau|geschäftshaus|schul(?:haus|anlage)|mehrzweckhalle|spital|pflegeheim|hotel|wohn- und geschäftshaus"
 SMALL_PROJECT = r"(?iu)wärmepumpe|photovoltaik|pv-anlage|solaranlage|dachfenster|fensterersatz|reklame|werbeanlage|klimaanlage|ladestation|e-ladestation|sichtschutz|pergola|gartenhaus|geräteschuppen|velounterstand|carport|schwimmbecken|pool|fassaden(?:änderung|anstrich)|dachsanierung"

@@ -225,10 +225,15 @@ def d5(t):
     return X.term_rules(t.documents.select("doc_id", "text"), rules, "text").select("doc_id", "rule_id")
 
 
-@query("l2_source_patterns", "SELECT source, count(*) AS n FROM documents WHERE contains(" + D.collapse("lower(text)") + ", 'the') GROUP BY 1")
+SOURCE_RULES = "SELECT source, CASE WHEN length(source) % 2 = 0 THEN 'the |und' WHEN source LIKE '%1%' THEN 'une' END AS include, CASE WHEN source LIKE '%2%' THEN 'copyright| license ' END AS exclude FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL AND source NOT LIKE '%3%')"
+
+
+@query("l2_source_patterns", f"""WITH r AS ({SOURCE_RULES}), d AS (SELECT doc_id, source, {D.collapse("lower(text)")} AS t FROM documents)
+SELECT doc_id FROM d LEFT JOIN r USING (source) WHERE (include IS NULL OR (include = 'the |und' AND (contains(t, 'the') OR contains(t, 'und'))) OR (include = 'une' AND contains(t, 'une')))
+ AND NOT (exclude IS NOT NULL AND (contains(t, 'copyright') OR contains(t, 'license')))""")
 def l2(t):
-    rules = t.spark.createDataFrame([(1, "the", None)], "rule_id int, include string, exclude string")
-    return X.term_rules(t.documents.select("source", "text"), rules, "text").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    t.documents.createOrReplaceTempView("documents")
+    return X.source_rules(t.documents, t.spark.sql(SOURCE_RULES), "text").select("doc_id")
 
 
 ADDRESSES = ["Bahnhofstrasse %k", "Januar 2024", "März 2023", "Folgen Sie uns auf Facebook", "Gemeinderatsnachrichten", "Newsweg 3", "Aktuelles aus dem Dorf", "Dorfgasse %k", "Adresse von Webseite prüfen", "", "Vernehmlassung %k"]

@@ -31,6 +31,11 @@ def i8(t):
     return t.pages.select("page_id", T.strip_html(F.col("html")).alias("text"))
 
 
+@query("a14_page_title", "SELECT page_id, " + D.strip_html("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')") + " AS title FROM pages")
+def a14_title(t):
+    return t.pages.select("page_id", P.title(F.col("html")).alias("title"))
+
+
 METAS = """<meta name="description" content="Seite %k &amp; mehr"><meta charset="utf-8"><meta property="og:title" content="nie"><meta data-x="1" property='article:published_time' content='2024-01-02T%k'><meta name="keywords" content="nie">"""
 
 
@@ -62,9 +67,13 @@ def d13(t):
     return t.pages.select("page_id", C.url_shape(F.col("url")).alias("shape"))
 
 
-@query("d14_public_urls", "SELECT page_id, page_id % 3 <> 0 AS ok FROM pages")
+ADDRESSES = [("https://a.example/%k", True), ("http://192.168.1.4/x", False), ("http://localhost:8080/", False), ("ftp://a.example/x", False), ("https://[::1]/x", False), ("http://10.0.0.%k/", False), ("http://172.20.1.1/", False),
+  ("http://172.32.1.1/", True), ("https://intern.local/", False), ("HTTPS://A.EXAMPLE/x?y=%k", True), ("mailto:a@b.example", False), ("", False), (None, False), ("http://169.254.1.1/", False), ("https://localhost.example/", True)]
+
+
+@query("d14_public_urls", f"SELECT page_id, {D.pick('page_id', [ok for _, ok in ADDRESSES])} AS ok FROM pages")
 def d14(t):
-    return t.pages.select("page_id", C.is_public_url(F.when(F.col("page_id") % 3 == 0, F.lit("http://192.168.1.4/x")).otherwise(F.concat(F.lit("https://a.example/"), F.col("page_id").cast("string")))).alias("ok"))
+    return t.pages.select("page_id", F.coalesce(C.is_public_url(T.pick(F.col("page_id"), [u for u, _ in ADDRESSES])), F.lit(False)).alias("ok"))
 
 
 @query("i22_resolve_urls", LINKS.join(["WITH ", " SELECT page_id, pos, regexp_replace(CASE WHEN regexp_matches(href, '^[A-Za-z]+://') THEN href WHEN href LIKE '/%' THEN regexp_extract(url, '^([A-Za-z]+://[^/]+)', 1) || href ELSE regexp_extract(url, '^([A-Za-z]+://[^/]+(/([^?#]*/)?)?)', 1) || href END, '#.*$', '') AS target FROM links"]))

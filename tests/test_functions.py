@@ -226,3 +226,11 @@ def test_markup_junk(spark, given, want):
     from noticelake.operators import extract
 
     assert one(spark, extract.markup_junk, given) is want
+
+
+def test_source_rules(spark):
+    from noticelake.operators import extract
+
+    docs = spark.createDataFrame([(1, "s", "Der Hund"), (2, "s", "ein Hund und Copyright"), (3, "s", "Katze"), (4, "x", "Katze"), (5, None, "Katze"), (6, "s", None)], "id int, source string, text string")
+    rules = spark.createDataFrame([("s", "hund| maus ", "copyright")], "source string, include string, exclude string")
+    assert sorted(r.id for r in extract.source_rules(docs, rules, "text").collect()) == [1, 4, 5]
