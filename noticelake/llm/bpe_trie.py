@@ -216,7 +216,8 @@ def encode_decode(
 
     tokenizer: path of a BPE tokenizer file with an end-of-word suffix that every executor can read. Strings
     of its special tokens inside a text are those tokens. A null or empty text has no ids; null ids of rows
-    and repeated rows pass through; an empty table gives no rows; extra columns are ignored.
+    and repeated rows pass through; an empty table gives no rows; extra columns are ignored. Texts are taken whole; an
+    unbroken word of a million characters takes about 5 seconds and 250 MB.
     """
 
     def run(batches):
