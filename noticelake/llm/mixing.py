@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, load, materialize
+from .common import load, materialize
 
 #: up to this mean exp(-rate) is a normal double and the distribution is held from 0 on
 MOST_RATE = 500.0
@@ -67,8 +67,9 @@ def mix(
     are. A source's rate has no limit, as it grows with the table; a repetition above 500 raises an error. An empty
     table gives an empty table. Columns of docs named copy_no or shuffle_key are replaced.
 
-    Sources with more than one in HOT_SHARE of all rows (at most HOT_SHARE of them) get their distribution by
-    broadcast, so that their rows stay where they are; the rows of all others are joined by source.
+    The table of sources is written out before the join, so that Spark knows its size: it is broadcast while it is
+    small (spark.sql.autoBroadcastJoinThreshold), else merged with the rows by source, where adaptive execution splits
+    a source that holds very many of them.
     """
     if repetition > MOST_REPETITION:
         raise ValueError(f"repetition above {MOST_REPETITION:g}")
@@ -83,14 +84,13 @@ def mix(
     sizes = sizes.withColumn("_share", share)
     total = sizes.agg(F.sum("_share").alias("_shares"), F.sum("_rows").alias("_all"))
     rate = F.coalesce(F.col("_share") / F.col("_shares") * F.col("_all") * float(repetition) / F.col("_rows"), F.lit(0.0))
-    rates = sizes.join(F.broadcast(total)).select("_src", rate.alias("_rate"), (F.col("_rows") * HOT_SHARE > F.col("_all")).alias("_hot"))  # total is one row
+    rate = F.coalesce(F.col("_share") / F.col("_shares") * F.col("_all") * float(repetition) / F.col("_rows"), F.lit(0.0))
+    rates = sizes.join(F.broadcast(total)).select("_src", rate.alias("_rate"))  # total is one row
     rate = F.col("_rate")
-    rates = materialize(rates.select("_src", "_hot", poisson_start(rate).alias("_from"), poisson_cdf(rate).alias("_cdf")), "mix-rates")
-    hot, rest = F.broadcast(rates.filter("_hot").drop("_hot")), rates.filter("not _hot").drop("_hot")
+    rates = materialize(rates.select("_src", poisson_start(rate).alias("_from"), poisson_cdf(rate).alias("_cdf")), "mix-rates")
     columns = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
     docs_by_src = docs.select(src.alias("_src"), F.col(id_col).alias("_id"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"))
-    few = docs_by_src.join(F.broadcast(rates.filter("_hot").select("_src")), "_src", "left_anti")
-    joined = docs_by_src.join(hot, "_src").unionByName(few.join(rest.hint("merge"), "_src"))
+    joined = docs_by_src.join(rates, "_src")  # rates is a written table: Spark knows its size and joins accordingly
     key = F.coalesce(F.col("_id").cast("string"), F.lit(""))
     drawn = joined.withColumn("_u", hashed_uniform(F.lit(str(seed)), key))
     copies = F.col("_from") + F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))

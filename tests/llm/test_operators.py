@@ -360,13 +360,14 @@ def test_mixing(spark, rows):
         mixing.mix(d, repetition=1e6).count()
 
 
-def test_mixing_many_sources(spark, rows, monkeypatch):
+def test_mixing_joins_alike(spark, rows):
     d = docs(spark, rows)
-    few = sorted(map(str, mixing.mix(d).collect()))
-    monkeypatch.setattr(mixing, "HOT_SHARE", 0)  # every source is joined
-    assert sorted(map(str, mixing.mix(d).collect())) == few
-    monkeypatch.setattr(mixing, "HOT_SHARE", 2)  # one is broadcast, the others are joined
-    assert sorted(map(str, mixing.mix(d).collect())) == few
+    few, threshold = sorted(map(str, mixing.mix(d).collect())), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with a large table of sources
+    try:
+        assert sorted(map(str, mixing.mix(d).collect())) == few
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
 def test_mixing_rare_source_of_a_large_table(spark, tmp_path):
@@ -524,6 +525,9 @@ def test_near_vectors(spark, monkeypatch):
     links = sum(n.values())
     assert sum(g[0] for g in got.values()) >= 0.9 * links and all(got[i][0] <= want[i][0] for i in want)
     assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
+    size = Counter(c for _, c, _ in want.values())
+    dense = [i for i in want if size[want[i][1]] > 2 * embed_dedup.NEIGHBOURS]  # enlarged, so no link is missing there
+    assert len(dense) > 100 and all(got[i] == want[i] for i in dense)
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
 
 
