@@ -175,7 +175,7 @@ def test_duplicate_merge_against_brute_force(spark):
     import random
 
     rng = random.Random(3)
-    data = [{"rec_id": f"r{i:03}", "source_kind": rng.choice(["authority", "municipality", "municipality"]), "parcel": str(rng.randrange(60)), "address": f"Weg {rng.randrange(60)}", "created_at": f"2026-01-{rng.randrange(1, 28):02}", "note": rng.choice(["", "", "x"])} for i in range(150)]
+    data = [{"rec_id": f"r{i:03}", "source_kind": rng.choice(["authority", "municipality", "municipality"]), "parcel": str(rng.randrange(200)), "address": f"Weg {rng.randrange(200)}", "created_at": f"2026-01-{rng.randrange(1, 28):02}", "note": rng.choice(["", "", "x"])} for i in range(150)]
     rows = record(spark, data).withColumn("touched", worklist.is_touched())
     host = {r.rec_id: r.host_id for r in linkage.merge_duplicates(rows).collect()}
     of = {d["rec_id"]: d for d in data}
