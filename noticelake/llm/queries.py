@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_trie, embed_dedup, exact_dedup, minhash, mixing, quality, suffix_dedup, token_counts, toxicity, warc
+from . import bpe_trie, embed_dedup, exact_dedup, minhash, mixing, periodic_runs, quality, suffix_dedup, token_counts, toxicity, warc
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_embedding_dedup": embed_dedup.op8,
         "op9_minhash": minhash.op9,
         "op10_exact_dedup": exact_dedup.op10,
+        "op13_periodic_runs": periodic_runs.op13,
     }
 
 
