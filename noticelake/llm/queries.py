@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_trie, embed_dedup, exact_dedup, minhash, mixing, periodic_runs, quality, suffix_dedup, token_counts, toxicity, warc
+from . import bpe_trie, embed_dedup, exact_dedup, exact_topk, hard_negatives, minhash, mixing, periodic_runs, quality, suffix_dedup, token_counts, toxicity, warc
 
 
 def queries():
@@ -17,6 +17,8 @@ def queries():
         "op8_embedding_dedup": embed_dedup.op8,
         "op9_minhash": minhash.op9,
         "op10_exact_dedup": exact_dedup.op10,
+        "op11_hard_negatives": hard_negatives.op11,
+        "op12_exact_topk": exact_topk.op12,
         "op13_periodic_runs": periodic_runs.op13,
     }
 
@@ -26,4 +28,6 @@ def oracle_sql():
         "op5_warc": warc.OP5_SQL,
         "op6_mixing": mixing.OP6_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
+        "op11_hard_negatives": hard_negatives.OP11_SQL,
+        "op12_exact_topk": exact_topk.OP12_SQL,
     }
