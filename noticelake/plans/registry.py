@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, formats, learning, records, spatial, streams, texts, webpages  # noqa: F401
+from . import catalog, formats, learning, places, records, spatial, streams, texts, webpages  # noqa: F401
 from .register import QUERIES, SQL
 from .views import Tables
 
