@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.work import written
+from .running import running
 
 RULES = ["publication+parcel", "publication+address", "parcel+project", "address+project"]
 #: sources in the order in which their values win
@@ -194,6 +195,88 @@ def import_outcomes(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return out.select("rec_id", outcome.alias("outcome"), target.alias("target_id"), match.alias("match_status"))
 
 
+#: how the candidates of a key are counted: by kind, and by whether their publication date is missing
+CLASSES = [("authority", False), ("authority", True), ("municipality", False), ("municipality", True)]
+_KEYS = "struct<m:string,pub:string,parcel:string,addr:string,proj:string>"
+
+
+def _rule_keys(k: Column) -> Column:
+    """One key for each rule that the record's fields allow."""
+    sign = "\u0001"
+    parts = [("0", "pub", "parcel"), ("1", "pub", "addr"), ("2", "parcel", "proj"), ("3", "addr", "proj")]
+    filled = [F.when(k["m"].isNotNull() & k[a].isNotNull() & k[b].isNotNull(), F.concat_ws(sign, F.lit(r), k["m"], k[a], k[b])) for r, a, b in parts]
+    return F.array_compact(F.array(*filled))
+
+
+def _keyed_struct(records: DataFrame, *more: str) -> DataFrame:
+    keys = F.struct(F.col("k_mun").alias("m"), F.col("k_pub").alias("pub"), F.col("k_parcel").alias("parcel"), F.col("k_addr").alias("addr"), F.col("k_proj").alias("proj"))
+    return with_keys(records).select("rec_id", "source_kind", "source_reference", *more, keys.cast(_KEYS).alias("keys"))
+
+
+def import_in_order(stored: DataFrame, incoming: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """Outcomes of an import in which every record sees what those before it, by rec_id, have done to the table.
+
+    As import_outcomes, but candidates of a record are the stored ones as the updates before it have left them, and the
+    records that were inserted before it. A merge leaves its host as it is; later records of a merged reference update
+    the host.
+
+    All records are decided at once against the table that the outcomes of the last round make of it at each record's
+    turn, until the outcomes stay. A record whose predecessors are right is right in the next round, so the result is
+    that of one record after another, and the rounds are as many as the longest chain of records that depend on each
+    other. For the table at each turn, a record's content counts from the turn that wrote it until the next that
+    overwrites it: a running count over each match key tells how many candidates are there, and where it is one, a
+    running xor of their hashes tells which. No pairs are built; a key of any size lies in several partitions.
+    """
+    old = written(_keyed_struct(stored, "workflow_status"), "import-stored")
+    new = written(_keyed_struct(incoming), "import-incoming")
+    reference = ["source_kind", "source_reference"]
+    known = old.groupBy(*reference).agg(F.min("rec_id").alias("stored_id"))
+    first = new.groupBy(*reference).agg(F.min("rec_id").alias("first_id"))
+    seen = written(new.join(known, reference, "left").join(first, reference), "import-seen")
+    asks = (F.col("stored_id").isNull()) & (F.col("first_id") == F.col("rec_id")) & (F.col("source_kind") != "import")
+    open_ = seen.filter(asks)
+    apps = old.select("rec_id", "source_kind", (F.col("workflow_status") != "archived").alias("active")).unionByName(new.select("rec_id", "source_kind", F.lit(True).alias("active")))
+    apps = written(apps.filter("source_kind <> 'import'").select(F.col("rec_id").alias("app"), F.col("source_kind").alias("kind"), "active", F.xxhash64("rec_id").alias("x")), "import-apps")
+
+    # nothing is decided yet: all are inserted
+    guess = written(open_.select(F.col("rec_id").alias("first_id"), F.lit(0).alias("n"), F.col("rec_id").alias("target")), "import-guess")
+    for _ in range(most_rounds):
+        # who writes which record, and when; a record that is merged writes nothing
+        wrote = seen.join(guess, "first_id", "left").withColumn("app", F.coalesce("stored_id", "target", "first_id"))
+        wrote = wrote.filter((F.col("rec_id") != F.col("first_id")) | F.col("stored_id").isNotNull() | (F.col("app") == F.col("rec_id")))
+        turns = old.select(F.col("rec_id").alias("app"), F.lit("").alias("turn"), "keys").unionByName(wrote.select("app", F.col("rec_id").alias("turn"), "keys"))
+        turns = turns.join(apps.filter("active").drop("active"), "app")
+        turns = running(turns, ["app"], [F.col("turn")], {"last": ("max", F.struct("turn", "keys"))}, own=False)
+        event = lambda k, c: turns.filter(f"{k} is not null").select(F.explode(_rule_keys(F.col(k))).alias("key"), "turn", F.lit(1).alias("late"), F.lit(c).alias("c"), "x", "kind", F.col(f"{k}.pub").isNull().alias("no_pub"), F.lit(None).cast("string").alias("rec_id"))
+        asked = open_.select(F.explode(_rule_keys(F.col("keys"))).alias("key"), F.col("rec_id").alias("turn"), F.lit(0).alias("late"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("x"), F.col("source_kind").alias("kind"), F.col("keys.pub").isNull().alias("no_pub"), "rec_id")
+        both = event("keys", 1).unionByName(event("last.keys", -1)).unionByName(asked)
+        of = lambda k, p, v, none: F.when((F.col("late") == 1) & (F.col("kind") == k) & (F.col("no_pub") == p), F.col(v)).otherwise(F.lit(none))
+        values = {f"n{i}": ("sum", of(k, p, "c", 0)) for i, (k, p) in enumerate(CLASSES)} | {f"x{i}": ("xor", of(k, p, "x", 0).cast("long")) for i, (k, p) in enumerate(CLASSES)}
+        met = running(both, ["key"], [F.col("turn"), F.col("late"), F.col("x"), F.col("c")], values).filter("rec_id is not null")
+        # two authorities do not meet; the last two rules ask that one side lacks its publication date
+        may = [(F.col("kind") != k if k == "authority" else F.lit(True)) & (F.lit(p) | F.col("no_pub") | F.substring("key", 1, 1).isin("0", "1")) for k, p in CLASSES]
+        count = sum((F.when(m, F.col(f"n{i}")).otherwise(0) for i, m in enumerate(may)), F.lit(0))
+        which = F.lit(0).cast("long")
+        for i, m in enumerate(may):
+            which = which.bitwiseXOR(F.when(m, F.col(f"x{i}")).otherwise(F.lit(0).cast("long")))
+        met = met.select("rec_id", count.alias("n"), which.alias("x")).filter("n > 0").groupBy("rec_id")
+        found = met.agg(F.max("n").alias("most"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        found = found.select("rec_id", F.when((F.col("most") > 1) | (F.col("lo") != F.col("hi")), 2).otherwise(1).alias("n"), F.col("lo").alias("x"))
+        host = found.filter("n = 1").join(apps.select("x", F.col("app").alias("host")), "x").select("rec_id", "host")
+        now = open_.select("rec_id").join(found.select("rec_id", "n"), "rec_id", "left").join(host, "rec_id", "left")
+        now = now.select(F.col("rec_id").alias("first_id"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("host", "rec_id").alias("target"))
+        now = written(now, "import-guess")
+        if now.exceptAll(guess).isEmpty():
+            break
+        guess = now
+    else:
+        raise RuntimeError(f"outcomes still change after {most_rounds} rounds")
+    rows = seen.join(guess, "first_id", "left")
+    update = F.col("stored_id").isNotNull() | (F.col("first_id") != F.col("rec_id"))
+    outcome = F.when(update, "update").when(F.col("n") == 1, "merge").otherwise("insert")
+    return rows.select("rec_id", outcome.alias("outcome"), F.coalesce("stored_id", "target", "first_id").alias("target_id"), F.when(~update & (F.col("n") > 1), "ambiguous").otherwise("matched").alias("match_status"))
+
+
 #: columns of a stored record that belong to the team's work and survive an import
 KEPT = ["workflow_status", "assignee", "note", "created_at"]
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import duck as D
 from ..functions import text as T
 from ..operators import linkage as L
+from ..operators import running as R
 from ..operators import worklist as W
 from .register import query
 
@@ -160,7 +160,7 @@ def d20(t):
 
 @query("h1_worklist_order", f"SELECT id, row_number() OVER (PARTITION BY source ORDER BY {RANK}, {CLOSED}, deadline_date ASC NULLS FIRST, publication_date DESC, municipality, id) AS place FROM app", "app")
 def h1(t):
-    return t.app.select("id", F.row_number().over(Window.partitionBy("source").orderBy(*W.worklist_order())).alias("place"))
+    return R.place(t.app, ["source"], W.worklist_order()).select("id", "place")
 
 
 @query("h2_urgent", f"SELECT id, protection_status, deadline_date FROM app WHERE workflow_status NOT IN ('cleared', 'archived') AND {ACTIVE} ORDER BY {RANK}, deadline_date IS NULL, deadline_date, id LIMIT 5", "app")
@@ -171,7 +171,7 @@ def h2(t):
 @query("h3_chosen_sort", f"SELECT id, row_number() OVER (PARTITION BY municipality ORDER BY coalesce(deadline_date - {REF}, 'infinity'::DOUBLE) DESC, id) AS place FROM app", "app")
 def h3(t):
     days = F.coalesce(F.datediff("deadline_date", ref()).cast("double"), F.lit(float("inf")))
-    return t.app.select("id", F.row_number().over(Window.partitionBy("municipality").orderBy(days.desc(), "id")).alias("place"))
+    return R.place(t.app.select("id", "municipality", days.alias("days")), ["municipality"], [F.desc("days"), F.asc("id")]).select("id", "place")
 
 
 @query("h4_locale_sort", """SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY w COLLATE de) AS place
@@ -308,6 +308,13 @@ def j1_evidence(t):
     return L.import_evidence(incoming, outcomes)
 
 
+@query("j1_import_in_order")
+def j1_in_order(t):
+    """Outcomes of the import where each record sees those before it; records that clash build chains."""
+    stored, incoming = t.rec.filter(STORED), t.rec.filter(INCOMING)
+    return L.import_in_order(stored, incoming)
+
+
 @query("f17_run_metrics", f"{J1} SELECT outcome, count(*) AS n FROM o GROUP BY 1", "rec")
 def f17(t):
     return imports(t)[2].groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
