@@ -13,6 +13,11 @@ STOP_WORDS = """der die das den dem des ein eine einer eines und oder mit von vo
 gegen bestehend bestehenden modern neue neuer baugesuch bauvorhaben""".split()
 
 
+def bound(x: Column, f) -> Column:
+    """f(x), with x worked out once however often f uses it, in lambdas too."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def collapse(x: Column) -> Column:
     """White space runs become one blank; none at the ends."""
     return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), WHITE, " "))

@@ -24,6 +24,7 @@ mit fuer den dem ohne sowie objekt projekt""".split()
 #: fixed values: how words for streets end
 STREET_ENDS = "strasse|weg|gasse|platz|allee|ring|rain|hof|matt|halde|park|dorf|steig|quai|ufer|matte|acker|feld|weid|zelg|zelgli|hubel|hueb|huebel|büel|bühl"
 END = "(?![A-Za-z0-9_])"
+NONE = "array<string>"
 #: fixed values: dates, and addresses that are not asked for
 DATES = r"(?:\d{1,2}\.\d{1,2}\.20\d{2}|(?:(?:montag|dienstag|mittwoch|donnerstag|freitag|samstag|sonntag),?\s*)?\d{1,2}\.\s*(?:januar|februar|märz|april|mai|juni|juli|august|september|oktober|november|dezember)\s*20\d{2})"
 NO_ADDRESS = r"(?i)\b(einwohnergemeinde|ortsbürgergemeinde|projektänderung|bauausschreibung|kanzlei|baupublikationen|auflagebaugesuche|amtliche publikationen?|sanierung|umbau|umnutzung|anbau|neubau|ersatzneubau|erweiterung|ausbau|rückbau|rueckbau|renovation|aufwertungsmassnahmen?|baugesuch|publikation)(?![A-Za-z0-9_])"
@@ -76,8 +77,11 @@ def lv95(first: Column, second: Column) -> tuple[Column, Column]:
 
 def pieces(x: Column, n: int, mark: str) -> Column:
     """All pieces of n letters, with a mark in front."""
-    every = F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.concat(F.lit(mark), x.substr(i, F.lit(n))))
-    return F.when(F.length(x) >= n, every).otherwise(F.array().cast("array<string>"))
+    def every(x):
+        found = F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.concat(F.lit(mark), x.substr(i, F.lit(n))))
+        return F.when(F.length(x) >= n, found).otherwise(F.array().cast(NONE))
+
+    return T.bound(x, every)
 
 
 def lookup_key(token: Column, whole: int) -> Column:
@@ -85,14 +89,14 @@ def lookup_key(token: Column, whole: int) -> Column:
     return F.when(F.length(token) >= whole, F.concat(F.lit("g:"), F.substring(token, 1, whole))).otherwise(F.concat(F.lit("t:"), token))
 
 
-def index_keys(text: Column, whole: int) -> Column:
-    """All keys under which an entry may be looked up."""
-    return F.array_distinct(F.concat(F.transform(words(text), lambda w: F.concat(F.lit("t:"), w)), pieces(loose(text), whole, "g:")))
+def index_keys(words: Column, text: Column, whole: int) -> Column:
+    """All keys under which an entry, by its words and its loose text, may be looked up."""
+    return F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("t:"), w)), pieces(text, whole, "g:")))
 
 
-def names(token: Column, text: Column, whole: int) -> Column:
-    """Whether the text names the token: as a word, or anywhere in it where the token is long enough."""
-    return F.array_contains(words(text), token) | ((F.length(token) >= whole) & F.contains(loose(text), token))
+def names(token: Column, words: Column, text: Column, whole: int) -> Column:
+    """Whether an entry names the token: as a word, or anywhere in its text where the token is long enough."""
+    return F.array_contains(words, token) | ((F.length(token) >= whole) & F.contains(text, token))
 
 
 def match_addresses(requests: DataFrame, entries: DataFrame, id_col: str, approximate: bool = True) -> DataFrame:
@@ -112,14 +116,16 @@ def match_addresses(requests: DataFrame, entries: DataFrame, id_col: str, approx
 
     text = F.concat_ws(" ", T.blank_to_null(F.col("label")), T.blank_to_null(F.col("detail")))
     east, north = lv95(F.col("x"), F.col("y"))
-    found = entries.filter("x is not null and y is not null").select("entry_id", "rank", text.alias("text"), F.coalesce(F.lower("origin").isin(*COARSE), F.lit(False)).alias("coarse"), east.alias("x"), north.alias("y"))
-    found = found.withColumn("at", F.explode(index_keys(F.col("text"), WHOLE_TOWN))).join(each.select("at").distinct(), "at", "left_semi")
-    numbers = F.filter(F.transform(F.split("text", T.WHITE), lambda w: F.regexp_replace(w, "[^0-9]", "")), lambda w: w != "")
-    keys = F.concat(F.transform(numbers, lambda n: F.concat(F.lit("p:"), n)), index_keys(F.col("text"), WHOLE_STREET))
-    found = found.withColumn("place", F.explode(F.array_distinct(keys))).join(each, ["at", "place"])
+    numbers = F.filter(F.transform(F.split(text, T.WHITE), lambda w: F.regexp_replace(w, "[^0-9]", "")), lambda w: w != "")
+    coarse = F.coalesce(F.lower("origin").isin(*COARSE), F.lit(False))
+    found = entries.filter("x is not null and y is not null").select("entry_id", "rank", words(text).alias("words"), loose(text).alias("text"), numbers.alias("numbers"), coarse.alias("coarse"), east.alias("x"), north.alias("y"))
+    found = found.withColumn("at", F.explode(index_keys(F.col("words"), F.col("text"), WHOLE_TOWN))).join(each.select("at").distinct(), "at", "left_semi")
+    keys = F.concat(F.transform("numbers", lambda n: F.concat(F.lit("p:"), n)), index_keys(F.col("words"), F.col("text"), WHOLE_STREET))
+    found = found.withColumn("place", F.explode(F.array_distinct(keys))).drop("numbers").join(each, ["at", "place"])
 
     by_parcel = F.col("place").startswith("p:")
-    found = found.filter(names(F.col("town"), F.col("text"), WHOLE_TOWN) & (by_parcel | names(F.col("street"), F.col("text"), WHOLE_STREET)))
+    fits = lambda token, whole: names(F.col(token), F.col("words"), F.col("text"), whole)
+    found = found.filter(fits("town", WHOLE_TOWN) & (by_parcel | fits("street", WHOLE_STREET)))
     vague = F.col("coarse") | ~((F.col("parcel") != "") | F.col("numbered"))
     best = found.groupBy(*request).agg(F.min(F.struct(vague.alias("vague"), "rank", "entry_id", "x", "y")).alias("s"))
     best = best if approximate else best.filter("not s.vague")
@@ -157,7 +163,6 @@ TAILS = [
 ]
 MOST_PARCELS = 10
 NUMBER = r"^\d{1,6}$"
-NONE = "array<string>"
 
 
 def last_match(x: Column, pattern: str) -> Column:
@@ -170,25 +175,23 @@ def clean_location(x: Column) -> Column:
     t = T.collapse(x)
     for tail in TAILS:
         t = F.regexp_replace(t, tail, "")
-    t = F.trim(t)
     weak = r"(?i)\b[A-ZÄÖÜ]?[a-zäöü]{3,}(?:strasse|str\.|weg|gasse|platz|allee|ring|rain|halde|steig|matte|acker|feld|quai|ufer)(?![A-Za-z0-9_])"
-    parts = F.filter(F.transform(F.split(t, r"\s*/\s*"), T.collapse), lambda s: s.rlike(weak))
-    t = F.coalesce(F.try_element_at(parts, F.lit(-1)), t)
-    t = T.collapse(F.coalesce(last_match(t, STREET), t))
-    return T.collapse(F.coalesce(last_match(t, NAMED), t))
+    part = lambda t: F.coalesce(F.try_element_at(F.filter(F.transform(F.split(t, r"\s*/\s*"), T.collapse), lambda s: s.rlike(weak)), F.lit(-1)), t)
+    last = lambda pattern: lambda t: T.collapse(F.coalesce(last_match(t, pattern), t))
+    return T.bound(T.bound(T.bound(F.trim(t), part), last(STREET)), last(NAMED))
 
 
 def labelled_segments(x: Column) -> Column:
     """What stands between each label of a location and the next field."""
-    marked = F.regexp_replace(T.collapse(x), LABEL, "\u0001")
-    return F.transform(F.slice(F.split(marked, "\u0001"), F.lit(2), F.size(F.split(marked, "\u0001"))), lambda s: T.collapse(F.regexp_replace(s, NEXT_FIELD + "(?s:.*)$", "")))
+    parts = F.split(F.regexp_replace(T.collapse(x), LABEL, "\u0001"), "\u0001")
+    return T.bound(parts, lambda p: F.transform(F.slice(p, F.lit(2), F.size(p)), lambda s: T.collapse(F.regexp_replace(s, NEXT_FIELD + "(?s:.*)$", ""))))
 
 
 def parcels_in(x: Column) -> Column:
     """Numbers of the parcels that a text lists or names, in order."""
     t = F.regexp_replace(T.collapse(x), r"(?u),\s*\d{4}\s+[A-ZÄÖÜ][\p{L}() .'-]+", " ")
-    listed = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(PARCELS), F.lit(1)), lambda m: F.regexp_extract_all(m, F.lit(r"\d{1,6}"), F.lit(0))))
-    return F.array_distinct(F.concat(listed, F.regexp_extract_all(t, F.lit(PARCEL), F.lit(1))))
+    listed = lambda t: F.flatten(F.transform(F.regexp_extract_all(t, F.lit(PARCELS), F.lit(1)), lambda m: F.regexp_extract_all(m, F.lit(r"\d{1,6}"), F.lit(0))))
+    return T.bound(t, lambda t: F.array_distinct(F.concat(listed(t), F.regexp_extract_all(t, F.lit(PARCEL), F.lit(1)))))
 
 
 #: the type of a ladder
@@ -213,23 +216,26 @@ def ladder(texts: list[Column], source_text: Column | None) -> Column:
     )
     labelled = F.array_distinct(F.flatten(F.transform(labelled_segments(source[0]), parcels_in))) if source else none
     listed = F.array_distinct(F.flatten(F.transform(F.array(named, project, description, *source), parcels_in)))
-    group = F.when(F.size(labelled) > 1, labelled).otherwise(listed)
-    single = (
-        F.when(own.isNotNull() & (F.size(listed) <= 1), F.array(own))
-        .when(own.isNull() & (F.size(labelled) == 1), labelled).when(own.isNull() & (F.size(listed) == 1), listed).otherwise(none)
-    )
-    open_ = plain.rlike(PLACEHOLDER)
-    joined = F.array_join(group, ", ")
-    of_group = F.when(own.isNull() & F.size(group).between(2, MOST_PARCELS), F.array(candidate(F.lit("parcel-group"), group, F.when(open_, F.concat(F.lit("Parzellen "), joined)).otherwise(F.lit("")), joined)))
-    of_parcel = F.transform(single, lambda p: candidate(F.lit("parcel"), F.array(p), F.when(open_, F.concat(F.lit("Parzelle "), p)).otherwise(F.lit("")), p))
     found = F.concat(
         F.flatten(F.transform(F.array(address, named, project, description, *source), labelled_segments)), F.array(address),
         F.regexp_extract_all(plain, F.lit(STREET), F.lit(1)), F.regexp_extract_all(plain, F.lit(NAMED), F.lit(1)),
     )
     # a location is cleaned once as a candidate and once more before it is asked for
-    queries = F.filter(F.array_distinct(F.transform(found, lambda s: clean_location(clean_location(s)))), lambda q: (F.length(q) >= 4) & ~q.rlike(r"(?i)^(?:Gemeinde|Regionale Bauverwaltung)(?![A-Za-z0-9_])") & ~q.rlike(PLACEHOLDER))
-    of_address = F.transform(queries, lambda q: candidate(F.when(q.rlike(r"(?i)[a-zäöü]{3,}.*\b\d{1,4}[a-z]?\b"), "address").otherwise("weak-address"), F.array(q), q, F.lit("")))
-    return F.concat(F.coalesce(of_group, F.array().cast(CANDIDATES)), of_parcel, of_address)
+    asked = F.array_distinct(F.transform(F.transform(found, clean_location), clean_location))
+    asked = F.filter(asked, lambda q: (F.length(q) >= 4) & ~q.rlike(r"(?i)^(?:Gemeinde|Regionale Bauverwaltung)(?![A-Za-z0-9_])") & ~q.rlike(PLACEHOLDER))
+    number = r"(?i)[a-zäöü]{3,}.*\b\d{1,4}[a-z]?\b"
+    of_address = F.transform(asked, lambda q: candidate(F.when(q.rlike(number), "address").otherwise("weak-address"), F.array(q), q, F.lit("")))
+
+    def of_parcels(c: Column) -> Column:
+        own, labelled, listed, open_ = (c[k] for k in ("own", "labelled", "listed", "open"))
+        alone = F.when(own.isNotNull() & (F.size(listed) <= 1), F.array(own)).when(own.isNull() & (F.size(labelled) == 1), labelled).when(own.isNull() & (F.size(listed) == 1), listed).otherwise(none)
+        alone = F.transform(alone, lambda p: candidate(F.lit("parcel"), F.array(p), F.when(open_, F.concat(F.lit("Parzelle "), p)).otherwise(F.lit("")), p))
+        group = F.when(F.size(labelled) > 1, labelled).otherwise(listed)
+        joined = F.array_join(group, ", ")
+        whole = F.array(candidate(F.lit("parcel-group"), group, F.when(open_, F.concat(F.lit("Parzellen "), joined)).otherwise(F.lit("")), joined))
+        return F.concat(F.when(own.isNull() & F.size(group).between(2, MOST_PARCELS), whole).otherwise(F.array().cast(CANDIDATES)), alone)
+
+    return F.concat(T.bound(F.struct(own.alias("own"), labelled.alias("labelled"), listed.alias("listed"), plain.rlike(PLACEHOLDER).alias("open")), of_parcels), of_address)
 
 
 def repair_locations(records: DataFrame, addresses: DataFrame, parcels: DataFrame, id_col: str) -> DataFrame:
