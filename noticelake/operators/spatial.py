@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import written
+
 #: area layers in the order in which a hit wins
 LAYER_PRIORITY = [21, 15, 20]
 DIRECT_METRES, CONTEXT_METRES, NEAR_METRES = 120.0, 1500.0, 250.0
@@ -173,3 +175,60 @@ def to_wgs84(east: Column, north: Column) -> tuple[Column, Column]:
     lat = (16.9023892 + 3.238272 * x - 0.270978 * y * y - 0.002528 * x * x - 0.0447 * y * y * x - 0.0140 * x * x * x) * 100 / 36
     ok = lat.between(45, 48.5) & lon.between(5, 11)
     return F.when(ok, lat), F.when(ok, lon)
+
+
+def closed_ring(ring: Column) -> Column:
+    """Finite points alone, the first one again at the end; empty with fewer than three points."""
+    def close(points):
+        closed = F.when(F.element_at(points, 1) == F.element_at(points, -1), points).otherwise(F.concat(points, F.slice(points, 1, 1)))
+        return F.when(F.size(points) >= 3, closed).otherwise(F.slice(points, 1, 0))
+
+    finite = lambda v: v.isNotNull() & (F.abs(v) < float("inf")) & ~F.isnan(v)
+    kept = F.filter(F.coalesce(ring, F.array().cast("array<struct<x:double,y:double>>")), lambda p: finite(p["x"]) & finite(p["y"]))
+    return F.element_at(F.transform(F.array(kept), close), 1)
+
+
+def is_clockwise(ring: Column) -> Column:
+    """Whether the points of a closed ring run clockwise, or it has no area: such a ring is a shell."""
+    return ring_area(ring) <= 0
+
+
+def assemble(features: DataFrame, id_col: str, rings_col: str = "rings") -> DataFrame:
+    """id_col, part, rings: the polygons of each feature's rings, the shell first and its holes after it.
+
+    Rings are closed, and those of fewer than four points go. Clockwise rings are shells. A hole goes to the first shell
+    that holds its first point; a hole outside all of them becomes a shell, turned round, and may take later holes. In
+    a feature without shells every ring becomes a polygon of its own. Parts are numbered from 0, shells in their order
+    before such orphans; a feature without a ring left has no parts.
+
+    Rings meet in a join within their feature, by envelope first, and only the numbers of the rings around a hole are
+    put together; a feature's rings are never compared in one expression.
+    """
+    rows = features.select(id_col, F.posexplode(rings_col).alias("n", "raw")).select(id_col, "n", closed_ring(F.col("raw")).alias("ring")).filter(F.size("ring") >= 4)
+    x0, y0, x1, y1 = envelope(F.array("ring"))
+    rows = rows.withColumns({"shell": is_clockwise(F.col("ring")), "x0": x0, "y0": y0, "x1": x1, "y1": y1, "x": F.col("ring")[0]["x"], "y": F.col("ring")[0]["y"]})
+    rows = written(rows, "rings")
+    holes = rows.filter("not shell").select(id_col, F.col("n").alias("hole"), F.col("x").alias("px"), F.col("y").alias("py"))
+    around = rows.select(id_col, F.col("n").alias("outer"), "shell", "ring", "x0", "y0", "x1", "y1")
+    boxed = F.col("px").between(F.col("x0"), F.col("x1")) & F.col("py").between(F.col("y0"), F.col("y1"))
+    met = holes.join(around, id_col).filter((F.col("shell") | (F.col("outer") < F.col("hole"))) & boxed & crossings(F.col("ring"), F.col("px"), F.col("py")))
+    met = met.groupBy(id_col, "hole").agg(F.min(F.when(F.col("shell"), F.col("outer"))).alias("first"), F.sort_array(F.collect_list(F.when(~F.col("shell"), F.col("outer")))).alias("earlier"))
+    owned = met.filter("first is not null").select(id_col, F.col("hole").alias("n"), F.col("first").alias("owner"))
+    # holes outside all shells: one after another, each looks for the first orphan before it
+    lost = rows.filter("not shell").select(id_col, F.col("n").alias("hole")).join(met, [id_col, "hole"], "left").filter("first is null")
+    lost = lost.join(rows.groupBy(id_col).agg(F.bool_or("shell").alias("any")), id_col)
+    lost = lost.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("hole", F.when(F.col("any"), F.coalesce("earlier", F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>")).alias("earlier")))).alias("lost"))
+
+    def settle(done, h):
+        taken = F.filter(h["earlier"], lambda e: F.exists(done, lambda d: (d["n"] == e) & (d["owner"] == e)))
+        return F.concat(done, F.array(F.struct(h["hole"].alias("n"), F.coalesce(F.try_element_at(taken, F.lit(1)), h["hole"]).alias("owner"))))
+
+    settled = F.aggregate("lost", F.array().cast("array<struct<n:int,owner:int>>"), settle)
+    orphans = lost.select(id_col, F.explode(settled).alias("s")).select(id_col, "s.n", "s.owner")
+    shells = rows.filter("shell").select(id_col, "n", F.col("n").alias("owner"))
+    owner = shells.unionByName(owned).unionByName(orphans)
+    parts = rows.join(owner, [id_col, "n"]).withColumn("turned", F.when(~F.col("shell") & (F.col("owner") == F.col("n")), F.reverse("ring")).otherwise(F.col("ring")))
+    inner = F.array_sort(F.collect_list(F.struct((F.col("n") != F.col("owner")).alias("inner"), "n", F.col("turned").alias("ring"))))
+    parts = parts.groupBy(id_col, "owner").agg(inner.alias("r"), F.bool_or((F.col("n") == F.col("owner")) & ~F.col("shell")).alias("orphan"))
+    order = Window.partitionBy(id_col).orderBy("orphan", "owner")
+    return parts.select(id_col, (F.row_number().over(order) - 1).alias("part"), F.transform("r", lambda r: r["ring"]).alias("rings"))

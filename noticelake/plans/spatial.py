@@ -106,6 +106,55 @@ def i39(t):
     return areas(t).select("area_id", F.posexplode("rings").alias("p", "points")).select("area_id", (F.col("p") + 1).alias("ring"), F.round(S.ring_area(F.col("points")), 3).alias("area"))
 
 
+#: corners of rectangles as (x, y, width, height, clockwise, closed); what each becomes: part and place in it
+RAW_RINGS = [
+    [(0, 0, 2000, 1500, True, True, 0, 0), (500, 500, 500, 300, False, True, 0, 1)],
+    [(500, 500, 500, 300, False, False, 0, 1), (0, 0, 2000, 1500, True, False, 0, 0), (3000, 0, 500, 500, True, True, 1, 0), (3100, 100, 100, 100, False, True, 1, 1)],
+    [(0, 0, 900, 900, False, True, 0, 0), (100, 100, 100, 100, False, True, 1, 0)],
+    [(0, 0, 500, 500, True, True, 0, 0), (1000, 0, 800, 800, False, False, 1, 0), (1100, 100, 100, 100, False, True, 1, 1), (100, 100, 100, 100, False, True, 0, 1)],
+    [(0, 0, 500, 500, True, True, 0, 0), (100, 100, 400, 0, None, True, None, None)],
+]
+
+
+def raw_features(t):
+    """Features with rings as they are delivered: any order, open or closed, holes before their shell, and fragments."""
+    def corners(x, y, w, h, clockwise, closed, *_):
+        if clockwise is None:
+            return [(float(x), float(y)), (float(x + w), float(y))]
+        p = [(x, y), (x, y + h), (x + w, y + h), (x + w, y)] if clockwise else [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+        return [(float(a), float(b)) for a, b in (p + p[:1] if closed else p)]
+
+    cases = t.spark.createDataFrame([(k, [[{"x": x, "y": y} for x, y in corners(*r)] for r in case]) for k, case in enumerate(RAW_RINGS)], "k long, shape array<array<struct<x:double,y:double>>>")
+    rows = t.gar.join(F.broadcast(cases), F.col("area_id") % len(RAW_RINGS) == F.col("k"))  # a row for each case
+    moved = F.transform("shape", lambda r: F.transform(r, lambda p: F.struct((F.col("x0") + p["x"]).alias("x"), (F.col("y0") + p["y"]).alias("y"))))
+    return rows.select("area_id", "layer_id", moved.alias("rings"))
+
+
+PARTS = ", ".join(f"({i}, {r[6]}, {r[7]}, {float(r[2] * r[3])})" for i, case in enumerate(RAW_RINGS) for r in case if r[6] is not None)
+
+
+@query("i39_assembled_polygons", f"""SELECT area_id, part, count(*) AS rings, CAST(sum(CASE WHEN place = 0 THEN area ELSE -area END) AS DOUBLE) AS area, CAST(min(CASE WHEN place = 0 THEN -area END) AS DOUBLE) AS shell_area
+FROM gar JOIN (VALUES {PARTS}) v(k, part, place, area) ON k = area_id % {len(RAW_RINGS)} GROUP BY 1, 2""", "gar")
+def i39_assembled(t):
+    """Polygons with their holes, from rings in any order and direction; areas of shells are negative, as they run clockwise."""
+    parts = S.assemble(raw_features(t), "area_id")
+    areas = F.transform("rings", lambda r: S.ring_area(r))
+    total = F.abs(areas[0]) - F.aggregate(F.slice(areas, 2, F.size("rings")), F.lit(0.0), lambda s, a: s + F.abs(a))
+    return parts.select("area_id", "part", F.size("rings").cast("long").alias("rings"), F.round(total, 3).alias("area"), F.round(areas[0], 3).alias("shell_area"))
+
+
+BOXES = ", ".join(f"({i}, {r[6]}, {r[7]}, {r[0]}, {r[1]}, {r[2]}, {r[3]})" for i, case in enumerate(RAW_RINGS) for r in case if r[6] is not None)
+
+
+@query("e16_point_in_assembled", f"""WITH b AS (SELECT area_id, layer_id, part, place, x0 + x AS a0, x0 + x + w AS a1, y0 + y AS b0, y0 + y + h AS b1 FROM gar JOIN (VALUES {BOXES}) v(k, part, place, x, y, w, h) ON k = area_id % {len(RAW_RINGS)}),
+m AS (SELECT pt_id, area_id, layer_id, part, count(*) AS n FROM gpt p JOIN b ON east >= a0 AND east < a1 AND north >= b0 AND north < b1 GROUP BY 1, 2, 3, 4)
+SELECT DISTINCT pt_id, area_id, layer_id FROM m WHERE n % 2 = 1""", "gpt", "gar")
+def e16_assembled(t):
+    """Points inside any polygon that a feature's delivered rings make up."""
+    parts = S.assemble(raw_features(t), "area_id").join(t.gar.select("area_id", "layer_id"), "area_id")
+    return S.point_in_area(t.gpt, parts).distinct()
+
+
 @query("i40_envelopes", "SELECT area_id, x0 AS low_x, y0 AS low_y, x0 + 2000 AS high_x, y0 + 1500 AS high_y FROM gar", "gar")
 def i40(t):
     x0, y0, x1, y1 = S.envelope(F.col("rings"))
