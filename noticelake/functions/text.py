@@ -80,11 +80,40 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / most)
 
 
+def code_point(n: Column) -> Column:
+    """The character of a code point; null where there is none."""
+    ok = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(F.when(ok, n).otherwise(F.lit(32))), 8, "0")), "UTF-32"))
+
+
 def decode_entities(x: Column) -> Column:
-    """Named entities of markup; the ampersand last."""
-    for name, sign in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("auml", "ä"), ("ouml", "ö"), ("uuml", "ü"), ("Auml", "Ä"), ("Ouml", "Ö"), ("Uuml", "Ü"), ("szlig", "ß"), ("amp", "&")):
+    """Named and numeric entities of markup; the ampersand last, so that what was encoded twice is decoded once."""
+    for name, sign in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("auml", "ä"), ("ouml", "ö"), ("uuml", "ü"), ("Auml", "Ä"), ("Ouml", "Ö"), ("Uuml", "Ü"), ("eacute", "é"), ("egrave", "è"), ("szlig", "ß")):
         x = F.replace(x, F.lit(f"&{name};"), F.lit(sign))
-    return x
+
+    def put(text, entity):
+        digits = F.regexp_replace(entity, "[&#xX;]", "")
+        n = F.when(F.lower(entity).startswith("&#x"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        return F.replace(text, entity, F.coalesce(code_point(n), entity))
+
+    found = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#(?:\d{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
+    x = bound(x, lambda t: F.when(F.contains(t, F.lit("&#")), F.aggregate(found(t), t, put)).otherwise(t))
+    return F.replace(x, F.lit("&amp;"), F.lit("&"))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute in double, single or no quotes, decoded; '' without it."""
+    pattern = rf"""(?i){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
+    return decode_entities(F.concat(*(F.regexp_extract(tag, pattern, g) for g in (1, 2, 3))))
+
+
+def attributes(tag: Column) -> Column:
+    """All attributes of a tag by their names in lower case; of one name the first value stays."""
+    pattern = F.lit(r"""(?i)\s([a-z][a-z0-9_:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+    group = lambda n: F.regexp_extract_all(tag, pattern, F.lit(n))
+    pairs = F.transform(F.arrays_zip(group(1).alias("k"), group(2).alias("a"), group(3).alias("b"), group(4).alias("c")), lambda m: F.struct(F.lower(m["k"]).alias("k"), decode_entities(F.concat(m["a"], m["b"], m["c"])).alias("v")))
+    first = lambda out, m: F.when(F.array_contains(F.transform(out, lambda o: o["k"]), m["k"]), out).otherwise(F.concat(out, F.array(m)))
+    return F.map_from_entries(F.aggregate(pairs, F.array().cast("array<struct<k:string,v:string>>"), first))
 
 
 def strip_html(x: Column) -> Column:

@@ -60,14 +60,18 @@ ACCEPT = 8
 
 
 def score(rules: list, **subjects: Column) -> Column:
-    """Sum over the rules of the points of each one's first pattern that matches."""
-    out = F.lit(0)
+    """Sum over the rules of the points of each one's first pattern that matches; one array, so that the code stays small."""
+    points = []
     for subject, choices in rules:
         c = F.when(F.lit(False), 0)
-        for pattern, points in choices:
-            c = c.when(subjects[subject].rlike(pattern), points)
-        out = out + c.otherwise(0)
-    return out
+        for pattern, n in choices:
+            c = c.when(subjects[subject].rlike(pattern), n)
+        points.append(c.otherwise(0))
+    return total(points)
+
+
+def total(points: list[Column]) -> Column:
+    return F.aggregate(F.array(*points), F.lit(0), lambda s, p: s + p)
 
 
 def path_of(url: Column) -> Column:
@@ -123,7 +127,7 @@ def audit(pages: DataFrame, found: DataFrame, verified: DataFrame) -> DataFrame:
     for name, _, subject, pattern, unless in AUDIT_RULES:
         hit[name] = F.col(subject).rlike(pattern) & (~F.col("text").rlike(unless) if unless else F.lit(True))
     several = F.regexp_count("both", F.lit("baugesuch|baupublikation")) >= 2
-    points = sum((F.when(hit[name], p).otherwise(0) for name, p, *_ in AUDIT_RULES), F.when(several, 5).otherwise(0))
+    points = total([*(F.when(hit[name], p).otherwise(0) for name, p, *_ in AUDIT_RULES), F.when(several, 5).otherwise(0)])
     names = F.array_compact(F.array(*(F.when(hit[name], F.lit(name)) for name, *_ in AUDIT_RULES), F.when(several, F.lit("several"))))
     rows = rows.withColumns({"score": points, "signals": F.array_join(names, ",")})
     rows = rows.join(found.select("page_id", F.lit(True).alias("found")), "page_id", "left").join(verified.select("page_id", F.lit(True).alias("verified")), "page_id", "left")

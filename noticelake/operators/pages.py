@@ -2,46 +2,99 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .worklist import first_per_key
 
-ANCHOR = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
+#: the attributes and the inside of a link
+ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a>"
 
 
 def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
-    """page_id, pos, href and link text of every anchor in document order."""
-    found = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("inner"))
-    rows = pages.select("page_id", "url", F.posexplode(found).alias("pos", "a"))
+    """page_id, pos, href and link text of every anchor with an address in document order; href in any quotes or none."""
+    found = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)).alias("tag"), F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("inner"))
+    named = F.filter(F.transform(found, lambda a: F.struct(T.attribute(a["tag"], "href").alias("href"), a["inner"].alias("inner"))), lambda a: a["href"] != "")
+    rows = pages.select("page_id", "url", F.posexplode(named).alias("pos", "a"))
     return rows.select("page_id", "url", "pos", F.col("a.href").alias("href"), T.strip_html(F.col("a.inner")).alias("label"))
 
 
-#: tags that begin and end a block of their own
-BLOCK_TAGS = "p|li|article|section|tr"
+#: fixed values: tags that begin and end a block of their own, in the order in which equally long blocks win
+BLOCK_TAGS = ["p", "li", "article", "section", "tr"]
 
 
-def pieces(html: Column) -> Column:
-    """A page cut where blocks begin and end: what stands between two cuts belongs to one innermost block."""
-    marked = F.regexp_replace(html, rf"(?i)(<(?:{BLOCK_TAGS})(?:\s[^>]*)?>)", "\u0001$1")
-    return F.split(F.regexp_replace(marked, rf"(?i)(</(?:{BLOCK_TAGS})>)", "$1\u0001"), "\u0001")
+def enclosing_block(html: str, at: int) -> str:
+    """The shortest stretch around a place from the last opening of a block tag before it to the first end after it."""
+    best = ""
+    for tag in BLOCK_TAGS:
+        start, end = html.rfind(f"<{tag}", 0, at + len(tag) + 1), html.find(f"</{tag}>", at)
+        if start >= 0 and end >= 0 and (not best or end + len(tag) + 3 - start < len(best)):
+            best = html[start : end + len(tag) + 3]
+    return best
 
 
 def anchors_in_context(pages: DataFrame, html: str = "html") -> DataFrame:
-    """page_id, url, block, href, label and the text of the smallest block around each link."""
-    rows = pages.select("page_id", "url", F.posexplode(pieces(F.col(html))).alias("block", "piece")).filter(F.contains(F.lower("piece"), F.lit("<a ")))
-    found = F.arrays_zip(F.regexp_extract_all("piece", F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all("piece", F.lit(ANCHOR), F.lit(2)).alias("inner"))
-    rows = rows.select("page_id", "url", "block", T.strip_html(F.col("piece")).alias("context"), F.explode(found).alias("a"))
-    return rows.select("page_id", "url", "block", F.col("a.href").alias("href"), T.strip_html(F.col("a.inner")).alias("label"), "context")
+    """page_id, url, block, href, label and the text of the smallest block around each link; its own text without one.
+
+    block is where the link begins. Blocks need positions in the text, which columns do not give: a page is one row of
+    an Arrow batch and leaves the task as its links.
+    """
+    import re
+
+    anchor = re.compile(r"<a\b([^>]*)>(.*?)</a>", re.I | re.S)
+
+    def each(frames):
+        for f in frames:
+            rows = [(i, u, m.start(), m[1], m[2], enclosing_block(h, m.start()) or m[0]) for i, u, h in zip(f["page_id"], f["url"], f["html"]) if h for m in anchor.finditer(h)]
+            yield pd.DataFrame(rows, columns=["page_id", "url", "block", "tag", "inner", "piece"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    rows = pages.select("page_id", "url", F.col(html).alias("html")).mapInPandas(each, f"page_id {kind}, url string, block long, tag string, inner string, piece string")
+    rows = rows.select("page_id", "url", "block", T.attribute(F.col("tag"), "href").alias("href"), T.strip_html(F.col("inner")).alias("label"), T.strip_html(F.col("piece")).alias("context"))
+    return rows.filter("href <> ''")
+
+
+def collapse_repeated(segments: Column) -> Column:
+    """Path segments without the second copy where the first two or more stand twice in a row."""
+    same = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.size(segments) / 2).cast("int"))), lambda n: (n >= 2) & (F.slice(segments, F.lit(1), n) == F.slice(segments, n + 1, n)))
+    n = F.try_element_at(same, F.lit(1))
+    return F.when(n.isNull(), segments).otherwise(F.concat(F.slice(segments, F.lit(1), n), F.slice(segments, 2 * n + 1, F.size(segments))))
 
 
 def resolve(base: Column, href: Column) -> Column:
-    """An absolute address of a link; the fragment goes."""
-    root = F.regexp_extract(base, "^([A-Za-z]+://[^/]+)", 1)
-    folder = F.concat(root, F.regexp_extract(F.substring(base, F.length(root) + 1, F.length(base)), "^(/(?:[^?#]*/)?)", 1))
-    full = F.when(href.rlike("^[A-Za-z]+://"), href).when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(folder, href))
-    return F.regexp_replace(full, "#.*$", "")
+    """The absolute web address of a link on a page, or null: blank, a place on the page itself, another scheme.
+
+    . and .. are resolved, a repeated beginning of the path goes, as does the fragment; the host is in lower case.
+    """
+    site = lambda x: F.regexp_extract(x, r"^(?i)(https?://[^/?#]+)", 1)
+    path_of = lambda x: F.regexp_extract(x, r"^(?i)https?://[^/?#]+([^?#]*)", 1)
+    query_of = lambda x: F.regexp_extract(x, r"(\?[^#]*)", 1)
+
+    def tidy(parts):
+        ends = F.element_at(parts, -1).isin("", ".", "..")
+        step = lambda out, s: F.when(s == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(s.isin("", "."), out).otherwise(F.concat(out, F.array(s)))
+        kept = T.bound(F.aggregate(parts, F.array().cast("array<string>"), step), collapse_repeated)
+        return T.bound(kept, lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(ends & (F.size(k) > 0), "/").otherwise("")))
+
+    def full(p):
+        link, scheme, at, base = (p[c] for c in ("link", "scheme", "at", "base"))
+        own = F.regexp_extract(link, r"^([^?]*)", 1)
+        folder = F.regexp_extract(F.concat(path_of(base), F.when(path_of(base) == "", "/").otherwise("")), r"^(.*/)", 1)
+        path = F.when(at.isNotNull(), path_of(at)).when(own == "", path_of(base)).when(own.startswith("/"), own).otherwise(F.concat(folder, own))
+        query = F.when(at.isNull() & (link == ""), query_of(base)).otherwise(query_of(link))
+        root = F.lower(site(F.coalesce(at, base)))
+        web = (link != "") & ((scheme == "") | scheme.isin("http", "https")) & (root != "")
+        return F.when(web, F.concat(root, T.bound(F.split(F.replace(path, F.lit(" "), F.lit("%20")), "/"), tidy), query))
+
+    def parts(link):
+        scheme = F.lower(F.regexp_extract(link, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+        at = F.when(scheme != "", link).when(link.startswith("//"), F.concat(F.regexp_extract(base, r"^([A-Za-z]+:)", 1), link))
+        return T.bound(F.struct(link.alias("link"), scheme.alias("scheme"), at.alias("at"), base.alias("base")), full)
+
+    # a link that is blank or begins with its fragment is nothing without it
+    return T.bound(F.regexp_replace(F.trim(T.decode_entities(F.coalesce(href, F.lit("")))), "#.*$", ""), parts)
 
 
 def title(html: Column) -> Column:

@@ -322,10 +322,14 @@ def d12(t):
     return rows.filter((F.col("place") == "") | (F.col("parcel") == "") | F.col("deadline_date").isNull() | X.weak_address(F.col("place"))).select("txt_id")
 
 
-ENTITIES = [("A &amp; B &lt;%k&gt; &auml;", "A & B <%k> ä"), ("&amp;lt;", "&lt;"), ("&Uuml;ber&nbsp;%k", "Über %k"), ("&#39;x&apos;", "'x'"), ("&quot;%k&quot; &szlig;", '"%k" ß'), ("AT&T &unknown;", "AT&T &unknown;"), ("", "")]
+ENTITIES = [("A &amp; B &lt;%k&gt; &auml;", "A & B <%k> ä"), ("&amp;lt;", "&lt;"), ("&Uuml;ber&nbsp;%k", "Über %k"), ("&#39;x&apos;", "'x'"), ("&quot;%k&quot; &szlig;", '"%k" ß'), ("AT&T &unknown;", "AT&T &unknown;"), ("", ""), ("&#65;&#252;ber &#8211; &#x2013;&#X1F600;", "Aüber – –😀"), ("&#%k; &#0; &#55296; &#9999999; &#x; &#;", None), ("&amp;#65; &eacute;&egrave; &amp;nbsp;", "&#65; éè &nbsp;")]
 
 
-@query("i7_entities", f"SELECT o_orderkey, {D.pick('o_orderkey', [v for _, v in ENTITIES])} AS text FROM orders")
+#: a number that is a character, beside numbers that are none
+NUMBERED = "coalesce({}, CASE WHEN o_orderkey BETWEEN 1 AND 55295 OR o_orderkey BETWEEN 57344 AND 1114111 THEN chr(o_orderkey::INTEGER) ELSE '&#' || o_orderkey || ';' END || ' &#0; &#55296; &#9999999; &#x; &#;')"
+
+
+@query("i7_entities", f"SELECT o_orderkey, {NUMBERED.format(D.pick('o_orderkey', [v for _, v in ENTITIES]))} AS text FROM orders")
 def i7(t):
     return t.orders.select("o_orderkey", T.decode_entities(T.pick(F.col("o_orderkey"), [v for v, _ in ENTITIES])).alias("text"))
 
@@ -380,7 +384,7 @@ def i34(t):
     return t.txt.select("txt_id", DT.normalize(F.concat(first, year)).alias("publication_date"))
 
 
-INSIDE = [("<section><p>eins <a href=\"/x\">L %k</a> zwei</p><p>ohne</p></section>", "eins L %k zwei"), ("<ul><li>a</li><li><b>b</b> <a href=\"/y\">M</a></li></ul>", "b M"), ("<article>vor <p>nichts</p> <a href=\"/z\">N %k</a> nach</article>", "N %k nach"), ("<p>kein Link</p>", None), ("<tr><td>1</td><td><a href=\"/t\">T</a></td></tr>", "1 T")]
+INSIDE = [("<section><p>eins <a href=\"/x\">L %k</a> zwei</p><p>ohne</p></section>", "eins L %k zwei"), ("<ul><li>a</li><li><b>b</b> <a href=\"/y\">M</a></li></ul>", "b M"), ("<article>vor <p>nichts</p> <a href=\"/z\">N %k</a> nach</article>", "vor nichts N %k nach"), ("<p>kein Link</p>", None), ("<tr><td>1</td><td><a href=\"/t\">T</a></td></tr>", "1 T"), ("<section>a <article>b <ul><li>c</li></ul> <a href='/u'>U %k</a> d <p>e</p></article> f</section>", "b c U %k d e"), ("<p>a <a href=/v>V</a></p><p>b</p>", "a V"), ("lose <a href=\"/w\">W %k</a> Ende", "W %k")]
 
 
 @query("i10_enclosing_block", f"SELECT page_id, text FROM (SELECT page_id, {D.pick('page_id', [x for _, x in INSIDE])} AS text FROM pages) WHERE text IS NOT NULL")

@@ -26,6 +26,15 @@ def i30(t):
     return P.anchors(t.pages).drop("url")
 
 
+#: tags and the value of their class
+TAGS = [('<a class="x%k" href=y>', "x%k"), ("<a CLASS = 'b c'>", "b c"), ("<a id=1 class=z%k>", "z%k"), ("<a>", ""), ('<a class="">', ""), ('<a class="a&amp;b&#252;">', "a&bü")]
+
+
+@query("i29_attributes", f"SELECT page_id, {D.pick('page_id', [v for _, v in TAGS])} AS value FROM pages")
+def i29_attributes(t):
+    return t.pages.select("page_id", T.attribute(T.pick(F.col("page_id"), [v for v, _ in TAGS]), "class").alias("value"))
+
+
 @query("i8_html_text", f"SELECT page_id, {D.strip_html('html')} AS text FROM pages")
 def i8(t):
     return t.pages.select("page_id", T.strip_html(F.col("html")).alias("text"))
@@ -76,9 +85,19 @@ def d14(t):
     return t.pages.select("page_id", F.coalesce(C.is_public_url(T.pick(F.col("page_id"), [u for u, _ in ADDRESSES])), F.lit(False)).alias("ok"))
 
 
-@query("i22_resolve_urls", LINKS.join(["WITH ", " SELECT page_id, pos, regexp_replace(CASE WHEN regexp_matches(href, '^[A-Za-z]+://') THEN href WHEN href LIKE '/%' THEN regexp_extract(url, '^([A-Za-z]+://[^/]+)', 1) || href ELSE regexp_extract(url, '^([A-Za-z]+://[^/]+(/([^?#]*/)?)?)', 1) || href END, '#.*$', '') AS target FROM links"]))
+#: links on https://A.ch/x/y/z?q=1 and where they lead; %k stands for a number
+HREFS = [
+    ("../b%k", "https://a.ch/x/b%k"), ("../../../c", "https://a.ch/c"), ("./d/./e/", "https://a.ch/x/y/d/e/"), ("//cdn.ch/p%k#top", "https://cdn.ch/p%k"), ("mailto:a@b.ch", None), ("javascript:void(0)", None), ("tel:+41", None), ("#top", None), ("", None), ("  ", None),
+    ("?page=%k", "https://a.ch/x/y/z?page=%k"), ("HTTP://B.ch", "http://b.ch/"), ("http://b.ch/u/v/u/v/w", "http://b.ch/u/v/w"), ("/s/t/s/t/", "https://a.ch/s/t/"), ("/s/s/%k", "https://a.ch/s/s/%k"), ("a&amp;b%k", "https://a.ch/x/y/a&b%k"), ("/q r", "https://a.ch/q%20r"), ("..", "https://a.ch/x/"), (None, None), ("/f?u=../g#h", "https://a.ch/f?u=../g"),
+]
+
+
+@query("i22_resolve_urls", f"WITH {LINKS}, one AS (SELECT page_id, pos, {D.resolve('url', 'href')} AS target FROM links) SELECT * FROM one UNION ALL SELECT -1 - page_id, 0, {D.pick('page_id', [x for _, x in HREFS])} FROM pages")
 def i22(t):
-    return P.anchors(t.pages).select("page_id", "pos", P.resolve(F.col("url"), F.col("href")).alias("target"))
+    """Addresses of the links of all pages, and of links of every other form."""
+    href = F.element_at(F.array(*(F.lit(h) for h, _ in HREFS)), (F.col("page_id") % len(HREFS) + 1).cast("int"))
+    cases = t.pages.select((-1 - F.col("page_id")).alias("page_id"), F.lit(0).alias("pos"), F.lit("https://A.ch/x/y/z?q=1").alias("url"), F.replace(href, F.lit("%k"), F.col("page_id").cast("string")).alias("href"))
+    return P.anchors(t.pages).select("page_id", "pos", "url", "href").unionByName(cases).select("page_id", "pos", P.resolve(F.col("url"), F.col("href")).alias("target"))
 
 
 @query("g1_keep_first", f"WITH {LINKS} SELECT page_id, pos, href FROM links QUALIFY row_number() OVER (PARTITION BY href ORDER BY page_id, pos) = 1")
