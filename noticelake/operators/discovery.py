@@ -83,11 +83,11 @@ def path_of(url: Column) -> Column:
 def link_candidates(pages: DataFrame) -> DataFrame:
     """page_id, target, score of the links to the page's own host that speak for permits; each target's best."""
     links = P.anchors_in_context(pages)
-    target = P.resolve(F.col("url"), F.col("href"))
+    links = P.once(links, target=P.resolve(F.col("url"), F.col("href")), label=F.lower("label"), context=F.lower("context"))
     host = lambda c: F.lower(F.regexp_extract(c, "^[A-Za-z]+://([^/?#]+)", 1))
-    rows = links.withColumn("target", target).withColumn("path", path_of(F.col("target")))
-    rows = rows.filter((host(F.col("target")) == host(F.col("url"))) & C.is_public_url(F.col("target")))
-    label, context = F.lower("label"), F.lower("context")
+    rows = links.filter((host(F.col("target")) == host(F.col("url"))) & C.is_public_url(F.col("target")))
+    rows = P.once(rows, path=path_of(F.col("target")))
+    label, context = F.col("label"), F.col("context")
     rows = rows.filter(~label.rlike(WRONG_TOPIC) & ~F.col("path").rlike(WRONG_TOPIC))
     rows = rows.withColumn("score", score(LINK_RULES, path=F.col("path"), near=F.concat_ws(" ", label, context), context=context)).filter("score > 0")
     return rows.groupBy("page_id", "target").agg(F.max("score").alias("score"))
@@ -95,10 +95,9 @@ def link_candidates(pages: DataFrame) -> DataFrame:
 
 def content_scores(pages: DataFrame) -> DataFrame:
     """target, content_score of the pages that publish permits by their text, or by their address and some sign in the page."""
-    rows = pages.select(
-        F.col("url").alias("target"), path_of(F.col("url")).alias("path"), F.lower(T.strip_html(P.content_region(F.col("html")))).alias("text"),
-        F.regexp_count(F.lower("html"), F.lit(r"(?s)<a\s[^>]*>[^<]*(?:baugesuch|baupublikation)")).alias("linked"),
-    ).withColumn("both", F.concat_ws(" ", "path", "text"))
+    linked = F.regexp_count(F.lower("html"), F.lit(r"(?s)<a\s[^>]*>[^<]*(?:baugesuch|baupublikation)"))
+    text = F.lower(T.strip_html(P.content_region(F.col("html"))))
+    rows = P.once(pages.select(F.col("url").alias("target"), "html"), path=path_of(F.col("target")), text=text, linked=linked).withColumn("both", F.concat_ws(" ", "path", "text"))
     terms = lambda c: F.regexp_count(c, F.lit("baugesuch|baupublikation"))
     counts = F.when(terms("text") >= 2, 3).otherwise(0) + F.when(terms("both") >= 3, 5).otherwise(0) + F.when(F.col("linked") >= 2, 8).otherwise(0)
     by_text = F.col("text").rlike(PUBLICATION)
@@ -121,7 +120,7 @@ def audit(pages: DataFrame, found: DataFrame, verified: DataFrame) -> DataFrame:
     by hand, which counts where the page itself cannot be read.
     """
     title, path = P.title(F.col("html")), path_of(F.col("url"))
-    rows = pages.withColumns({"path": path, "text": F.lower(F.concat_ws(" ", title, T.strip_html(F.col("html"))))})
+    rows = P.once(pages, path=path, text=F.lower(F.concat_ws(" ", title, T.strip_html(F.col("html")))))
     rows = rows.withColumn("both", F.concat_ws(" ", "path", "text"))
     hit = {}
     for name, _, subject, pattern, unless in AUDIT_RULES:

@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .worklist import first_per_key
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are worked out once for each row, however many filters and scores ask for them.
+
+    A filter on a plain column is moved below it and works the column out again for each use; it does not move below an
+    explode that makes what it asks for.
+    """
+    made = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_once")
+    return rows.select(*(c for c in rows.columns if c not in columns), made).select("*", "_once.*").drop("_once")
+
+
 #: the attributes and the inside of a link
 ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a>"
 
