@@ -193,7 +193,7 @@ def b4(t):
     path = work_path(t.spark, "events")
     rows = t.events.select("event_id", "ts", F.to_date("ts").alias("day"))
     rows.write.mode("append").partitionBy("day").parquet(path)
-    return W.newest(t.spark.read.parquet(path), [F.desc("ts"), F.desc("event_id")], 50).select("event_id")
+    return W.newest(t.spark.read.schema(rows.schema).parquet(path), [F.desc("ts"), F.desc("event_id")], 50).select("event_id")
 
 
 @query("j13_dimension_upsert", "SELECT coalesce(o.k, n.k) AS k, coalesce(n.name, o.name) AS name, coalesce(o.token, n.token) AS token FROM (SELECT n_nationkey AS k, n_name AS name, 'old' AS token FROM nation WHERE n_nationkey < 15) o FULL JOIN (SELECT n_nationkey AS k, lower(n_name) AS name, 'new' AS token FROM nation WHERE n_nationkey > 10) n ON o.k = n.k")

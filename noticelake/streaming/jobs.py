@@ -92,6 +92,76 @@ def split_late(stream: DataFrame, time: str, reference: str, days: int = 31, hom
     return read_batches(spark, stream.schema, f"{home}/active"), read_batches(spark, stream.schema, f"{home}/late")
 
 
+def expire_active(source: Callable[[], DataFrame], key: str, time: str, days: int = 31, home: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(key, time, change) of every record's changes, and the rows that came too late.
+
+    source() gives the stream; time is not null. A record is active from its newest time on, for `days` of event time:
+    a timer in its state then takes it out (change: expired), whether or not another row of it comes. The state of a
+    record is its newest time, and is cleared with it. Rows older than that when they come change nothing; they go to a
+    table of their own. The newest change of a record by (time, change) is its present one.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Active(StatefulProcessor):
+        def init(self, handle):
+            self.handle, self.newest = handle, handle.getValueState("newest", "ms long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            came = max(int(r[time].max().value // 1_000_000) for r in rows)
+            held = self.newest.get()[0] if self.newest.exists() else None
+            if held is None or came > held:
+                if held is not None:
+                    self.handle.deleteTimer(held)
+                self.newest.update((came,))
+                self.handle.registerTimer(came)  # the watermark is `days` behind the newest time of all
+                yield self._change(key, came, "active")
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            held = self.newest.get()[0]
+            self.newest.clear()
+            yield self._change(key, held, "expired")
+
+        def _change(self, key, ms, change):
+            return pd.DataFrame({names[0]: [key[0]], names[1]: [pd.Timestamp(ms, unit="ms")], "change": [change]})
+
+        def close(self):
+            pass
+
+    names = [key, time]
+    stream = source()
+    spark, home = stream.sparkSession, home_of(stream, "active", home)
+    kind = stream.schema[key].dataType.simpleString()
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = stream.select(key, time).withWatermark(time, f"{days} days")
+        changes = rows.groupBy(key).transformWithStateInPandas(Active(), f"{key} {kind}, {time} timestamp, change string", "Append", "EventTime")
+        run_available(changes, append_to(f"{home}/changes"), f"{home}/checkpoint")
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+    return read_batches(spark, changes.schema, f"{home}/changes"), too_late(source(), time, days, f"{home}/late-rows")
+
+
+def too_late(stream: DataFrame, time: str, days: int, home: str) -> DataFrame:
+    """Rows that are `days` older, when they come, than the newest time of all batches before theirs."""
+    spark = stream.sparkSession
+    clock = spark.createDataFrame([], "batch long, newest timestamp")
+    clock.write.mode("append").parquet(f"{home}/clock")
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(f"{home}/rows")
+
+    def each(batch: DataFrame, n: int) -> None:
+        # one row for each batch; a batch that comes again does not see itself
+        newest = read_batches(spark, clock.schema, f"{home}/clock").filter(F.col("batch") < n).agg(F.max("newest")).first()[0]
+        append_to(f"{home}/clock")(batch.agg(F.lit(n).cast("long").alias("batch"), F.max(time).alias("newest")), n)
+        bound = F.lit(newest).cast("timestamp") - F.expr(f"interval {days} days")
+        append_to(f"{home}/rows")(batch.filter(F.coalesce(F.col(time) < bound, F.lit(False))), n)
+
+    run_available(stream, each, f"{home}/checkpoint")
+    return read_batches(spark, stream.schema, f"{home}/rows")
+
+
 def notifications(stream: DataFrame, wanted, order: list[str], keep: int = 40, home: str | None = None) -> DataFrame:
     """The newest notifications of all batches."""
     home = home_of(stream, "notes", home)

@@ -51,3 +51,19 @@ def test_entry(spark):
 
     assert {r[0] for r in __spark_entry__.entry(spark).collect()} <= {"none", "matched", "ambiguous"}
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+EMPTY = ["b4_audit_sink", "k5_online_learning", "k3_active_by_timer", "e21_gazetteer_tokens", "j11_location_ladder", "j1_import_in_order", "i39_assembled_polygons", "e16_point_in_assembled", "h1_worklist_order", "i22_resolve_urls", "j18_discovery"]
+
+
+@pytest.fixture(scope="module")
+def nothing(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("empty")
+    for t in TABLES:
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).coalesce(1).write.parquet(f"{folder}/{t}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", EMPTY)
+def test_empty_tables(spark, nothing, name):
+    assert QUERIES[name](spark, nothing).count() == 0

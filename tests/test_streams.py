@@ -75,3 +75,29 @@ def test_rules_are_learned_online(spark, folder, tmp_path):
     put(spark, folder, [r for r in rows if r[-1] >= 20], schema)  # a second run goes on with the state
     every = learning.fold_rules(spark.createDataFrame(rows, schema), ["n"]).select(*learning.KEY, "protection_status", "match_count", "confidence")
     assert run() == sorted(map(tuple, every.collect()))
+
+
+def test_records_expire_without_a_new_row(spark, folder, tmp_path):
+    schema, home = spark.createDataFrame([], SCHEMA).schema, f"file://{tmp_path}/home"
+    month = lambda m, d: datetime.datetime(2024, m, d)
+
+    def run():
+        changes, late = jobs.expire_active(lambda: jobs.file_stream(spark, folder, schema, 1), "key", "ts", 31, home)
+        return sorted((r.key, r.ts, r.change) for r in changes.collect()), sorted((r.key, r.ts) for r in late.collect())
+
+    put(spark, folder, [("a", 1, month(1, 1)), ("b", 1, month(1, 1)), ("a", 2, month(1, 10))])
+    put(spark, folder, [("b", 2, month(1, 25))])
+    changes, late = run()
+    assert changes == [("a", month(1, 10), "active"), ("b", month(1, 1), "active"), ("b", month(1, 25), "active")] and late == []
+    put(spark, folder, [("c", 1, month(2, 20))])  # no row of a: its time is over; b's is not
+    put(spark, folder, [("a", 3, month(1, 5)), ("d", 1, month(2, 1))])  # a comes too late, d does not
+    changes, late = run()
+    assert ("a", month(1, 10), "expired") in changes and ("d", month(2, 1), "active") in changes and not [c for c in changes if c[0] == "b" and c[2] == "expired"]
+    assert late == [("a", month(1, 5))] and ("a", month(1, 5), "active") not in changes
+    put(spark, folder, [("a", 4, month(2, 25)), ("e", 1, month(4, 1))])  # a comes back, then all but e expire
+    changes, late = run()
+    last = {}
+    for key, ts, change in changes:
+        last[key] = max(last.get(key, (ts, change)), (ts, change))
+    assert {k: v[1] for k, v in last.items()} == {"a": "expired", "b": "expired", "c": "expired", "d": "expired", "e": "active"}
+    assert run() == (changes, late)
