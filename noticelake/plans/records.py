@@ -8,6 +8,8 @@ from ..functions import duck as D
 from ..functions import text as T
 from ..operators import linkage as L
 from ..operators import running as R
+from ..operators import spatial as S
+from ..operators import sync as Y
 from ..operators import worklist as W
 from .register import query
 
@@ -253,6 +255,30 @@ def j2(t):
     return L.upsert_evidence(rows.filter("rec_id < '3'"), rows.filter("rec_id >= '3'")).drop("observed_at")
 
 
+def sync_run(t):
+    """A run over seven sources whose payloads are the lines of an order each, in three spellings; one source is broken."""
+    order = F.split("rec_id", "-")[0].cast("long")
+    source = F.concat(F.lit("src-"), (order % 7).cast("string"))
+    rows = t.rec.filter(INCOMING).withColumns({"source": source, "payload": order})
+    plain = F.struct(F.col("source_reference").alias("reference"), "municipality", "address", "parcel", F.col("project_type").alias("projectType"), F.col("publication_date").alias("publicationDate"), F.col("deadline_date").alias("deadlineDate"))
+    named = F.struct(F.struct(F.col("source_reference").alias("ID"), F.col("municipality").alias("GEMEINDE"), F.col("address").alias("ADRESSE"), F.col("parcel").alias("PARZELLE"), F.col("project_type").alias("TITEL"), F.col("publication_date").alias("publikation"), F.col("deadline_date").alias("frist")).alias("attributes"))
+    items = rows.withColumn("item", F.when(order % 3 == 2, F.to_json(named)).otherwise(F.to_json(plain)))
+    list_ = F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("item")), ","), F.lit("]"))  # the lines of one order
+    bodies = items.groupBy("source", "payload").agg(list_.alias("list"))
+    k = F.col("payload") % 3
+    body = F.when(k == 0, F.col("list")).when(k == 1, F.concat(F.lit('{"items": '), "list", F.lit("}"))).otherwise(F.concat(F.lit('{"features": '), "list", F.lit("}")))
+    payloads = bodies.select("source", "payload", F.when(F.col("source") == "src-3", F.substring(body, 1, 20)).otherwise(body).alias("body"))
+    sources = t.spark.range(7).select(F.concat(F.lit("src-"), F.col("id").cast("string")).alias("source"), F.lit("municipality").alias("source_kind"), (F.col("id") % 2 == 0).alias("prune"))
+    stored = t.rec.filter(STORED).withColumns({"source": source, "assignee": F.lit(""), "note": F.when(F.col("parcel") == "", "seen").otherwise(""), "protection_status": F.lit("no-hit")})
+    return Y.run(payloads, sources, stored, S.rectangle_rings(t.gar), t.gbl, ref())
+
+
+@query("j21_sync_run")
+def j21_run(t):
+    """What a whole run reads, skips, imports, updates, merges and removes, for each source."""
+    return sync_run(t).metrics
+
+
 @query("j4_retention", f"SELECT id, CASE WHEN publication_date + 31 < {REF} AND workflow_status NOT IN ('cleared', 'archived') THEN 'archived' ELSE workflow_status END AS workflow_status, CASE WHEN publication_date + 31 < {REF} AND workflow_status NOT IN ('cleared', 'archived') THEN {REF} END AS archived_at FROM app", "app")
 def j4(t):
     return W.archive_expired(t.app, ref()).select("id", "workflow_status", "archived_at")
