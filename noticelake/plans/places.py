@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import duck as D
 from ..functions import text as T
+from ..operators import addresses as A
 from ..operators import gazetteer as G
 from .register import query
 from .spatial import areas
@@ -109,3 +110,39 @@ def j11_verdicts(t):
     """How many repaired records get which verdict, by kind: assessed at all their points."""
     verdicts = G.assess_repairs(repairs(t), areas(t), t.gbl, "id")
     return verdicts.groupBy("kind", "protection_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: notices by their text, title and page, and the address that their ladder finds; %k stands for a number
+NOTICES = [
+    ("Standort: Bahnhofstrasse %k Bauherr: Muster", "Umbau", "https://a.ch/x", "Bahnhofstrasse %k"),
+    ("Bauplatz: Parzelle %k Zone: W", "Umbau / Kirchweg 2", "https://a.ch/x", "Kirchweg 2"),
+    ("Bauplatz: Parzelle %k Zone: W", "Umbau", "https://a.ch/x", "Parzelle %k"),
+    ("", "Bahnhofstrasse 7 / Kirchweg %k / Umbau", "", "Kirchweg %k"),
+    ("Keine Angaben", "", "https://a.ch/neubau_hauptstrasse_%k/4711", "Hauptstrasse %k"),
+    (None, None, None, ""),
+    ("Lage: Im Grund Frist: 3 Hauptstrasse %k", "Rainweg 1", "https://a.ch/rainweg-2.html", "Hauptstrasse %k"),
+    ("Baugesuch: Neubau an der Hauptstrasse %k in Baden", "", "", "Hauptstrasse %k"),
+    ("Baustelle: Dorfplatz Bauherr: X", "Anbau / Oberdorf %k", "", "Oberdorf %k"),
+]
+
+
+@query("i15_address_ladder", f"SELECT o_orderkey, replace({D.pick('o_orderkey', [n[3].replace('%k', '%n') for n in NOTICES])}, '%n', CAST(o_custkey % 90 + 1 AS VARCHAR)) AS address FROM orders")
+def i15_ladder(t):
+    """The most specific address of text, title and page."""
+    k = F.col("o_orderkey")
+    part = lambda i: F.replace(F.element_at(F.array(*(F.lit(n[i]).cast("string") for n in NOTICES)), (k % len(NOTICES) + 1).cast("int")), F.lit("%k"), (F.col("o_custkey") % 90 + 1).cast("string"))
+    return t.orders.select("o_orderkey", A.ladder(part(0), part(1), part(2)).alias("address"))
+
+
+#: raw addresses and what is stored of them
+RAW = [
+    (", Bahnhofstrasse %k,", "Bahnhofstrasse %k"), ("01.02.2026", "Parzelle %k"), ("hauptstrasse %k", "Hauptstrasse %k"), ("Bauherr: Meier, Kirchweg 4", "Kirchweg 4"), ("Parzelle Nr. 12, Dorfgasse 3", "Dorfgasse 3"), ("Facebook", "Parzelle %k"),
+    ("Kanzlei Parzelle 5", "Parzelle 5"), ("Kanzlei", "Parzelle %k"), ("Gebäude Nr. 12a, Oberdorf 3", "Oberdorf 3"), ("Neubau Garage", "Parzelle %k"), ("Herunterladen", "Parzelle %k"), ("Rain 3 öffentliche Auflage vom 1.", "Rain 3"), ("Mai 2026", "Parzelle %k"), (None, "Parzelle %k"),
+]
+
+
+@query("i13_address_rules", f"SELECT o_orderkey, {D.pick('o_orderkey', [v for _, v in RAW])} AS address FROM orders")
+def i13_rules(t):
+    """Addresses as they are stored: cut, refused or replaced by the parcel."""
+    k = F.col("o_orderkey")
+    return t.orders.select("o_orderkey", A.imported(T.pick(k, [v for v, _ in RAW]), k.cast("string")).alias("address"))
