@@ -187,19 +187,38 @@ BULLETIN = r"(?i)\b(mitteilungsblatt|infoblatt)\b"
 OTHER_PROCEDURE = r"(?i)\b(plangenehmigungsverfahren|elektrizit(?:ä|ae)tsgesetz|eleg)\b"
 OTHER_TOPIC = r"(?i)\b(gemeinderat|gemeindeversammlung|traktanden|protokoll|beschl(?:ü|ue)sse?|reglemente?|budget|rechnung|steuer|abstimmung|wahl|nutzungsplanung|bno|zonenvorschriften|gestaltungsplan|familiengartenzone|vorpr(?:ü|ue)fung|mitwirkung|genehmigung)\b"
 OTHER_URL = r"(?i)(regionalebauverwaltung\.ch|/bauen/baubewilligungen/ebau-aargau|(?:^|[\\/_-])bno(?:[\\/_.-]|$)|nutzungsordnung)"
+PUBLICATION_ROUTE = r"(?i)/_rtr/(?:beschluesse|rechtsgueltigeamtlichepublikationen|reglemente|projektemain|budgetrechung|sucheeinerpublikation)(?:[/?#]|$)"
 PERMIT_SIGNAL = r"(?i)\b(baugesuche?|baupublikation(?:en)?|baubewilligung(?:en)?|bauherr(?:schaft)?|bauobjekt|bauvorhaben|bauprojekt|bauplatz|baustelle|objektadresse|standort)\b"
 
 
 def is_off_topic(text: Column, url: Column) -> Column:
-    """Search results (not on a detail page), other addresses, bulletins, other procedures, topics without a permit signal."""
+    """Search results (not on a detail page), other addresses, publication routes, bulletins, other procedures, topics without a permit signal."""
     t, u = T.collapse(text), F.coalesce(url, F.lit(""))
     both = F.concat_ws(" ", u, t)
     detail = u.rlike(r"(?i)/(detail|id|item)[/=-]?[0-9]+")
-    return (t != "") & ((both.rlike(SEARCH_RESULTS) & ~detail) | u.rlike(OTHER_URL) | both.rlike(BULLETIN) | both.rlike(OTHER_PROCEDURE) | (both.rlike(OTHER_TOPIC) & ~both.rlike(PERMIT_SIGNAL)))
-
-
-#: fixed values: patterns of addresses that no permit has (a month and year, a menu entry, a file)
-JUNK_ADDRESS = [*(f"{m} 20%" for m in "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split()), "%Facebook%", "%Instagram%", "%Youtube%", "%Gemeinderatsnachrichten%", "%Aktuelles%", "%News%", "%Vernehmlassung%", "Adresse von Webseite prüfen"]
+    return (t != "") & ((both.rlike(SEARCH_RESULTS) & ~detail) | u.rlike(OTHER_URL) | u.rlike(PUBLICATION_ROUTE) | both.rlike(BULLETIN) | both.rlike(OTHER_PROCEDURE) | (both.rlike(OTHER_TOPIC) & ~both.rlike(PERMIT_SIGNAL)))
+
+
+#: fixed values: patterns of addresses that no permit has (a month and year, a menu entry, a topic), and topics in any text
+JUNK_ADDRESS = [
+    "Januar 20%", "Februar 20%", "März 20%", "April 20%", "Mai 20%", "Juni 20%", "Juli 20%", "August 20%", "September 20%", "Oktober 20%", "November 20%", "Dezember 20%",
+    "%Facebook%", "%Instagram%", "%Youtube%", "%Gemeinderatsnachrichten%", "%Aktuelles%", "%News%", "%Vernehmlassung%",
+]
+JUNK_TOPICS = ["%Wohnraumstrategie%", "%Stadtteilziele%", "%Förderprogramm%", "%Stadtbibliothek%", "%Einbürgerung%", "%Altlasten%", "%Zertifizierung%"]
+#: fixed values: the source whose records are judged, and the address that stands for none
+JUNK_SOURCE, NO_ADDRESS = "Gemeinde-Webseite", "Adresse von Webseite prüfen"
+
+
+def junk_records(records: DataFrame, comments: DataFrame, id_col: str = "id") -> DataFrame:
+    """id_col of the records of web pages that are no permits: untouched, without comment, parcel and coordinates, and
+    either without an address, or of an unclear one that a pattern calls junk in address, project or description.
+    Patterns tell capitals apart only outside A-Z."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    like = lambda c, patterns: F.array_contains(F.array(*(F.coalesce(F.col(c).ilike(p), F.lit(False)) for p in patterns)), True)
+    topic = like("address", JUNK_ADDRESS + JUNK_TOPICS) | like("project_type", JUNK_TOPICS) | like("description", JUNK_TOPICS)
+    unplaced = (F.col("source") == JUNK_SOURCE) & blank("parcel") & blank("coordinates") & (F.col("workflow_status") == "new") & blank("assignee") & blank("note")
+    junk = F.coalesce(F.col("address") == NO_ADDRESS, F.lit(False)) | (F.coalesce("ambiguous_address", F.lit(False)) & topic)
+    return records.filter(unplaced & junk).select(id_col).join(comments.select(id_col).distinct(), id_col, "left_anti")
 
 
 def prune_junk(records: DataFrame, patterns: list[tuple[str, str]], comments: DataFrame, id_col: str = "id") -> DataFrame:

@@ -251,6 +251,27 @@ def d15(t):
     return X.prune_junk(rows, [("address", p) for p in X.JUNK_ADDRESS], comments).select("id")
 
 
+#: records by source, address, project, description, parcel and coordinates, whether the address is unclear, and whether they are junk
+JUNK = [
+    ("Gemeinde-Webseite", "Adresse von Webseite prüfen", "Haus", "", "", "", False, True), ("Amtsblatt", "Adresse von Webseite prüfen", "Haus", "", "", "", True, False), ("Gemeinde-Webseite", "Adresse von Webseite prüfen", "Haus", "", "12", "", True, False),
+    ("Gemeinde-Webseite", "März 2024", "Haus", None, None, None, True, True), ("Gemeinde-Webseite", "März 2024", "Haus", "", "", "", False, False), ("Gemeinde-Webseite", "Im März 2024", "Haus", "", "", "", True, False), ("Gemeinde-Webseite", "NEWS vom Dorf", "Haus", "", "", "", True, True),
+    ("Gemeinde-Webseite", "Weg 1", "Neue Stadtteilziele", "", "", "", True, True), ("Gemeinde-Webseite", "Weg 1", "Haus", "Kurs Altlasten", "", "", True, True), ("Gemeinde-Webseite", "Weg 1", "News", "Facebook", "", "", True, False), ("Gemeinde-Webseite", "Förderprogramm", "", "", "", "1,2", True, False),
+    ("Gemeinde-Webseite", "Einbürgerung Meier", "", "", "", "", True, True), (None, "Facebook", "", "", "", "", True, False), ("Gemeinde-Webseite", None, None, None, None, None, None, False),
+]
+
+
+@query("d15_junk_records", f"""WITH a AS (SELECT id, {D.pick('line', [j[7] for j in JUNK])} AS junk, workflow_status, assignee, note, source_reference FROM (SELECT *, CAST(regexp_extract(address, '[0-9]+$', 0) AS BIGINT) AS line FROM app))
+SELECT id FROM a WHERE junk AND workflow_status = 'new' AND assignee = '' AND note = '' AND source_reference NOT IN (SELECT source_reference FROM rec WHERE source_kind = 'import' AND parcel = '')""", "app", "rec")
+def d15_records(t):
+    """Records of web pages that are no permits, among records of every kind."""
+    line = F.regexp_extract("address", "[0-9]+$", 0).cast("long")
+    case = lambda i: F.element_at(F.array(*(F.lit(j[i]).cast("string") for j in JUNK)), (line % len(JUNK) + 1).cast("int"))
+    names = ["source", "address", "project_type", "description", "parcel", "coordinates"]
+    rows = t.app.withColumns({n: case(i) for i, n in enumerate(names)} | {"ambiguous_address": case(6).cast("boolean")})
+    commented = t.rec.filter("source_kind = 'import' and parcel = ''").select("source_reference").distinct()
+    return X.junk_records(rows, t.app.select("id", "source_reference").join(commented, "source_reference", "left_semi"))
+
+
 RESTS = ["", "<br", "class=x", "data-id", "/publikation", "%PDF-1.4", "/FlateDecode", "a�b�", "a�b", "x = 'y'", "filter%5D", "tx_news", "data", "endobj", "box-box", "<3"]
 
 
@@ -261,9 +282,9 @@ def d16(t):
 
 
 TOPICS = [("", ""), ("Suchergebnisse %k", "https://a.example/suche"), ("Suchergebnisse %k", "https://a.example/detail/%k"), ("Protokoll der Gemeindeversammlung", ""), ("Protokoll zum Baugesuch %k", ""), ("Mitteilungsblatt mit Baugesuch", ""),
-  ("Plangenehmigungsverfahren", ""), ("Neubau", "https://a.example/bno/%k"), ("Neubau Garage", "https://a.example/baugesuche"), ("Budget und Steuer", ""), ("Reglement", ""), ("Bauvorhaben nach Gestaltungsplan", "")]
+  ("Plangenehmigungsverfahren", ""), ("Neubau", "https://a.example/bno/%k"), ("Neubau Garage", "https://a.example/baugesuche"), ("Budget und Steuer", ""), ("Reglement", ""), ("Bauvorhaben nach Gestaltungsplan", ""), ("Baugesuch %k", "https://a.example/_rtr/reglemente/%k"), ("Baugesuch %k", "https://a.example/_rtr/reglementer")]
 TOPIC_SQL = f"""(regexp_matches(b, '{X.SEARCH_RESULTS}') AND NOT regexp_matches(u, '(?i)/(detail|id|item)[/=-]?[0-9]+')) OR regexp_matches(u, '(?i)(regionalebauverwaltung\\.ch|/bauen/baubewilligungen/ebau-aargau|(?:^|[/_-])bno(?:[/_.-]|$)|nutzungsordnung)')
- OR regexp_matches(b, '{X.BULLETIN}') OR regexp_matches(b, '{X.OTHER_PROCEDURE}') OR (regexp_matches(b, '{X.OTHER_TOPIC}') AND NOT regexp_matches(b, '{X.PERMIT_SIGNAL}'))"""
+ OR regexp_matches(u, '{X.PUBLICATION_ROUTE}') OR regexp_matches(b, '{X.BULLETIN}') OR regexp_matches(b, '{X.OTHER_PROCEDURE}') OR (regexp_matches(b, '{X.OTHER_TOPIC}') AND NOT regexp_matches(b, '{X.PERMIT_SIGNAL}'))"""
 
 
 @query("d9_off_topic", f"""WITH x AS (SELECT doc_id, {D.collapse(f"concat_ws(' ', {D.pick('doc_id', [a for a, _ in TOPICS])}, text)")} AS v, {D.pick('doc_id', [u for _, u in TOPICS])} AS u FROM documents), y AS (SELECT *, u || ' ' || v AS b FROM x)
