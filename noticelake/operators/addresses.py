@@ -110,10 +110,12 @@ def from_text(x: Column) -> Column:
     def found(t):
         values = F.array(*(T.collapse(F.regexp_extract(t, rf"(?i){label}\s*:?\s*(.+?)(?=\b(?:{FOLLOWING})(?![A-Za-z0-9_])\s*:|$)", 1)) for label in LABELS))
         spoken = F.array(*(F.regexp_extract(t, p, 1) for p in SPOKEN))
-        return first_of(F.concat(F.transform(F.filter(values, lambda v: v != ""), labelled), F.transform(F.filter(spoken, lambda v: v != ""), sanitize)))
+        behind = F.when(t.rlike(f"(?i){'|'.join(LABELS)}"), F.transform(F.filter(values, lambda v: v != ""), labelled)).otherwise(F.array().cast("array<string>"))
+        return first_of(F.concat(behind, F.transform(F.filter(spoken, lambda v: v != ""), sanitize)))
 
     # the first mention of a request goes
-    return T.bound(F.regexp_replace(T.collapse(x), r"^(?i)((?:(?!\bBaugesuche?\b).)*)\bBaugesuche?\b[:\s-]*", "$1"), found)
+    once = lambda t: F.when(t.rlike(r"(?i)\bBaugesuche?\b"), F.regexp_replace(t, r"(?i)^(.*?)\bBaugesuche?\b[:\s-]*", "$1")).otherwise(t)
+    return T.bound(T.bound(T.collapse(x), once), lambda t: F.when(t == "", "").otherwise(found(t)))
 
 
 def from_title(x: Column) -> Column:
@@ -146,7 +148,7 @@ def more_specific(first: Column, second: Column) -> Column:
 
 def best(candidates: list[Column]) -> Column:
     """The most specific of candidates in the order in which they are believed, by one pass over them."""
-    kept = F.transform(F.array(*candidates), sanitize)
+    kept = F.transform(F.filter(F.array(*candidates), lambda c: F.coalesce(c, F.lit("")) != ""), sanitize)
     return F.aggregate(kept, F.lit(""), more_specific)
 
 
