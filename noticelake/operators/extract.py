@@ -205,20 +205,35 @@ JUNK_ADDRESS = [
     "%Facebook%", "%Instagram%", "%Youtube%", "%Gemeinderatsnachrichten%", "%Aktuelles%", "%News%", "%Vernehmlassung%",
 ]
 JUNK_TOPICS = ["%Wohnraumstrategie%", "%Stadtteilziele%", "%Förderprogramm%", "%Stadtbibliothek%", "%Einbürgerung%", "%Altlasten%", "%Zertifizierung%"]
+#: fixed values: patterns of source addresses, addresses and projects that are junk whatever else a record holds
+JUNK_URLS = [
+    "%/category/%", "%/author/%", "%/newsarchive/%", "%/route/rss-%", "%/suche%", "%/search%", "%/_rtr/%", "%Vorpruefungsbericht%", "%Vorprüfungsbericht%", "%Nutzungsplanung%", "%Familiengartenzone%", "%Baugesuchumschlag%", "%Formular_Baugesuch%",
+    "%formular%baugesuch%", "%OnlineSchalter%Bauverwaltung%", "%regionalebauverwaltung.ch%", "%/bauen/baubewilligungen/ebau-aargau%", "%bno_%", "%bno-%", "%Mitteilungsblatt%", "%Infoblatt%", "%Katasterplan%", "%Situationsplan%",
+]
+MONTH = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
+JUNK_ALWAYS = ["Archiv RSS%", "Baubewilligungen Baubewilligung BG 2025%", "Erteilte Baubewilligungen%", "vom %.% bis %.%", "Pdf%Bg%", "%Mitteilungsblatt%"]
+JUNK_SPAN = rf"(?i)^(?:Im|Ab Anfang|Ab Mitte|Ab Ende) (?:{MONTH}) 20"
+JUNK_PROJECTS = [
+    "Erteilte Baubewilligungen%", "%Suchergebnisse%", "%Mitteilungsblatt%", "%Infoblatt%", "%Plangenehmigungsverfahren%", "%Elektrizitätsgesetz%", "%Elektrizitaetsgesetz%", "%EleG%", "%Familiengartenzone%", "%Vorprüfungsbericht%", "%Nutzungsplanung%",
+    "%Bau- und Nutzungsordnung%", "%BNO%", "%Mitwirkung%", "%Genehmigung%", "%Gemeinde Oberentfelden%",
+]
+JUNK_PROJECT_NAMES = ["RSS", "Archiv", "Baubewilligungen", "Nicht importieren", "2"]
 #: fixed values: the source whose records are judged, and the address that stands for none
 JUNK_SOURCE, NO_ADDRESS = "Gemeinde-Webseite", "Adresse von Webseite prüfen"
 
 
 def junk_records(records: DataFrame, comments: DataFrame, id_col: str = "id") -> DataFrame:
-    """id_col of the records of web pages that are no permits: untouched, without comment, parcel and coordinates, and
-    either without an address, or of an unclear one that a pattern calls junk in address, project or description.
-    Patterns tell capitals apart only outside A-Z."""
+    """id_col of the records of web pages that are no permits: untouched, without comment, and either of a source address,
+    address or project that is junk by itself, or without parcel and coordinates and with no address, or of an unclear
+    one with junk in address, project or description. Patterns tell capitals apart only outside A-Z."""
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     like = lambda c, patterns: F.array_contains(F.array(*(F.coalesce(F.col(c).ilike(p), F.lit(False)) for p in patterns)), True)
     topic = like("address", JUNK_ADDRESS + JUNK_TOPICS) | like("project_type", JUNK_TOPICS) | like("description", JUNK_TOPICS)
-    unplaced = (F.col("source") == JUNK_SOURCE) & blank("parcel") & blank("coordinates") & (F.col("workflow_status") == "new") & blank("assignee") & blank("note")
-    junk = F.coalesce(F.col("address") == NO_ADDRESS, F.lit(False)) | (F.coalesce("ambiguous_address", F.lit(False)) & topic)
-    return records.filter(unplaced & junk).select(id_col).join(comments.select(id_col).distinct(), id_col, "left_anti")
+    nowhere = blank("parcel") & blank("coordinates") & (F.coalesce(F.col("address") == NO_ADDRESS, F.lit(False)) | (F.coalesce("ambiguous_address", F.lit(False)) & topic))
+    named = F.coalesce(F.col("project_type").isin(JUNK_PROJECT_NAMES), F.lit(False)) | F.coalesce(F.col("address").rlike(JUNK_SPAN), F.lit(False))
+    always = like("source_url", JUNK_URLS) | like("address", JUNK_ALWAYS) | like("project_type", JUNK_PROJECTS) | named
+    untouched = (F.col("source") == JUNK_SOURCE) & (F.col("workflow_status") == "new") & blank("assignee") & blank("note")
+    return records.filter(untouched & (nowhere | always)).select(id_col).join(comments.select(id_col).distinct(), id_col, "left_anti")
 
 
 def prune_junk(records: DataFrame, patterns: list[tuple[str, str]], comments: DataFrame, id_col: str = "id") -> DataFrame:

@@ -251,12 +251,15 @@ def d15(t):
     return X.prune_junk(rows, [("address", p) for p in X.JUNK_ADDRESS], comments).select("id")
 
 
-#: records by source, address, project, description, parcel and coordinates, whether the address is unclear, and whether they are junk
+#: records by source, address, project, description, parcel and coordinates, whether the address is unclear, whether they are junk, and the source's address
 JUNK = [
     ("Gemeinde-Webseite", "Adresse von Webseite prüfen", "Haus", "", "", "", False, True), ("Amtsblatt", "Adresse von Webseite prüfen", "Haus", "", "", "", True, False), ("Gemeinde-Webseite", "Adresse von Webseite prüfen", "Haus", "", "12", "", True, False),
-    ("Gemeinde-Webseite", "März 2024", "Haus", None, None, None, True, True), ("Gemeinde-Webseite", "März 2024", "Haus", "", "", "", False, False), ("Gemeinde-Webseite", "Im März 2024", "Haus", "", "", "", True, False), ("Gemeinde-Webseite", "NEWS vom Dorf", "Haus", "", "", "", True, True),
+    ("Gemeinde-Webseite", "März 2024", "Haus", None, None, None, True, True), ("Gemeinde-Webseite", "März 2024", "Haus", "", "", "", False, False), ("Gemeinde-Webseite", "Im März 2024", "Haus", "", "", "", True, True), ("Gemeinde-Webseite", "NEWS vom Dorf", "Haus", "", "", "", True, True),
     ("Gemeinde-Webseite", "Weg 1", "Neue Stadtteilziele", "", "", "", True, True), ("Gemeinde-Webseite", "Weg 1", "Haus", "Kurs Altlasten", "", "", True, True), ("Gemeinde-Webseite", "Weg 1", "News", "Facebook", "", "", True, False), ("Gemeinde-Webseite", "Förderprogramm", "", "", "", "1,2", True, False),
     ("Gemeinde-Webseite", "Einbürgerung Meier", "", "", "", "", True, True), (None, "Facebook", "", "", "", "", True, False), ("Gemeinde-Webseite", None, None, None, None, None, None, False),
+    ("Gemeinde-Webseite", "Weg 1", "Haus", "", "12", "1,2", False, True, "https://a.example/_RTR/x"), ("Gemeinde-Webseite", "Weg 1", "Haus", "", "12", "", False, False, "https://a.example/bno"), ("Gemeinde-Webseite", "Weg 1", "Haus", "", "12", "", False, True, "https://a.example/bno7"), ("Amtsblatt", "Weg 1", "Haus", "", "", "", True, False, "https://a.example/suche"),
+    ("Gemeinde-Webseite", "Ab Mitte März 2024", "Haus", "", "12", "", False, True), ("Gemeinde-Webseite", "vom 1.2. bis 3.4.", "Haus", "", "12", "", False, True), ("Gemeinde-Webseite", "Weg 2", "2", "", "12", "", False, True), ("Gemeinde-Webseite", "Weg 2", "22", "", "12", "", False, False),
+    ("Gemeinde-Webseite", "Weg 2", "Archiv", "", "", "", False, True), ("Gemeinde-Webseite", "Weg 2", "Archivraum", "", "", "", False, False), ("Gemeinde-Webseite", "Ende März 2024", "Haus", "", "", "", False, False), ("Gemeinde-Webseite", "Erteilte Baubewilligungen 2024", "", "", "1", "", False, True),
 ]
 
 
@@ -265,9 +268,9 @@ SELECT id FROM a WHERE junk AND workflow_status = 'new' AND assignee = '' AND no
 def d15_records(t):
     """Records of web pages that are no permits, among records of every kind."""
     line = F.regexp_extract("address", "[0-9]+$", 0).cast("long")
-    case = lambda i: F.element_at(F.array(*(F.lit(j[i]).cast("string") for j in JUNK)), (line % len(JUNK) + 1).cast("int"))
+    case = lambda i: F.element_at(F.array(*(F.lit(j[i] if i < len(j) else "https://a.example/").cast("string") for j in JUNK)), (line % len(JUNK) + 1).cast("int"))
     names = ["source", "address", "project_type", "description", "parcel", "coordinates"]
-    rows = t.app.withColumns({n: case(i) for i, n in enumerate(names)} | {"ambiguous_address": case(6).cast("boolean")})
+    rows = t.app.withColumns({n: case(i) for i, n in enumerate(names)} | {"ambiguous_address": case(6).cast("boolean"), "source_url": case(8)})
     commented = t.rec.filter("source_kind = 'import' and parcel = ''").select("source_reference").distinct()
     return X.junk_records(rows, t.app.select("id", "source_reference").join(commented, "source_reference", "left_semi"))
 
