@@ -125,3 +125,21 @@ def test_repair_takes_the_first_candidate_that_is_found(spark):
         4: ("address", "Dorfgasse 4", 2650010.0, "precise", "Dorfgasse 4", ""), 6: ("parcel", "7", 2600003.0, "precise", "Parzelle 7", "7"),
     }
     assert G.repair_locations(records.limit(0), addresses, parcels, "id").count() == 0
+
+
+def test_verdicts_and_applied_repairs(spark):
+    ring = [[{"x": float(x), "y": float(y)} for x, y in ((2600000, 1200000), (2600000, 1201000), (2601000, 1201000), (2601000, 1200000), (2600000, 1200000))]]
+    areas = spark.createDataFrame([(1, 21, ring)], "area_id int, layer_id int, rings array<array<struct<x:double,y:double>>>")
+    features = spark.createDataFrame([(1, 2650000.0, 1250000.0)], "feature_id int, fx double, fy double")
+    point = lambda *ps: [{"query": str(i), "x": float(x), "y": float(y)} for i, (x, y) in enumerate(ps)]
+    rows = [
+        (1, "parcel-group", "", 2625000.0, 1225000.0, "precise", point((2600500, 1200500), (2650000, 1250000)), "Parzellen 1, 2", "1, 2"),  # a zone and a building
+        (2, "parcel", "", 2600500.0, 1200500.0, "precise", point((2600500, 1200500)), "", "7"), (3, "weak-address", "", 2650200.0, 1250000.0, "approximate", point((2650200, 1250000)), "Weg", ""), (4, "address", "", 2700000.0, 1250000.0, "precise", point((2700000, 1250000)), "Weg 1", ""),
+    ]
+    repairs = spark.createDataFrame(rows, "id int, kind string, query string, x double, y double, precision string, points array<struct<query:string,x:double,y:double>>, repair_address string, repair_parcel string")
+    verdicts = G.assess_repairs(repairs, areas, features, "id")
+    assert {r.id: r.protection_status for r in verdicts.collect()} == {1: "combined-hit", 2: "protected-zone", 3: "manual-review", 4: "no-hit"}
+    records = spark.createDataFrame([(i, "alt", "9", None, None, None, True, "manual-review") for i in range(1, 6)], "id int, address string, parcel string, east double, north double, location_precision string, ambiguous_address boolean, protection_status string")
+    got = {r.id: tuple(r)[1:] for r in G.apply_repairs(records, verdicts, "id").collect()}
+    assert got[1] == ("Parzellen 1, 2", "1, 2", 2625000.0, 1225000.0, "precise", False, "combined-hit") and got[2][:2] == ("alt", "7") and got[3][:2] == ("Weg", "9") and got[4][4:] == ("precise", False, "no-hit")
+    assert got[5] == ("alt", "9", None, None, None, True, "manual-review")
