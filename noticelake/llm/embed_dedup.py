@@ -4,9 +4,15 @@ A neighbour graph starts from neighbours in sorted buckets of random hyperplane
 joins: for every vector, its neighbours are compared with each other, and pairs that beat the worst entry of
 either list are kept (neighbours of neighbours). Every comparison that reaches the threshold is also kept as a
 link. Where a list is full of links it is saturated; it is then enlarged to its whole component, compared block
-against block, and only the counts leave the task. Recall of direct links is audited against brute force for a
-bounded sample of vectors; while it is too low, further rounds follow, and after the last one all vectors of a label
-are compared exactly, block against block. Equal vectors stand as one with a weight.
+against block, and only the counts leave the task.
+
+Vectors with one or two links gain little from neighbours of neighbours, so the start graph alone has to find them: a
+label has as many bucketings as leave MISS of the pairs at the threshold unmet, which grows with its size. Recall of
+direct links is audited against brute force for a bounded sample of vectors, if these have links enough to tell. Where
+links are rare, a second start graph from other hyperplanes is made, and the share of its links that were known before
+is the recall. While recall is too low, further rounds follow, each with a start graph of its own, and after the last
+one all vectors of a label are compared exactly, block against block. Equal vectors stand as one with a weight; their
+numbers come from their digests, so results don't depend on how the table is partitioned.
 
 The graph is built on codes of one byte for each component, a quarter of a vector's size or less. Each code comes with
 the length of its error, so a pair's true cosine lies within a known distance of the codes': pairs that are not
@@ -25,11 +31,13 @@ from .components import connected_components
 
 #: entries of a neighbour list; neighbours and reverse neighbours that take part in a local join
 NEIGHBOURS, SAMPLE = 12, 8
-#: sorted bucketings that the graph starts from; following entries that each vector meets, and how many of them it
-#: keeps from each bucketing; vectors per bucket
-TABLES, AHEAD, BEST, BUCKET = 10, 6, 3, 24
-#: vectors that recall is audited for; recall at which rounds stop; most rounds
-AUDIT, RECALL, ROUNDS = 512, 0.98, 6
+#: following entries of a sorted bucketing that each vector meets, and how many of them it keeps; vectors per bucket
+AHEAD, BEST, BUCKET = 12, 3, 24
+#: share of the pairs at the threshold that no bucketing of the start graph may bring together; share of the pairs in one
+#: bucket that stand within AHEAD of each other (measured: 0.95 and more)
+MISS, WITHIN = 0.005, 0.9
+#: vectors that recall is audited for, and links of theirs that it takes at least; recall at which rounds stop; most rounds
+AUDIT, ENOUGH, RECALL, ROUNDS = 2048, 200, 0.98, 6
 BLOCK = 512
 
 
@@ -39,6 +47,8 @@ def matrix(column) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1. A power of two brings each to size first, so that no square overflows or vanishes."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -86,29 +96,28 @@ def nearness(sim: np.ndarray, e: np.ndarray, f: np.ndarray, least: float) -> np.
 PAIRS = "u long, v long, sim double, near byte"
 
 
-def seed_links(reps: DataFrame, least: float) -> DataFrame:
-    """(u, v, sim, near) of vectors that stand near each other in some sorted bucket."""
+def seed_links(reps: DataFrame, least: float, turn: int = 0) -> DataFrame:
+    """(u, v, sim, near) of vectors that stand near each other in some sorted bucket; each turn has its own hyperplanes."""
     sizes = reps.groupBy("lab", "dim").agg(F.count(F.lit(1)).alias("n"))
     bits = F.least(F.greatest(F.round(F.log2(F.col("n") / BUCKET)), F.lit(1.0)), F.lit(30.0)).cast("int")
-    rows = join_spread(reps.select("rep", "lab", "dim", "code", "scale", "err"), sizes.select("lab", "dim", "n", bits.alias("bits")), ["lab", "dim"], "n", ["rep"])
-    rows = rows.select("rep", "lab", "dim", "code", "scale", "err", "bits")
+    same_side = 1 - float(np.arccos(least)) / np.pi  # of one hyperplane, for a pair at the threshold
+    tables = F.ceil(np.log(MISS) / F.log1p(-WITHIN * F.pow(F.lit(same_side), "bits"))).cast("int")
+    sizes = sizes.select("lab", "dim", "n", bits.alias("bits")).withColumn("tables", tables)
+    rows = join_spread(reps.select("rep", "lab", "dim", "code", "scale", "err"), sizes, ["lab", "dim"], "n", ["rep"])
+    rows = rows.select("rep", "lab", "dim", "code", "scale", "err", "bits", "tables")
 
     def deal(batches):
-        planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            dims = np.array(batch.column("dim").to_pylist())
-            for dim in np.unique(dims).tolist():
-                part = batch.filter(pa.array(dims == dim))
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng(dim).normal(size=(TABLES, 31, dim))
+            dims, most = np.array(batch.column("dim").to_pylist()), batch.column("tables").to_numpy()
+            for dim, t in [(d, t) for d in np.unique(dims).tolist() for t in range(most[dims == d].max())]:
+                part = batch.filter(pa.array((dims == dim) & (most > t)))
                 x, bits = decoded(part)[0], part.column("bits").to_numpy()
-                for t in range(TABLES):
-                    side = x @ planes[dim][t].T
-                    bucket = ((side[:, :30] > 0) & (np.arange(30) < bits[:, None])) @ (1 << np.arange(30))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(x), t, np.int32)), part.column("lab"), part.column("dim"), pa.array(bucket.astype(np.int64)), pa.array(side[:, 30]), *(part.column(c) for c in ("rep", "code", "scale", "err"))],
-                        names=["t", "lab", "dim", "bucket", "place", "rep", "code", "scale", "err"],
-                    )
+                side = x @ np.random.default_rng((turn, t, dim)).normal(size=(31, dim)).T
+                bucket = ((side[:, :30] > 0) & (np.arange(30) < bits[:, None])) @ (1 << np.arange(30))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(x), t, np.int32)), part.column("lab"), part.column("dim"), pa.array(bucket.astype(np.int64)), pa.array(side[:, 30]), *(part.column(c) for c in ("rep", "code", "scale", "err"))],
+                    names=["t", "lab", "dim", "bucket", "place", "rep", "code", "scale", "err"],
+                )
 
     dealt = rows.mapInArrow(deal, "t int, lab string, dim int, bucket long, place double, rep long, code binary, scale double, err double")
     order = ["t", "lab", "dim", "bucket", "place", "rep"]
@@ -246,15 +255,21 @@ def saturated(lists: DataFrame, comps: DataFrame, least: float) -> DataFrame:
     return flag.groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.max("full").alias("full")).filter("full = 1").select("comp", "size")
 
 
-def audit(truth: DataFrame, links: DataFrame, within: DataFrame) -> float:
-    """Share of the sample's true links that count: found directly, or inside one component that is to be enlarged
-    (within: rep and comp of these)."""
+def audit(truth: DataFrame, links: DataFrame, within: DataFrame) -> tuple[int, int]:
+    """The sample's true links, and those of them that count: found directly, or inside one component that is to be
+    enlarged (within: rep and comp of these)."""
     a, b = within.select(F.col("rep").alias("q"), F.col("comp").alias("a")), within.select(F.col("rep").alias("v"), F.col("comp").alias("b"))
     direct = links.select(F.col("u").alias("low"), F.col("v").alias("high"), F.lit(True).alias("direct"))
     ends = truth.withColumns({"low": F.least("q", "v"), "high": F.greatest("q", "v")})
     found = F.coalesce("direct", F.lit(False)) | F.coalesce(F.col("a") == F.col("b"), F.lit(False))
     row = ends.join(direct, ["low", "high"], "left").join(a, "q", "left").join(b, "v", "left").agg(F.count(F.lit(1)), F.count_if(found)).first()
-    return row[1] / row[0] if row[0] else 1.0
+    return row[0], row[1]
+
+
+def found_again(known: DataFrame, fresh: DataFrame) -> tuple[int, int]:
+    """Links of a start graph of its own, and those of them that were known before: (u, v) of both, once each."""
+    row = fresh.join(known.withColumn("old", F.lit(True)), ["u", "v"], "left").agg(F.count(F.lit(1)), F.count("old")).first()
+    return row[0], row[1]
 
 
 def dealt_blocks(members: DataFrame) -> DataFrame:
@@ -316,13 +331,15 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     reachable by links, itself included), kept. Vectors that are null, empty, zero or hold null or non-finite
     components, and rows with a null label or id, link with nothing. Vectors of different lengths do not link.
     Rows that repeat an id and its vector are one vector each; one id on different vectors has a row for each. An empty
-    table gives no rows; extra columns are ignored. Very long vectors are taken whole. Links below the threshold never
-    appear; above it some may be missed, at most 1 - RECALL of the links that audit() looks at.
+    table gives no rows; extra columns are ignored. Very long vectors are taken whole, and vectors of any finite size
+    are compared. Links below the threshold never appear; above it some may be missed: at most 1 - RECALL of those that
+    audit() or, where it sees fewer than ENOUGH, found_again() looks at.
     """
     rows = keyed(vectors, id_col, vector_col, label_col)
     classes = rows.filter("k0 is not null").groupBy("k0", "k1").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("weight"), F.first("lab").alias("lab"), F.first("vec").alias("vec"))
-    # written out, so that a class keeps its number
-    reps = classes.select(F.monotonically_increasing_id().alias("rep"), "k0", "k1", "low", "weight", "lab", F.size("vec").alias("dim"), "vec")
+    # the first half of the digest, counted on where classes share it
+    rep = F.col("k0") + F.row_number().over(Window.partitionBy("k0").orderBy("k1")) - 1
+    reps = classes.select(rep.alias("rep"), "k0", "k1", "low", "weight", "lab", F.size("vec").alias("dim"), "vec")
     reps = materialize(coded(reps), "reps")
 
     pairs = materialize(seed_links(reps, least).dropDuplicates(["u", "v"]), "seeds")
@@ -333,11 +350,20 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
         old = lists.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "sim")
         last, lists = lists, materialize(top_lists(new.select("u", "v", "sim").unionByName(old)), "lists")
         discard(last)
+        seen = known = 0
+        if turn:
+            pairs = materialize(seed_links(reps, least, turn).dropDuplicates(["u", "v"]), "seeds")
+            fresh = materialize(sure_links(pairs, reps, least).distinct(), "fresh")
+            seen, known = found_again(links, fresh)
+            lists = materialize(top_lists(lists.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "sim").unionByName(pairs.select("u", "v", "sim"))), "lists")
+            links = links.unionByName(fresh)
         links = materialize(links.unionByName(sure_links(new, reps, least)).distinct(), "links")
         comps = materialize(connected_components(links).select(F.col("id").alias("rep"), F.col("component_id").alias("comp")), "comps")
         dense = materialize(saturated(lists, comps, least), "dense")
         within = materialize(join_spread(comps, dense, "comp", "size", ["rep"]).select("rep", "comp", "size"), "within")
-        if audit(truth, links, within) >= RECALL:
+        true, found = audit(truth, links, within)
+        # few links in the sample tell little: then those of a second start graph, which may be none, have to be known
+        if found >= RECALL * true and (true >= ENOUGH or (turn and known >= RECALL * seen)):
             members = within.join(reps, "rep").select("comp", "size", "rep", "weight", "vec")
             weights = reps.select(F.col("rep").alias("v"), "weight")
             both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -541,7 +541,7 @@ def test_near_vectors_audits_direct_links(spark, monkeypatch, start):
     monkeypatch.setattr(embed_dedup, "BLOCK", 16)
     monkeypatch.setattr(embed_dedup, "ROUNDS", 2)
 
-    def chain(reps, least):  # of the classes, which have numbers of their own
+    def chain(reps, least, turn=0):  # of the classes, which have numbers of their own
         rep = {r.low: r.rep for r in reps.select("low", "rep").collect()}
         ends = [(rep[10 * g + i], rep[10 * g + i + 1]) for g in range(12) for i in range(5)] if start == "a chain" else []
         return spark.createDataFrame([(min(e), max(e), 0.99, 2) for e in ends], embed_dedup.PAIRS)
@@ -550,3 +550,30 @@ def test_near_vectors_audits_direct_links(spark, monkeypatch, start):
     monkeypatch.setattr(embed_dedup, "local_joins", lambda lists, reps, turn, least: spark.createDataFrame([], embed_dedup.PAIRS))
     got = embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert sorted(map(tuple, got)) == [(i, 5, i - i % 10, i % 10 == 0) for i, *_ in rows]
+
+
+def test_near_vectors_finds_rare_links(spark):
+    """20,000 vectors of one label, 40 planted pairs: a sample sees next to none of the links. The same rows come from
+    any partitioning."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20_000, 64))
+    x[1::2][:40] = x[::2][:40] + 0.385 * rng.normal(size=(40, 64)) * np.linalg.norm(x[::2][:40], axis=1)[:, None] / 8
+    u = x[:80] / np.linalg.norm(x[:80], axis=1)[:, None]
+    close = (u[::2] * u[1::2]).sum(1) >= 0.93
+    assert 15 <= close.sum()
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    got = []
+    for parts in (4, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(parts)
+        got.append(sorted(map(tuple, embed_dedup.near_vectors(df).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got[0] == got[1]
+    found = sum(r[1] for r in got[0])
+    assert 0.98 * 2 * close.sum() <= found <= 2 * close.sum()
+
+
+def test_near_vectors_of_extreme_size(spark):
+    rows = [(i, [s * 1.0, s * (1 + i / 1000), s * 0.5], 1) for i, s in enumerate((1e200, 1e200, 1e-200, 1e-200, 1e308, 1.0))] + [(9, [-1e200, 0.0, 1e200], 1)]
+    got = embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, got)) == [(i, 5, 0, i == 0) for i in range(6)] + [(9, 0, 9, True)]
