@@ -8,6 +8,7 @@ from ..functions import duck as D
 from ..functions import text as T
 from ..operators import addresses as A
 from ..operators import gazetteer as G
+from ..operators import projects as P
 from .register import query
 from .spatial import areas
 
@@ -146,3 +147,20 @@ def i13_rules(t):
     """Addresses as they are stored: cut, refused or replaced by the parcel."""
     k = F.col("o_orderkey")
     return t.orders.select("o_orderkey", A.imported(T.pick(k, [v for v, _ in RAW]), k.cast("string")).alias("address"))
+
+
+#: notices: text, a name given for it, address, page, and the project and its specificity
+PROJECTS = [
+    ("Bauvorhaben: Neubau Haus %k Bauherr: Muster", "", "", "", "Neubau Haus %k", 2), ("Bauprojekt Carport %k, Rainweg 4 Frist: 3.4.2026", "", "Rainweg 4", "", "Carport %k", 2), ("Erteilte Baubewilligungen der Gemeinde", "", "", "", "Nicht importieren", 0),
+    ("beliebiger Text", "Umbau Scheune %k", "", "", "Umbau Scheune %k", 2), ("beliebiger Text", "01.02.2026", "", "", "Baugesuch", 1), ("Gemeinde / Baugesuch 12 / Umbau Scheune / Dorf", "", "", "", "Umbau Scheune", 2), ("Baugesuch / Download", "Sitzplatz %k", "", "https://a.ch/pool.html", "Sitzplatz %k", 2),
+    ("Baugesuch, Meier Hans, Kirchweg 3", "Kirchweg 3", "Kirchweg 3", "https://a.ch/pool.html", "Baugesuch", 1), ("Meier Hans; Wintergarten %k - Frist bis 3.4.", "", "", "", "Wintergarten %k", 2), ("Meier Hans, Neubau Garage, Kirchweg %k, Baden", "", "Kirchweg %k", "", "Neubau Garage", 2),
+    ("Meier Hans; Archiv", "", "", "https://a.ch/x/umbau-wohnhaus_%k.pdf?y=1", "umbau wohnhaus %k", 2), ("Mitteilung", "News der Woche %k", "", "kein/ort", "Baugesuch", 1), ("", "", "", "", "Baugesuch", 1), (None, None, None, None, "Baugesuch", 1),
+]
+
+
+@query("i21_project_name", f"SELECT o_orderkey, {D.pick('o_orderkey', [c[4] for c in PROJECTS])} AS project, CAST({D.pick('o_orderkey', [str(c[5]) for c in PROJECTS])} AS INTEGER) AS specificity FROM orders")
+def i21_name(t):
+    """The project of a notice by label, parts of its title, page or the given name, and how much it says."""
+    part = lambda i: T.pick(F.col("o_orderkey"), [c[i] for c in PROJECTS])
+    named = t.orders.select("o_orderkey", P.project_name(part(0), part(1), part(2), part(3)).alias("project"))
+    return named.withColumn("specificity", P.specificity(F.col("project")))
