@@ -167,3 +167,25 @@ def source_kind(x: Column) -> Column:
         .when(word("baugesuch(e)?|baupublikation(en)?|bauverwaltung|auflage"), "municipality")
         .otherwise("import")
     )
+
+
+#: fixed values: notes that ask for a place and for a deadline, the former name of the check that writes them, and its name
+NO_PLACE = "KI-Datenprüfung: Standortangaben bleiben unvollständig - bitte von Hand prüfen."
+NO_DEADLINE = "KI-Datenprüfung: Frist fehlt weiterhin - bitte von Hand prüfen."
+FORMER_CHECK, CHECK = "KI-Datenprüfung", "Automatische Datenprüfung"
+
+
+def append_notes(text: Column, notes: Column) -> Column:
+    """A text with those of an array of notes that it does not hold yet, each once; null and blank notes are left out."""
+    def joined(t):
+        new = F.filter(F.array_distinct(F.transform(notes, collapse)), lambda n: (n != "") & ~F.contains(t, n))
+        return collapse(F.array_join(F.concat(F.array(t), new), " "))
+
+    return bound(collapse(text), joined)
+
+
+def without_resolved(text: Column, located: Column, dated: Column) -> Column:
+    """A text without the notes that a place or a deadline has settled meanwhile."""
+    drop = lambda t, done, note: F.when(F.coalesce(done, F.lit(False)), F.replace(t, F.lit(note), F.lit(""))).otherwise(t)
+    left = drop(drop(collapse(text), located, NO_PLACE), dated, NO_DEADLINE)
+    return collapse(F.replace(left, F.lit(FORMER_CHECK), F.lit(CHECK)))

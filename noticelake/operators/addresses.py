@@ -48,6 +48,11 @@ NO_PLACE = r"(?i)\b(einwohnergemeinde|ortsbürgergemeinde|projektänderung|bauau
 PROJECT = r"(?i)\b(sanierung|umbau|umnutzung|anbau|neubau|ersatzneubau|erweiterung|ausbau|rückbau|rueckbau|renovation|aufwertungsmassnahmen?|baugesuch|publikation)\b"
 NOT_IMPORTED = r"(?i)(?:öffentliche auflage|baugesuch(?:-nr)?|publiziert|planauflage|auflagefrist|gemeindekanzlei)"
 #: fixed values: labels of an address in the order in which they are looked for, and those that may follow
+#: fixed values: parcels in a gazette, lists of parcels, and parcels by themselves where lists are looked for
+GAZETTE_PARCEL = r"(?iu)\b(?:Parzellen?|Parz|Kat(?:aster)?|GB|Grundst(?:ü|ue)ck)\.?[-:\s]*(?:(?:(?:GB|Grundbuch)\s+)?[\p{L}() .'-]+?\s+)?(?:Nrn?\.?:?[-:\s]*)?(\d{1,6})"
+PARCEL_LIST = r"(?iu)\b(?:Parzellen?|Parz)\s*\.?\s*(?:-|:|\s)*(?:(?:(?:GB|Grundbuch)\s+)?[\p{L}() .'-]+?\s+)?(?:Nrn?\.?|Nr\.?)?\s*(\d{1,6}(?:\s*(?:,|/|und)\s*\d{1,6}){0,9})"
+PARCEL_OF_LIST = r"(?iu)\b(?:Parzellen?|Parz)\s*\.?\s*(?:-|:|\s)*(?:(?:(?:GB|Grundbuch)\s+)?[\p{L}() .'-]+?\s+)?(?:Nrn?\.?|Nr\.?)?\s*(\d{1,6})\b"
+#: fixed values: labels of a place
 LABELS = [r"Parzelle\s+/\s+Strasse", "Parzelle/Strasse", "Bauplatz", "Baustelle", "Standort", "Lage"]
 FOLLOWING = r"Bauherr|Bauherrschaft|Gesuchsteller/in|Grundeigentümer/in|Grundeigentümer|Bauobjekt|Bauvorhaben|Bauprojekt|Bewilligungen|Weitere\s+Bewilligung|Weitere\s+Bewilligungen|Frist|Auflagefrist|Planauflage|Projektverfasser|Publiziert|Publikation|Zone|Zone\(n\)"
 OWN_PARCEL = r"(?i)^\s*Parz(?:elle|\.| Nr\.?)?\s*(?:Nr\.?\s*)?\d{1,6}\s*,?\s*"
@@ -84,6 +89,20 @@ def parcel(x: Column) -> Column:
     return F.regexp_extract(x, PARCEL, 1)
 
 
+def gazette_parcel(x: Column) -> Column:
+    """The first parcel of a gazette's text, which also names registers and plots of land; '' for none."""
+    return F.regexp_extract(F.coalesce(x, F.lit("")), GAZETTE_PARCEL, 1)
+
+
+def parcels(x: Column) -> Column:
+    """All parcels of a text, each once: those of lists, then single ones. Postcodes with their town are none."""
+    def found(t):
+        lists = F.transform(F.regexp_extract_all(t, F.lit(PARCEL_LIST), F.lit(1)), lambda m: F.regexp_extract_all(m, F.lit(r"(\d{1,6})"), F.lit(1)))
+        return F.array_distinct(F.concat(F.flatten(lists), F.regexp_extract_all(t, F.lit(PARCEL_OF_LIST), F.lit(1))))
+
+    return T.bound(F.regexp_replace(T.collapse(x), r"(?u),\s*\d{4}\s+[A-ZÄÖÜ][\p{L}() .'-]+", " "), found)
+
+
 def sanitize(x: Column) -> Column:
     """An address without what stands around it; '' for what is none. A street goes before a parcel in the same text."""
     def judged(t):

@@ -168,6 +168,12 @@ def parse_lv95(text: Column) -> Column:
     return F.when(is_e(a) & is_n(b), make(a, b)).when(is_e(b) & is_n(a), make(b, a))
 
 
+def lv95_in_text(text: Column) -> Column:
+    """struct(east, north) of the first pair of metres in a text; null without one, or outside the country's range."""
+    pair = lambda i: F.regexp_extract(F.coalesce(text, F.lit("")), r"\b(2\d{6})\D+(1\d{6,7})\b", i)
+    return parse_lv95(F.concat_ws(",", pair(1), pair(2)))
+
+
 def to_wgs84(east: Column, north: Column) -> tuple[Column, Column]:
     """Latitude and longitude by the published approximation (about one metre); null out of bounds."""
     y, x = (east - 2600000) / 1000000, (north - 1200000) / 1000000

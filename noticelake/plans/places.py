@@ -164,3 +164,17 @@ def i21_name(t):
     part = lambda i: T.pick(F.col("o_orderkey"), [c[i] for c in PROJECTS])
     named = t.orders.select("o_orderkey", P.project_name(part(0), part(1), part(2), part(3)).alias("project"))
     return named.withColumn("specificity", P.specificity(F.col("project")))
+
+
+#: texts, all their parcels, and the first one in the gazette's ways of writing
+PARCELS = [
+    ("Parzelle Nr. 1376", "1376", "1376"), ("Parzellen Nrn. 3733, 3769 und 12", "3733,3769,12", "3733"), ("Parz. 11/12", "11,12", "11"), ("Parzellen: 155", "155", "155"), ("ohne", "", ""), (None, "", ""), ("Parzelle Hornussen Nr. 689", "689", "689"),
+    ("Parzelle 5, 5000 Aarau", "5", "5"), ("Parzelle 5 und Parz. 5, Parzelle 7", "5,7", "5"), ("Kat.-Nr. 7", "", "7"), ("GB-Nr 9", "", "9"), ("GRUNDSTÜCK 276", "", "276"), ("Parzellen-Nr. 123", "123", "123"),
+]
+
+
+@query("i16_parcel_lists", f"SELECT o_orderkey, {D.pick('o_orderkey', [c[1] for c in PARCELS])} AS parcels, {D.pick('o_orderkey', [c[2] for c in PARCELS])} AS gazette FROM orders")
+def i16_lists(t):
+    """All parcels of a text, and its first one as a gazette writes it."""
+    text = T.pick(F.col("o_orderkey"), [c[0] for c in PARCELS])
+    return t.orders.select("o_orderkey", F.array_join(A.parcels(text), ",").alias("parcels"), A.gazette_parcel(text).alias("gazette"))

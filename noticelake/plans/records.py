@@ -407,6 +407,16 @@ def i25(t):
     return t.app.select("id", F.when(F.contains("note", F.lit("check")), F.col("note")).otherwise(F.concat_ws(" ", F.nullif("note", F.lit("")), F.lit("check"))).alias("note"))
 
 
+@query("i25_notes", f"""SELECT id, trim(concat_ws(' ', n, CASE WHEN NOT contains(n, 'check') THEN 'check' END, CASE WHEN NOT contains(n, 'Nr. ' || id) THEN 'Nr. ' || id END)) AS appended,
+ trim(concat_ws(' ', n, CASE WHEN publication_date IS NULL THEN replace('{T.NO_PLACE}', '{T.FORMER_CHECK}', '{T.CHECK}') END, CASE WHEN deadline_date IS NULL THEN replace('{T.NO_DEADLINE}', '{T.FORMER_CHECK}', '{T.CHECK}') END, '{T.CHECK}')) AS resolved
+ FROM (SELECT *, {D.collapse('note')} AS n FROM app)""", "app")
+def i25_notes(t):
+    """Notes put behind a text that does not hold them, and a text without those that are settled."""
+    notes = F.array(F.lit("check"), F.lit(None).cast("string"), F.lit(" check "), F.concat(F.lit("Nr.  "), F.col("id").cast("string")), F.lit(""))
+    asked = F.concat_ws(" ", "note", F.lit(T.NO_PLACE), F.lit(T.NO_DEADLINE), F.lit(T.FORMER_CHECK))
+    return t.app.select("id", T.append_notes(F.col("note"), notes).alias("appended"), T.without_resolved(asked, F.col("publication_date").isNotNull(), F.col("deadline_date").isNotNull()).alias("resolved"))
+
+
 @query("i35_deadline_days", f"SELECT id, publication_date + 14 AS display_deadline, deadline_date - {REF} AS days, CASE WHEN deadline_date - {REF} <= 0 THEN 'over' WHEN deadline_date - {REF} <= 5 THEN 'soon' WHEN deadline_date IS NULL THEN 'none' ELSE 'later' END AS due FROM app", "app")
 def i35(t):
     days = F.datediff("deadline_date", ref())

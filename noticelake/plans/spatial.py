@@ -101,6 +101,14 @@ def i38(t):
     return t.gpt.select("pt_id", S.parse_lv95(text).alias("c")).select("pt_id", "c.east", "c.north")
 
 
+@query("i38_coordinates_in_text", "SELECT pt_id, CASE WHEN pt_id % 4 <> 0 THEN floor(east) END AS east, CASE WHEN pt_id % 4 <> 0 THEN floor(north) END AS north FROM gpt", "gpt")
+def i38_text(t):
+    """The coordinates that stand in a text."""
+    e, n = F.floor("east").cast("string"), F.floor("north").cast("string")
+    text = F.element_at(F.array(F.concat(F.lit("Fax 056 "), n), F.concat(F.lit("Koordinaten "), e, F.lit(" / "), n, F.lit(" (LV95)")), F.concat(F.lit("Ost: "), e, F.lit(", Nord: "), n), F.concat(e, F.lit("/"), n)), (F.col("pt_id") % 4 + 1).cast("int"))
+    return t.gpt.select("pt_id", S.lv95_in_text(text).alias("c")).select("pt_id", "c.east", "c.north")
+
+
 @query("i39_ring_orientation", "SELECT area_id, r AS ring, CAST(CASE WHEN r = 1 THEN -3000000.0 ELSE 150000.0 END AS DOUBLE) AS area FROM gar, (SELECT unnest([1, 2]) AS r)", "gar")
 def i39(t):
     return areas(t).select("area_id", F.posexplode("rings").alias("p", "points")).select("area_id", (F.col("p") + 1).alias("ring"), F.round(S.ring_area(F.col("points")), 3).alias("area"))

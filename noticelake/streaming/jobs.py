@@ -163,10 +163,22 @@ def too_late(stream: DataFrame, time: str, days: int, home: str) -> DataFrame:
 
 
 def notifications(stream: DataFrame, wanted, order: list[str], keep: int = 40, home: str | None = None) -> DataFrame:
-    """The newest notifications of all batches."""
-    home = home_of(stream, "notes", home)
-    run_available(stream, append_to(f"{home}/rows", lambda d: d.filter(wanted)), f"{home}/checkpoint")
-    return read_batches(stream.sparkSession, stream.schema, f"{home}/rows").orderBy(*(F.desc(c) for c in order)).limit(keep)
+    """The newest `keep` notifications of all batches; the later ones by `order`.
+
+    A batch writes the newest of its own and those that the batch before it left, so no more than these are read; a
+    batch that comes again does the same again.
+    """
+    spark, home = stream.sparkSession, home_of(stream, "notes", home)
+    first = lambda d: d.orderBy(*(F.desc(c) for c in order)).limit(keep)
+    left = lambda n: spark.read.schema(stream.schema).parquet(f"{home}/newest/batch={n}")
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{home}/newest/batch=-1")  # in front of the first
+
+    def each(batch: DataFrame, n: int) -> None:
+        append_to(f"{home}/newest", first)(batch.filter(wanted).unionByName(left(n - 1)), n)
+
+    run_available(stream, each, f"{home}/checkpoint")
+    newest = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{home}/newest").agg(F.max("batch")).first()[0]
+    return first(left(-1 if newest is None else newest))
 
 
 def learn_online(stream: DataFrame, keys: list[str], status: str, order: list[str], home: str | None = None) -> DataFrame:
