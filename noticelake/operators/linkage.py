@@ -170,6 +170,25 @@ def upsert_evidence(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def attach_evidence(records: DataFrame, evidence: DataFrame, foreign: DataFrame) -> DataFrame:
+    """Evidence after foreign evidence was attached to records. One row for each (source_kind, source_reference).
+
+    records: app_id, source_kind, source_reference, observed_at; the others have the same columns, app_id being the
+    record that they speak for. A record that gets foreign evidence and has none of its own source yet gets that first,
+    so that its own values are not pushed aside; evidence under its kind and reference that spoke for another record
+    then speaks for it. Own evidence goes before old, foreign before own; among foreign the later observation wins,
+    then the larger app_id. Records that get nothing, and foreign rows of unknown records, change nothing.
+    """
+    key = ["source_kind", "source_reference"]
+    known = foreign.join(records.select("app_id"), "app_id", "left_semi")
+    has_own = evidence.select("app_id", *key).distinct()
+    own = records.join(known.select("app_id").distinct(), "app_id", "left_semi").join(has_own, ["app_id", *key], "left_anti")
+    turns = [df.select("app_id", *key, "observed_at", F.lit(turn).alias("turn")) for turn, df in enumerate((evidence, own, known))]
+    every = turns[0].unionByName(turns[1]).unionByName(turns[2])
+    last = every.groupBy(*key).agg(F.max(F.struct("turn", "observed_at", "app_id")).alias("s"))
+    return last.select("s.app_id", *key, "s.observed_at")
+
+
 def import_outcomes(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Outcome of every incoming record in order of rec_id: update, merge or insert.
 

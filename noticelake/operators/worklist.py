@@ -114,6 +114,28 @@ def prune_stale(stored: DataFrame, keep: DataFrame, commented: DataFrame) -> Dat
     return marked.filter(~gone).select(*stored.columns)
 
 
+def prune_untouched(stored: DataFrame, delivered: DataFrame, configs: DataFrame, commented: DataFrame) -> DataFrame:
+    """What stays of stored after sources that prune left rows out.
+
+    configs: source, municipality, prune. Rows go only of a source and municipality that prune and of which rows were
+    delivered; a source that gave nothing keeps all its rows. Of these go the untouched and uncommented ones whose
+    reference was not delivered. Blank municipalities and references stand for none.
+    """
+    place = ["source", "municipality"]
+    plain = lambda df, *c: df.select(*(F.trim(F.coalesce(x, F.lit(""))).alias(x) for x in c)).distinct()
+    came = plain(delivered, *place, "source_reference").join(plain(configs.filter("prune"), *place), place, "left_semi").filter("source <> '' and municipality <> ''")
+    marks = [
+        (came.select(*place).distinct().withColumn("_in", F.lit(True)), place),
+        (came.filter("source_reference <> ''").withColumn("_kept", F.lit(True)), [*place, "source_reference"]),
+        (commented.select("id").distinct().withColumn("_said", F.lit(True)), ["id"]),
+    ]
+    rows = stored
+    for facts, key in marks:
+        rows = rows.join(facts, key, "left")
+    gone = F.col("_in").isNotNull() & F.col("_kept").isNull() & F.col("_said").isNull() & ~F.coalesce(is_touched(), F.lit(False))
+    return rows.filter(~gone).select(*stored.columns)
+
+
 def patch(base: DataFrame, patches: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Given fields replace, missing ones keep, unknown keys are ignored."""
     p = patches.select(key, *(F.col(c).alias(f"_p_{c}") for c in columns))

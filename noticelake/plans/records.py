@@ -291,6 +291,30 @@ def j3(t):
     return W.prune_stale(t.app, t.app.filter("line_no = 1"), t.app.filter("line_no = 2")).select("id")
 
 
+@query("j3_prune_by_place", """WITH a AS (SELECT *, 'town-' || length(id) % 7 AS town FROM app), came AS (SELECT DISTINCT source, town, source_reference FROM a WHERE line_no = 1 AND length(id) % 7 <> 3), pr AS (SELECT DISTINCT source, town FROM came WHERE town <> 'town-5')
+SELECT id FROM a WHERE NOT ((source, town) IN (SELECT (source, town) FROM pr) AND NOT EXISTS (SELECT 1 FROM came c WHERE c.source = a.source AND c.town = a.town AND c.source_reference = a.source_reference)
+ AND line_no <> 2 AND workflow_status = 'new' AND coalesce(assignee, '') = '' AND coalesce(note, '') = '')""", "app")
+def j3_place(t):
+    """Six towns of seven deliver, and five of these prune."""
+    rows = t.app.withColumn("municipality", F.concat(F.lit("town-"), (F.length("id") % 7).cast("string")))
+    configs = rows.select("source", "municipality", (F.col("municipality") != "town-5").alias("prune")).distinct()
+    return W.prune_untouched(rows, rows.filter("line_no = 1 and municipality <> 'town-3'"), configs, rows.filter("line_no = 2")).select("id")
+
+
+EVIDENCE = "SELECT rec_id AS app_id, source_kind, source_reference, observed_at FROM rec WHERE rec_id < '6'"
+
+
+@query("j2_attached_evidence", f"""WITH r AS ({EVIDENCE}), old AS (SELECT * FROM r WHERE rtrim(app_id) LIKE '%1'), f AS (SELECT app_id, 'import' AS source_kind, left(app_id, 2) AS source_reference, observed_at FROM r WHERE source_kind = 'municipality'),
+own AS (SELECT * FROM r WHERE app_id IN (SELECT app_id FROM f) AND NOT EXISTS (SELECT 1 FROM old WHERE old.app_id = r.app_id AND old.source_kind = r.source_kind AND old.source_reference = r.source_reference)),
+u AS (SELECT *, 0 AS turn FROM old UNION ALL SELECT *, 1 FROM own UNION ALL SELECT *, 2 FROM f)
+SELECT app_id, source_kind, source_reference FROM u QUALIFY row_number() OVER (PARTITION BY source_kind, source_reference ORDER BY turn DESC, observed_at DESC NULLS LAST, app_id DESC) = 1""", "rec")
+def j2_attached(t):
+    """Imports speak for records of municipalities; one in ten records has its own evidence already."""
+    rows = t.rec.filter("rec_id < '6'").select(F.col("rec_id").alias("app_id"), "source_kind", "source_reference", "observed_at")
+    foreign = rows.filter("source_kind = 'municipality'").withColumns({"source_kind": F.lit("import"), "source_reference": F.substring("app_id", 1, 2)})
+    return L.attach_evidence(rows, rows.filter("app_id like '%1'"), foreign).drop("observed_at")
+
+
 @query("j22_patch_merge", "SELECT a.id, coalesce(p.note, a.note) AS note, CASE WHEN p.id IS NULL THEN a.assignee ELSE coalesce(p.assignee, a.assignee) END AS assignee FROM app a LEFT JOIN (SELECT id, CASE WHEN line_no = 3 THEN 'patched' END AS note, CASE WHEN line_no = 4 THEN 'me' END AS assignee FROM app WHERE line_no IN (3, 4)) p USING (id)", "app")
 def j22(t):
     p = t.app.filter("line_no in (3, 4)").select("id", F.when(F.col("line_no") == 3, "patched").alias("note"), F.when(F.col("line_no") == 4, "me").alias("assignee"))
