@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import dates
 from ..functions import text as T
 from . import addresses as A
-from .extract import lone_date
 
 #: fixed values: labels of a project, and those that may follow
 LABELS = ["Bauobjekt", "Bauvorhaben", "Bauprojekt"]
@@ -31,6 +31,11 @@ GRANTED = r"(?i)\b(erteilte baubewilligungen?|baubewilligung(?:en)? erteilt|erte
 REQUEST, NOT_IMPORTED, MOST = "Baugesuch", "Nicht importieren", 120
 
 
+def lone_date(x: Column) -> Column:
+    """A text that is nothing but a day, a month with its year, or a year."""
+    return A.any_of(x, [rf"(?iu)^{dates.PART}$", r"(?i)^20\d{2}-\d{2}-\d{2}(?:T\d{2}:\d{2}(?::\d{2})?(?:[+-]\d{2}:\d{2}|Z)?)?$", MONTH, r"^\d{4}$"])
+
+
 def trimmed(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"^[,;/\s-]+|[,;/\s-]+$", ""))
 

@@ -15,6 +15,8 @@ CASES = {  # text, fallback, address, page -> project
     (None, None, None, None): "Baugesuch",
     ("beliebiger text", "Umbau Scheune", "", ""): "Umbau Scheune",
     ("beliebiger text", "01.02.2026", "", ""): "Baugesuch",
+    ("beliebiger text", "2026-02-01", "", ""): "Baugesuch",
+    ("beliebiger text", "Carport 2026", "", ""): "Carport 2026",
     ("beliebiger text", "News der Woche", "", ""): "Baugesuch",
     ("beliebiger text", "w" * 130, "", ""): "w" * 119 + "…",
     ("Gemeinde / Baugesuch 12 / Umbau Scheune / Dorf", "", "", ""): "Umbau Scheune",
