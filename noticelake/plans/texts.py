@@ -237,7 +237,8 @@ def l2(t):
 
 
 ADDRESSES = ["Bahnhofstrasse %k", "Januar 2024", "März 2023", "Folgen Sie uns auf Facebook", "Gemeinderatsnachrichten", "Newsweg 3", "Aktuelles aus dem Dorf", "Dorfgasse %k", "Adresse von Webseite prüfen", "", "Vernehmlassung %k"]
-LIKES = " OR ".join(f"address LIKE '{p}'" for p in X.JUNK_ADDRESS)
+JUNK_RULES = [("address", p) for p in [*X.JUNK_ADDRESS, X.NO_ADDRESS]]
+LIKES = " OR ".join(f"{c} LIKE '{p}'" for c, p in JUNK_RULES)
 
 
 @query("d15_junk_rules", f"""WITH a AS (SELECT id, {D.pick('line', ADDRESSES)} AS address, workflow_status, assignee, note, ambiguous_address, source_reference FROM (SELECT *, CAST(regexp_extract(address, '[0-9]+$', 0) AS BIGINT) AS line FROM app)),
@@ -248,7 +249,7 @@ def d15(t):
     rows = t.app.withColumn("address", T.pick(line, ADDRESSES))
     commented = t.rec.filter("source_kind = 'import' and parcel = ''").select("source_reference").distinct()
     comments = t.app.select("id", "source_reference").join(commented, "source_reference", "left_semi")
-    return X.prune_junk(rows, [("address", p) for p in X.JUNK_ADDRESS], comments).select("id")
+    return X.prune_junk(rows, JUNK_RULES, comments).select("id")
 
 
 #: records by source, address, project, description, parcel and coordinates, whether the address is unclear, whether they are junk, and the source's address
