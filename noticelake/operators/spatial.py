@@ -60,6 +60,36 @@ def cells(low_x: Column, low_y: Column, high_x: Column, high_y: Column, cell: fl
     return span(low_x, high_x), span(low_y, high_y)
 
 
+def sides(rings: Column) -> Column:
+    """The sides of all rings in one list of (ax, ay, bx, by)."""
+    each = F.filter(F.transform(rings, segments), lambda s: s.isNotNull())
+    return F.transform(F.flatten(each), lambda s: F.struct(s["a"]["x"].alias("ax"), s["a"]["y"].alias("ay"), s["b"]["x"].alias("bx"), s["b"]["y"].alias("by")))
+
+
+def inside_sides(sides: Column, x: Column, y: Column) -> Column:
+    """As inside(), from the sides of all rings: in an odd number of rings is to meet an odd number of sides."""
+    def crosses(s):
+        rise = s["by"] - s["ay"]
+        at = (s["bx"] - s["ax"]) * (y - s["ay"]) / F.when(rise == 0, F.lit(1e-12)).otherwise(rise) + s["ax"]
+        return ((s["ay"] > y) != (s["by"] > y)) & (x < at)
+
+    return F.size(F.filter(sides, crosses)) % 2 == 1
+
+
+def area_cells(areas: DataFrame, margin: float, cell: float, level: bool = False) -> DataFrame:
+    """One row per area and grid cell (acx, acy) that its envelope (x0, y0, x1, y1), widened by the margin, touches.
+
+    Sides are made here, once for each area and not for each pair; level ones, which no ray meets, only where they are
+    asked for.
+    """
+    every = sides(F.col("rings"))
+    kept = every if level else F.filter(every, lambda s: s["ay"] != s["by"])
+    ends = dict(zip(("x0", "y0", "x1", "y1"), envelope(F.col("rings")), strict=True))
+    flat = areas.select(*(c for c in areas.columns if c not in ("rings", *ends)), *(c.alias(n) for n, c in ends.items()), kept.alias("sides"))
+    cx, cy = cells(*(F.col(c) - margin for c in ("x0", "y0")), *(F.col(c) + margin for c in ("x1", "y1")), cell)
+    return flat.withColumn("acx", F.explode(cx)).withColumn("acy", F.explode(cy))
+
+
 def by_cell(areas: DataFrame, margin: float, cell: float) -> DataFrame:
     """One row per area and grid cell that its envelope, widened by the margin, touches."""
     x0, y0, x1, y1 = envelope(F.col("rings"))
@@ -71,10 +101,26 @@ def with_cell(points: DataFrame, x: str, y: str, cell: float) -> DataFrame:
     return points.withColumns({"cx": F.floor(F.col(x) / cell), "cy": F.floor(F.col(y) / cell)})
 
 
-def point_in_area(points: DataFrame, areas: DataFrame, cell: float = 2000.0) -> DataFrame:
+def at_cell(points: DataFrame, gridded: DataFrame, cell: float, test: Column, how: str = "inner", more: Column | None = None) -> DataFrame:
+    """Points joined with rows of their cell that pass the test. A merge join at any size: tables that are small as
+    files are large once they are dealt over cells, so none is broadcast."""
+    met = (F.col("cx") == F.col("acx")) & (F.col("cy") == F.col("acy"))
+    return with_cell(points, "east", "north", cell).join(gridded.hint("merge"), (met if more is None else met & more) & test, how)
+
+
+def in_envelope(margin: float) -> Column:
+    e, n = F.col("east"), F.col("north")
+    return (e >= F.col("x0") - margin) & (e <= F.col("x1") + margin) & (n >= F.col("y0") - margin) & (n <= F.col("y1") + margin)
+
+
+def in_sides() -> Column:
+    """Within the envelope, and a metre around it that allows for rounding, and then by the exact test."""
+    return in_envelope(1.0) & inside_sides(F.col("sides"), F.col("east"), F.col("north"))
+
+
+def point_in_area(points: DataFrame, areas: DataFrame, cell: float = 1000.0) -> DataFrame:
     """(pt_id, area_id, layer_id) of every point inside an area."""
-    pairs = with_cell(points, "east", "north", cell).join(by_cell(areas, 0.0, cell), ["cx", "cy"])
-    return pairs.filter(inside(F.col("rings"), F.col("east"), F.col("north"))).select("pt_id", "area_id", "layer_id")
+    return at_cell(points, area_cells(areas, 0.0, cell), cell, in_sides()).select("pt_id", "area_id", "layer_id")
 
 
 def priority_hits(hits: DataFrame) -> DataFrame:
