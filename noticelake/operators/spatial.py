@@ -90,6 +90,12 @@ def area_cells(areas: DataFrame, margin: float, cell: float, level: bool = False
     return flat.withColumn("acx", F.explode(cx)).withColumn("acy", F.explode(cy))
 
 
+def feature_cells(features: DataFrame, metres: float, cell: float, fx: str = "fx", fy: str = "fy") -> DataFrame:
+    """One row per feature and grid cell (acx, acy) that the square around it touches."""
+    cx, cy = cells(F.col(fx) - metres, F.col(fy) - metres, F.col(fx) + metres, F.col(fy) + metres, cell)
+    return features.withColumn("acx", F.explode(cx)).withColumn("acy", F.explode(cy))
+
+
 def by_cell(areas: DataFrame, margin: float, cell: float) -> DataFrame:
     """One row per area and grid cell that its envelope, widened by the margin, touches."""
     x0, y0, x1, y1 = envelope(F.col("rings"))
@@ -118,6 +124,10 @@ def in_sides() -> Column:
     return in_envelope(1.0) & inside_sides(F.col("sides"), F.col("east"), F.col("north"))
 
 
+def within(metres: float, fx: str = "fx", fy: str = "fy") -> Column:
+    return (F.abs(F.col("east") - F.col(fx)) <= metres) & (F.abs(F.col("north") - F.col(fy)) <= metres)
+
+
 def point_in_area(points: DataFrame, areas: DataFrame, cell: float = 1000.0) -> DataFrame:
     """(pt_id, area_id, layer_id) of every point inside an area."""
     return at_cell(points, area_cells(areas, 0.0, cell), cell, in_sides()).select("pt_id", "area_id", "layer_id")
@@ -132,10 +142,7 @@ def priority_hits(hits: DataFrame) -> DataFrame:
 
 def features_in_square(points: DataFrame, features: DataFrame, metres: float, fx: str = "fx", fy: str = "fy") -> DataFrame:
     """Pairs whose distance along each axis is at most `metres` (a square, not a circle)."""
-    near = features.withColumn("cx", F.explode(F.sequence(F.floor((F.col(fx) - metres) / metres), F.floor((F.col(fx) + metres) / metres))))
-    near = near.withColumn("cy", F.explode(F.sequence(F.floor((F.col(fy) - metres) / metres), F.floor((F.col(fy) + metres) / metres))))
-    pairs = with_cell(points, "east", "north", metres).join(near, ["cx", "cy"])
-    return pairs.filter((F.abs(F.col("east") - F.col(fx)) <= metres) & (F.abs(F.col("north") - F.col(fy)) <= metres)).drop("cx", "cy")
+    return at_cell(points, feature_cells(features, metres, metres, fx, fy), metres, within(metres, fx, fy)).drop("cx", "cy", "acx", "acy")
 
 
 def areas_in_square(points: DataFrame, areas: DataFrame, metres: float, cell: float = 2000.0) -> DataFrame:

@@ -64,3 +64,10 @@ def test_point_in_area(places):
     got = S.point_in_area(p, a)
     assert sorted(map(tuple, got.collect())) == sorted((i, k, l) for i, x, y in located(points) for k, l, r in areas if inside(r, x, y))
     assert "Broadcast" not in plan(got) and "SortMergeJoin" in plan(got)
+
+
+def test_features_in_square(places):
+    points, _, features, p, _, f = places
+    got = S.features_in_square(p, f, 300.0).select("pt_id", "feature_id")
+    assert sorted(map(tuple, got.collect())) == sorted((i, k) for i, x, y in located(points) for k, fx, fy in features if abs(x - fx) <= 300 and abs(y - fy) <= 300)
+    assert "Broadcast" not in plan(got)
