@@ -133,11 +133,17 @@ def point_in_area(points: DataFrame, areas: DataFrame, cell: float = 1000.0) ->
     return at_cell(points, area_cells(areas, 0.0, cell), cell, in_sides()).select("pt_id", "area_id", "layer_id")
 
 
-def priority_hits(hits: DataFrame) -> DataFrame:
-    """Of each point's hits those of the first layer that has any."""
-    rank = F.array_position(F.array(*(F.lit(x) for x in LAYER_PRIORITY)), F.col("layer_id"))
-    w = Window.partitionBy("pt_id").orderBy(rank)
-    return hits.withColumn("_r", F.dense_rank().over(w)).filter("_r = 1").drop("_r")
+def priority_hits(points: DataFrame, areas: DataFrame, cell: float = 1000.0) -> DataFrame:
+    """point_in_area's rows of the first layer that has any, for each point.
+
+    The first layer is found by a smallest rank, put together in each task; then the areas of that layer alone are met
+    again. No point's hits are sorted or sent together.
+    """
+    rank = F.coalesce(F.array_position(F.array(*(F.lit(x) for x in LAYER_PRIORITY)), F.col("layer_id")), F.lit(-1))
+    ranked = area_cells(areas, 0.0, cell).withColumn("rank", rank)
+    first = at_cell(points, ranked, cell, in_sides()).groupBy("pt_id").agg(F.min("rank").alias("first"))
+    same = F.col("first") == F.col("rank")
+    return at_cell(points.join(written(first, "first-layer").hint("merge"), "pt_id"), ranked, cell, in_sides(), more=same).select("pt_id", "area_id", "layer_id")
 
 
 def features_in_square(points: DataFrame, features: DataFrame, metres: float, fx: str = "fx", fy: str = "fy") -> DataFrame:

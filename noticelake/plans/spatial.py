@@ -33,7 +33,7 @@ def e16(t):
 
 @query("e17_layer_priority", f"WITH {HITS}, {FIRST} SELECT pt_id, area_id, layer_id FROM first_hits", "gpt", "gar")
 def e17(t):
-    return S.priority_hits(e16(t))
+    return S.priority_hits(t.gpt, areas(t))
 
 
 @query("e18_point_buffer", "SELECT p.pt_id, f.feature_id FROM gpt p JOIN gbl f ON abs(p.east - f.fx) <= 120 AND abs(p.north - f.fy) <= 120", "gpt", "gbl")

@@ -71,3 +71,12 @@ def test_features_in_square(places):
     got = S.features_in_square(p, f, 300.0).select("pt_id", "feature_id")
     assert sorted(map(tuple, got.collect())) == sorted((i, k) for i, x, y in located(points) for k, fx, fy in features if abs(x - fx) <= 300 and abs(y - fy) <= 300)
     assert "Broadcast" not in plan(got)
+
+
+def test_first_layer(places):
+    points, areas, _, p, a, _ = places
+    hits = [(i, k, l) for i, x, y in located(points) for k, l, r in areas if inside(r, x, y)]
+    first = {i: min(S.LAYER_PRIORITY.index(l) for j, _, l in hits if j == i) for i, _, _ in hits}
+    got = S.priority_hits(p, a)
+    assert sorted(map(tuple, got.collect())) == sorted(h for h in hits if S.LAYER_PRIORITY.index(h[2]) == first[h[0]])
+    assert "Window" not in plan(got) and "Broadcast" not in plan(got)  # no point's hits are sorted
