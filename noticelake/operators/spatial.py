@@ -128,11 +128,27 @@ def within(metres: float, fx: str = "fx", fy: str = "fy") -> Column:
     return (F.abs(F.col("east") - F.col(fx)) <= metres) & (F.abs(F.col("north") - F.col(fy)) <= metres)
 
 
+def one_each(rows: DataFrame, id_col: str) -> bool:
+    """Whether no two rows share an identifier."""
+    return rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
+
 def point_in_area(points: DataFrame, areas: DataFrame, cell: float = 1000.0) -> DataFrame:
     """(pt_id, area_id, layer_id) of every point inside an area."""
     return at_cell(points, area_cells(areas, 0.0, cell), cell, in_sides()).select("pt_id", "area_id", "layer_id")
 
 
+def point_in_parts(points: DataFrame, parts: DataFrame, cell: float = 1000.0) -> DataFrame:
+    """As point_in_area, each row once, for areas in several parts.
+
+    A point lies in one cell, and what is found there is told apart there; only where points share an identifier rows
+    from different cells can be equal.
+    """
+    hits = at_cell(points, area_cells(parts, 0.0, cell), cell, in_sides())
+    hits = hits.dropDuplicates(["cx", "cy", "pt_id", "area_id", "layer_id"]).select("pt_id", "area_id", "layer_id")
+    return hits if one_each(points, "pt_id") else hits.distinct()
+
+
 def priority_hits(points: DataFrame, areas: DataFrame, cell: float = 1000.0) -> DataFrame:
     """point_in_area's rows of the first layer that has any, for each point.
 

@@ -160,7 +160,7 @@ SELECT DISTINCT pt_id, area_id, layer_id FROM m WHERE n % 2 = 1""", "gpt", "gar"
 def e16_assembled(t):
     """Points inside any polygon that a feature's delivered rings make up."""
     parts = S.assemble(raw_features(t), "area_id").join(t.gar.select("area_id", "layer_id"), "area_id")
-    return S.point_in_area(t.gpt, parts).distinct()
+    return S.point_in_parts(t.gpt, parts)
 
 
 @query("i40_envelopes", "SELECT area_id, x0 AS low_x, y0 AS low_y, x0 + 2000 AS high_x, y0 + 1500 AS high_y FROM gar", "gar")

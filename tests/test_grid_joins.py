@@ -80,3 +80,12 @@ def test_first_layer(places):
     got = S.priority_hits(p, a)
     assert sorted(map(tuple, got.collect())) == sorted(h for h in hits if S.LAYER_PRIORITY.index(h[2]) == first[h[0]])
     assert "Window" not in plan(got) and "Broadcast" not in plan(got)  # no point's hits are sorted
+
+
+def test_parts_of_an_area(spark, places):
+    points, areas, _, p, a, _ = places
+    twice = a.unionByName(a.filter("area_id % 2 = 0"))
+    got = S.point_in_parts(p, twice)
+    assert sorted(map(tuple, got.collect())) == sorted({(i, k, l) for i, x, y in located(points) for k, l, r in areas if inside(r, x, y)})
+    own = S.point_in_parts(p.dropDuplicates(["pt_id"]), twice)
+    assert plan(own).count("Exchange") == plan(S.point_in_area(p.dropDuplicates(["pt_id"]), twice)).count("Exchange")  # hits are told apart where they are met
