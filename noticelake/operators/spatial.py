@@ -167,12 +167,23 @@ def features_in_square(points: DataFrame, features: DataFrame, metres: float, fx
     return at_cell(points, feature_cells(features, metres, metres, fx, fy), metres, within(metres, fx, fy)).drop("cx", "cy", "acx", "acy")
 
 
-def areas_in_square(points: DataFrame, areas: DataFrame, metres: float, cell: float = 2000.0) -> DataFrame:
+def areas_in_square(points: DataFrame, areas: DataFrame, metres: float, cell: float = 1000.0) -> DataFrame:
     """(pt_id, area_id) of areas whose envelope meets the square around the point."""
-    x0, y0, x1, y1 = envelope(F.col("rings"))
-    pairs = with_cell(points, "east", "north", cell).join(by_cell(areas, metres, cell), ["cx", "cy"])
-    e, n = F.col("east"), F.col("north")
-    return pairs.filter((e >= x0 - metres) & (e <= x1 + metres) & (n >= y0 - metres) & (n <= y1 + metres)).select("pt_id", "area_id", "layer_id")
+    return at_cell(points, area_cells(areas, metres, cell).drop("sides"), cell, in_envelope(metres)).select("pt_id", "area_id", "layer_id")
+
+
+def context(points: DataFrame, areas: DataFrame, features: DataFrame, metres: float = CONTEXT_METRES) -> DataFrame:
+    """(pt_id, kind, feature_id), each once, of the areas and features in the square around each point.
+
+    An area that holds a point is among them. A pair is met in the point's cell alone, so rows can be equal only where
+    points, areas or features share identifiers; only then are they told apart, as they are many times more than all
+    points and features.
+    """
+    a = areas_in_square(points, areas, metres).select("pt_id", F.lit("area").alias("kind"), F.col("area_id").alias("feature_id"))
+    p = features_in_square(points, features, metres).select("pt_id", F.lit("point").alias("kind"), "feature_id")
+    every = a.unionByName(p)
+    alone = one_each(points, "pt_id") and one_each(areas, "area_id") and one_each(features, "feature_id")
+    return every if alone else every.distinct()
 
 
 def segment_distance(s: Column, x: Column, y: Column) -> Column:

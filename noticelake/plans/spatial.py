@@ -45,9 +45,7 @@ def e18(t):
  UNION SELECT pt_id, 'area', area_id FROM hits
  UNION SELECT p.pt_id, 'point', f.feature_id FROM gpt p JOIN gbl f ON abs(p.east - f.fx) <= 1500 AND abs(p.north - f.fy) <= 1500) SELECT * FROM ctx""", "gpt", "gar", "gbl")
 def e19(t):
-    a = S.areas_in_square(t.gpt, areas(t), S.CONTEXT_METRES).unionByName(e16(t)).select("pt_id", F.lit("area").alias("kind"), F.col("area_id").alias("feature_id"))
-    p = S.features_in_square(t.gpt, t.gbl, S.CONTEXT_METRES).select("pt_id", F.lit("point").alias("kind"), "feature_id")
-    return a.unionByName(p).dropDuplicates(["pt_id", "kind", "feature_id"])
+    return S.context(t.gpt, areas(t), t.gbl)
 
 
 @query("e20_nearest_feature", f"WITH {NEAR} SELECT pt_id, s.f AS feature_id, CASE WHEN s.k = 0 THEN 'area' ELSE 'point' END AS kind, round(s.d, 4) AS distance FROM best", "gpt", "gar", "gbl")

@@ -89,3 +89,13 @@ def test_parts_of_an_area(spark, places):
     assert sorted(map(tuple, got.collect())) == sorted({(i, k, l) for i, x, y in located(points) for k, l, r in areas if inside(r, x, y)})
     own = S.point_in_parts(p.dropDuplicates(["pt_id"]), twice)
     assert plan(own).count("Exchange") == plan(S.point_in_area(p.dropDuplicates(["pt_id"]), twice)).count("Exchange")  # hits are told apart where they are met
+
+
+def test_context(places):
+    points, areas, features, p, a, f = places
+    box = lambda r: (min(x for q in r for x, _ in q), min(y for q in r for _, y in q), max(x for q in r for x, _ in q), max(y for q in r for _, y in q))
+    want = {(i, "area", k) for i, x, y in located(points) for k, _, r in areas for b in [box(r)] if b[0] - 400 <= x <= b[2] + 400 and b[1] - 400 <= y <= b[3] + 400}
+    want |= {(i, "point", k) for i, x, y in located(points) for k, fx, fy in features if abs(x - fx) <= 400 and abs(y - fy) <= 400}
+    assert sorted(map(tuple, S.context(p, a, f, 400.0).collect())) == sorted(want)
+    alone = S.context(p.filter("pt_id >= 10"), a, f, 400.0)
+    assert "Aggregate" not in plan(alone) and "Broadcast" not in plan(alone)  # pairs are not sent round to be told apart
