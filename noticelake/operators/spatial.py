@@ -186,6 +186,19 @@ def context(points: DataFrame, areas: DataFrame, features: DataFrame, metres: fl
     return every if alone else every.distinct()
 
 
+def side_distance(s: Column, x: Column, y: Column) -> Column:
+    dx, dy = s["bx"] - s["ax"], s["by"] - s["ay"]
+    length = dx * dx + dy * dy
+    along = ((x - s["ax"]) * dx + (y - s["ay"]) * dy) / F.when(length == 0, F.lit(1.0)).otherwise(length)
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), along))
+    return F.hypot(x - (s["ax"] + t * dx), y - (s["ay"] + t * dy))
+
+
+def outer_distance(sides: Column, x: Column, y: Column) -> Column:
+    """The distance to the nearest side of any ring, for points outside the area."""
+    return F.array_min(F.transform(sides, lambda s: side_distance(s, x, y)))
+
+
 def segment_distance(s: Column, x: Column, y: Column) -> Column:
     dx, dy = s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]
     length = dx * dx + dy * dy
@@ -200,16 +213,22 @@ def area_distance(rings: Column, x: Column, y: Column) -> Column:
     return F.when(inside(rings, x, y), F.lit(0.0)).otherwise(F.array_min(F.transform(sides, lambda s: segment_distance(s, x, y))))
 
 
-def nearest_feature(points: DataFrame, areas: DataFrame, features: DataFrame, metres: float = NEAR_METRES, cell: float = 2000.0) -> DataFrame:
-    """The nearest area or point feature within `metres`; areas win ties, then the smaller id."""
+def nearest_feature(points: DataFrame, areas: DataFrame, features: DataFrame, metres: float = NEAR_METRES, cell: float = 1000.0) -> DataFrame:
+    """The nearest area or point feature within `metres`; areas win ties, then the smaller id.
+
+    Nothing is nearer than an area around the point; distances are worked out for the points without one.
+    """
     e, n = F.col("east"), F.col("north")
-    a = with_cell(points, "east", "north", cell).join(by_cell(areas, metres, cell), ["cx", "cy"])
-    a = a.select("pt_id", area_distance(F.col("rings"), e, n).alias("distance"), F.lit(0).alias("kind"), F.col("area_id").alias("feature_id"))
-    p = features_in_square(points, features, metres)
+    around = written(point_in_area(points, areas, cell).groupBy("pt_id").agg(F.min("area_id").alias("feature_id")), "around")
+    rest = points.join(around.hint("merge"), "pt_id", "left_anti")
+    a = at_cell(rest, area_cells(areas, metres, cell, level=True), cell, in_envelope(metres + 1.0))
+    a = a.select("pt_id", outer_distance(F.col("sides"), e, n).alias("distance"), F.lit(0).alias("kind"), F.col("area_id").alias("feature_id"))
+    p = features_in_square(rest, features, metres)
     p = p.select("pt_id", F.hypot(e - F.col("fx"), n - F.col("fy")).alias("distance"), F.lit(1).alias("kind"), "feature_id")
     both = a.unionByName(p).filter(F.col("distance") <= metres)
     best = both.groupBy("pt_id").agg(F.min(F.struct("distance", "kind", "feature_id")).alias("s"))
-    return best.select("pt_id", "s.feature_id", F.when(F.col("s.kind") == 0, "area").otherwise("point").alias("kind"), "s.distance")
+    best = best.select("pt_id", "s.feature_id", F.when(F.col("s.kind") == 0, "area").otherwise("point").alias("kind"), "s.distance")
+    return around.select("pt_id", "feature_id", F.lit("area").alias("kind"), F.lit(0.0).alias("distance")).unionByName(best)
 
 
 def assess(points: DataFrame, areas: DataFrame, features: DataFrame, cell: float = 2000.0) -> DataFrame:

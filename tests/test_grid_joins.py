@@ -99,3 +99,14 @@ def test_context(places):
     assert sorted(map(tuple, S.context(p, a, f, 400.0).collect())) == sorted(want)
     alone = S.context(p.filter("pt_id >= 10"), a, f, 400.0)
     assert "Aggregate" not in plan(alone) and "Broadcast" not in plan(alone)  # pairs are not sent round to be told apart
+
+
+def test_nearest(places):
+    points, areas, features, p, a, f = places
+    best = {}
+    for i, x, y in located(points):
+        near = [(distance(r, x, y), "area", k) for k, _, r in areas] + [(math.hypot(x - fx, y - fy), "point", k) for k, fx, fy in features if abs(x - fx) <= 300 and abs(y - fy) <= 300]
+        best[i] = min([b for b in near if b[0] <= 300] + ([best[i]] if best.get(i) else []), default=None)
+    got = S.nearest_feature(p, a, f, 300.0)
+    assert {r.pt_id: (round(r.distance, 6), r.kind, r.feature_id) for r in got.collect()} == {i: (round(b[0], 6), *b[1:]) for i, b in best.items() if b}
+    assert "Broadcast" not in plan(got)
