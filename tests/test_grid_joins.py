@@ -110,3 +110,20 @@ def test_nearest(places):
     got = S.nearest_feature(p, a, f, 300.0)
     assert {r.pt_id: (round(r.distance, 6), r.kind, r.feature_id) for r in got.collect()} == {i: (round(b[0], 6), *b[1:]) for i, b in best.items() if b}
     assert "Broadcast" not in plan(got)
+
+
+def test_verdicts(places):
+    points, areas, features, p, a, f = places
+    flags = {}
+    for i, x, y in located(points):
+        z, b, n = flags.get(i, (False, False, False))
+        direct = any(abs(x - fx) <= S.DIRECT_METRES and abs(y - fy) <= S.DIRECT_METRES for _, fx, fy in features)
+        near = any(distance(r, x, y) <= S.NEAR_METRES for _, _, r in areas) or any(math.hypot(x - fx, y - fy) <= S.NEAR_METRES for _, fx, fy in features)
+        flags[i] = (z or any(inside(r, x, y) for _, _, r in areas), b or direct, n or near)
+    want = []
+    for i, x, _, precision in points:
+        z, b, n = flags.get(i, (False, False, False))
+        want.append((i, None if x is None else "combined-hit" if z and b else "protected-point" if b else "protected-zone" if z else "manual-review" if precision == "approximate" and n else "no-hit"))
+    got = S.assess(p, a, f)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len({s for _, s in want}) == 6
+    assert "Broadcast" not in plan(got)
