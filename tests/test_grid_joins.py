@@ -58,7 +58,6 @@ def located(points):
     return [(i, x, y) for i, x, y, _ in points if x is not None]
 
 
-@pytest.mark.parametrize("name", ["i45_protection_decision", "j8_assess_all", "j8_assessment_report", "f15_combined_assessment"])
 def test_point_in_area(places):
     points, areas, _, p, a, _ = places
     got = S.point_in_area(p, a)
@@ -127,3 +126,9 @@ def test_verdicts(places):
     got = S.assess(p, a, f)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len({s for _, s in want}) == 6
     assert "Broadcast" not in plan(got)
+
+
+@pytest.mark.parametrize("name", ["i45_protection_decision", "j8_assess_all", "j8_assessment_report", "f15_combined_assessment"])
+def test_assessments_broadcast_no_table(spark, name):
+    text = plan(registry.queries()[name](spark, "/root/testdata/sf0.001"))
+    assert "BroadcastHashJoin" not in text and "SortMergeJoin" in text
