@@ -3,6 +3,9 @@
 A name may stand anywhere inside an entry's text, so entries are indexed by their words and by short pieces of their
 text without blanks. A request looks up one key for its municipality and one for its street or parcel; what meets on
 both keys is tested exactly. No entry meets a request that shares neither.
+
+Entries with the same text fit the same requests, so each text is indexed once and stands for its first entry. Requests
+are written out: where they are few, entries are cut down to their keys before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.work import written
 from . import spatial as S
 
 #: fixed values: names at least so long may be contained in an entry's text, shorter ones must be a word of it
@@ -106,19 +110,23 @@ def match_addresses(requests: DataFrame, entries: DataFrame, id_col: str, approx
     parcel, or else the street, of the request. A fit is precise if the entry stands for no region and the request is a
     parcel or has a house number. The first precise entry by rank wins, else (approximate) the first one.
 
-    Requests are answered once for each distinct municipality, street, parcel and presence of a number.
+    Addresses are taken apart once for each distinct municipality and address, and answered once for each distinct
+    municipality, street, parcel and presence of a number.
     """
     town, street, parcel = loose(F.col("municipality")), street_token(F.col("address")), parcel_token(F.col("address"))
-    asked = requests.filter(can_ask(F.col("address"))).select(id_col, town.alias("town"), street.alias("street"), parcel.alias("parcel"), has_house_number(F.col("address")).alias("numbered"))
+    spoken = ["municipality", "address"]  # null in either is never found
+    asked = requests.select(spoken).distinct().filter(can_ask(F.col("address")))
+    asked = written(asked.select(*spoken, town.alias("town"), street.alias("street"), parcel.alias("parcel"), has_house_number(F.col("address")).alias("numbered")), "asked")
     request = ["town", "street", "parcel", "numbered"]
     places = F.array_compact(F.array(F.when(F.col("parcel") != "", F.concat(F.lit("p:"), "parcel")), F.when(F.col("street") != "", lookup_key(F.col("street"), WHOLE_STREET))))
     each = asked.filter("town <> ''").select(request).distinct().withColumn("at", lookup_key(F.col("town"), WHOLE_TOWN)).withColumn("place", F.explode(places))
+    each = written(each, "requests")
 
-    text = F.concat_ws(" ", T.blank_to_null(F.col("label")), T.blank_to_null(F.col("detail")))
-    east, north = lv95(F.col("x"), F.col("y"))
-    numbers = F.filter(F.transform(F.split(text, T.WHITE), lambda w: F.regexp_replace(w, "[^0-9]", "")), lambda w: w != "")
+    label = F.concat_ws(" ", T.blank_to_null(F.col("label")), T.blank_to_null(F.col("detail")))
     coarse = F.coalesce(F.lower("origin").isin(*COARSE), F.lit(False))
-    found = entries.filter("x is not null and y is not null").select("entry_id", "rank", words(text).alias("words"), loose(text).alias("text"), numbers.alias("numbers"), coarse.alias("coarse"), east.alias("x"), north.alias("y"))
+    text = F.col("label")
+    numbers = F.filter(F.transform(F.split(text, T.WHITE), lambda w: F.regexp_replace(w, "[^0-9]", "")), lambda w: w != "")
+    found = first_entries(entries, label.alias("label"), coarse.alias("coarse")).select("first", "coarse", words(text).alias("words"), loose(text).alias("text"), numbers.alias("numbers"))
     found = found.withColumn("at", F.explode(index_keys(F.col("words"), F.col("text"), WHOLE_TOWN))).join(each.select("at").distinct(), "at", "left_semi")
     keys = F.concat(F.transform("numbers", lambda n: F.concat(F.lit("p:"), n)), index_keys(F.col("words"), F.col("text"), WHOLE_STREET))
     found = found.withColumn("place", F.explode(F.array_distinct(keys))).drop("numbers").join(each, ["at", "place"])
@@ -127,9 +135,17 @@ def match_addresses(requests: DataFrame, entries: DataFrame, id_col: str, approx
     fits = lambda token, whole: names(F.col(token), F.col("words"), F.col("text"), whole)
     found = found.filter(fits("town", WHOLE_TOWN) & (by_parcel | fits("street", WHOLE_STREET)))
     vague = F.col("coarse") | ~((F.col("parcel") != "") | F.col("numbered"))
-    best = found.groupBy(*request).agg(F.min(F.struct(vague.alias("vague"), "rank", "entry_id", "x", "y")).alias("s"))
+    best = found.groupBy(*request).agg(F.min(F.struct(vague.alias("vague"), "first")).alias("s"))
     best = best if approximate else best.filter("not s.vague")
-    return asked.join(best, request).select(id_col, "s.x", "s.y", F.when(F.col("s.vague"), "approximate").otherwise("precise").alias("precision"))
+    answers = asked.join(best, request).select(*spoken, "s.first.x", "s.first.y", F.when(F.col("s.vague"), "approximate").otherwise("precise").alias("precision"))
+    return requests.select(id_col, *spoken).join(written(answers, "answers"), spoken).select(id_col, "x", "y", "precision")
+
+
+def first_entries(entries: DataFrame, *by: Column) -> DataFrame:
+    """`by`, first: of the entries with a place that are equal in `by` the first by rank, as (rank, entry_id, x, y)."""
+    east, north = lv95(F.col("x"), F.col("y"))
+    rows = entries.filter("x is not null and y is not null").select(*by, F.struct("rank", "entry_id", east.alias("x"), north.alias("y")).alias("first"))
+    return rows.groupBy(*(c for c in rows.columns if c != "first")).agg(F.min("first").alias("first"))
 
 
 def match_parcels(requests: DataFrame, entries: DataFrame) -> DataFrame:

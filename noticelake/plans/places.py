@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import addresses as A
 from ..operators import gazetteer as G
 from ..operators import projects as P
+from ..sources.work import written
 from .register import query
 from .spatial import areas
 
@@ -23,9 +24,9 @@ ASKED = ["Hauptstrasse %k", "Rain %k", "Mühleweg", "Parzelle %k", "Seckistrasse
 
 def entries(t):
     """An entry for every part and town in which it is sold; the number in it may be a house's or a parcel's."""
-    sold = t.lineitem.select("l_suppkey", "l_partkey").distinct().join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("s_suppkey") == F.col("l_suppkey"))
+    sold = t.lineitem.select("l_suppkey", "l_partkey").join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("s_suppkey") == F.col("l_suppkey"))
     k, n = F.col("l_partkey"), F.col("s_nationkey")
-    rows = sold.select(k, n).distinct()
+    rows = written(sold.select(k, n).distinct(), "entries")
     town = lambda i: T.pick(n, [x[i] for x in TOWNS])
     return rows.select(
         (k * 100 + n).alias("entry_id"), F.concat_ws(" ", T.pick(k, STREETS), (k % 97 + 1).cast("string"), F.lit("5000"), town(0)).alias("label"),

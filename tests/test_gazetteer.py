@@ -143,3 +143,14 @@ def test_verdicts_and_applied_repairs(spark):
     got = {r.id: tuple(r)[1:] for r in G.apply_repairs(records, verdicts, "id").collect()}
     assert got[1] == ("Parzellen 1, 2", "1, 2", 2625000.0, 1225000.0, "precise", False, "combined-hit") and got[2][:2] == ("alt", "7") and got[3][:2] == ("Weg", "9") and got[4][4:] == ("precise", False, "no-hit")
     assert got[5] == ("alt", "9", None, None, None, True, "manual-review")
+
+
+def test_equal_entries_are_indexed_once(spark):
+    rows = [(i, "Hauptstrasse 12 5000 Aarau", None, "address", 2645000.0 + i, 1249000.0, 90 - i % 9) for i in range(60)] + [(99, "Hauptstrasse 12 5000 Aarau", None, "zipcode", 2600000.0, 1249000.0, 0), (100, "Rain 1 Aarau", None, None, None, 1.0, 0)]
+    entries = spark.createDataFrame(rows, ENTRY)
+    texts = {(r.label, r.origin): r["first"].entry_id for r in G.first_entries(entries, F.col("label"), F.col("origin")).collect()}
+    assert texts == {("Hauptstrasse 12 5000 Aarau", "address"): 8, ("Hauptstrasse 12 5000 Aarau", "zipcode"): 99}
+    requests = spark.createDataFrame([(i, "Aarau", a) for i, a in enumerate(["Hauptstrasse 12"] * 3 + [None, "Rain 1"])], "id int, municipality string, address string")
+    got = G.match_addresses(requests, entries, "id")
+    assert sorted(map(tuple, got.collect())) == [(i, 2645008.0, 1249000.0, "precise") for i in range(3)]
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()  # requests meet answers, not the entries' keys
