@@ -152,14 +152,13 @@ def match_parcels(requests: DataFrame, entries: DataFrame) -> DataFrame:
     """municipality, parcel, x, y of the requests that are found: the first entry whose detail begins with the parcel's
     number and names the municipality, at any length."""
     short = 4
-    asked = requests.select("municipality", "parcel", loose(F.col("municipality")).alias("town")).distinct().filter("town <> '' and parcel <> ''")
-    asked = asked.withColumn("at", F.substring("town", 1, short))
-    east, north = lv95(F.col("x"), F.col("y"))
-    found = entries.filter("x is not null and y is not null").select("entry_id", "rank", F.split(F.trim("detail"), T.WHITE)[0].alias("parcel"), loose(F.col("detail")).alias("text"), east.alias("x"), north.alias("y"))
+    asked = requests.select("municipality", "parcel").distinct().select("municipality", "parcel", loose(F.col("municipality")).alias("town")).filter("town <> '' and parcel <> ''")
+    asked = written(asked.withColumn("at", F.substring("town", 1, short)), "asked")
+    found = first_entries(entries, F.col("detail")).select("first", F.split(F.trim("detail"), T.WHITE)[0].alias("parcel"), loose(F.col("detail")).alias("text"))
     found = found.join(asked.select("parcel").distinct(), "parcel", "left_semi")
     sizes = F.flatten(F.array(*(pieces(F.col("text"), n, "") for n in range(1, short + 1))))
     found = found.withColumn("at", F.explode(F.array_distinct(sizes))).join(asked, ["parcel", "at"]).filter(F.contains("text", "town"))
-    best = found.groupBy("municipality", "parcel").agg(F.min(F.struct("rank", "entry_id", "x", "y")).alias("s"))
+    best = found.groupBy("municipality", "parcel").agg(F.min("first").alias("s"))
     return best.select("municipality", "parcel", "s.x", "s.y")
 
 
@@ -260,12 +259,22 @@ def repair_locations(records: DataFrame, addresses: DataFrame, parcels: DataFram
     records: municipality, address, parcel, project_type, description, source_text. A record's candidates are tried in
     order, those with its source text after all others, and the first that is found wins. Of a group of parcels each
     one must be found: points has the place of each, x and y is the middle of them. addresses and parcels are entries
-    of the gazetteer.
+    of the gazetteer. What is found depends on a record's texts alone, so records with equal texts are located once.
     """
+    whose = ["municipality", "address", "parcel", "project_type", "description", "source_text"]
+    named = records.select(id_col, *(F.coalesce(c, F.lit("")).alias(c) for c in whose))  # null and blank say the same
+    place_of = _locate(written(named.select(*whose).distinct().withColumn("text_id", F.monotonically_increasing_id()), "texts"), addresses, parcels)
+    return named.join(place_of, whose).select(id_col, "kind", "query", "x", "y", "precision", "points", "repair_address", "repair_parcel")
+
+
+def _locate(records: DataFrame, addresses: DataFrame, parcels: DataFrame) -> DataFrame:
+    """repair_locations of records with a text_id, with their texts."""
+    id_col, whose = "text_id", [c for c in records.columns if c != "text_id"]
     texts = [F.col(c) for c in ("address", "parcel", "project_type", "description")]
     later = F.when(T.collapse(F.col("source_text")) != "", ladder(texts, F.col("source_text"))).otherwise(F.array().cast(CANDIDATES))
     steps = records.select(id_col, "municipality", F.posexplode(F.concat(ladder(texts, None), later)).alias("place", "c"))
     steps = steps.select(id_col, "municipality", "place", "c.*", F.size("c.queries").alias("asked")).withColumn("query", F.explode("queries")).drop("queries")
+    steps = written(steps, "steps")
     by_parcel = steps.filter("kind in ('parcel', 'parcel-group')").join(match_parcels(steps.filter("kind in ('parcel', 'parcel-group')").select("municipality", F.col("query").alias("parcel")), parcels).withColumnRenamed("parcel", "query"), ["municipality", "query"])
     request = ["municipality", "address"]
     spoken = steps.filter("kind in ('address', 'weak-address')").select("municipality", F.col("query").alias("address")).distinct().withColumn("request", F.struct(*request))
@@ -277,7 +286,8 @@ def repair_locations(records: DataFrame, addresses: DataFrame, parcels: DataFram
     ).filter(F.size("points") == F.col("asked"))
     first = each.groupBy(id_col).agg(F.min_by(F.struct("kind", "points", "precision", "repair_address", "repair_parcel"), "place").alias("s")).select(id_col, "s.*")
     middle = lambda c: F.round(F.aggregate("points", F.lit(0.0), lambda s, p: s + p[c]) / F.size("points"), 3)
-    return first.select(id_col, "kind", F.array_join(F.transform("points", lambda p: p["query"]), ", ").alias("query"), middle("x").alias("x"), middle("y").alias("y"), "precision", "points", "repair_address", "repair_parcel")
+    first = first.select(id_col, "kind", F.array_join(F.transform("points", lambda p: p["query"]), ", ").alias("query"), middle("x").alias("x"), middle("y").alias("y"), "precision", "points", "repair_address", "repair_parcel")
+    return written(records.select(id_col, *whose).join(first, id_col).drop(id_col), "located")
 
 
 def assess_repairs(repairs: DataFrame, areas: DataFrame, features: DataFrame, id_col: str) -> DataFrame:

@@ -154,3 +154,12 @@ def test_equal_entries_are_indexed_once(spark):
     got = G.match_addresses(requests, entries, "id")
     assert sorted(map(tuple, got.collect())) == [(i, 2645008.0, 1249000.0, "precise") for i in range(3)]
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()  # requests meet answers, not the entries' keys
+
+
+def test_equal_records_are_located_once(spark):
+    entries = spark.createDataFrame([(i, "Juchweg 4 Aarau", "12 4001 aarau", "address", 2645000.0 + i, 1249000.0, i % 7 + 1) for i in range(1, 30)], ENTRY)
+    rows = [(i, "Aarau", "Juchweg 4", None if i % 2 else "", "", "", None) for i in range(6)] + [(9, "Aarau", "Adresse prüfen", "", "Parzelle 12", "", ""), (10, None, "Juchweg 4", "", "", "", "")]
+    records = spark.createDataFrame(rows, "id int, municipality string, address string, parcel string, project_type string, description string, source_text string")
+    got = G.repair_locations(records, entries, entries, "id")
+    assert sorted((r.id, r.kind, r.x) for r in got.collect()) == [(i, "address", 2645007.0) for i in range(6)] + [(9, "parcel", 2645007.0)]
+    assert "regexp" not in got._jdf.queryExecution().executedPlan().toString().lower()  # ladders are not built for each record
