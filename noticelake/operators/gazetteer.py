@@ -291,16 +291,23 @@ def _locate(records: DataFrame, addresses: DataFrame, parcels: DataFrame) -> Dat
 
 
 def assess_repairs(repairs: DataFrame, areas: DataFrame, features: DataFrame, id_col: str) -> DataFrame:
-    """repairs with the verdict over all their points: both kinds of hits together, else the strongest of them."""
-    points = repairs.select(id_col, "precision", F.posexplode("points").alias("n", "p"))
-    points = points.select(F.struct(id_col, "n").alias("pt_id"), F.col("p.x").alias("east"), F.col("p.y").alias("north"), F.col("precision").alias("location_precision"))
-    verdicts = S.assess(points, areas, features).select(F.col(f"pt_id.{id_col}").alias(id_col), "protection_status")
+    """repairs with the verdict over all their points: both kinds of hits together, else the strongest of them.
+
+    Repairs at the same points get the same verdict, and each place is assessed once.
+    """
+    found = ["precision", "points"]
+    sets = written(repairs.select(*found).distinct().withColumn("set_id", F.monotonically_increasing_id()), "point-sets")
+    spot = F.struct("precision", F.col("p.x").alias("x"), F.col("p.y").alias("y")).alias("pt_id")
+    each = sets.select("set_id", "precision", F.explode("points").alias("p")).select("set_id", spot).distinct()
+    points = each.select("pt_id").distinct().select("pt_id", F.col("pt_id.x").alias("east"), F.col("pt_id.y").alias("north"), F.col("pt_id.precision").alias("location_precision"))
+    verdicts = each.join(S.assess(points, areas, features), "pt_id")
     has = lambda s: F.bool_or(F.col("protection_status") == s)
     verdict = (
         F.when(has("combined-hit") | (has("protected-point") & has("protected-zone")), "combined-hit").when(has("protected-point"), "protected-point")
         .when(has("protected-zone"), "protected-zone").when(has("manual-review"), "manual-review").otherwise("no-hit")
     )
-    return repairs.join(verdicts.groupBy(id_col).agg(verdict.alias("protection_status")), id_col)
+    of_set = verdicts.groupBy("set_id").agg(verdict.alias("protection_status"))
+    return repairs.join(written(sets.join(of_set, "set_id").drop("set_id"), "set-verdicts"), found).select(*repairs.columns, "protection_status")
 
 
 def apply_repairs(records: DataFrame, repairs: DataFrame, id_col: str) -> DataFrame:

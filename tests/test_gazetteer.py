@@ -163,3 +163,16 @@ def test_equal_records_are_located_once(spark):
     got = G.repair_locations(records, entries, entries, "id")
     assert sorted((r.id, r.kind, r.x) for r in got.collect()) == [(i, "address", 2645007.0) for i in range(6)] + [(9, "parcel", 2645007.0)]
     assert "regexp" not in got._jdf.queryExecution().executedPlan().toString().lower()  # ladders are not built for each record
+
+
+def test_equal_places_are_assessed_once(spark, monkeypatch):
+    ring = [{"x": x, "y": y} for x, y in ((0.0, 0.0), (0.0, 9.0), (9.0, 9.0), (9.0, 0.0))]
+    areas = spark.createDataFrame([(1, 21, [ring])], "area_id int, layer_id int, rings array<array<struct<x:double,y:double>>>")
+    features = spark.createDataFrame([(1, 5000.0, 5000.0)], "feature_id int, fx double, fy double")
+    point = lambda x: {"query": "q", "x": x, "y": 5.0}
+    repairs = spark.createDataFrame([(i, "precise", [point(5.0)] + [point(800.0)] * (i % 2)) for i in range(8)] + [(8, "approximate", [point(100.0)]), (9, "precise", [point(100.0)])], "id int, precision string, points array<struct<query:string,x:double,y:double>>")
+    seen, assess = [], G.S.assess
+    monkeypatch.setattr(G.S, "assess", lambda points, *a: seen.append(points.count()) or assess(points, *a))
+    got = {r.id: r.protection_status for r in G.assess_repairs(repairs, areas, features, "id").collect()}
+    assert got == {**{i: "protected-zone" for i in range(8)}, 8: "manual-review", 9: "no-hit"}
+    assert seen == [4]
