@@ -328,6 +328,23 @@ def import_evidence(incoming: DataFrame, outcomes: DataFrame) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(F.col("target_id").alias("rec_id"), "source_kind", "source_reference", "match_status")
 
 
+def sharing(rows: DataFrame) -> DataFrame:
+    """The keyed records that share the keys of a rule with another, where the rule can hold; no others ever form a pair.
+
+    Keys are counted by their hashes: two keys under one hash keep records that nothing will come of, and lose none.
+    Hashes are dealt out once, for the counting and for what is read from it.
+    """
+    def key(i, keys):
+        filled = F.col(keys[0]).isNotNull() & F.col(keys[1]).isNotNull()
+        return F.when(filled, F.struct(F.xxhash64(F.lit(i), "k_mun", *keys).alias("key"), (F.lit(i < 2) | F.col("k_pub").isNull()).alias("may")))
+
+    able = rows.withColumn("who", F.xxhash64("id"))
+    each = able.select("who", F.explode(F.array_compact(F.array(*(key(i, k) for i, k in enumerate(RULE_KEYS))))).alias("k")).select("who", "k.key", "k.may").repartition("key")
+    many = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bool_or("may").alias("may")).filter("n > 1 and may").select("key")
+    live = each.join(many.hint("merge"), "key", "left_semi").select("who").distinct()
+    return able.join(written(live, "sharing").hint("merge"), "who", "left_semi").drop("who")
+
+
 def merge_duplicates(records: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(rec_id, host_id) of the records that are merged away, to a fixpoint.
 
@@ -335,9 +352,13 @@ def merge_duplicates(records: DataFrame, most_rounds: int = 200) -> DataFrame:
     the authority and has exactly one candidate (not archived, of a kind that it may be linked with) forms a pair with
     it. The host is the touched one, else the authority's, else the older; where both are touched nothing happens. A
     round carries out the pairs that come first, by a hash, for both of their records; what is left is matched again.
+    Records that are no candidates (archived ones of other kinds than those that ask, imports) and those that share no
+    rule's keys with another are left out from the start, as merging only takes records away.
     """
     kind = F.col("source_kind").alias("kind")
-    rows = keyed(records, "rec_id", [kind, "workflow_status", F.coalesce("touched", F.lit(False)).alias("touched"), F.col("created_at").cast("string").alias("made")])
+    every = records.filter("source_kind <> 'import' and not (source_kind = 'authority' and workflow_status = 'archived')")
+    rows = keyed(every, "rec_id", [kind, "workflow_status", F.coalesce("touched", F.lit(False)).alias("touched"), F.col("created_at").cast("string").alias("made")])
+    rows = written(sharing(rows), "unmerged")
     merged = None
     for _ in range(most_rounds):
         found = first_candidates(rows.filter("kind not in ('authority', 'import')"), rows.filter("workflow_status <> 'archived' and kind <> 'import'"), own=True)

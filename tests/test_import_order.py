@@ -103,3 +103,14 @@ def test_running_values(spark):
     assert sorted(map(str, map(tuple, later))) == sorted(map(str, want_later))
     placed = running.place(df, ["g"], [F.asc("t"), F.asc("v")]).groupBy("g").agg(F.max("place").alias("n"), F.count_distinct("place").alias("d"), F.count(F.lit(1)).alias("c")).collect()
     assert all(r.n == r.d == r.c for r in placed) and len(placed) == len(groups)
+
+
+def test_records_that_share_no_key_leave_the_merge(spark):
+    cols = "rec_id string, source_kind string, workflow_status string, municipality string, publication_date string, parcel string, address string, project_type string, touched boolean, created_at string"
+    alone = [(f"z{i}", "municipality", "new", "Aarau", "2026-01-01", f"Parzelle {i}", f"Weg {i}", "Haus", False, None) for i in range(40)]
+    near = [(i, k, "new", "Aarau", p, "Parzelle 99", "", "Stall", False, None) for i, k, p in (("a", "authority", "2026-02-01"), ("b", "municipality", ""), ("c", "import", ""))]
+    apart = [(i, "municipality", "new", "Baden", p, "Parzelle 7", "", "Stall", False, None) for i, p in (("d", "2026-02-01"), ("e", "2026-03-01"))]  # both dated: neither rule holds
+    rows = spark.createDataFrame(alone + near + apart, cols)
+    keyed = linkage.keyed(rows.filter("source_kind <> 'import'"), "rec_id")
+    assert sorted(r.id for r in linkage.sharing(keyed).collect()) == ["a", "b"]
+    assert [tuple(r) for r in linkage.merge_duplicates(rows).collect()] == [("b", "a")]
