@@ -244,3 +244,12 @@ def test_keys_search_a_value_once(spark):
     assert [tuple(r) for r in keys.collect()] == [("alte hauptstr 3", "12a", "ruck bau haus"), ("", "", ""), ("str 1", "7", "")]
     searches = lambda c: rows.select(c.alias("k"))._jdf.queryExecution().analyzed().toString().count("regexp_replace(")
     assert searches(text.address(F.col("a"))) == searches(text.project(F.col("j"))) == 1
+
+
+def test_ranges_are_read_once(spark):
+    from noticelake.functions import dates
+
+    rows = spark.createDataFrame([("Auflage vom 1. Februar bis 3. März 2024",), ("28.12. - 5.1.2025",), ("vom 31.2. bis 3.3.2024",), (None,)], "body string")
+    found = dates.with_range(rows, "body", "p", "q").filter("p is not null or q is not null")
+    assert sorted((str(r.p), str(r.q)) for r in found.collect()) == [("2024-02-01", "2024-03-03"), ("2024-12-28", "2025-01-05")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("[–—-]") <= 2  # a filter on the ends does not search again; nullif names its value twice
